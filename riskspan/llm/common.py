@@ -60,14 +60,17 @@ def number_within(df: DataFrame, key: str, order: list[str], out: str, rows_per_
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows of about `limit` bytes of text; every row is in exactly one run."""
+    """Cut a batch into runs of rows of about `limit` bytes of text; every row is in exactly one run.
+
+    The runs are copies, not views: some kernels misread arrays that start inside another's buffers.
+    """
     if not batch.num_rows:
         return
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     block = (np.cumsum(sizes) - sizes) // limit
     cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:], strict=False):
-        yield batch.slice(a, b - a)
+        yield batch.take(pa.array(range(a, b), pa.int64()))
 
 
 def text_bytes(column: pa.Array) -> tuple[bytes, np.ndarray]:
