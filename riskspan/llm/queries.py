@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("sharding", "urls", "decontam", "packing", "quality_rules", "toxicity", "crf")
+_MODULES = ("sharding", "urls", "decontam", "packing", "quality_rules", "toxicity", "crf", "substrings")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
