@@ -36,7 +36,8 @@ _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <=
 
 
 def edits_allowed(term: str) -> int:
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    """Misspellings are looked for in ASCII terms; stems catch the inflections of others."""
+    return 0 if len(term) < 5 or not term.isascii() else 1 if len(term) < 9 else 2
 
 
 class Lexicon:
@@ -88,24 +89,44 @@ def _letters(word: str) -> int:
 class Matcher:
     """Finds lexicon hits among all distinct words of a block.
 
-    Each edit changes at most one letter of a word's letter set on either side, so words whose set differs from every term's
-    by more than two a permitted edit, or whose length differs by more than the edits, cannot match and skip the automaton.
+    Words that cannot match skip the automaton, by conditions that every match meets. A match with one edit has one half of
+    the term unchanged, so its first or last two bytes; with two edits one of three parts is unchanged, so the first or last
+    three bytes, or the fourth to sixth, moved by two at most. An edit changes two letters of the word's letter set (up to five bits
+    where a letter of several bytes is involved) and its length by one (four) at most. Stems are found by their first bytes.
     """
 
     def __init__(self, terms: list[str]) -> None:
         self.lexicon = Lexicon(terms)
-        self.terms = [(np.uint64(_letters(t)), len(t.encode()), edits_allowed(t)) for t in self.lexicon.terms]
+        self.terms = []
+        for t in self.lexicon.terms:
+            raw = t.encode()
+            self.terms.append((np.uint64(_letters(t)), len(raw), edits_allowed(t), raw, t.isascii()))
         self.heads = np.unique([int.from_bytes(t.encode()[:4].ljust(4), "little") for t in self.lexicon.stems] or [0]).astype(np.uint32)
         self.known: dict[bytes, int] = {}
         self.marks = [{w.encode() for w in REPORTING}, {w.encode() for w in ADDRESS}]
 
-    def candidates(self, masks: np.ndarray, lengths: np.ndarray, heads: np.ndarray) -> np.ndarray:
-        """heads: the first four bytes of each word as a little-endian number; stems have at least four."""
-        found = np.isin(heads, self.heads)
-        for mask, size, edits in self.terms:
-            near = np.abs(lengths - size) <= edits * 4  # bytes: an edited letter has up to four
-            near[near] = np.bitwise_count(masks[near] ^ mask) <= (edits * 5 if edits else 0)
-            found |= near
+    def candidates(self, masks: np.ndarray, lengths: np.ndarray, raw: np.ndarray, begin: np.ndarray, plain: np.ndarray) -> np.ndarray:
+        """raw: the text's bytes and some padding on both sides; begin: where the words start in it; plain: ASCII words."""
+
+        def part(at: np.ndarray, k: int) -> np.ndarray:
+            return sum(raw[at + i].astype(np.uint32) << np.uint32(8 * i) for i in range(k))
+
+        code = lambda b: int.from_bytes(b, "little")
+        head, tail, end = part(begin, 4), part(begin + lengths - 3, 3), begin + lengths
+        found = np.isin(head, self.heads)
+        for mask, size, edits, term, ascii_term in self.terms:
+            if edits < 2:
+                near = np.flatnonzero((head & np.uint32(0xFFFF) == code(term[:2])) | (tail >> np.uint32(8) == code(term[-2:])))
+            else:
+                near = np.flatnonzero(np.abs(lengths - size) <= 4 * edits)
+                same = (head[near] & np.uint32(0xFFFFFF) == code(term[:3])) | (tail[near] == code(term[-3:]))
+                for d in range(1, 6):
+                    same |= (part(begin[near] + d, 3) == code(term[3:6])) & (begin[near] + d + 3 <= end[near])
+                near = near[same]
+            simple = plain[near] & ascii_term
+            gap = np.abs(lengths[near] - size) <= np.where(simple, edits, 4 * edits)
+            near, simple = near[gap], simple[gap]
+            found[near[np.bitwise_count(masks[near] ^ mask) <= np.where(simple, 2 * edits, 5 * edits)]] = True
         return found
 
     def kind(self, word: bytes) -> int:
@@ -134,9 +155,9 @@ def features(matcher: Matcher, column: pa.Array) -> np.ndarray:
     bits[np.frombuffer(raw_folded, np.uint8) == 32] = 0
     masks = np.bitwise_or.reduceat(bits, starts)[example]
     kinds = np.zeros(len(distinct), np.int8)
-    padded = np.frombuffer(raw_folded + b"    ", np.uint8)
-    heads = sum(padded[starts[example] + k].astype(np.uint32) << np.uint32(8 * k) for k in range(4))
-    for i in np.flatnonzero(matcher.candidates(masks, (ends - starts)[example], heads)).tolist():
+    padded = np.frombuffer(b"  " + raw_folded + b"        ", np.uint8)
+    plain = ~np.logical_or.reduceat(padded[2 : 2 + len(data)] >= 0x80, starts)[example]
+    for i in np.flatnonzero(matcher.candidates(masks, (ends - starts)[example], padded, starts[example] + 2, plain)).tolist():
         at = example[i]
         kinds[i] = matcher.kind(raw_folded[starts[at] : ends[at]])
     # Context words are short ASCII words: compare them by hash.
@@ -180,12 +201,12 @@ def document_features(docs: DataFrame, terms: list[str], keep: list[str]) -> Dat
     return source.mapInArrow(_scan(terms, keep, to_arrow_schema(schema)), schema)
 
 
-def learn_terms(docs: DataFrame, sample: DataFrame, most: int = LEARNED_TERMS, least: int = 6, times: float = 30.0) -> list[str]:
+def learn_terms(docs: DataFrame, sample: DataFrame, most: int = LEARNED_TERMS, least: int = 6, least_share: float = 0.01, times: float = 30.0) -> list[str]:
     """Words and stems (with a final *) that toxic documents of the sample (doc_id, label) hold and others hardly ever do.
 
     Near copies, known by three equal minimum hashes over their words, count once. A word counts once per document; a stem,
     the first four to twelve letters, counts with the words that go on after it. Learned is what at least `least` toxic
-    documents hold, at `times` the rate of the others. What a learned stem covers is left out; the `most` commonest stay.
+    documents and `least_share` of them hold, at `times` the rate of the others. What a learned stem covers is left out; the `most` commonest stay.
     """
     folded = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}@$]+", " ")
     texts = docs.join(F.broadcast(sample.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id"))
@@ -201,7 +222,7 @@ def learn_terms(docs: DataFrame, sample: DataFrame, most: int = LEARNED_TERMS, l
     heads = F.transform(F.sequence(F.lit(4), F.least(F.lit(12), F.length("w") - 1)), lambda k: F.concat(F.substring("w", F.lit(1), k), F.lit("*")))
     stems = counts.where("length(w) > 4").select(F.explode(heads).alias("w"), "bad", "good").groupBy("w").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     rate = F.col("bad") / F.lit(float(n["bad"])) / ((F.col("good") + 0.5) / F.lit(n["good"] + 1.0))
-    chosen = counts.unionByName(stems).where((F.col("bad") >= least) & (rate >= times)).orderBy(F.col("bad").desc(), "w").limit(4 * most)
+    chosen = counts.unionByName(stems).where((F.col("bad") >= max(least, least_share * n["bad"])) & (rate >= times)).orderBy(F.col("bad").desc(), "w").limit(4 * most)
     bad = {r["w"]: r["bad"] for r in chosen.collect()}
     # A stem that a longer term nearly always goes on to is that term.
     names = [w for w in bad if not (w.endswith("*") and any(len(v) > len(w) - (not v.endswith("*")) and v.startswith(w[:-1]) and v != w and bad[v] >= 0.9 * bad[w] for v in bad))]
