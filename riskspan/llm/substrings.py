@@ -19,14 +19,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from .bitmap import build, test
 from .common import _WINDOW, _power_tables, materialise, mix, scan_words, slices, starts_of, table, text_bytes, window_hashes
 
 LENGTH = 13
 SEED = 5
-#: The set of anchors to extend window by window is a bitmap of at most so many bits (32 MB). A fuller bitmap passes more
-#: windows than needed, never fewer: the exact comparison follows.
-MAX_BITS = 1 << 28
-_CHUNK = 1 << 19
 #: One document in so many is looked at to find anchors that very many documents share.
 HOT_SAMPLE = 64
 
@@ -93,12 +90,9 @@ def _emit_windows(hot, bits):
     schema = to_arrow_schema(WINDOWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = bits.value
-        size = np.uint64(len(bitmap) * 8 - 1)
         for hashes, row, docs, start in _blocks(batches):
             least, _, first, count = runs_of(hashes, row)
-            bit = least & size
-            picked = (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            picked = test(bits.value, least)
             picked |= np.isin(least, hot.value)
             first, count = first[picked], count[picked]
             total = np.cumsum(count)
@@ -110,27 +104,6 @@ def _emit_windows(hot, bits):
     return run
 
 
-def _bitmap(spark: SparkSession, anchors: DataFrame) -> np.ndarray:
-    """Bits of the anchors' low hash bits, 16 bits per anchor up to MAX_BITS, built in chunks of 64 KB."""
-    n = anchors.count()
-    size = _CHUNK
-    while size < min(16 * n, MAX_BITS):
-        size *= 2
-    out = np.zeros(size // 8, np.uint8)
-    bit = F.col("anchor").bitwiseAND(F.lit(size - 1))
-    distinct = anchors.select(bit.alias("bit")).distinct()
-
-    def chunk(t: pa.Table) -> pa.Table:
-        at = np.asarray(t.column("bit"))
-        marks = np.zeros(_CHUNK, bool)
-        marks[at % _CHUNK] = True
-        return pa.table({"chunk": pa.array([int(at[0]) // _CHUNK], pa.int64()), "marks": pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())})
-
-    for r in distinct.groupBy(F.floor(F.col("bit") / _CHUNK).alias("c")).applyInArrow(chunk, "chunk long, marks binary").toLocalIterator():
-        out[r["chunk"] * _CHUNK // 8 : (r["chunk"] + 1) * _CHUNK // 8] = np.frombuffer(bytes(r["marks"]), np.uint8)
-    return out
-
-
 def repeats(docs: DataFrame) -> DataFrame:
     """Repeated spans (doc, at, n): n words from word `at` on are covered by windows that an earlier document holds.
 
@@ -154,7 +127,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     shared = materialise(marked.where("unequal or repeated"), "shared-runs")
     whole = shared.where("repeated").select("doc", "at", (F.col("n") + (LENGTH - 1)).alias("n"))
 
-    bits = spark.sparkContext.broadcast(_bitmap(spark, shared.where("unequal").select("anchor")))
+    bits = spark.sparkContext.broadcast(build(shared.where("unequal").select("anchor")))
     windows = materialise(source.mapInArrow(_emit_windows(hot, bits), WINDOWS), "windows")
     least = windows.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("window", "least")
     single = windows.join(least, "window").where("doc > least").select("doc", "at", F.lit(LENGTH).alias("n"))
