@@ -211,7 +211,11 @@ def learn_terms(docs: DataFrame, sample: DataFrame, most: int = LEARNED_TERMS, l
     folded = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}@$]+", " ")
     texts = docs.join(F.broadcast(sample.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id"))
     texts = texts.select("label", F.array_distinct(F.split(folded, " ")).alias("ws"))
-    lows = [F.array_min(F.transform("ws", lambda w, k=k: F.xxhash64(w, F.lit(k)))).alias(f"low{k}") for k in range(3)]
+
+    def low(seed: int):
+        return F.array_min(F.transform("ws", lambda w: F.xxhash64(w, F.lit(seed)))).alias(f"low{seed}")
+
+    lows = [low(k) for k in range(3)]
     texts = texts.select("*", *lows).groupBy("low0", "low1", "low2").agg(F.max_by("ws", F.size("ws")).alias("ws"), F.max("label").alias("label"))
     words = texts.select("label", F.explode("ws").alias("w")).where("length(w) between 4 and 40")
     counts = words.groupBy("w").agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good"))
