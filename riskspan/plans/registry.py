@@ -1,4 +1,9 @@
 """Registered queries and their oracle SQL."""
 
+from . import series_queries
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _module in (series_queries,):
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE_SQL
