@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 
 #: Bytes of text that a task turns into word arrays at a time (a longer single document is one block).
 BLOCK_BYTES = 4 << 20
+#: Bytes hashed at a time, which bounds the prefix sums.
+HASH_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -121,7 +123,7 @@ def scan_words(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     hashes = np.empty(len(starts), dtype=np.uint64)
     at = 0
     while at < len(starts):
-        last = max(at + 1, int(np.searchsorted(ends, starts[at] + BLOCK_BYTES)))
+        last = max(at + 1, int(np.searchsorted(ends, starts[at] + HASH_BYTES)))
         first, end = int(starts[at]), int(ends[last - 1])
         up, down = _power_tables(end - first + 1)
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[raw[first:end]] * up[: end - first])))

@@ -124,14 +124,41 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.groupBy("place").cogroup(members.groupBy("spot")).applyInArrow(_verify, "x long, y long")
 
 
+#: Links that one task contracts. Up to as many in all, its components are final.
+CONTRACT = 500_000
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replace a task's links by one from each class to the least class that they reach."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for batch in batches:
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            root.setdefault(x, x)
+            root.setdefault(y, y)
+            x, y = find(x), find(y)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    nodes = [x for x in root if find(x) != x]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["a", "b"])
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(class, comp): the least class reachable over `links` (x, y), for every class with a link.
+    """(class, comp): the least class reachable over `links` (x, y, a materialised table), for every class with a link.
 
-    Alternating large-star and small-star steps; each is a minimum per class, summed on the map side, and a join.
+    Tasks first contract up to CONTRACT links each, without a shuffle. If that took more than one task, alternating large-star
+    and small-star steps join the rest; each is a minimum per class, summed on the map side, and a join.
     """
-    edges = links.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).where("a <> b").distinct()
-    edges, last = materialise(edges, "links"), None
-    while True:
+    tasks = max(1, -(-links.count() // CONTRACT))
+    edges = materialise(links.coalesce(tasks).mapInArrow(_contract, "a long, b long"), "links")
+    last = None
+    while tasks > 1:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -149,8 +176,18 @@ PAIRS = "x long, y long, hx long, hy long"
 
 
 def _search(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+    """Pairs that may be links between components: see _search_list(), for every list or pair of blocks in the bin."""
+    cells = [np.asarray(t.column(x)) for x in ("key", "i", "j")]
+    order = np.lexsort(cells[::-1])
+    cells = [c[order] for c in cells]
+    new = np.flatnonzero(np.any([np.diff(c) != 0 for c in cells], axis=0)) + 1
+    t = t.take(pa.array(order))
+    cuts = [0, *new.tolist(), t.num_rows]
+    return pa.concat_tables([_search_list(int(cells[0][a]), t.slice(a, b - a).combine_chunks()) for a, b in zip(cuts, cuts[1:], strict=False)])
+
+
+def _search_list(own: int, t: pa.Table) -> pa.Table:
     """Pairs of one list (or of two blocks of it) that may be links between components, each in its least common list only."""
-    own = int(key[0].as_py())
     side = np.asarray(t.column("side"))
     order = np.lexsort((np.asarray(t.column("class")), side))
     t = t.take(pa.array(order))
@@ -211,7 +248,7 @@ def link(docs: DataFrame) -> DataFrame:
     sets = source.mapInArrow(_sets_of(marked), SETS).join(listed, "class", "left_semi")
     sets = materialise(sets.dropDuplicates(["class"]), "sets")
     links = materialise(verified(star, sets), "links")
-    comp = materialise(components(links), "components")
+    comp = components(links)
 
     # Lists that hold several components.
     held = lists.join(comp, "class", "left").select("key", "class", "n", F.coalesce("comp", "class").alias("comp"))
@@ -224,6 +261,7 @@ def link(docs: DataFrame) -> DataFrame:
     held = materialise(held.join(live, "class"), "live-lists")
     sizes = held.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "size")
     held = materialise(held.join(sizes, "key"), "live-lists")
+    held_rows = held.count()
     # A class's home is its largest list; sets travel once to every pair of home blocks that has pairs to verify.
     home = held.groupBy("class").agg(F.max(F.struct("size", "key")).alias("h"), F.collect_set("key").alias("keys"))
     home = home.select("class", "keys", F.xxhash64("h.key", F.pmod(F.xxhash64("class"), F.ceil(F.col("h.size") / VERIFY))).alias("home"))
@@ -231,11 +269,13 @@ def link(docs: DataFrame) -> DataFrame:
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     held = held.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"), (F.col("block") > j).cast("int").alias("side")))
-    cells = held.select("key", "class", "n", "m", "comp", "home", "keys", F.explode(cells).alias("cell")).select("key", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), F.col("cell.side").alias("side"), "class", "n", "m", "comp", "home", "keys")
-    found = materialise(cells.groupBy("key", "i", "j").applyInArrow(_search, PAIRS), "pairs")
+    cells = held.select("key", "class", "n", "m", "comp", "home", "keys", "blocks", F.explode(cells).alias("cell")).select("key", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), F.col("cell.side").alias("side"), "blocks", "class", "n", "m", "comp", "home", "keys")
+    # Short lists share a bin of about 2,000 rows; every pair of blocks of a long list is a bin of its own.
+    bins = F.when(F.col("i") + F.col("j") + F.col("side") + F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(max(64, held_rows // 2_000)))).otherwise(F.xxhash64("key", "i", "j"))
+    found = materialise(cells.withColumn("bin", bins).groupBy("bin").applyInArrow(_search, PAIRS), "pairs")
     found = found.select("x", "y", F.xxhash64(F.least("hx", "hy"), F.greatest("hx", "hy")).alias("place"))
     more = verified(found, sets)
-    comp = materialise(components(links.unionByName(more)), "components")
+    comp = components(materialise(links.unionByName(more), "links"))
 
     named = classes.select("n", "set1", "set2", "class").join(comp, "class", "left").select("n", "set1", "set2", F.coalesce("comp", "class").alias("component"))
     out = rows.select("doc_id", "n", "set1", "set2").join(named, ["n", "set1", "set2"], "left")
