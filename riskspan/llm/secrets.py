@@ -29,6 +29,8 @@ THRESHOLD = 0.5
 #: Documents whose words are the sample of ordinary identifiers, at most; and matched secrets as the sample of random strings.
 SAMPLE_DOCS = 2_000
 SAMPLE_SECRETS = 20_000
+#: Tasks that read the bounded samples.
+SPREAD = 24
 _CODES = 128
 
 
@@ -67,10 +69,10 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def _pairs(samples: DataFrame) -> DataFrame:
-    """Counts of neighbouring characters, as codes below _CODES, in the column token; a start mark of code 0 comes first."""
+    """Counts of neighbouring characters by label, as codes below _CODES, in the column token; a start mark of code 0 comes first."""
     padded = F.concat(F.lit("\x00"), F.col("token"))
-    codes = samples.select(F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: (F.ascii(F.substring(padded, i, F.lit(1))) % _CODES) * _CODES + F.ascii(F.substring(padded, i + 1, F.lit(1))) % _CODES).alias("p"))
-    return codes.select(F.explode("p").alias("pair")).groupBy("pair").count()
+    codes = samples.repartition(SPREAD).select("random", F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: (F.ascii(F.substring(padded, i, F.lit(1))) % _CODES) * _CODES + F.ascii(F.substring(padded, i + 1, F.lit(1))) % _CODES).alias("p"))
+    return codes.select("random", F.explode("p").alias("pair")).groupBy("random", "pair").count()
 
 
 def train(labelled: DataFrame) -> list[float]:
@@ -79,10 +81,8 @@ def train(labelled: DataFrame) -> list[float]:
     `labelled` has token (at least one character) and random (boolean). Additive smoothing of one half over 64 characters. The
     result is a table of _CODES * _CODES numbers, whatever the sample. No sample of a kind: uniform for that kind.
     """
-    counts = {}
-    for kind in (True, False):
-        rows = _pairs(labelled.where((F.col("random") == kind) & (F.length("token") > 0))).collect()
-        counts[kind] = {r["pair"]: r["count"] for r in rows}
+    rows = _pairs(labelled.where(F.length("token") > 0)).collect()  # at most 2 * _CODES * _CODES
+    counts = {kind: {r["pair"]: r["count"] for r in rows if r["random"] == kind} for kind in (True, False)}
     totals = {k: {} for k in counts}
     for k, c in counts.items():
         for pair, n in c.items():
@@ -96,7 +96,7 @@ def train(labelled: DataFrame) -> list[float]:
 
 def evidence(token: Column, ratios: list[float]) -> Column:
     """Mean bits per character pair that speak for a random string."""
-    weights = F.lit(ratios)
+    weights = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")  # folded to one literal by the optimizer
     padded = F.concat(F.lit("\x00"), token)
     bits = F.aggregate(
         F.sequence(F.lit(1), F.length(token)),
@@ -107,7 +107,7 @@ def evidence(token: Column, ratios: list[float]) -> Column:
 
 
 def samples(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """token, random: what base patterns matched, and the plain words of at most SAMPLE_DOCS documents without a match.
+    """token, random: what base patterns matched, and the distinct plain words of at most SAMPLE_DOCS documents without a match.
 
     Both samples are bounded (SAMPLE_SECRETS, SAMPLE_DOCS) and taken by hash, so every run takes the same.
     """
@@ -115,11 +115,11 @@ def samples(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     hit = text.rlike("|".join([PATTERNS["assign"], r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"]))
     matched = docs.where(hit).select(F.explode(F.concat(F.transform(base_spans(text, "assign"), lambda s: _value(s["m"])), *[F.transform(base_spans(text, k), lambda s: s["m"]) for k in ("access", "hex")])).alias("token"))
     matched = matched.where("length(token) >= 16").orderBy(F.xxhash64("token"), "token").limit(SAMPLE_SECRETS).select("token", F.lit(True).alias("random"))
-    plain = docs.where(~hit).select(id_col, text.alias("t")).orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_DOCS)
-    words = plain.select(F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"[A-Za-z0-9+/_-]{4,}"), F.lit(0)))).alias("token")).select("token", F.lit(False).alias("random"))
+    plain = docs.where(~hit).select(id_col, text.alias("t")).orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_DOCS).repartition(SPREAD)
+    words = plain.select(F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"[A-Za-z0-9+/_-]{4,}"), F.lit(0)))).alias("token")).distinct().select("token", F.lit(False).alias("random"))
     # Ordinary identifiers also hold digits: a word with a number, and words joined by a mark.
-    joined = words.select(F.concat("token", F.lit("_"), F.lower("token"), F.pmod(F.xxhash64("token"), F.lit(1000)).cast("string")).alias("token"), "random")
-    return matched.unionByName(words).unionByName(joined)
+    joined = F.concat("token", F.lit("_"), F.lower("token"), F.pmod(F.xxhash64("token"), F.lit(1000)).cast("string"))
+    return matched.unionByName(words.select(F.explode(F.array("token", joined)).alias("token"), "random"))
 
 
 def find(docs: DataFrame, ratios: list[float], keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
