@@ -6,9 +6,10 @@ both sketches: the inverted lists are keyed by three consecutive retained values
 that no such run exists is about 5e-7, and none for sets of up to 32 shingles; list keys of a single value would put every
 document with a common passage into one list.)
 
-1. Every class is compared with the least class of its lists, once, and verified links are joined to components.
+1. Every class is compared with the hub of its lists, once, and verified links are joined to components.
 2. Lists that still hold several components are searched for all links between different components. How many shingles of a
-   class no other listed class has bounds what it can share: most pairs fall to that bound, the rest are verified.
+   class no other listed class has bounds what it can share, the union of both sketches estimates it, and the pairs left are
+   verified on the full sets where they are found: no candidate pair is written or shuffled.
 Lists are never cut: long ones are searched in blocks of bounded size, by many tasks.
 """
 
@@ -30,6 +31,9 @@ SHINGLE = 5
 K = 32
 RUN = 3
 PERCENT = 85
+#: Of the K least hashes of their union, a pair's sketches must share so many (a link has K * 0.85 on average; fewer than LIKELY
+#: come with a chance of about 1e-8).
+LIKELY = 14
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
 
@@ -74,8 +78,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 SETS = StructType([StructField("class", LongType()), StructField("shingles", ArrayType(LongType()))])
-#: Members of a block when a long list is searched, and pairs that one task verifies at a time.
-BLOCK = 1_000
+#: Classes of a home block when open lists are searched, and pairs that one task verifies at a time.
+BLOCK = 250
 VERIFY = 500
 
 
@@ -172,49 +176,73 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("class"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("class"), F.col("b").alias("comp")).distinct())
 
 
-PAIRS = "x long, y long, hx long, hy long"
+def estimated(sketches: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Shares, of K, that both sketches of each pair hold among the K least hashes of their union."""
+    out = np.empty(len(x), np.int64)
+    for at in range(0, len(x), 20_000):
+        both = np.sort(np.concatenate((sketches[x[at : at + 20_000]], sketches[y[at : at + 20_000]]), axis=1), axis=1)
+        twice = both[:, 1:] == both[:, :-1]
+        rank = np.arange(1, 2 * K) - np.cumsum(twice, axis=1)  # of the twin among the distinct values
+        out[at : at + 20_000] = (twice & (rank < K)).sum(axis=1)
+    return out
 
 
 def _search(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-    """Pairs that may be links between components: see _search_list(), for every list or pair of blocks in the bin."""
-    cells = [np.asarray(t.column(x)) for x in ("key", "i", "j")]
-    order = np.lexsort(cells[::-1])
-    cells = [c[order] for c in cells]
-    new = np.flatnonzero(np.any([np.diff(c) != 0 for c in cells], axis=0)) + 1
-    t = t.take(pa.array(order))
-    cuts = [0, *new.tolist(), t.num_rows]
-    return pa.concat_tables([_search_list(int(cells[0][a]), t.slice(a, b - a).combine_chunks()) for a, b in zip(cuts, cuts[1:], strict=False)])
-
-
-def _search_list(own: int, t: pa.Table) -> pa.Table:
-    """Pairs of one list (or of two blocks of it) that may be links between components, each in its least common list only."""
-    side = np.asarray(t.column("side"))
-    order = np.lexsort((np.asarray(t.column("class")), side))
-    t = t.take(pa.array(order))
-    c, n, m, comp, home, side = (np.asarray(t.column(x)) for x in ("class", "n", "m", "comp", "home", "side"))
-    rows, cols = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if (side == 1).any() else (np.arange(len(c)), np.arange(len(c)))
-    shared = np.minimum(m[rows][:, None], m[cols][None, :])
-    valid = (comp[rows][:, None] != comp[cols][None, :]) & (c[rows][:, None] != c[cols][None, :])
-    valid &= 100 * shared >= PERCENT * (n[rows][:, None] + n[cols][None, :] - shared)
-    if not (side == 1).any():
-        valid &= c[rows][:, None] < c[cols][None, :]
-    if valid.any():
-        lists = t.column("keys").combine_chunks()
-        value, owner = np.asarray(lists.flatten()), np.repeat(np.arange(len(c)), np.diff(np.asarray(lists.offsets)))
-        value, owner = value[value < own], owner[value < own]
-        row_at, col_at = np.full(len(c), -1), np.full(len(c), -1)
-        row_at[rows], col_at[cols] = np.arange(len(rows)), np.arange(len(cols))
-        order = np.argsort(value, kind="stable")
-        cuts = np.flatnonzero(np.diff(value[order])) + 1
-        for members in np.split(owner[order], cuts):
-            if len(members) > 1:
-                a, b = row_at[members], col_at[members]
-                valid[np.ix_(a[a >= 0], b[b >= 0])] = False
-    i, j = np.nonzero(valid)
-    x, y = c[rows[i]], c[cols[j]]
-    swap = x > y
-    hx, hy = home[rows[i]], home[cols[j]]
-    return pa.table({"x": np.where(swap, y, x), "y": np.where(swap, x, y), "hx": np.where(swap, hy, hx), "hy": np.where(swap, hx, hy)})
+    """Links between the components of two home blocks (sides 0 and 1; one block: 0 only), at most one for each join.
+
+    Candidates share a list. The shingles that other classes hold bound what a pair can share, the union sketch estimates it
+    and full sets decide. Pairs that links found before have joined are not looked at.
+    """
+    t = t.sort_by([("side", "ascending"), ("class", "ascending")]).combine_chunks()
+    c, n, m, comp, side = (np.asarray(t.column(x)) for x in ("class", "n", "m", "comp", "side"))
+    size, two = len(c), bool((side == 1).any())
+    lists = t.column("keys").combine_chunks()
+    key_of, owner = np.asarray(lists.flatten()), np.repeat(np.arange(size), np.diff(np.asarray(lists.offsets)))
+    order = np.argsort(key_of, kind="stable")
+    meet = np.zeros((size, size), bool)
+    for members in np.split(owner[order], np.flatnonzero(np.diff(key_of[order])) + 1):
+        meet[np.ix_(members, members)] = True
+    shared = np.minimum(m[:, None], m[None, :])
+    meet &= 100 * shared >= PERCENT * (n[:, None] + n[None, :] - shared)
+    meet &= (comp[:, None] != comp[None, :]) & ((side[:, None] < side[None, :]) if two else (c[:, None] < c[None, :]))
+    i, j = np.nonzero(meet)
+    sets = t.column("shingles").combine_chunks()
+    value, start = np.asarray(sets.flatten()).view(np.uint64), np.asarray(sets.offsets).astype(np.int64)
+    start = start - start[0]
+    if len(i):
+        full = np.diff(start) >= K
+        sketches = value[np.minimum(start[:-1, None] + np.arange(K), len(value) - 1)]
+        likely = ~(full[i] & full[j])
+        likely[~likely] = estimated(sketches, i[~likely], j[~likely]) >= LIKELY
+        i, j = i[likely], j[likely]
+    root = {int(x): int(x) for x in comp}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    xs, ys = [], []
+    ids = np.unique(value, return_inverse=True)[1] if len(i) else value
+    mark = np.zeros(len(ids) + 1, bool)
+    cuts = [0, *(np.flatnonzero(np.diff(i)) + 1).tolist(), len(i)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if a == b:
+            continue
+        one = int(i[a])
+        others = [int(k) for k in j[a:b] if find(int(comp[k])) != find(int(comp[one]))]
+        mark[ids[start[one] : start[one + 1]]] = True
+        for k in others:
+            both = int(mark[ids[start[k] : start[k + 1]]].sum())
+            if 100 * both >= PERCENT * (int(n[one]) + int(n[k]) - both):
+                u, v = find(int(comp[one])), find(int(comp[k]))
+                if u != v:
+                    root[max(u, v)] = min(u, v)
+                    xs.append(int(max(c[one], c[k])))
+                    ys.append(int(min(c[one], c[k])))
+        mark[ids[start[one] : start[one + 1]]] = False
+    return pa.table({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
 
 
 def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -230,8 +258,13 @@ def link(docs: DataFrame) -> DataFrame:
     rows, classes = classes_of(docs)
     run = F.transform(F.sequence(F.lit(1), F.size("sketch") - (RUN - 1)), lambda i: F.xxhash64(*[F.element_at("sketch", (i + j).cast("int")) for j in range(RUN)]))
     postings = classes.where(F.size("sketch") >= RUN).select("class", "n", F.explode(F.array_distinct(run)).alias("key"))
-    heads = postings.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("class", "n")).alias("rep")).where("size > 1")
-    lists = materialise(postings.join(heads, "key"), "lists")
+    shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    lists = materialise(postings.join(shared, "key"), "shared-lists")
+    # A list's hub is its class with the most company over all lists: where copies differ from a common source more than the
+    # source differs from each, that is the source.
+    company = lists.groupBy("class").agg(F.sum("size").alias("company"))
+    hubs = lists.join(company, "class").groupBy("key").agg(F.max_by(F.struct("class", "n"), F.struct("company", -F.col("class"))).alias("rep"))
+    lists = materialise(lists.join(hubs, "key"), "lists")
 
     fits = 100 * F.least("n", "rep.n") >= PERCENT * F.greatest("n", "rep.n")
     star = lists.where((F.col("class") != F.col("rep.class")) & fits).groupBy("class", F.col("rep.class").alias("rep")).agg(F.count(F.lit(1)).alias("c"))
@@ -261,20 +294,14 @@ def link(docs: DataFrame) -> DataFrame:
     held = materialise(held.join(live, "class"), "live-lists")
     sizes = held.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "size")
     held = materialise(held.join(sizes, "key"), "live-lists")
-    held_rows = held.count()
-    # A class's home is its largest list; sets travel once to every pair of home blocks that has pairs to verify.
-    home = held.groupBy("class").agg(F.max(F.struct("size", "key")).alias("h"), F.collect_set("key").alias("keys"))
-    home = home.select("class", "keys", F.xxhash64("h.key", F.pmod(F.xxhash64("class"), F.ceil(F.col("h.size") / VERIFY))).alias("home"))
-    held = held.join(home, "class")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    held = held.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"), (F.col("block") > j).cast("int").alias("side")))
-    cells = held.select("key", "class", "n", "m", "comp", "home", "keys", "blocks", F.explode(cells).alias("cell")).select("key", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), F.col("cell.side").alias("side"), "blocks", "class", "n", "m", "comp", "home", "keys")
-    # Short lists share a bin of about 2,000 rows; every pair of blocks of a long list is a bin of its own.
-    bins = F.when(F.col("i") + F.col("j") + F.col("side") + F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(max(64, held_rows // 2_000)))).otherwise(F.xxhash64("key", "i", "j"))
-    found = materialise(cells.withColumn("bin", bins).groupBy("bin").applyInArrow(_search, PAIRS), "pairs")
-    found = found.select("x", "y", F.xxhash64(F.least("hx", "hy"), F.greatest("hx", "hy")).alias("place"))
-    more = verified(found, sets)
+    # A class's home is a block of its largest list. Blocks that meet in a list are searched by one task for each pair of them.
+    home = held.groupBy("class", "n", "m", "comp").agg(F.max(F.struct("size", "key")).alias("h"), F.collect_set("key").alias("keys"))
+    home = home.select("class", "n", "m", "comp", "keys", F.xxhash64("h.key", F.pmod(F.xxhash64("class"), F.ceil(F.col("h.size") / BLOCK))).alias("home"))
+    home = materialise(home.join(sets, "class"), "homes")
+    meets = held.select("key", "class").join(home.select("class", "home"), "class").select("key", "home").distinct()
+    cells = meets.select("key", F.col("home").alias("i")).join(meets.select("key", F.col("home").alias("j")), "key").where("i <= j").select("i", "j").distinct()
+    sides = cells.select("i", "j", F.col("i").alias("home"), F.lit(0).alias("side")).unionByName(cells.where("i < j").select("i", "j", F.col("j").alias("home"), F.lit(1).alias("side")))
+    more = sides.join(home, "home").groupBy("i", "j").applyInArrow(_search, "x long, y long")
     comp = components(materialise(links.unionByName(more), "links"))
 
     named = classes.select("n", "set1", "set2", "class").join(comp, "class", "left").select("n", "set1", "set2", F.coalesce("comp", "class").alias("component"))
