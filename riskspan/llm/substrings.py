@@ -130,6 +130,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     bits = spark.sparkContext.broadcast(build(shared.where("unequal").select("anchor")))
     windows = materialise(source.mapInArrow(_emit_windows(hot, bits), WINDOWS), "windows")
     least = windows.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("window", "least")
+    least = materialise(least, "least-windows")  # both sides of the join are then read by key alone, so that Spark can split a hot window
     single = windows.join(least, "window").where("doc > least").select("doc", "at", F.lit(LENGTH).alias("n"))
     return whole.unionByName(single)
 
