@@ -181,7 +181,7 @@ def lead_times(events: DataFrame, warned: DataFrame, lookback_minutes: int = 2_8
 
 def lead_summary(leads: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Episodes, those preceded by an alert, and the upper median lead: per `by` columns, or pooled over all."""
-    return leads.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("total"), F.count("lead_minutes").alias("detected"), upper_median("lead_minutes").alias("median_lead"))
+    return leads.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("total"), F.count("lead_minutes").alias("detected"), upper_median("lead_minutes").cast("long").alias("median_lead"))
 
 
 def best_view(views: DataFrame) -> DataFrame:
