@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from riskspan.llm import crf, decontam, near_dedup, packing, secrets
 from riskspan.llm.common import materialise, table
 
+#: Percent of shared word shingles from which the near-dedup stage takes documents for copies.
+SIMILAR = 80
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line field scores at 0.5 or more."""
@@ -22,8 +25,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that with the least id; documents without an id stay."""
-    gone = near_dedup.near_duplicates(docs).where(F.col("doc_id").isNotNull() & ~F.col("kept")).select(F.col("doc_id").alias("_gone"))
+    """One document of each group of texts that are 80 % alike (op6's limit is 85 %), that with the least id; documents without an id stay."""
+    gone = near_dedup.near_duplicates(docs, SIMILAR).where(F.col("doc_id").isNotNull() & ~F.col("kept")).select(F.col("doc_id").alias("_gone"))
     return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("_gone"), "left_anti")
 
 

@@ -4,7 +4,7 @@ Documents with equal shingle sets form a class. A class keeps the 32 least of it
 Jaccard similarity of 0.85 share most of the 32 least hashes of their union, so somewhere three of them follow each other in
 both sketches: the inverted lists are keyed by three consecutive retained values. (For a pair at the threshold the chance
 that no such run exists is about 5e-7, and none for sets of up to 32 shingles; list keys of a single value would put every
-document with a common passage into one list.)
+document with a common passage into one list.) At a similarity of 0.80 the keys are two consecutive values (about 8e-10).
 
 1. Every class is compared with the hub of its lists, once, and verified links are joined to components.
 2. Lists that still hold several components are searched for all links between different components. How many shingles of a
@@ -29,11 +29,12 @@ from .common import materialise, mix, scan_words, slices, starts_of, table, text
 
 SHINGLE = 5
 K = 32
-RUN = 3
 PERCENT = 85
-#: Of the K least hashes of their union, a pair's sketches must share so many (a link has K * 0.85 on average; fewer than LIKELY
-#: come with a chance of about 1e-8).
-LIKELY = 14
+#: For each threshold in percent: the length of the runs of sketch values that key the lists, and the values that sketches must
+#: share of the K least hashes of their union (a link at the threshold has K * percent / 100 on average; fewer come with a chance
+#: of about 1e-8 at 85 and 3e-9 at 80). At 80, runs of three could fail sets of five and four shingles, and others with a chance
+#: of about 1e-5; of runs of two, any two sets that are held whole have one in common.
+LISTS = {85: (3, 14), 80: (2, 11)}
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
 
@@ -100,7 +101,7 @@ def _sets_of(marked):
     return run
 
 
-def _verify(key: tuple[pa.Scalar, ...], pairs: pa.Table, sets: pa.Table) -> pa.Table:
+def _verify(pairs: pa.Table, sets: pa.Table, percent: int) -> pa.Table:
     """Pairs whose full sets are similar enough."""
     held = dict(zip(sets.column("class").to_pylist(), range(sets.num_rows), strict=True))
     column = sets.column("shingles").combine_chunks()
@@ -115,17 +116,17 @@ def _verify(key: tuple[pa.Scalar, ...], pairs: pa.Table, sets: pa.Table) -> pa.T
     for x, y in zip(pairs.column("x").to_pylist(), pairs.column("y").to_pylist(), strict=True):
         a, b = of(x), of(y)
         both = len(np.intersect1d(a, b, assume_unique=True))
-        if 100 * both >= PERCENT * (len(a) + len(b) - both):
+        if 100 * both >= percent * (len(a) + len(b) - both):
             xs.append(x)
             ys.append(y)
     return pa.table({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The links among `pairs` (x, y, place). Pairs of one place are verified by one task, with each set sent once a place."""
     members = pairs.select(F.col("place").alias("spot"), F.explode(F.array("x", "y")).alias("class")).distinct()
     members = members.join(sets, "class").select("spot", "class", "shingles")
-    return pairs.groupBy("place").cogroup(members.groupBy("spot")).applyInArrow(_verify, "x long, y long")
+    return pairs.groupBy("place").cogroup(members.groupBy("spot")).applyInArrow(lambda key, p, s: _verify(p, s, percent), "x long, y long")
 
 
 #: Links that one task contracts. Up to as many in all, its components are final.
@@ -187,7 +188,7 @@ def estimated(sketches: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _search(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+def _search(t: pa.Table, percent: int, least: int) -> pa.Table:
     """Links between the components of two home blocks (sides 0 and 1; one block: 0 only), at most one for each join.
 
     Candidates share a list. The shingles that other classes hold bound what a pair can share, the union sketch estimates it
@@ -203,7 +204,7 @@ def _search(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
     for members in np.split(owner[order], np.flatnonzero(np.diff(key_of[order])) + 1):
         meet[np.ix_(members, members)] = True
     shared = np.minimum(m[:, None], m[None, :])
-    meet &= 100 * shared >= PERCENT * (n[:, None] + n[None, :] - shared)
+    meet &= 100 * shared >= percent * (n[:, None] + n[None, :] - shared)
     meet &= (comp[:, None] != comp[None, :]) & ((side[:, None] < side[None, :]) if two else (c[:, None] < c[None, :]))
     i, j = np.nonzero(meet)
     sets = t.column("shingles").combine_chunks()
@@ -213,7 +214,7 @@ def _search(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         full = np.diff(start) >= K
         sketches = value[np.minimum(start[:-1, None] + np.arange(K), len(value) - 1)]
         likely = ~(full[i] & full[j])
-        likely[~likely] = estimated(sketches, i[~likely], j[~likely]) >= LIKELY
+        likely[~likely] = estimated(sketches, i[~likely], j[~likely]) >= least
         i, j = i[likely], j[likely]
     root = {int(x): int(x) for x in comp}
 
@@ -235,7 +236,7 @@ def _search(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         mark[ids[start[one] : start[one + 1]]] = True
         for k in others:
             both = int(mark[ids[start[k] : start[k + 1]]].sum())
-            if 100 * both >= PERCENT * (int(n[one]) + int(n[k]) - both):
+            if 100 * both >= percent * (int(n[one]) + int(n[k]) - both):
                 u, v = find(int(comp[one])), find(int(comp[k]))
                 if u != v:
                     root[max(u, v)] = min(u, v)
@@ -252,12 +253,13 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, materialise(classes, "classes")
 
 
-def link(docs: DataFrame) -> DataFrame:
+def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every document: see near_duplicates()."""
     spark = docs.sparkSession
+    length, least = LISTS[percent]
     rows, classes = classes_of(docs)
-    run = F.transform(F.sequence(F.lit(1), F.size("sketch") - (RUN - 1)), lambda i: F.xxhash64(*[F.element_at("sketch", (i + j).cast("int")) for j in range(RUN)]))
-    postings = classes.where(F.size("sketch") >= RUN).select("class", "n", F.explode(F.array_distinct(run)).alias("key"))
+    run = F.transform(F.sequence(F.lit(1), F.size("sketch") - (length - 1)), lambda i: F.xxhash64(*[F.element_at("sketch", (i + j).cast("int")) for j in range(length)]))
+    postings = classes.where(F.size("sketch") >= length).select("class", "n", F.explode(F.array_distinct(run)).alias("key"))
     shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     lists = materialise(postings.join(shared, "key"), "shared-lists")
     # A list's hub is its class with the most company over all lists: where copies differ from a common source more than the
@@ -266,7 +268,7 @@ def link(docs: DataFrame) -> DataFrame:
     hubs = lists.join(company, "class").groupBy("key").agg(F.max_by(F.struct("class", "n"), F.struct("company", -F.col("class"))).alias("rep"))
     lists = materialise(lists.join(hubs, "key"), "lists")
 
-    fits = 100 * F.least("n", "rep.n") >= PERCENT * F.greatest("n", "rep.n")
+    fits = 100 * F.least("n", "rep.n") >= percent * F.greatest("n", "rep.n")
     star = lists.where((F.col("class") != F.col("rep.class")) & fits).groupBy("class", F.col("rep.class").alias("rep")).agg(F.count(F.lit(1)).alias("c"))
     star = star.groupBy("class").agg(F.max_by("rep", F.struct("c", -F.col("rep"))).alias("y"))
     places = star.groupBy("y").agg(F.ceil(F.count(F.lit(1)) / VERIFY).alias("parts"))
@@ -280,7 +282,7 @@ def link(docs: DataFrame) -> DataFrame:
     source = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64(F.col("doc_id").cast("long")).alias("mark"))
     sets = source.mapInArrow(_sets_of(marked), SETS).join(listed, "class", "left_semi")
     sets = materialise(sets.dropDuplicates(["class"]), "sets")
-    links = materialise(verified(star, sets), "links")
+    links = materialise(verified(star, sets, percent), "links")
     comp = components(links)
 
     # Lists that hold several components.
@@ -290,7 +292,7 @@ def link(docs: DataFrame) -> DataFrame:
     left = held.select("class", "n").distinct()
     alone = sets.join(left, "class", "left_semi").select("class", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("class").alias("class")).where("c = 1")
     alone = alone.groupBy("class").agg(F.count(F.lit(1)).alias("u"))
-    live = left.join(alone, "class", "left").select("class", (F.col("n") - F.coalesce("u", F.lit(0))).alias("m")).where(100 * F.col("m") >= PERCENT * F.col("n"))
+    live = left.join(alone, "class", "left").select("class", (F.col("n") - F.coalesce("u", F.lit(0))).alias("m")).where(100 * F.col("m") >= percent * F.col("n"))
     held = materialise(held.join(live, "class"), "live-lists")
     sizes = held.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "size")
     held = materialise(held.join(sizes, "key"), "live-lists")
@@ -301,7 +303,7 @@ def link(docs: DataFrame) -> DataFrame:
     meets = held.select("key", "class").join(home.select("class", "home"), "class").select("key", "home").distinct()
     cells = meets.select("key", F.col("home").alias("i")).join(meets.select("key", F.col("home").alias("j")), "key").where("i <= j").select("i", "j").distinct()
     sides = cells.select("i", "j", F.col("i").alias("home"), F.lit(0).alias("side")).unionByName(cells.where("i < j").select("i", "j", F.col("j").alias("home"), F.lit(1).alias("side")))
-    more = sides.join(home, "home").groupBy("i", "j").applyInArrow(_search, "x long, y long")
+    more = sides.join(home, "home").groupBy("i", "j").applyInArrow(lambda key, t: _search(t, percent, least), "x long, y long")
     comp = components(materialise(links.unionByName(more), "links"))
 
     named = classes.select("n", "set1", "set2", "class").join(comp, "class", "left").select("n", "set1", "set2", F.coalesce("comp", "class").alias("component"))
@@ -309,15 +311,15 @@ def link(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document.
 
     Sets are the distinct five-word shingles of the A-Z lower-cased text (fewer words: the whole sequence). Documents are
-    linked at a Jaccard similarity of PERCENT / 100 of the full sets; component_id is the least doc_id reachable. Null, empty
+    linked at a Jaccard similarity of percent / 100 (a key of LISTS) of the full sets; component_id is the least doc_id reachable. Null, empty
     and blank texts have no shingles and link with nothing, not even with each other. Rows repeated whole share their result.
     Null ids take their class's component and are never kept. An empty table gives an empty result.
     """
-    return link(docs).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return link(docs, percent).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
