@@ -1,7 +1,7 @@
 """Toxicity: a lexicon trie met with Levenshtein automata, and the words around each hit.
 
 Terms are found exactly or misspelled (one edit from five letters on, two from nine); stems match the words that go on after
-them. Both are learned from labelled documents and joined by a few seed terms. Each hit is read in a window of words:
+them, misspelled stems too. Both are learned from labelled documents and joined by a few seed terms. Each hit is read in a window of words:
 quotation marks and reporting verbs speak for quotation, second-person address and further hits for abuse. A logistic model
 over these counts, trained on a bounded sample of labelled documents, gives the score.
 """
@@ -36,28 +36,30 @@ _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <=
 
 
 def edits_allowed(term: str) -> int:
-    """Misspellings are looked for in ASCII terms; stems catch the inflections of others."""
-    return 0 if len(term) < 5 or not term.isascii() else 1 if len(term) < 9 else 2
+    """Edits of letters (code points), by the number of letters."""
+    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
 class Lexicon:
-    """A trie of terms that a word's Levenshtein automaton walks, and stems (written with a final *) that words go on from."""
+    """A trie that a word's Levenshtein automaton walks, of terms and of stems (written with a final *) that words go on from."""
 
     def __init__(self, terms: list[str]) -> None:
         self.terms = sorted({t for t in terms if not t.endswith("*")})
         self.stems = sorted({t[:-1] for t in terms if t.endswith("*")}, key=len)
         self.root: dict = {}
-        for t in self.terms:
-            node = self.root
-            for c in t:
-                node = node.setdefault(c, {})
-            node[""] = t
+        for end, entries in (("", self.terms), ("*", self.stems)):
+            for t in entries:
+                node = self.root
+                for c in t:
+                    node = node.setdefault(c, {})
+                node[end] = t
 
     def match(self, word: str, most: int = 2) -> tuple[str, int] | None:
-        """The nearest term within the edits that its length allows, and the distance. Ties: the first term by spelling.
+        """The nearest term or stem within the edits that its length allows, and the distance. Ties: the first by spelling.
 
         The automaton of `word` with up to `most` edits is run along the trie: its state after a trie path is the row of edit
-        distances between the path and every prefix of the word, and a branch ends where no entry is within `most`.
+        distances between the path and every prefix of the word, and a branch ends where no entry is within `most`. A term
+        needs the entry of the whole word, a stem that of any prefix after which the word goes on.
         """
         for stem in self.stems:
             if len(word) > len(stem) and word.startswith(stem):
@@ -69,8 +71,11 @@ class Lexicon:
             term = node.get("")
             if term is not None and state[-1] <= edits_allowed(term):
                 best = min(best or (99, ""), (state[-1], term))
+            stem = node.get("*")
+            if stem is not None and word != stem and min(state[1:-1], default=99) <= edits_allowed(stem):
+                best = min(best or (99, ""), (min(state[1:-1]), stem + "*"))
             for c, child in node.items():
-                if c:
+                if c not in ("", "*"):
                     row = [state[0] + 1]
                     for i, w in enumerate(word, 1):
                         row.append(min(row[i - 1] + 1, state[i] + 1, state[i - 1] + (w != c)))
@@ -91,8 +96,10 @@ class Matcher:
 
     Words that cannot match skip the automaton, by conditions that every match meets. A match with one edit has one half of
     the term unchanged, so its first or last two bytes; with two edits one of three parts is unchanged, so the first or last
-    three bytes, or the fourth to sixth, moved by two at most. An edit changes two letters of the word's letter set (up to five bits
-    where a letter of several bytes is involved) and its length by one (four) at most. Stems are found by their first bytes.
+    three bytes, or the fourth to sixth letter, moved by two letters at most. An edit changes two letters of the word's letter
+    set (up to five bits where a letter of several bytes is involved, eight where the term has such letters) and its length by
+    one (four) at most. A word that goes on from a stem has these parts of the stem too (the last part wherever the edits
+    moved it to) and lacks one letter of it for each edit (up to four bits if the stem has letters of several bytes).
     """
 
     def __init__(self, terms: list[str]) -> None:
@@ -102,6 +109,12 @@ class Matcher:
             raw = t.encode()
             self.terms.append((np.uint64(_letters(t)), len(raw), edits_allowed(t), raw, t.isascii()))
         self.heads = np.unique([int.from_bytes(t.encode()[:4].ljust(4), "little") for t in self.lexicon.stems] or [0]).astype(np.uint32)
+        self.stems = []
+        for t in self.lexicon.stems:
+            edits = edits_allowed(t)
+            if edits:
+                cuts = [len(t[:k].encode()) for k in ((2,) if edits == 1 else (3, 6))]
+                self.stems.append((np.uint64(_letters(t)), edits, t.encode(), cuts, t.isascii()))
         self.known: dict[bytes, int] = {}
         self.marks = [{w.encode() for w in REPORTING}, {w.encode() for w in ADDRESS}]
 
@@ -113,6 +126,17 @@ class Matcher:
 
         code = lambda b: int.from_bytes(b, "little")
         head, tail, end = part(begin, 4), part(begin + lengths - 3, 3), begin + lengths
+
+        def moved(near: np.ndarray, term: bytes, cut: int, edits: int, simple: np.ndarray) -> np.ndarray:
+            """Whether the three bytes of the term from `cut` on stand in the word, moved by the edits (in bytes: four each)."""
+            out = np.zeros(len(near), bool)
+            for which, far in ((np.flatnonzero(simple), edits), (np.flatnonzero(~simple), 4 * edits)):
+                at, last = begin[near[which]], end[near[which]]
+                for d in range(max(0, cut - far), cut + far + 1):
+                    stop = at + d + 3 <= last
+                    out[which[stop]] |= part(at[stop] + d, 3) == code(term[cut : cut + 3])
+            return out
+
         found = np.isin(head, self.heads)
         for mask, size, edits, term, ascii_term in self.terms:
             if edits < 2:
@@ -120,13 +144,18 @@ class Matcher:
             else:
                 near = np.flatnonzero(np.abs(lengths - size) <= 4 * edits)
                 same = (head[near] & np.uint32(0xFFFFFF) == code(term[:3])) | (tail[near] == code(term[-3:]))
-                for d in range(1, 6):
-                    same |= (part(begin[near] + d, 3) == code(term[3:6])) & (begin[near] + d + 3 <= end[near])
+                same |= moved(near, term, len(term.decode()[:3].encode()), 2, plain[near] & ascii_term)
                 near = near[same]
             simple = plain[near] & ascii_term
             gap = np.abs(lengths[near] - size) <= np.where(simple, edits, 4 * edits)
             near, simple = near[gap], simple[gap]
-            found[near[np.bitwise_count(masks[near] ^ mask) <= np.where(simple, 2 * edits, 5 * edits)]] = True
+            found[near[np.bitwise_count(masks[near] ^ mask) <= np.where(simple, 2 * edits, (5 if ascii_term else 8) * edits)]] = True
+        for mask, edits, stem, cuts, ascii_stem in self.stems:
+            near = np.flatnonzero(np.bitwise_count(mask & ~masks) <= (1 if ascii_stem else 4) * edits)
+            same = head[near] & np.uint32(0xFFFF if edits == 1 else 0xFFFFFF) == code(stem[: edits + 1])
+            for cut in cuts:
+                same |= moved(near, stem, cut, edits, plain[near] & ascii_stem)
+            found[near[same]] = True
         return found
 
     def kind(self, word: bytes) -> int:
@@ -206,7 +235,8 @@ def learn_terms(docs: DataFrame, sample: DataFrame, most: int = LEARNED_TERMS, l
 
     Near copies, known by three equal minimum hashes over their words, count once. A word counts once per document; a stem,
     the first four to twelve letters, counts with the words that go on after it. Learned is what at least `least` toxic
-    documents and `least_share` of them hold, at `times` the rate of the others. What a learned stem covers is left out; the `most` commonest stay.
+    documents and `least_share` of them hold, at `times` the rate of the others. Words stay beside the stems that cover
+    them, as a stem does not find their misspellings alike. The `most` commonest stay.
     """
     folded = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}@$]+", " ")
     texts = docs.join(F.broadcast(sample.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id"))
@@ -230,13 +260,7 @@ def learn_terms(docs: DataFrame, sample: DataFrame, most: int = LEARNED_TERMS, l
     bad = {r["w"]: r["bad"] for r in chosen.collect()}
     # A stem that a longer term nearly always goes on to is that term.
     names = [w for w in bad if not (w.endswith("*") and any(len(v) > len(w) - (not v.endswith("*")) and v.startswith(w[:-1]) and v != w and bad[v] >= 0.9 * bad[w] for v in bad))]
-    found, covered = [], []
-    for w in sorted(names, key=lambda w: (not w.endswith("*"), len(w))):
-        if not any(w.startswith(c) and w != c for c in covered):
-            found.append(w)
-            if w.endswith("*"):
-                covered.append(w[:-1])
-    return found[:most]
+    return sorted(names, key=lambda w: (-bad[w], w))[:most]
 
 
 def train(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-2) -> np.ndarray:
