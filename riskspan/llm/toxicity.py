@@ -263,18 +263,22 @@ def learn_terms(docs: DataFrame, sample: DataFrame, most: int = LEARNED_TERMS, l
     return sorted(names, key=lambda w: (-bad[w], w))[:most]
 
 
-def train(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-2) -> np.ndarray:
-    """Ridge logistic regression by Newton's method; weights with the intercept last. One class or no row: the seed model."""
+def train(x: np.ndarray, y: np.ndarray, share: float | None = None, rounds: int = 60, ridge: float = 1e-2) -> np.ndarray:
+    """Ridge logistic regression by Newton's method; weights with the intercept last. One class or no row: the seed model.
+
+    The classes weigh as if a `share` of the rows were 1 (none given: as they are).
+    """
     if not len(y) or y.min() == y.max():
         return np.array([3.0, 2.0, -1.0, -1.0, 0.5, 0.5, 0.5, -3.0])
     z = np.column_stack([x, np.ones(len(x))])
+    weight = np.ones(len(y)) if share is None else np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     w = np.zeros(z.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         penalty = np.full(len(w), ridge * len(y) / 100)
         penalty[-1] = 1e-6
-        g = z.T @ (p - y) + penalty * w
-        h = (z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty + 1e-9)
+        g = z.T @ (weight * (p - y)) + penalty * w
+        h = (z * (weight * p * (1 - p))[:, None]).T @ z + np.diag(penalty + 1e-9)
         step = np.linalg.solve(h, g)
         w -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
@@ -282,9 +286,14 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-2) -
     return w
 
 
+def labelled_ids(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label) of all ids labelled 0 or 1, once each; 1 if either label says so."""
+    return labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+
+
 def balanced_sample(labels: DataFrame, label: str, most: int) -> DataFrame:
     """At most `most` labelled ids, at most half of them of each label, by the hash of the id (the same on every run)."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    known = labelled_ids(labels, label)
     halves = [known.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2) for v in (0, 1)]
     rows = [tuple(r) for h in halves for r in h.collect()]
     return labels.sparkSession.createDataFrame(rows, StructType([labels.schema["doc_id"], StructField("label", known.schema["label"].dataType)]))
@@ -295,8 +304,8 @@ def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",
 
     Returns the `keep` columns, score, predicted (score >= 0.5) and exact and misspelled (hits, as log(1 + n)). Null and empty texts score as texts without
     hits. Repeated rows are scored each; labels of ids that are not in docs are unused; an id labelled twice counts as toxic
-    if either label says so. At most `sample` labelled documents are used for training, a documented bound; every document
-    is scored. An empty table gives an empty result.
+    if either label says so. At most `sample` labelled documents are used for training, a documented bound; they weigh by the
+    classes' shares of all labelled ids, so the bound does not move the scores. Every document is scored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     chosen = balanced_sample(labels, "toxic", sample)
@@ -306,7 +315,8 @@ def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",
     rows = counted.join(F.broadcast(chosen.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).select("label", *FEATURES).collect()
     data = np.array([tuple(r) for r in rows], dtype=float).reshape(len(rows), 1 + len(FEATURES))
     data = data[np.lexsort(data.T)]
-    w = train(data[:, 1:], data[:, 0])
+    share = labelled_ids(labels, "toxic").agg(F.avg("label")).first()[0]
+    w = train(data[:, 1:], data[:, 0], share)
     logit = sum((F.col(f) * float(k) for f, k in zip(FEATURES, w, strict=False)), F.lit(float(w[-1])))
     scored = counted.withColumn("score", 1 / (1 + F.exp(-logit)))
     return scored.select(*keep, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "exact", "misspelled")

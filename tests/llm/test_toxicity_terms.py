@@ -44,3 +44,16 @@ def test_words_under_a_stem_stay_and_the_commonest_come_first(spark):
     terms = toxicity.learn_terms(docs, sample)
     assert any(t.endswith("*") and forms[0].startswith(t[:-1]) for t in terms) and {*forms, "klomp"} <= set(terms)
     assert toxicity.learn_terms(docs, sample, most=2) == terms[:2] and "klomp" in terms[:2]
+
+
+def test_scores_do_not_lean_with_the_bound_on_the_sample(spark):
+    """A sample cut to as many clean as toxic documents gives the scores of the whole: one text in twenty is toxic, and one in four of those with a hit."""
+    rows = [(i, f"they said idiot number{i}" if i % 10 < 2 else f"plain words number{i}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 20 == 0)) for i in range(600)], "doc_id long, toxic int")
+    mean = {}
+    for bound in (60, 2000):
+        out = toxicity.score(docs, labels, sample=bound).collect()
+        mean[bound] = sum(r["score"] for r in out) / len(out)
+        assert abs(mean[bound] - 0.05) < 0.02
+    assert abs(mean[60] - mean[2000]) < 0.02
