@@ -23,8 +23,6 @@ from .toxicity import balanced_sample, held_out
 LINE_FEATURES = ("length", "words", "word_length", "upper", "digits", "marks", "symbols", "pipes", "stutter", "variety", "repeated_line", "stop", "shouts")
 #: Labelled documents the model is fitted on, at most; half of each label.
 SAMPLE = 4_000
-#: Lines of a sample document used in training, at most (scoring uses every line).
-TRAIN_LINES = 400
 
 
 def _class(members: bytes) -> np.ndarray:
@@ -192,7 +190,7 @@ def _sample_lines(schema: pa.Schema):
                 x, size, first = line_features(batch.column("text"))
                 xs, sizes = [], []
                 for r in range(batch.num_rows):
-                    a, b = first[r], min(first[r + 1], first[r] + TRAIN_LINES)
+                    a, b = first[r], first[r + 1]
                     xs.append(x[a:b].ravel())
                     sizes.append(size[a:b])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(xs, pa.list_(pa.float32())), pa.array(sizes, pa.list_(pa.float64()))], schema=schema)
@@ -243,8 +241,8 @@ def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",
     """Quality score in [0, 1] of every document: the `keep` columns and score.
 
     Null and empty texts have no lines and score by the curve at 0.5. Repeated rows are scored each. Without usable labels
-    every document scores 0.5. Training uses at most `sample` labelled documents, half of each label, a documented bound;
-    scoring uses every line of every document.
+    every document scores 0.5. Training uses at most `sample` labelled documents, half of each label, a documented bound, and
+    every line of them; scoring uses every line of every document.
     """
     m = learn(docs, labels, sample)
     source = docs.select(*dict.fromkeys([*keep, "text"]))
