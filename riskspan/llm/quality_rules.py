@@ -128,7 +128,7 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, prior_good:
     Votes are independent given quality, and abstaining says nothing. Returns the share of good documents and
     log P(vote | quality) as [rule, quality, vote], 0 for abstaining. A rule may vote bad on at most `false_alarms` of the
     good documents, which fixes what the two hidden classes mean and keeps one sure rule from being outvoted by rules that
-    look at other defects. Counts are smoothed by one vote a cell. Deterministic; an empty table gives the start.
+    look at other defects; it is set, not estimated, and makes one bad vote decide on sf0.1 (see the README). Counts are smoothed by one vote a cell. Deterministic; an empty table gives the start.
     """
     m = patterns.shape[1]
     bad_vote = np.tile([0.4, false_alarms], (m, 1))
