@@ -1,12 +1,15 @@
 """Quality rules: weak supervision over rules that vote good, vote bad or abstain.
 
-Rules are labelling functions. Expectation-maximisation estimates from all documents, without labels, how often each rule
-votes each way on good and on bad documents, and the posterior probability of quality replaces all-must-pass filtering.
+Rules are labelling functions, each with an abstain band. The hidden class of a document is good or one of a few kinds of
+defect (KINDS); a kind is what several rules look at, so no rule alone defines it. Expectation-maximisation estimates from all
+documents, without labels, how often each rule votes bad on good documents and on those of each kind: its accuracies. The
+posterior probability of the good class replaces all-must-pass filtering, so a rule that often accuses alone is outvoted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +21,13 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .common import count_codepoints, materialise, scan_words, slices, starts_of, table, text_bytes, window_hashes
 
 REPEAT_WINDOW = 8
-_STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_same_next", "n_distinct")
+_STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_same_next", "n_distinct", "n_marked_words", "n_shouts", "n_open_lines")
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
+#: Bytes that words of prose are made of besides letters of any script: digits and common marks.
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100), *b".,;:!?'\"()-"]] = True
+_CLOSING = (b".", b"!", b"?", b":", b";", b'"', b"'", b")")
 
 
 def _covered(at: np.ndarray, k: int, n: int) -> np.ndarray:
@@ -67,16 +74,20 @@ def document_statistics(column: pa.Array) -> dict[str, np.ndarray]:
     new[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (row[order[1:]] != row[order[:-1]])
     distinct = np.bincount(row[order[new]], minlength=rows)
 
-    n_lines, dup_lines = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+    odd = np.concatenate(([0], np.cumsum(~_PLAIN[raw], dtype=np.int64)))
+    marked = odd[ends] > odd[starts]
+
+    n_lines, dup_lines, open_lines = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows, np.int64)
     for r in range(rows):
         seen: set[bytes] = set()
         for line in data[offsets[r] : offsets[r + 1] - 1].split(b"\n"):
             if line and not line.isspace():
                 n_lines[r] += 1
+                open_lines[r] += not line.rstrip().endswith(_CLOSING)
                 if line in seen:
                     dup_lines[r] += 1
                 seen.add(line)
-    values = (np.diff(first), per_row_words(chars), per_row(_SYMBOL[raw]), dup_lines, per_row_words(covered), n_lines, per_row(upper), per_row(upper | lower), per_row_words(same), distinct)
+    values = (np.diff(first), per_row_words(chars), per_row(_SYMBOL[raw]), dup_lines, per_row_words(covered), n_lines, per_row(upper), per_row(upper | lower), per_row_words(same), distinct, per_row_words(marked), per_row(raw == 33), open_lines)
     return dict(zip(_STATS, values, strict=True))
 
 
@@ -96,76 +107,92 @@ def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     return source.mapInArrow(_scan(keep, to_arrow_schema(schema)), schema)
 
 
+#: The rules by the kind of defect that they look at.
+KINDS = {
+    "symbols": ("symbols", "marked_words", "open_lines"),
+    "repetition": ("repeats", "stutter", "variety", "same_lines"),
+    "shouting": ("capitals", "shouts"),
+    "stub": ("length", "word_length"),
+}
+RULES = tuple(r for rules in KINDS.values() for r in rules)
+
+
 def votes() -> dict[str, Column]:
-    """The rules: 1 votes good, 0 votes bad, null abstains."""
-    words = F.col("n_words")
-
-    def rule(value: Column, bad_above: float, good_below: float) -> Column:
-        return F.when(words == 0, None).when(value > bad_above, 0).when(value < good_below, 1)
-
-    ratio = lambda x: F.col(x) / F.greatest(words, F.lit(1))
-    # Measures of one defect make one rule: as rules of their own they would outvote those that look at other defects.
-    measures = (
-        rule(ratio("n_repeat_words"), 0.3, 0.1),
-        rule(ratio("n_same_next"), 0.2, 0.05),
-        F.when(words < 50, None).otherwise(F.when(ratio("n_distinct") < 0.2, 0).when(ratio("n_distinct") > 0.35, 1)),
-        F.when(F.col("n_lines") < 4, None).otherwise(rule(F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)), 0.5, 0.25)),
-    )
-    repetition = F.least(*measures)  # bad if any is, good if none is bad and one is good; least() skips nulls
-    length = F.col("word_chars") / F.greatest(words, F.lit(1))
+    """The rules, as columns over the statistics: 1 votes good, 0 votes bad, null abstains. Texts without words get no vote but length's."""
+    words, lines = F.col("n_words"), F.col("n_lines")
+
+    def rule(value: Column, bad_above: float, good_below: float, needs: Column) -> Column:
+        return F.when(needs, F.when(value > bad_above, 0).when(value < good_below, 1))
+
+    def per(count: str, total: str) -> Column:
+        return F.col(count) / F.greatest(total, F.lit(1))
+
+    size = per("word_chars", "n_words")
+    variety = per("n_distinct", "n_words")
     return {
+        "symbols": rule(per("n_symbols", "n_words"), 0.15, 0.05, words > 0),
+        "marked_words": rule(per("n_marked_words", "n_words"), 0.2, 0.05, words > 0),
+        "open_lines": rule(per("n_open_lines", "n_lines"), 0.5, 0.2, lines > 0),
+        "repeats": rule(per("n_repeat_words", "n_words"), 0.3, 0.1, words >= 8),
+        "stutter": rule(per("n_same_next", "n_words"), 0.2, 0.05, words > 1),
+        "variety": F.when(words >= 50, F.when(variety < 0.2, 0).when(variety > 0.35, 1)),
+        "same_lines": rule(per("n_dup_lines", "n_lines"), 0.5, 0.25, lines >= 4),
+        "capitals": rule(per("n_upper", "n_letters"), 0.5, 0.2, F.col("n_letters") >= 20),
+        "shouts": rule(per("n_shouts", "n_words"), 0.3, 0.1, words > 0),
         "length": F.when(words < 20, 0).when(words >= 40, 1),
-        "word_length": F.when(words == 0, None).when((length < 2.5) | (length > 14), 0).when((length >= 3) & (length <= 9), 1),
-        "symbols": rule(ratio("n_symbols"), 0.15, 0.05),
-        "repetition": repetition,
-        "capitals": F.when(F.col("n_letters") < 20, None).otherwise(rule(F.col("n_upper") / F.greatest("n_letters", F.lit(1)), 0.5, 0.2)),
+        "word_length": F.when(words > 0, F.when((size < 2.5) | (size > 14), 0).when((size >= 3) & (size <= 9), 1)),
     }
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, prior_good: float = 0.8, false_alarms: float = 0.003) -> tuple[float, np.ndarray]:
-    """EM over vote patterns (0 bad, 1 good, 2 abstain) with their counts.
+class Fit(NamedTuple):
+    """share [class] and bad [rule, class]: P(bad vote | class, the rule votes). Class 0 is good, the others are KINDS."""
 
-    Votes are independent given quality, and abstaining says nothing. Returns the share of good documents and
-    log P(vote | quality) as [rule, quality, vote], 0 for abstaining. A rule may vote bad on at most `false_alarms` of the
-    good documents, which fixes what the two hidden classes mean and keeps one sure rule from being outvoted by rules that
-    look at other defects; it is set, not estimated, and makes one bad vote decide on sf0.1 (see the README). Counts are smoothed by one vote a cell. Deterministic; an empty table gives the start.
-    """
-    m = patterns.shape[1]
-    bad_vote = np.tile([0.4, false_alarms], (m, 1))
-    pi = prior_good
+    share: np.ndarray
+    bad: np.ndarray
+
+    def accuracy(self) -> np.ndarray:
+        """[rule, 2]: how often a rule's votes are right on good documents and on documents with a defect of any kind."""
+        return np.stack([1 - self.bad[:, 0], self.bad[:, 1:] @ self.share[1:] / self.share[1:].sum()], axis=1)
 
-    def table() -> np.ndarray:
-        return np.stack([np.log(bad_vote), np.log1p(-bad_vote), np.zeros_like(bad_vote)], axis=2)
 
+def fit(patterns: np.ndarray, counts: np.ndarray, kinds: dict[str, tuple[str, ...]] = KINDS, rounds: int = 500) -> Fit:
+    """EM over vote patterns (0 bad, 1 good, 2 abstain; a column for each rule of `kinds`, in order) with their counts.
+
+    Votes are independent given the class, and abstaining says nothing. What the classes mean is fixed by where the rounds
+    start, not by bounds: rules mostly vote good on good documents, and bad on their own kind. A prior of two votes a cell
+    (one of each) keeps rates off 0 and 1. Deterministic; an empty table gives the start.
+    """
+    names = [r for rules in kinds.values() for r in rules]
+    bad = np.full((len(names), 1 + len(kinds)), 0.1)
+    for k, rules in enumerate(kinds.values()):
+        for r in rules:
+            bad[names.index(r), k + 1] = 0.8
+    model = Fit(np.array([0.8] + [0.2 / len(kinds)] * len(kinds)), bad)
     for _ in range(rounds if len(patterns) else 0):
-        q = posterior(patterns, pi, table())
-        new = np.empty_like(bad_vote)
-        for k, w in enumerate((1 - q, q)):
-            bad, voted = (w * counts) @ (patterns == 0), (w * counts) @ (patterns != 2)
-            new[:, k] = (bad + 1) / (voted + 2)
-        new[:, 1] = np.minimum(new[:, 1], false_alarms)
-        new[:, 0] = np.maximum(new[:, 0], new[:, 1])
-        share = float((q * counts).sum() + 1) / (counts.sum() + 2)
-        done = abs(share - pi) < 1e-10 and np.abs(new - bad_vote).max() < 1e-9
-        pi, bad_vote = share, new
-        if done:
+        weight = responsibility(patterns, model) * counts[:, None]
+        accused, voted = (patterns == 0).T @ weight, (patterns != 2).T @ weight
+        new = Fit((weight.sum(0) + 1) / (counts.sum() + len(model.share)), (accused + 1) / (voted + 2))
+        moved = max(np.abs(new.share - model.share).max(), np.abs(new.bad - model.bad).max())
+        model = new
+        if moved < 1e-9:
             break
-    return pi, table()
+    return model
 
 
-def posterior(patterns: np.ndarray, pi: float, log_theta: np.ndarray) -> np.ndarray:
-    m = np.arange(patterns.shape[1])
-    bad = np.log1p(-pi) + log_theta[m, 0, patterns].sum(1)
-    good = np.log(pi) + log_theta[m, 1, patterns].sum(1)
-    return 1 / (1 + np.exp(np.clip(bad - good, -700, 700)))
+def responsibility(patterns: np.ndarray, model: Fit) -> np.ndarray:
+    """P(class | votes) as [pattern, class]."""
+    log = np.log(model.share) + (patterns == 0) @ np.log(model.bad) + (patterns == 1) @ np.log1p(-model.bad)
+    p = np.exp(log - log.max(1, keepdims=True)) if len(patterns) else np.empty((0, len(model.share)))
+    return p / p.sum(1, keepdims=True)
 
 
 def judge(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.5) -> DataFrame:
     """Rule statistics, base_failed, posterior quality probability and kept for every document.
 
     base_failed: fewer than 20 words, or over 30 % of the words repeated. kept: not base_failed and a posterior of at least
-    `threshold`. Null and empty texts have no words, so fail the base. Repeated rows are judged each. The driver sees one row
-    per vote pattern, at most 3 ** rules (5 rules: 243) for any input; accuracies come from the counts of all documents.
+    `threshold`. Null and empty texts have no words, so fail the base. Repeated rows are judged each, null ids too; an empty
+    table gives an empty result; other columns are ignored. The driver and every task see one row per vote pattern that
+    occurs, at most 3 ** 11 (177,147) for any input; accuracies come from the counts of all documents.
     """
     spark = docs.sparkSession
     rules = votes()
@@ -173,8 +200,8 @@ def judge(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), threshold: float
     stats = materialise(stats.withColumn("_pattern", F.concat(*[F.col(f"_v_{r}").cast("string") for r in rules])).drop(*[f"_v_{r}" for r in rules]), "rule-votes")
     seen = stats.groupBy("_pattern").agg(F.count(F.lit(1)).alias("n")).orderBy("_pattern").collect()
     patterns = np.array([[int(c) for c in r["_pattern"]] for r in seen], dtype=np.int64).reshape(len(seen), len(rules))
-    pi, log_theta = fit(patterns, np.array([r["n"] for r in seen], dtype=float))
-    scored = [(r["_pattern"], float(p)) for r, p in zip(seen, posterior(patterns, pi, log_theta), strict=True)]
+    good = responsibility(patterns, fit(patterns, np.array([r["n"] for r in seen], dtype=float)))[:, 0]
+    scored = [(r["_pattern"], float(p)) for r, p in zip(seen, good, strict=True)]
     by_pattern = F.broadcast(spark.createDataFrame(scored, "_p string, quality double"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     judged = stats.join(by_pattern, F.col("_pattern") == F.col("_p")).withColumn("base_failed", failed)
