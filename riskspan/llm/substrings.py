@@ -1,9 +1,10 @@
-"""Substring dedup: winnowed anchors as seeds, extended to the repeats around them.
+"""Substring dedup: seed and extend over winnowed anchors.
 
-Of the nine seeds of five words in a window of thirteen, the one with the least hash is the window's anchor, so equal windows
-have equal anchors. The consecutive windows of one anchor form a run. Runs are joined on their anchor: where the whole run is
-equal (the seed extends both ways over it) it repeats an earlier document at once. Anchors that are shared by unequal runs,
-or by very many documents, are extended window by window instead. Covered words of all repeats add up to maximal repeats.
+Of the nine seeds of five words in a window of thirteen, the one with the least hash is the window's anchor (winnowing), so
+equal windows have equal anchors, and the consecutive windows of one anchor form a run. Documents are joined on the anchors
+that several of them hold. Where all runs of an anchor are equal, the match extends both ways over the whole run. Elsewhere
+the seed is extended word by word to the left and to the right, against all earlier documents of the anchor at once: postings
+that agree on a side stay in one class, and a maximal repeat ends where the class holds no earlier document any more.
 """
 
 from __future__ import annotations
@@ -16,19 +17,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
-from pyspark.sql.window import Window
+from pyspark.sql.types import BinaryType, ByteType, IntegerType, LongType, StringType, StructField, StructType
 
 from .bitmap import build, test
 from .common import _WINDOW, _power_tables, materialise, mix, scan_words, slices, starts_of, table, text_bytes, window_hashes
 
 LENGTH = 13
 SEED = 5
-#: One document in so many is looked at to find anchors that very many documents share.
-HOT_SAMPLE = 64
-
-RUNS = StructType([StructField("anchor", LongType()), StructField("run", LongType()), StructField("doc", LongType()), StructField("at", IntegerType()), StructField("n", IntegerType())])
+#: Anchors with at least 1 / HOT of all postings (so at most HOT of them) are known to every task and never shuffled by anchor.
+HOT = 2_000
+#: Postings of an anchor that one task extends together; the windows of larger groups are compared by their hashes instead.
+GROUP = 5_000
+#: Postings that one call extends.
+BUCKET = 40_000
+
+RUNS = StructType([StructField("anchor", LongType()), StructField("run", LongType()), StructField("doc", LongType())])
+#: way: 0 to be joined, 1 repeats an earlier document as a whole, 2 anchor of very many documents. The words around the seed (32 bits each, `left` of them before it) come with anchors of unequal runs.
+POSTINGS = StructType([
+    StructField("anchor", LongType()), StructField("doc", LongType()), StructField("at", IntegerType()), StructField("n", IntegerType()),
+    StructField("left", IntegerType()), StructField("way", ByteType()), StructField("words", BinaryType()),
+])
 WINDOWS = StructType([StructField("window", LongType()), StructField("doc", LongType()), StructField("at", IntegerType())])
+SPANS = StructType([StructField("doc", LongType()), StructField("at", IntegerType()), StructField("n", IntegerType())])
 
 
 def runs_of(hashes: np.ndarray, row: np.ndarray, length: int = LENGTH, seed: int = SEED):
@@ -68,71 +78,166 @@ def _blocks(batches: Iterator[pa.RecordBatch]):
             yield hashes, row, docs, starts_of(row, batch.num_rows)
 
 
-def _emit_runs(hot):
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = to_arrow_schema(RUNS)
+    for hashes, row, docs, start in _blocks(batches):
+        least, anchor, first, count = runs_of(hashes, row)
+        cells = (least.view(np.int64), _whole(hashes, anchor, first, count).view(np.int64), docs[row[first]])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], schema=schema)
+
+
+def _whole(hashes: np.ndarray, anchor: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Hash of all words of each run and of the anchor's place in it."""
+    return mix(span_hashes(hashes, first, first + count + LENGTH - 1) + (anchor - first).astype(np.uint64) * np.uint64(31) + count.astype(np.uint64))
+
+
+def _postings(shared, unequal, hot):
+    schema = to_arrow_schema(POSTINGS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot_anchor, hot_lo, hot_unequal = hot.value
         for hashes, row, docs, start in _blocks(batches):
             least, anchor, first, count = runs_of(hashes, row)
-            if hot is not None:
-                cool = ~np.isin(least, hot.value)
-                least, anchor, first, count = least[cool], anchor[cool], first[cool], count[cool]
-            whole = span_hashes(hashes, first, first + count + LENGTH - 1)
-            whole = mix(whole + (anchor - first).astype(np.uint64) * np.uint64(31) + count.astype(np.uint64))
-            r = row[first]
-            cells = (least.view(np.int64), whole.view(np.int64), docs[r], (first - start[r]).astype(np.int32), count.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], schema=schema)
+            picked = test(shared.value, least)
+            least, anchor, first, count = least[picked], anchor[picked], first[picked], count[picked]
+            doc, way, open_ = docs[row[first]], np.zeros(len(least), np.int8), test(unequal.value, least)
+            if len(hot_anchor):
+                key = least.view(np.int64)
+                at = np.minimum(np.searchsorted(hot_anchor, key), len(hot_anchor) - 1)
+                known = hot_anchor[at] == key
+                way[known] = np.where(hot_unequal[at[known]], 2, 1)
+                kept = ~known | (way == 2) | (doc > hot_lo[at])
+                least, anchor, first, count, doc, way, open_ = (x[kept] for x in (least, anchor, first, count, doc, way, open_))
+            open_ &= way != 1
+            size = np.where(open_, count + LENGTH - 1, 0)
+            ends = np.cumsum(size)
+            at = np.repeat(first - (ends - size), size) + np.arange(int(size.sum()))
+            words = (hashes[at] >> np.uint64(32)).astype(np.uint32).tobytes()
+            offsets = pa.py_buffer(np.concatenate(([0], 4 * ends)).astype(np.int32).tobytes())
+            valid = pa.array(open_).buffers()[1] if len(open_) else None
+            context = pa.Array.from_buffers(pa.binary(), len(least), [valid, offsets, pa.py_buffer(words)])
+            cells = (least.view(np.int64), doc, (first - start[row[first]]).astype(np.int32), count.astype(np.int32), (anchor - first).astype(np.int32), way)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cells), context], schema=schema)
 
     return run
 
 
-def _emit_windows(hot, bits):
-    schema = to_arrow_schema(WINDOWS)
+def _words(column) -> tuple[np.ndarray, np.ndarray]:
+    """All words of a binary column, and the n + 1 positions where the rows' words start."""
+    array = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    offsets = np.frombuffer(array.buffers()[1], np.int32)[array.offset : array.offset + len(array) + 1] // 4
+    words = np.frombuffer(array.buffers()[2] or b"", np.uint32)[offsets[0] :] if len(array) else np.empty(0, np.uint32)
+    return words, (offsets - offsets[0]).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for hashes, row, docs, start in _blocks(batches):
-            least, _, first, count = runs_of(hashes, row)
-            picked = test(bits.value, least)
-            picked |= np.isin(least, hot.value)
-            first, count = first[picked], count[picked]
-            total = np.cumsum(count)
-            at = np.repeat(first - (total - count), count) + np.arange(int(count.sum()))
-            windows = window_hashes(hashes, LENGTH)[at] if len(at) else np.empty(0, np.uint64)
-            r = row[at]
-            yield pa.RecordBatch.from_arrays([pa.array(windows.view(np.int64)), pa.array(docs[r]), pa.array((at - start[r]).astype(np.int32))], schema=schema)
 
-    return run
+def _classes(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Class numbers of (class before, next word); -1 where either has ended (-1)."""
+    out = np.full(len(before), -1, np.int64)
+    live = np.flatnonzero((before >= 0) & (word >= 0))
+    order = live[np.lexsort((word[live], before[live]))]
+    new = np.ones(len(order), bool)
+    new[1:] = (before[order[1:]] != before[order[:-1]]) | (word[order[1:]] != word[order[:-1]])
+    out[order] = np.cumsum(new) - 1
+    return out
+
+
+def extend(anchor: np.ndarray, doc: np.ndarray, left: np.ndarray, words: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """[posting, words before the seed]: whether the window with so many words before the seed stands in an earlier document.
+
+    Posting i holds the words start[i] to start[i + 1], its seed at left[i]. Extension goes word by word: postings of an
+    anchor that agree so far share a class on each side, and windows are equal where both classes are.
+    """
+    reach = LENGTH - SEED
+    side = []
+    for step in (-1, 1):
+        classes = [_classes(np.zeros(len(anchor), np.int64), np.unique(anchor, return_inverse=True)[1].astype(np.int64))]
+        for i in range(1, reach + 1):
+            at = left - i if step < 0 else left + SEED - 1 + i
+            inside = (at >= 0) & (start[:-1] + at < start[1:])
+            word = np.where(inside, words[np.where(inside, start[:-1] + at, 0)].astype(np.int64) if len(words) else -1, -1)
+            classes.append(_classes(classes[-1], word))
+        side.append(classes)
+    out = np.zeros((len(anchor), reach + 1), bool)
+    for before in range(reach + 1):
+        window = _classes(side[0][before], side[1][reach - before])
+        live = np.flatnonzero(window >= 0)
+        least = np.full(len(live), np.iinfo(np.int64).max)
+        np.minimum.at(least, window[live], doc[live])
+        out[live, before] = doc[live] > least[window[live]]
+    return out
+
+
+def maximal(repeated: np.ndarray, doc: np.ndarray, at: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans (doc, at, n) of repeats: windows of a posting that follow each other are one repeat."""
+    grid = repeated[:, ::-1]  # windows from left to right: most words before the seed first
+    edge = np.diff(np.pad(grid, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    p, first = np.nonzero(edge == 1)
+    _, last = np.nonzero(edge == -1)
+    begin = at[p] + left[p] - (LENGTH - SEED - first)
+    return doc[p], begin.astype(np.int32), (last - first + LENGTH - 1).astype(np.int32)
+
+
+def _extend_bucket(t: pa.Table) -> pa.Table:
+    words, start = _words(t.column("words"))
+    anchor, doc, left, at = (np.asarray(t.column(c)).astype(np.int64) for c in ("anchor", "doc", "left", "at"))
+    cells = maximal(extend(anchor, doc, left, words, start), doc, at, left)
+    return pa.Table.from_arrays([pa.array(c) for c in cells], schema=to_arrow_schema(SPANS))
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of postings by their hashes."""
+    schema = to_arrow_schema(WINDOWS)
+    for batch in batches:
+        words, start = _words(batch.column("words"))
+        count = np.asarray(batch.column("n")).astype(np.int64)
+        total = np.cumsum(count)
+        k = np.arange(int(count.sum())) - np.repeat(total - count, count)
+        hashes = window_hashes(mix(words.astype(np.uint64)), LENGTH)[np.repeat(start[:-1], count) + k] if len(k) else np.empty(0, np.uint64)
+        doc, at = np.asarray(batch.column("doc")), np.asarray(batch.column("at")).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.repeat(doc, count)), pa.array((np.repeat(at, count) + k).astype(np.int32))], schema=schema)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """Repeated spans (doc, at, n): n words from word `at` on are covered by windows that an earlier document holds.
 
-    Every document text is read whole, twice. The first reading shuffles one row per run (a fifth of the windows). A small
-    set of anchors, those of unequal runs and those of very many documents, is read again window by window; these windows are
-    summed to their least document on the map side before they are shuffled, so that no passage lands in one task.
+    Every document text is read whole, twice. The first reading sums anchors to one row each (least and greatest document and
+    run, on the map side first). The second writes the postings of anchors that several documents hold, known by a bitmap of
+    bounded size that lets some others pass; postings meet the sums again by a join. Anchors with many postings land nowhere
+    together: at most HOT of them go to every task, and the windows of groups above GROUP are summed by their hashes.
     """
     spark = docs.sparkSession
     source = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    sample = source.where(F.pmod(F.xxhash64("doc_id"), F.lit(HOT_SAMPLE)) == 0)
-    counts = sample.mapInArrow(_emit_runs(None), RUNS).groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.approx_count_distinct("doc").alias("d"))
-    floor = max(32, sample.count() // 500)
-    hot_rows = counts.where(F.col("d") >= floor).select("anchor").collect()  # at most 500 times the runs of a mean document
-    hot = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in hot_rows], dtype=np.int64).view(np.uint64)))
-
-    runs = source.mapInArrow(_emit_runs(hot), RUNS)
-    by_run = Window.partitionBy("anchor").orderBy("run", "doc", "at")
-    same = Window.partitionBy("anchor", "run").orderBy("doc", "at")
-    marked = runs.repartition("anchor").select("*", F.lag("run").over(by_run).alias("before"), F.first("doc").over(same).alias("least"))
-    marked = marked.select("anchor", "doc", "at", "n", (F.col("before") != F.col("run")).alias("unequal"), (F.col("doc") > F.col("least")).alias("repeated"))
-    shared = materialise(marked.where("unequal or repeated"), "shared-runs")
-    whole = shared.where("repeated").select("doc", "at", (F.col("n") + (LENGTH - 1)).alias("n"))
-
-    bits = spark.sparkContext.broadcast(build(shared.where("unequal").select("anchor")))
-    windows = materialise(source.mapInArrow(_emit_windows(hot, bits), WINDOWS), "windows")
-    least = windows.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("window", "least")
-    least = materialise(least, "least-windows")  # both sides of the join are then read by key alone, so that Spark can split a hot window
-    single = windows.join(least, "window").where("doc > least").select("doc", "at", F.lit(LENGTH).alias("n"))
-    return whole.unionByName(single)
+    sums = source.mapInArrow(_runs, RUNS).groupBy("anchor")
+    sums = sums.agg(F.count(F.lit(1)).alias("c"), F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("run").alias("r0"), F.max("run").alias("r1"))
+    shared = materialise(sums.where("lo < hi").select("anchor", "c", "lo", (F.col("r0") != F.col("r1")).alias("unequal")), "shared-anchors")
+    of = shared.agg(F.sum("c").alias("c"), F.sum(F.when(F.col("unequal") & (F.col("c") <= GROUP), F.col("c"))).alias("grouped")).first()
+    total, grouped = of["c"] or 0, of["grouped"] or 0
+    hot = shared.where((F.col("c") > GROUP) & (F.col("c") * HOT >= total))
+    rows = sorted(tuple(r) for r in hot.select("anchor", "lo", "unequal").collect())  # at most HOT rows
+    known = tuple(np.array([r[k] for r in rows], dtype=t) for k, t in enumerate((np.int64, np.int64, bool)))
+
+    bits = [spark.sparkContext.broadcast(build(x.select("anchor"))) for x in (shared, shared.where("unequal"))]
+    postings = materialise(source.mapInArrow(_postings(*bits, spark.sparkContext.broadcast(known)), POSTINGS), "postings")
+    cold = shared.where(~((F.col("c") > GROUP) & (F.col("c") * HOT >= total)))
+    met = postings.where("way = 0").join(cold, "anchor").where(F.col("unequal") | (F.col("doc") > F.col("lo")))
+    met = materialise(met.select(*POSTINGS.names, (F.col("unequal") & (F.col("c") > GROUP)).alias("large"), "unequal"), "met")
+
+    span = ("doc", "at", (F.col("n") + (LENGTH - 1)).alias("n"))
+    whole = postings.where("way = 1").select(*span).unionByName(met.where("not unequal").select(*span))
+    buckets = max(1, grouped // BUCKET)
+    seeds = met.where("unequal and not large").select("anchor", "doc", "at", "left", "words", F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket"))
+    extended = seeds.groupBy("bucket").applyInArrow(_extend_bucket, SPANS)
+
+    many = postings.where("way = 2").select("n", "doc", "at", "words").unionByName(met.where("large").select("n", "doc", "at", "words"))
+    windows = materialise(many.mapInArrow(_windows, WINDOWS), "windows")
+    least = windows.groupBy("window").agg(F.count(F.lit(1)).alias("c"), F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
+    least = materialise(least.select("window", "c", "least"), "least-windows")
+    n = windows.count()
+    often = F.broadcast(least.where((F.col("c") > GROUP) & (F.col("c") * HOT >= n)).select("window", F.col("least").alias("often")))  # at most HOT rows
+    tagged = windows.join(often, "window", "left")
+    seldom = tagged.where("often is null").join(least, "window").where("doc > least")
+    single = tagged.where("doc > often").select("doc", "at").unionByName(seldom.select("doc", "at"))
+    return whole.unionByName(extended).unionByName(single.select("doc", "at", F.lit(LENGTH).alias("n")))
 
 
 def _finish(columns: list[str], schema: pa.Schema):
@@ -162,7 +267,8 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     A word goes if a window of LENGTH words that covers it also starts in a document with a smaller doc_id; windows are those
     of the input. Null and empty texts have no words, shorter texts no window. Rows repeated whole share their result; an id
-    must not stand for different texts. Null ids neither remove nor lose words. An empty table gives an empty result.
+    must not stand for different texts. Null ids neither remove nor lose words. Ids must be integers; other columns are
+    ignored, whatever their names. An empty table gives an empty result.
     """
     spans = repeats(docs).groupBy("doc").agg(F.collect_list("at").alias("ats"), F.collect_list("n").alias("ns"))
     joined = docs.select("doc_id", "text").join(spans.hint("shuffle_hash"), F.col("doc_id") == F.col("doc"), "left").drop("doc")
