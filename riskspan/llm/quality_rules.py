@@ -187,7 +187,7 @@ def responsibility(patterns: np.ndarray, model: Fit) -> np.ndarray:
 
 
 def judge(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.5) -> DataFrame:
-    """Rule statistics, base_failed, posterior quality probability and kept for every document.
+    """Rule statistics, base_failed, kept and the posterior probability of quality for every document.
 
     base_failed: fewer than 20 words, or over 30 % of the words repeated. kept: not base_failed and a posterior of at least
     `threshold`. Null and empty texts have no words, so fail the base. Repeated rows are judged each, null ids too; an empty
@@ -202,11 +202,11 @@ def judge(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), threshold: float
     patterns = np.array([[int(c) for c in r["_pattern"]] for r in seen], dtype=np.int64).reshape(len(seen), len(rules))
     good = responsibility(patterns, fit(patterns, np.array([r["n"] for r in seen], dtype=float)))[:, 0]
     scored = [(r["_pattern"], float(p)) for r, p in zip(seen, good, strict=True)]
-    by_pattern = F.broadcast(spark.createDataFrame(scored, "_p string, quality double"))
+    by_pattern = F.broadcast(spark.createDataFrame(scored, "_p string, posterior double"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     judged = stats.join(by_pattern, F.col("_pattern") == F.col("_p")).withColumn("base_failed", failed)
-    judged = judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
-    return judged.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+    judged = judged.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
+    return judged.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import BinaryType, ByteType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, ByteType, IntegerType, LongType, StringType, StructField, StructType
 
 from .bitmap import build, test
 from .common import _WINDOW, _power_tables, materialise, mix, scan_words, slices, starts_of, table, text_bytes, window_hashes
@@ -197,6 +197,24 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.repeat(doc, count)), pa.array((np.repeat(at, count) + k).astype(np.int32))], schema=schema)
 
 
+def _known(hot):
+    """Windows of the hot table are decided here; the others go on with `known` false."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, least = hot.value
+        for batch in batches:
+            window, doc = np.asarray(batch.column("window")), np.asarray(batch.column("doc"))
+            known, kept = np.zeros(len(window), bool), np.ones(len(window), bool)
+            if len(key):
+                at = np.minimum(np.searchsorted(key, window), len(key) - 1)
+                known = key[at] == window
+                kept = ~known | (doc > least[at])
+            whole = pa.RecordBatch.from_arrays([*batch.columns, pa.array(known)], names=[*batch.schema.names, "known"])
+            yield whole.filter(pa.array(kept))
+
+    return run
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """Repeated spans (doc, at, n): n words from word `at` on are covered by windows that an earlier document holds.
 
@@ -233,10 +251,11 @@ def repeats(docs: DataFrame) -> DataFrame:
     least = windows.groupBy("window").agg(F.count(F.lit(1)).alias("c"), F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
     least = materialise(least.select("window", "c", "least"), "least-windows")
     n = windows.count()
-    often = F.broadcast(least.where((F.col("c") > GROUP) & (F.col("c") * HOT >= n)).select("window", F.col("least").alias("often")))  # at most HOT rows
-    tagged = windows.join(often, "window", "left")
-    seldom = tagged.where("often is null").join(least, "window").where("doc > least")
-    single = tagged.where("doc > often").select("doc", "at").unionByName(seldom.select("doc", "at"))
+    often = sorted(tuple(r) for r in least.where((F.col("c") > GROUP) & (F.col("c") * HOT >= n)).select("window", "least").collect())  # at most HOT rows
+    table_ = spark.sparkContext.broadcast(tuple(np.array([r[k] for r in often], dtype=np.int64) for k in (0, 1)))
+    tagged = windows.mapInArrow(_known(table_), StructType([*WINDOWS.fields, StructField("known", BooleanType())]))
+    seldom = tagged.where("not known").join(least, "window").where("doc > least")
+    single = tagged.where("known").select("doc", "at").unionByName(seldom.select("doc", "at"))
     return whole.unionByName(extended).unionByName(single.select("doc", "at", F.lit(LENGTH).alias("n")))
 
 
