@@ -24,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none (local mode)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only local mode, where all is one machine, does without."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="riskspan-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -40,25 +42,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def number_within(df: DataFrame, key: str, order: list[str], out: str, rows_per_task: int = 20_000) -> DataFrame:
+def number_within(df: DataFrame, key: str, order: list[str], out: str, few: bool = False, rows_per_task: int = 2_000) -> DataFrame:
     """Gapless numbers from 0 within each `key`, without gathering a large key in one task.
 
-    A key is dealt over ceil(count / rows_per_task) parts by the hash of its order columns. The parts' counts (one row per
-    key and part, summed on the map side) give each part's first number, a window inside the part gives the rest. `key` must
-    have few distinct values next to rows_per_task (lengths, shards): the table of counts is rows / rows_per_task + keys long.
-    Ties on all of `order` are numbered in any order.
+    A key of more than rows_per_task rows is dealt over ceil(count / rows_per_task) parts by the hash of its order columns. A
+    window inside the part numbers its rows, the counts of the parts before it give its first number. Counts are summed on the
+    map side; keys with one part need none, and the tables of parts are joined without a hint, so that their measured size
+    decides how. `few` says that the key has a proven, small number of values: the table of keys is then broadcast. Ties on
+    all of `order` are numbered in any order.
     """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    parts = counts.select(F.col(key).alias("_k"), F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_p"))
-    dealt = df.join(F.broadcast(parts), F.col(key) == F.col("_k")).drop("_k")
-    dealt = dealt.withColumn("_p", F.pmod(F.xxhash64(*order), F.col("_p")).cast("int"))
-    sizes = dealt.groupBy(key, "_p").agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_task)
+    parts = counts.select(F.col(key).alias("_k"), F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_c"))
+    dealt = df.join(F.broadcast(parts) if few else parts, F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k")
+    dealt = dealt.withColumn("_p", F.pmod(F.xxhash64(*order), F.coalesce("_c", F.lit(1))).cast("int"))
+    sizes = dealt.where("_c is not null").groupBy(key, "_p").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(F.col(key).alias("_k"), F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
     inside = Window.partitionBy(key, "_p").orderBy(*order)
     numbered = dealt.withColumn("_i", F.row_number().over(inside) - 1)
-    joined = numbered.join(F.broadcast(starts), (F.col(key) == F.col("_k")) & (F.col("_p") == F.col("_q")))
-    return joined.withColumn(out, (F.col("_from") + F.col("_i")).cast("long")).drop("_k", "_q", "_p", "_i", "_from")
+    joined = numbered.join(starts, (F.col(key).eqNullSafe(F.col("_k"))) & (F.col("_p") == F.col("_q")), "left")
+    return joined.withColumn(out, (F.coalesce("_from", F.lit(0)) + F.col("_i")).cast("long")).drop("_k", "_q", "_p", "_i", "_from", "_c")
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:

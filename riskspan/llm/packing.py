@@ -1,4 +1,4 @@
-"""Best-fit packing: dominance reduction on the histogram of lengths, best-fit decreasing for the rest.
+"""Best-fit packing: Martello and Toth's dominance reduction on the histogram of lengths, best fit for the rest.
 
 Lengths are at most the sequence length, so the whole corpus is one histogram of at most that many counts. Packing works on
 counts: a pattern (lengths that share a sequence) is repeated as often as its lengths last. The driver therefore handles a
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,70 +25,101 @@ from .common import materialise, number_within, slices, table
 Pattern = tuple[int, ...]
 
 
-def _largest(lengths: list[int], counts: dict[int, int], most: int) -> int | None:
-    """The largest length left that is at most `most`."""
-    i = bisect_left(lengths, most + 1) - 1
-    while i >= 0 and not counts[lengths[i]]:
+def dominating(counts: dict[int, int], lengths: list[int], j: int, capacity: int) -> Pattern | None:
+    """A set with length j that dominates every other sequence with j, by Martello and Toth's tests; None where none is proved.
+
+    `counts` are the items left, `lengths` their lengths in order. A set dominates another if the other's items can be dealt
+    over places of the set that hold them: swapping both then keeps any packing valid. With room r = capacity - j:
+    - nothing else fits in r: j alone;
+    - an item fills r exactly: j with it, as any other company of j has room in its place;
+    - no two others fit: j with the largest that does;
+    - two others fit but no three: j with the largest k that fits, if no two that fit weigh more than k. Else, with (a, b) the
+      heaviest two that fit: j, a and b, if a is also the largest that fits and no two items above b fit. A single company
+      then has room in a, and of two the larger in a, the smaller in b.
+    """
+    room = capacity - j
+
+    def left(n: int) -> int:
+        return counts[n] - (n == j)
+
+    def smallest(k: int, above: int = 0) -> int | None:
+        """Sum of the k smallest items above a length; None with fewer items."""
+        total = 0
+        for n in lengths[bisect_left(lengths, above + 1) :]:
+            take = min(k, max(0, left(n)))
+            total, k = total + take * n, k - take
+            if not k:
+                return total
+        return None
+
+    def fits(k: int, above: int = 0) -> bool:
+        total = smallest(k, above)
+        return total is not None and total <= room
+
+    if not fits(1):
+        return (j,)
+    i = bisect_left(lengths, room + 1) - 1
+    while left(lengths[i]) <= 0:
         i -= 1
-    return lengths[i] if i >= 0 else None
+    k = lengths[i]
+    if k == room or not fits(2):
+        return j, k
+    if fits(3):
+        return None
+    pair = heaviest_pair(lengths, left, room)
+    if sum(pair) <= k:
+        return j, k
+    if pair[0] == k and not fits(2, above=pair[1]):
+        return j, *pair
+    return None
+
+
+def heaviest_pair(lengths: list[int], left, room: int) -> tuple[int, int]:
+    """The two items (larger first) with the largest sum of at most room; (0, 0) if no two fit."""
+    best, a, b = (0, 0), 0, bisect_left(lengths, room) - 1
+    while a <= b:
+        low, high = lengths[a], lengths[b]
+        if left(low) <= 0:
+            a += 1
+        elif left(high) <= 0 or low + high > room or (a == b and left(low) < 2):
+            b -= 1
+        else:
+            best = max(best, (high, low), key=sum)
+            a += 1
+    return best
 
 
 def dominance(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
-    """Fix sequences that provably belong to some best packing, and take their lengths out of `counts`.
-
-    Martello and Toth: a set with item j dominates if whatever else could join j fits in the set's own items. For the largest
-    length j with room r = capacity - j left, three sets are tested:
-    - j alone, if the smallest length is above r;
-    - j with a length of exactly r: it fills the sequence, and any other company of j has room in its place;
-    - j with the largest k <= r, if two more items never fit (the two smallest exceed r) or the best two that fit sum to at
-      most k: any company of j then fits in the place of k.
-    Lengths that pass none of them are left to best-fit.
+    """Fix sequences that belong to some best packing (see dominating()), and take their lengths out of `counts`.
+
+    A proof lasts as long as the set's items do: taking items away only leaves less company for j. So a set is fixed as often
+    as its scarcest length allows. The passes over all lengths end when one fixes nothing.
     """
     fixed: list[tuple[Pattern, int]] = []
-    lengths = sorted(n for n, c in counts.items() if c)
-    left = dict(counts)
-    for j in reversed(lengths):
-        while left[j]:
-            room = capacity - j
-            small = next((n for n in lengths if left[n] - (n == j) > 0), None)
-            if small is None or small > room:
-                fixed.append(((j,), left[j]))
-                left[j] = 0
-                break
-            left[j] -= 1
-            k = _largest(lengths, left, room)
-            left[j] += 1
-            pairs_with_itself = k == j
-            second = small if left[small] - (small == j) > 1 else next((n for n in lengths if n > small and left[n] - (n == j) > 0), None)
-            if k == room or second is None or small + second > room or _best_two(lengths, left, room, j) <= k:
-                times = left[j] // 2 if pairs_with_itself else min(left[j], left[k])
-                if times == 0:
+    left = {n: c for n, c in counts.items() if c > 0}
+    found = True
+    while found:
+        found = False
+        for j in sorted(left, reverse=True):
+            lengths = sorted(left)
+            while left.get(j):
+                pattern = dominating(left, lengths, j, capacity)
+                if pattern is None:
                     break
-                # Taking items away leaves less company for j, so the test holds for all `times`.
-                fixed.append(((j, k), times))
-                left[j] -= times
-                left[k] -= times
-            else:
-                break
+                need = Counter(pattern)
+                times = min(left[n] // c for n, c in need.items())
+                for n, c in need.items():
+                    left[n] -= times * c
+                    if not left[n]:
+                        del left[n]
+                        lengths.remove(n)
+                fixed.append((pattern, times))
+                found = True
     counts.clear()
     counts.update(left)
     return fixed
 
 
-def _best_two(lengths: list[int], left: dict[int, int], room: int, j: int) -> int:
-    """The largest sum of two items besides j that is at most room; 0 if none."""
-    own = [n for n in lengths if left[n] - (n == j) > 0 and n < room]
-    best, a, b = 0, 0, len(own) - 1
-    while a <= b and best < room:
-        total = own[a] + own[b]
-        if total > room or (a == b and left[own[a]] - (own[a] == j) < 2):
-            b -= 1
-        else:
-            best = max(best, total)
-            a += 1
-    return best
-
-
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
     """Best-fit decreasing on counts: every length goes to the sequences with the least room that still hold it."""
     by_room: dict[int, list[tuple[Pattern, int]]] = {}
@@ -126,10 +158,59 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]
     return [p for room in rooms for p in by_room[room]]
 
 
+def fullest(left: dict[int, int], room: int) -> list[int]:
+    """Items of `left` with the largest sum of at most `room`, by reachable sums kept as bits; long items are tried first."""
+    steps: list[tuple[int, int, int]] = []
+    sums, mask = 1, (1 << (room + 1)) - 1
+    for n in sorted(left, reverse=True):
+        copies, k = min(left[n], room // n), 1
+        while copies and not sums >> room:
+            k = min(k, copies)
+            steps.append((sums, n, k))
+            sums |= (sums << n * k) & mask
+            copies, k = copies - k, 2 * k
+    at, out = sums.bit_length() - 1, []
+    for before, n, k in reversed(steps):
+        if not before >> at & 1:
+            out += [n] * k
+            at -= n * k
+    return out
+
+
+def best_fill(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
+    """Sequence by sequence: the longest item left, with the company that leaves the least room."""
+    left = {n: c for n, c in counts.items() if c > 0}
+    out = []
+    while left:
+        j = max(left)
+        left[j] -= 1
+        pattern = (j, *fullest({n: c for n, c in left.items() if c}, capacity - j))
+        left[j] += 1
+        need = Counter(pattern)
+        times = min(left[n] // c for n, c in need.items())
+        for n, c in need.items():
+            left[n] -= times * c
+            if not left[n]:
+                del left[n]
+        out.append((pattern, times))
+    return out
+
+
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
-    """Patterns and how often each is used; together they hold every item of `counts` once."""
+    """Patterns and how often each is used; together they hold every item of `counts` once.
+
+    What the reduction leaves is packed best-fit decreasing, item by item. If that takes more sequences than the sum of the
+    lengths needs, it is also packed with the best fit for each sequence, and the plan of fewer sequences is taken.
+    """
     rest = {n: c for n, c in counts.items() if c > 0}
-    return dominance(rest, capacity) + best_fit(rest, capacity)
+    fixed = dominance(rest, capacity)
+    loose = best_fit(rest, capacity)
+    used = sum(times for _, times in loose)
+    if used > -(-sum(n * c for n, c in rest.items()) // capacity):
+        filled = best_fill(rest, capacity)
+        if sum(times for _, times in filled) < used:
+            loose = filled
+    return fixed + loose
 
 
 #: Entries of a task's memory of encoded words; it starts afresh when full.
@@ -221,8 +302,9 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, keep: tuple
 
     Returns one row per piece: the `keep` columns, piece, start, length, ids_crc32, sequence_id and offset. Documents longer
     than a sequence are cut into full ones, the last piece may be shorter. Null and empty texts are the closing 0 alone.
-    Repeated rows are packed each; equal lengths are interchangeable, and their numbers follow `keep`. An empty table gives
-    an empty result.
+    Repeated rows are packed each, null ids too; equal lengths are interchangeable, and their numbers follow `keep`. Columns
+    outside `keep` are ignored. An empty table gives an empty result. The driver holds the histogram of lengths, at most
+    `capacity` counts.
     """
     spark = docs.sparkSession
     cut = materialise(pieces(docs, tokenizer_path, capacity, list(keep)), "pieces")
@@ -238,7 +320,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, keep: tuple
     assert taken == counts
     # One row per length of each pattern: patterns number a few times the lengths, whatever the corpus holds.
     where = F.broadcast(spark.createDataFrame(places, "_n long, _from long, _to long, _first long, _offset long"))
-    ranked = number_within(cut, "length", [*keep, "piece"], "_rank")
+    ranked = number_within(cut, "length", [*keep, "piece"], "_rank", few=True)  # at most `capacity` lengths
     placed = ranked.join(where, (F.col("length") == F.col("_n")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
     return placed.select(*keep, "piece", "start", "length", "ids_crc32", (F.col("_first") + F.col("_rank") - F.col("_from")).alias("sequence_id"), F.col("_offset").alias("offset"))
 
