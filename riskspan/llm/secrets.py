@@ -26,29 +26,53 @@ TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-
 KINDS = ("assign", "access", "hex", "markov")
 #: Bits of evidence per character pair above which a token counts as random.
 THRESHOLD = 0.5
-#: Documents whose words are the sample of ordinary identifiers, at most; and matched secrets as the sample of random strings.
-SAMPLE_DOCS = 2_000
-SAMPLE_SECRETS = 20_000
-#: Tasks that read the bounded samples.
-SPREAD = 24
+#: Documents whose words are the sample of ordinary identifiers, at most, unless the caller says otherwise.
+SAMPLE = 2_000
 _CODES = 128
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _running(values: Column, zero: int, step) -> Column:
+    """What `step` makes, from `zero`, of all values before each one: a list as long as `values`.
+
+    `step` is associative. The list is cut into blocks of about the root of its length, so that appending to a growing list
+    costs n ** 1.5 copies instead of n ** 2.
+    """
+    kind = "struct<at:int,out:array<int>>"
+
+    def walk(block: Column, use) -> Column:
+        start = F.struct(F.lit(zero).alias("at"), F.array().cast("array<int>").alias("out")).cast(kind)
+        return F.aggregate(block, start, lambda acc, x: F.struct(step(acc["at"], x).cast("int").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), use)
+
+    def in_blocks(v: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(v))).cast("int")
+        blocks = _let(width, lambda w: F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / w).cast("int") - 1), lambda i: F.slice(v, i * w + 1, w)))
+        walked = F.transform(blocks, lambda block: walk(block, lambda acc: acc))
+        return _let(walked, lambda bs: F.flatten(F.zip_with(bs, walk(F.transform(bs, lambda x: x["at"]), lambda acc: acc["out"]), lambda x, before: F.transform(x["out"], lambda at: step(before, at).cast("int")))))
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, in_blocks(v)).otherwise(F.array().cast("array<int>")))
+
+
+_EMPTY = "array<struct<start:int,end:int,m:string>>"
+
+
 def _spans(text: Column, pattern: str) -> Column:
     """start, end and match of every leftmost non-overlapping match, in code points: what lies between matches gives the places."""
-    between = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    step = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, m: F.struct(F.length(b).alias("skip"), F.length(m).alias("n"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,m:string>>").alias("out"))
-    return F.aggregate(
-        step,
-        start,
-        lambda acc, x: F.struct(
-            (acc["at"] + x["skip"] + x["n"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["skip"]).alias("start"), (acc["at"] + x["skip"] + x["n"]).alias("end"), x["m"].alias("m")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+
+    def placed(found: Column, between: Column) -> Column:
+        skips = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, m: F.struct(F.length(b).alias("skip"), m.alias("m")))
+
+        def with_starts(parts: Column) -> Column:
+            before = _running(F.transform(parts, lambda x: x["skip"] + F.length(x["m"])), 0, lambda a, b: a + b)
+            return F.zip_with(parts, before, lambda x, at: F.struct((at + x["skip"]).alias("start"), (at + x["skip"] + F.length(x["m"])).alias("end"), x["m"].alias("m")))
+
+        return _let(skips, with_starts)
+
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: placed(found, F.split(text, pattern, -1)))
 
 
 def _value(match: Column) -> Column:
@@ -56,9 +80,6 @@ def _value(match: Column) -> Column:
     return F.regexp_extract(match, "(?s)" + PATTERNS["assign"], 2)
 
 
-_EMPTY = "array<struct<start:int,end:int,m:string>>"
-
-
 def base_spans(text: Column, kind: str) -> Column:
     """Matches of one base kind that are long enough. Texts without a possible match skip the scan for places."""
     size = {"assign": lambda m: F.length(_value(m)), "access": F.length, "hex": F.length}[kind]
@@ -68,11 +89,16 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_EMPTY))
 
 
+def _neighbours(token: Column, use) -> Column:
+    """use(character, next character) for all neighbours of a token of ASCII characters, as codes; a start mark of code 0 comes first."""
+    codes = F.transform(F.split(token, ""), lambda c: F.ascii(c) % _CODES)
+    return _let(codes, lambda c: F.zip_with(F.concat(F.array(F.lit(0)), F.slice(c, 1, F.size(c) - 1)), c, use))
+
+
 def _pairs(samples: DataFrame) -> DataFrame:
-    """Counts of neighbouring characters by label, as codes below _CODES, in the column token; a start mark of code 0 comes first."""
-    padded = F.concat(F.lit("\x00"), F.col("token"))
-    codes = samples.repartition(SPREAD).select("random", F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: (F.ascii(F.substring(padded, i, F.lit(1))) % _CODES) * _CODES + F.ascii(F.substring(padded, i + 1, F.lit(1))) % _CODES).alias("p"))
-    return codes.select("random", F.explode("p").alias("pair")).groupBy("random", "pair").count()
+    """Counts of neighbouring characters by label, as codes below _CODES, in the column token."""
+    pairs = _neighbours(F.col("token"), lambda a, b: a * _CODES + b)
+    return samples.select("random", F.explode(pairs).alias("pair")).groupBy("random", "pair").count()
 
 
 def train(labelled: DataFrame) -> list[float]:
@@ -95,43 +121,64 @@ def train(labelled: DataFrame) -> list[float]:
 
 
 def evidence(token: Column, ratios: list[float]) -> Column:
-    """Mean bits per character pair that speak for a random string."""
+    """Mean bits per character pair that speak for a random string; tokens of ASCII characters, not empty."""
     weights = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")  # folded to one literal by the optimizer
-    padded = F.concat(F.lit("\x00"), token)
-    bits = F.aggregate(
-        F.sequence(F.lit(1), F.length(token)),
-        F.lit(0.0),
-        lambda acc, i: acc + F.element_at(weights, (F.ascii(F.substring(padded, i, F.lit(1))) % _CODES) * _CODES + F.ascii(F.substring(padded, i + 1, F.lit(1))) % _CODES + 1),
-    )
-    return bits / F.length(token)
+    bits = _neighbours(token, lambda a, b: F.element_at(weights, a * _CODES + b + 1))
+    return F.aggregate(bits, F.lit(0.0), lambda acc, x: acc + x) / F.length(token)
 
 
-def samples(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """token, random: what base patterns matched, and the distinct plain words of at most SAMPLE_DOCS documents without a match.
+def samples(docs: DataFrame, id_col: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
+    """token, random: all distinct values that base patterns matched, and the distinct plain words of some documents without a match.
 
-    Both samples are bounded (SAMPLE_SECRETS, SAMPLE_DOCS) and taken by hash, so every run takes the same.
+    Plain words come from the documents of at most `sample` ids, the least by hash, so every run takes the same: ids are
+    chosen first, from those under a hash cut that keeps about twice as many, and only their texts are read. Documents without
+    an id are never among them.
     """
     text = F.coalesce("text", F.lit(""))
     hit = text.rlike("|".join([PATTERNS["assign"], r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"]))
     matched = docs.where(hit).select(F.explode(F.concat(F.transform(base_spans(text, "assign"), lambda s: _value(s["m"])), *[F.transform(base_spans(text, k), lambda s: s["m"]) for k in ("access", "hex")])).alias("token"))
-    matched = matched.where("length(token) >= 16").orderBy(F.xxhash64("token"), "token").limit(SAMPLE_SECRETS).select("token", F.lit(True).alias("random"))
-    plain = docs.where(~hit).select(id_col, text.alias("t")).orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_DOCS).repartition(SPREAD)
-    words = plain.select(F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"[A-Za-z0-9+/_-]{4,}"), F.lit(0)))).alias("token")).distinct().select("token", F.lit(False).alias("random"))
+    matched = matched.where("length(token) >= 16").distinct().select("token", F.lit(True).alias("random"))
+    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(id_col).alias("_h")).distinct()
+    n = ids.count()
+    cut = ids.where(F.pmod("_h", F.lit(1 << 20)) < (1 << 20) * min(1.0, 2 * sample / max(1, n)))
+    chosen = cut.orderBy("_h", "_id").limit(sample).select("_id")
+    plain = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).where(~hit).select(text.alias("_t"))
+    words = plain.select(F.explode(F.array_distinct(F.regexp_extract_all("_t", F.lit(r"[A-Za-z0-9+/_-]{4,}"), F.lit(0)))).alias("token")).distinct().select("token", F.lit(False).alias("random"))
     # Ordinary identifiers also hold digits: a word with a number, and words joined by a mark.
     joined = F.concat("token", F.lit("_"), F.lower("token"), F.pmod(F.xxhash64("token"), F.lit(1000)).cast("string"))
     return matched.unionByName(words.select(F.explode(F.array("token", joined)).alias("token"), "random"))
 
 
+def _apart(tokens: Column, base: Column) -> Column:
+    """The tokens that overlap no base span, by one walk along both in order: what ends last before a token, what starts first after it."""
+
+    def alone(events: Column) -> Column:
+        ends = _running(F.transform(events, lambda e: F.when(e["own"] == 0, e["end"]).otherwise(F.lit(-1))), -1, F.greatest)
+        back = F.reverse(events)
+        starts = F.reverse(_running(F.transform(back, lambda e: F.when(e["own"] == 0, e["start"]).otherwise(F.lit(2**31 - 1))), 2**31 - 1, F.least))
+        near = F.zip_with(ends, starts, lambda a, b: F.struct(a.alias("before"), b.alias("after")))
+        pairs = F.zip_with(events, near, lambda e, x: F.struct(e.alias("e"), x.alias("x")))
+        free = F.filter(pairs, lambda p: (p["e"]["own"] == 1) & (p["x"]["before"] <= p["e"]["start"]) & (p["x"]["after"] >= p["e"]["end"]))
+        return F.transform(free, lambda p: F.struct(p["e"]["start"].alias("start"), p["e"]["end"].alias("end"), p["e"]["m"].alias("m")))
+
+    def event(own: int):
+        return lambda s: F.struct(s["start"].alias("start"), F.lit(own).alias("own"), s["end"].alias("end"), s["m"].alias("m"))
+
+    both = F.array_sort(F.concat(F.transform(base, event(0)), F.transform(tokens, event(1))))
+    return F.when((F.size(tokens) == 0) | (F.size(base) == 0), tokens).otherwise(_let(both, alone))
+
+
 def find(docs: DataFrame, ratios: list[float], keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
     """The `keep` columns and all spans of secrets: assign, access, hex, markov (arrays of start, end, match).
 
-    Null texts count as empty. Markov spans are tokens with evidence above `threshold` that no base span overlaps. Repeated
-    rows are scanned each.
+    Null and empty texts have none. Markov spans are tokens with evidence above `threshold` that no base span overlaps.
+    Repeated rows are scanned each; an empty table gives an empty result. Work grows a little faster than the length of a text
+    or token, never with its square. Kept columns named like a result would give two columns of that name.
     """
     text = F.coalesce("text", F.lit(""))
     base = docs.select(*[F.col(c).alias(f"_keep_{c}") for c in keep], text.alias("_t"), *[base_spans(text, k).alias(k) for k in KINDS[:3]])
     tokens = F.filter(_spans(F.col("_t"), TOKEN), lambda s: evidence(s["m"], ratios) > threshold)
-    tokens = F.filter(tokens, lambda s: ~F.exists(F.concat("assign", "access", "hex"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    tokens = _let(tokens, lambda t: _apart(t, F.concat("assign", "access", "hex")))
     found = base.withColumn("markov", F.when(F.col("_t").rlike(TOKEN), tokens).otherwise(F.array().cast(_EMPTY)))
     return found.select(*[F.col(f"_keep_{c}").alias(c) for c in keep], *KINDS)
 
@@ -145,27 +192,47 @@ def _joined(kinds: tuple[str, ...]) -> Column:
     return F.array_join(F.transform(F.array_sort(every), lambda s: s["name"]), ",")
 
 
-def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), id_col: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
     """Spans of all documents with models trained on samples of the same documents: see find() and samples()."""
-    return find(docs, train(materialise(samples(docs), "secret-samples")), keep)
+    return find(docs, train(materialise(samples(docs, id_col, sample), "secret-samples")), keep)
+
 
+def _masked(text: Column, spans: Column, mask: str) -> Column:
+    """The text with all spans (start, end) masked; spans that overlap or touch inside each other become one.
 
-def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """The documents with every secret span replaced by `mask`; overlapping spans become one. Columns and rows stay."""
-    columns = docs.columns
-    found = find(docs, train(materialise(samples(docs), "secret-samples")), tuple(columns))
+    The text is cut into chunks of about the root of its length, so that taking a piece never walks over the whole text.
+    """
+
+    def pieces(spans: Column, chunks: Column, width: Column) -> Column:
+        def piece(a: Column, b: Column) -> Column:
+            first = F.floor(a / width).cast("int")
+            some = F.slice(chunks, first + 1, F.floor((b - 1) / width).cast("int") - first + 1)
+            return F.when(b > a, F.substring(F.array_join(some, ""), a - first * width + 1, b - a)).otherwise(F.lit(""))
+
+        reached = _running(F.transform(spans, lambda s: s["end"]), 0, F.greatest)
+        heads = F.zip_with(spans, reached, lambda s, at: F.when(s["start"] >= at, F.concat(piece(at, s["start"]), F.lit(mask))).otherwise(F.lit("")))
+        end = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.concat(F.array_join(heads, ""), _let(end, lambda e: piece(e, F.length(text))))
+
+    width = F.greatest(F.lit(256), F.ceil(F.sqrt(F.length(text))).cast("int"))
+    cut = lambda w: F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / w).cast("int")), lambda i: F.substring(text, i * w + 1, w))
+    return _let(spans, lambda s: _let(width, lambda w: _let(cut(w), lambda c: pieces(s, c, w))))
+
+
+def redact(docs: DataFrame, mask: str = "[SECRET]", id_col: str = "doc_id", sample: int = SAMPLE, ratios: list[float] | None = None) -> DataFrame:
+    """The documents with every secret span replaced by `mask`; overlapping spans become one. Columns and rows stay.
+
+    Null and empty texts stay as they are, repeated rows are masked each, columns named like the kinds of spans are safe, and
+    an empty table gives an empty result. Models are trained as in scan(), unless `ratios` of train() are given.
+    """
+    ratios = ratios or train(materialise(samples(docs, id_col, sample), "secret-samples"))
+    inner = [f"_c{i}" for i in range(len(docs.columns))]
+    renamed = docs.toDF(*inner).withColumn("text", F.col(inner[docs.columns.index("text")]))
+    found = find(renamed, ratios, (*inner, "text"))
     spans = F.array_sort(F.concat(*[F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS]))
-    kind = "struct<at:int,out:string>"
-    cut = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(kind),
-        lambda acc, s: F.when(
-            s["start"] >= acc["at"],
-            F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)).alias("out")),
-        ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
-    )
-    return found.withColumn("text", F.when(F.size(spans) > 0, cut).otherwise(F.col("text"))).select(*columns)
+    many = F.size("assign") + F.size("access") + F.size("hex") + F.size("markov")
+    masked = F.when(many > 0, _masked(F.col("text"), spans, mask)).otherwise(F.col("text"))
+    return found.select(*[masked.alias(c) if c == "text" else F.col(i).alias(c) for i, c in zip(inner, docs.columns, strict=True)])
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
