@@ -3,22 +3,28 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 from types import SimpleNamespace
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
-from .common import scan_words, slices, starts_of, table, text_bytes
+from .bitmap import build, test
+from .common import materialise, mix, scan_words, slices, starts_of, table, text_bytes, window_hashes
 
 WINDOW = 10
 #: Bytes that are not part of a word become spaces, A-Z become a-z; bytes of other code points stay.
 _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 #: The benchmark goes to every task in parts of at most so many words; documents are searched for one part after the other.
 PART_WORDS = 2_000_000
+#: Bytes of benchmark text that may go to the driver and to every task; above it windows are joined instead.
+MOST_BYTES = 64 << 20
 
 
 def _words(column: pa.Array):
@@ -41,6 +47,7 @@ class TestSuffixes:
         self.vocabulary = np.unique(hashes)
         rank = np.searchsorted(self.vocabulary, hashes).astype(np.int64) + 1
         item = np.repeat(np.arange(len(ids)), np.diff(first))
+        self.place = np.arange(len(hashes)) - first[item] if len(hashes) else np.empty(0, np.int64)  # word position in its item
         inside = item[:-1] == item[1:] if len(item) else np.zeros(0, bool)
         self.base = len(self.vocabulary) + 2
         self.pairs = np.unique(rank[:-1][inside] * self.base + rank[1:][inside])
@@ -99,80 +106,192 @@ def search(tests: TestSuffixes, hashes: np.ndarray, first: np.ndarray):
     return found
 
 
-def _longest(row: np.ndarray, pos: np.ndarray, test_at: np.ndarray, item: np.ndarray, m: np.ndarray, n: int) -> np.ndarray:
-    """Words in the longest verbatim match of each row: windows that follow each other on one diagonal are one match."""
-    order = np.lexsort((pos, pos - test_at, item))
-    p, d, it, r, w = pos[order], (pos - test_at)[order], item[order], row[order], m[order]
-    new = np.ones(len(p), bool)
-    new[1:] = (p[1:] != p[:-1] + 1) | (d[1:] != d[:-1]) | (it[1:] != it[:-1]) | (r[1:] != r[:-1])
+class Hits(NamedTuple):
+    """Occurrences of item windows in a shard: row, word position in the row, window length, item number, word position in the item."""
+
+    row: np.ndarray
+    at: np.ndarray
+    m: np.ndarray
+    item: np.ndarray
+    item_at: np.ndarray
+
+
+def _joined(hits: list[Hits]) -> Hits:
+    return Hits(*(np.concatenate([np.asarray(h[k], np.int64) for h in hits]) if hits else np.empty(0, np.int64) for k in range(5)))
+
+
+def _maximal(h: Hits) -> Hits:
+    """Windows that follow each other on one diagonal are one verbatim match; m is its length in words."""
+    order = np.lexsort((h.at, h.at - h.item_at, h.item, h.row))
+    row, at, m, item, item_at = (x[order] for x in h)
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1] + 1) | (item_at[1:] != item_at[:-1] + 1) | (item[1:] != item[:-1]) | (row[1:] != row[:-1])
     heads = np.flatnonzero(new)
-    out = np.zeros(n, np.int64)
-    np.maximum.at(out, r[heads], np.diff(np.append(heads, len(p))) - 1 + w[heads])
-    return out
+    return Hits(row[heads], at[heads], np.diff(np.append(heads, len(at))) - 1 + m[heads], item[heads], item_at[heads])
+
+
+ADDED = (("n_words", LongType()), ("n_hit", LongType()), ("n_items", LongType()), ("items_sha256", StringType()), ("contaminated", BooleanType()), ("longest_match", LongType()))
+_MATCH = StructType([StructField("item_id", StringType()), StructField("at", LongType()), StructField("item_at", LongType()), StructField("n", LongType())])
+MATCHES = ArrayType(_MATCH)
+
+
+def _summary(first: np.ndarray, hits: Hits, ids: list[str]) -> list[pa.Array]:
+    """The columns ADDED and matches of the rows whose words start at `first`."""
+    rows, n = len(first) - 1, int(first[-1])
+    edges = np.bincount(first[hits.row] + hits.at, minlength=n + 1) - np.bincount(first[hits.row] + hits.at + hits.m, minlength=n + 1)
+    hit = np.concatenate(([0], np.cumsum(np.cumsum(edges[:n]) > 0)))
+    n_hit = hit[first[1:]] - hit[first[:-1]]
+    whole = _maximal(hits)
+    longest = np.zeros(rows, np.int64)
+    np.maximum.at(longest, whole.row, whole.m)
+    items: dict[int, set[str]] = {}
+    matches: list[list[dict]] = [[] for _ in range(rows)]
+    for row, at, m, item, item_at in zip(*(x.tolist() for x in whole), strict=True):
+        if ids[item] is not None:
+            items.setdefault(row, set()).add(ids[item])
+        matches[row].append({"item_id": ids[item], "at": at, "item_at": item_at, "n": m})
+    named = [",".join(sorted(items.get(r, ()))) for r in range(rows)]
+    return [
+        pa.array(np.diff(first), pa.int64()),
+        pa.array(n_hit, pa.int64()),
+        pa.array([len(items.get(r, ())) for r in range(rows)], pa.int64()),
+        pa.array([hashlib.sha256(x.encode()).hexdigest() for x in named], pa.string()),
+        pa.array(n_hit > 0),
+        pa.array(longest, pa.int64()),
+        pa.array(matches, to_arrow_type(MATCHES)),
+    ]
 
 
 def _scan(parts, columns: list[str], schema: pa.Schema):
+    """Search every part of the benchmark in each shard of documents."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
                 hashes, first = _words(batch.column("text"))
-                n, rows = len(hashes), batch.num_rows
-                row_of = np.repeat(np.arange(rows), np.diff(first))
-                edges = np.zeros(n + 1, np.int64)
-                items: dict[int, set[str]] = {}
-                longest = np.zeros(rows, np.int64)
+                row_of = np.repeat(np.arange(batch.num_rows), np.diff(first))
+                found, ids = [], []
                 for part in parts:
                     tests = part.value
                     for pos, m, item, test_at in search(tests, hashes, first):
-                        edges += np.bincount(pos, minlength=n + 1) - np.bincount(pos + m, minlength=n + 1)
-                        rows_hit = row_of[pos]
-                        longest = np.maximum(longest, _longest(rows_hit, pos, test_at, item, m, rows))
-                        for r, i in np.unique(np.stack([rows_hit, item]), axis=1).T.tolist():
-                            items.setdefault(r, set()).add(tests.ids[i])
-                hit = np.concatenate(([0], np.cumsum(np.cumsum(edges[:n]) > 0)))
-                n_hit = hit[first[1:]] - hit[first[:-1]]
-                named = [",".join(sorted(items.get(r, ()))) for r in range(rows)]
-                out = [batch.column(c) for c in columns]
-                out += [
-                    pa.array(np.diff(first), pa.int64()),
-                    pa.array(n_hit, pa.int64()),
-                    pa.array([len(items.get(r, ())) for r in range(rows)], pa.int64()),
-                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in named]),
-                    pa.array(n_hit > 0),
-                    pa.array(longest, pa.int64()),
-                ]
+                        found.append(Hits(row_of[pos], pos - first[row_of[pos]], m, item + len(ids), tests.place[test_at]))
+                    ids += tests.ids
+                out = [batch.column(c) for c in columns] + _summary(first, _joined(found), ids)
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
+
+    return run
+
+
+WINDOWS = StructType([StructField("key", LongType()), StructField("m", LongType()), StructField("item", StringType()), StructField("item_at", LongType())])
+PLACES = StructType([StructField("row", LongType()), StructField("at", LongType()), StructField("key", LongType())])
+
+
+def _window_keys(hashes: np.ndarray, first: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each window of m words inside a row, and the position of its first word."""
+    keys = mix(window_hashes(hashes, m) + np.uint64(m))
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    at = np.flatnonzero(row[: len(keys)] == row[m - 1 :]) if len(keys) else np.empty(0, np.int64)
+    return keys[at].view(np.int64), at
+
+
+def _item_windows(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole):
+                hashes, first = _words(batch.column("text"))
+                size = np.minimum(np.diff(first), window)
+                row = np.repeat(np.arange(batch.num_rows), np.diff(first))
+                for m in np.unique(size[size > 0]).tolist():
+                    keys, at = _window_keys(hashes, first, m)
+                    own = size[row[at]] == m
+                    keys, at = keys[own], at[own]
+                    items = batch.column("item").take(pa.array(row[at]))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), m)), items, pa.array(at - first[row[at]])], schema=to_arrow_schema(WINDOWS))
+
+    return run
+
+
+def _document_windows(bits, lengths: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole):
+                hashes, first = _words(batch.column("text"))
+                row = np.repeat(np.arange(batch.num_rows), np.diff(first))
+                for m in lengths:
+                    keys, at = _window_keys(hashes, first, m)
+                    some = test(bits.value, keys)
+                    keys, at = keys[some], at[some]
+                    ids = batch.column("_row").take(pa.array(row[at]))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(at - first[row[at]]), pa.array(keys)], schema=to_arrow_schema(PLACES))
+
+    return run
+
+
+def _finish(columns: list[str], schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole):
+                _, first = _words(batch.column("text"))
+                found, ids = [], {}
+                for r, hits in enumerate(batch.column("hits").to_pylist()):
+                    for h in hits or ():
+                        found.append((r, h["at"], h["m"], ids.setdefault(h["item"], len(ids)), h["item_at"]))
+                table_ = np.array(found, np.int64).reshape(-1, 5)
+                out = [batch.column(c) for c in columns] + _summary(first, Hits(*table_.T), list(ids))
                 yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
 
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW) -> DataFrame:
+def _by_join(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int, schema: StructType) -> DataFrame:
+    """For benchmarks that must not go to every task: windows of both sides meet in a join, documents' windows through a bitmap first."""
+    spark = docs.sparkSession
+    source = docs.select(*dict.fromkeys([*keep, "text"]))
+    rows = materialise(source.withColumn("_row", F.monotonically_increasing_id()), "numbered-documents")
+    tests = materialise(benchmark.mapInArrow(_item_windows(window), WINDOWS), "item-windows")
+    lengths = sorted(r["m"] for r in tests.select("m").distinct().collect())  # at most `window`
+    bits = spark.sparkContext.broadcast(build(tests.select("key")))
+    found = rows.select("_row", "text").mapInArrow(_document_windows(bits, lengths), PLACES)
+    hits = found.join(tests, "key").groupBy("row").agg(F.collect_list(F.struct("at", "m", "item", "item_at")).alias("hits"))
+    both = rows.join(hits, F.col("_row") == F.col("row"), "left").select(*source.columns, "hits")
+    return both.mapInArrow(_finish(keep, to_arrow_schema(schema)), schema)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Mark what each document shares verbatim with the benchmark.
 
-    Returns the columns `keep` of docs (text among them or not) and n_words, n_hit, n_items, items_sha256, contaminated and
-    longest_match (words). A window is `window` consecutive item words, or the whole of a shorter item; items without words
-    match nothing. Null and empty texts have no words. Repeated rows are judged each. Items that share an id count once.
+    Returns the columns `keep` of docs (text among them or not) and n_words, n_hit, n_items, items_sha256, contaminated,
+    longest_match (words) and matches: every maximal verbatim match of at least a window, as item_id, first word in the
+    document, first word in the item and number of words. A window is `window` consecutive item words, or the whole of a
+    shorter item; items without words match nothing. Null and empty texts have no words. Repeated rows are judged each. Items
+    that share an id count once; words of
+    items without an id are hit, but such items are neither counted nor named. Other columns of both tables are ignored; kept
+    columns must not be named like a result or `hits`. An empty table gives an empty result, an empty benchmark marks nothing.
 
-    The benchmark is a stated query set: it goes to the tasks in parts of at most PART_WORDS words, one pass over the
-    documents searches for all parts, and documents are neither shuffled nor joined.
+    A benchmark of at most `most_bytes` of text goes to the tasks in parts of at most PART_WORDS words: one pass over the
+    documents searches for all parts, and documents are neither shuffled nor joined. A larger one is joined by its windows.
     """
     spark = docs.sparkSession
-    rows = [(str(r[0]), r[1]) for r in benchmark.select("item_id", "text").toLocalIterator() if r[0] is not None]
-    parts, at = [], 0
-    while at < len(rows) or not parts:
-        end, words = at, 0
-        while end < len(rows) and (end == at or words <= PART_WORDS):
-            words, end = words + len(rows[end][1] or "") // 2, end + 1
-        parts.append(spark.sparkContext.broadcast(SimpleNamespace(**vars(TestSuffixes([r[0] for r in rows[at:end]], [r[1] for r in rows[at:end]], window)))))
-        at = max(end, at + 1)
+    schema = StructType([docs.schema[c] for c in keep] + [StructField(n, t) for n, t in ADDED] + [StructField("matches", MATCHES)])
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > most_bytes:
+        return _by_join(docs, items, keep, window, schema)
+    parts, ids, texts, words = [], [], [], 0
+    for row in itertools.chain(items.toLocalIterator(), [None]):  # at most most_bytes of text, a part at a time
+        if row is None or words > PART_WORDS:
+            parts.append(spark.sparkContext.broadcast(SimpleNamespace(**vars(TestSuffixes(ids, texts, window)))))
+            ids, texts, words = [], [], 0
+        if row is not None:
+            ids.append(row["item"])
+            texts.append(row["text"])
+            words += len(row["text"] or "") // 2
     source = docs.select(*dict.fromkeys([*keep, "text"]))
-    added = [("n_words", LongType()), ("n_hit", LongType()), ("n_items", LongType()), ("items_sha256", StringType()), ("contaminated", BooleanType()), ("longest_match", LongType())]
-    schema = StructType([source.schema[c] for c in keep] + [StructField(n, t) for n, t in added])
     return source.mapInArrow(_scan(parts, keep, to_arrow_schema(schema)), schema)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"]).drop("longest_match")
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"]).drop("longest_match", "matches")
 
 
 QUERIES = {"op9_decontamination": op9}
