@@ -8,6 +8,7 @@ over these counts, trained on a bounded sample of labelled documents, gives the
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,8 @@ ADDRESS = ("you", "your", "youre", "u", "ur", "yourself")
 
 CONTEXT = 6
 FEATURES = ("exact", "misspelled", "quoted", "reported", "addressed", "clustered", "density")
-#: Labelled documents that the model and the learned terms are fitted on, at most, half of them of each label.
+#: Labelled documents that the model and the learned terms are fitted on, at most, half of them of each label; and terms that
+#: are learned, at most, the commonest first. Both are parameters of score().
 SAMPLE = 8_000
 LEARNED_TERMS = 300
 
@@ -169,11 +171,41 @@ class Matcher:
         return got
 
 
+#: Opening and closing quotation marks that differ.
+_QUOTES = (("\u201c", "\u201d"), ("\u201e", "\u201c"), ("\u00ab", "\u00bb"))
+
+
+def quoted(data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which spans lie inside quotation marks of their line.
+
+    Straight marks: an odd number of them from the start of the line to the span, and another after it. Marks that differ: one
+    opened before the span and is not closed before it, but after it, in the line.
+    """
+    def at(mark: str) -> np.ndarray:
+        return np.array([m.start() for m in re.finditer(re.escape(mark.encode()), data)], dtype=np.int64)
+
+    def last(marks: np.ndarray) -> np.ndarray:
+        return np.concatenate(([-1], marks))[np.searchsorted(marks, begin)]
+
+    def following(marks: np.ndarray) -> np.ndarray:
+        return np.append(marks, len(data))[np.searchsorted(marks, end)]
+
+    breaks, straight = at("\n"), at('"')
+    line, stop = last(breaks), following(breaks)
+    before = np.searchsorted(straight, begin) - np.searchsorted(straight, line, side="right")
+    out = (before % 2 == 1) & (following(straight) < stop)
+    for opening, closing in _QUOTES:
+        opens, closes = at(opening), at(closing)
+        out |= (last(opens) > np.maximum(line, last(closes))) & (following(closes) < stop)
+    return out
+
+
 def features(matcher: Matcher, column: pa.Array) -> np.ndarray:
     """FEATURES of each text as float64 [row, feature] (null: zeros)."""
     rows = len(column)
     data, offsets = text_bytes(column)
-    raw_folded = data.translate(_FOLD)
+    # Marks of several bytes part words like those of one byte.
+    raw_folded = re.sub(rb"\xe2\x80[\x90-\xbf]|\xc2[\xab\xbb]", lambda m: b" " * len(m[0]), data).translate(_FOLD)
     starts, ends, row, hashes = scan_words(raw_folded, offsets)
     out = np.zeros((rows, len(FEATURES)))
     if not len(starts):
@@ -195,14 +227,12 @@ def features(matcher: Matcher, column: pa.Array) -> np.ndarray:
     if not len(hit):
         return out
     word_kind, reported, addressed = kinds[code], marks[0][code], marks[1][code]
-    for p in hit.tolist():
+    inside = quoted(data, starts[hit], ends[hit])
+    for p, in_quotes in zip(hit.tolist(), inside.tolist(), strict=True):
         r = row[p]
         a, b = max(first[r], p - CONTEXT), min(first[r + 1], p + CONTEXT + 1)
-        around = data[starts[a] : ends[b - 1]]
-        before, after = data[starts[a] : starts[p]], data[ends[p] : min(len(data), ends[b - 1])]
-        quoted = any(q in before and q2 in after for q, q2 in ((b'"', b'"'), ("“".encode(), "”".encode()), ("«".encode(), "»".encode()), ("„".encode(), "“".encode()))) or around.count(b'"') >= 2
         out[r, 0 if word_kind[p] == 1 else 1] += 1
-        out[r, 2] += quoted
+        out[r, 2] += in_quotes
         out[r, 3] += reported[a:b].any()
         out[r, 4] += addressed[a:b].any()
         out[r, 5] += (word_kind[a:b] > 0).sum() > 1
@@ -239,7 +269,7 @@ def learn_terms(docs: DataFrame, sample: DataFrame, most: int = LEARNED_TERMS, l
     them, as a stem does not find their misspellings alike. The `most` commonest stay.
     """
     folded = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}@$]+", " ")
-    texts = docs.join(F.broadcast(sample.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id"))
     texts = texts.select("label", F.array_distinct(F.split(folded, " ")).alias("ws"))
 
     def low(seed: int):
@@ -247,7 +277,7 @@ def learn_terms(docs: DataFrame, sample: DataFrame, most: int = LEARNED_TERMS, l
 
     lows = [low(k) for k in range(3)]
     texts = texts.select("*", *lows).groupBy("low0", "low1", "low2").agg(F.max_by("ws", F.size("ws")).alias("ws"), F.max("label").alias("label"))
-    words = texts.select("label", F.explode("ws").alias("w")).where("length(w) between 4 and 40")
+    words = texts.select("label", F.explode("ws").alias("w")).where("length(w) >= 4")
     counts = words.groupBy("w").agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good"))
     counts = materialise(counts, "toxic-words")
     n = texts.agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good")).first()
@@ -299,27 +329,29 @@ def balanced_sample(labels: DataFrame, label: str, most: int) -> DataFrame:
     return labels.sparkSession.createDataFrame(rows, StructType([labels.schema["doc_id"], StructField("label", known.schema["label"].dataType)]))
 
 
-def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), sample: int = SAMPLE) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), sample: int = SAMPLE, terms: int = LEARNED_TERMS) -> DataFrame:
     """Toxicity score in [0, 1] of every document, by a model learned from `labels` (doc_id, toxic).
 
     Returns the `keep` columns, score, predicted (score >= 0.5) and exact and misspelled (hits, as log(1 + n)). Null and empty texts score as texts without
     hits. Repeated rows are scored each; labels of ids that are not in docs are unused; an id labelled twice counts as toxic
-    if either label says so. At most `sample` labelled documents are used for training, a documented bound; they weigh by the
-    classes' shares of all labelled ids, so the bound does not move the scores. Every document is scored. An empty table gives an empty result.
+    if either label says so. At most `sample` labelled documents are used for training and at most `terms` terms are learned,
+    documented bounds; the documents weigh by the classes' shares of all labelled ids, so the bound does not move the scores.
+    Every document is scored. Columns outside `keep` are ignored, whatever their names. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    inner = {c: f"_keep{i}" for i, c in enumerate(keep)}
+    docs = docs.select("doc_id", "text", *[F.col(c).alias(i) for c, i in inner.items()])
     chosen = balanced_sample(labels, "toxic", sample)
-    terms = sorted({*SEED_TERMS, *learn_terms(docs, chosen)})
-    columns = list(dict.fromkeys([*keep, "doc_id"]))
-    counted = materialise(document_features(docs, terms, columns), "toxicity-features")
+    lexicon = sorted({*SEED_TERMS, *learn_terms(docs, chosen, terms)})
+    counted = materialise(document_features(docs, lexicon, ["doc_id", *inner.values()]), "toxicity-features")
     rows = counted.join(F.broadcast(chosen.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).select("label", *FEATURES).collect()
     data = np.array([tuple(r) for r in rows], dtype=float).reshape(len(rows), 1 + len(FEATURES))
     data = data[np.lexsort(data.T)]
     share = labelled_ids(labels, "toxic").agg(F.avg("label")).first()[0]
     w = train(data[:, 1:], data[:, 0], share)
     logit = sum((F.col(f) * float(k) for f, k in zip(FEATURES, w, strict=False)), F.lit(float(w[-1])))
-    scored = counted.withColumn("score", 1 / (1 + F.exp(-logit)))
-    return scored.select(*keep, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "exact", "misspelled")
+    value = 1 / (1 + F.exp(-logit))
+    return counted.select(*[F.col(i).alias(c) for c, i in inner.items()], value.alias("score"), (value >= 0.5).cast("int").alias("predicted"), "exact", "misspelled")
 
 
 def held_out(doc_id, parts: int, part: int):
