@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Bytes of text that a task turns into word arrays at a time (a longer single document is one block).
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Bytes hashed at a time, which bounds the prefix sums.
 HASH_BYTES = 1 << 19
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 
 from .common import scan_words, slices, table, text_bytes
 from .toxicity import balanced_sample, held_out
@@ -191,9 +191,9 @@ def _sample_lines(schema: pa.Schema):
                 xs, sizes = [], []
                 for r in range(batch.num_rows):
                     a, b = first[r], first[r + 1]
-                    xs.append(x[a:b].ravel())
-                    sizes.append(size[a:b])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(xs, pa.list_(pa.float32())), pa.array(sizes, pa.list_(pa.float64()))], schema=schema)
+                    xs.append(x[a:b].tobytes())
+                    sizes.append(size[a:b].tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(xs, pa.binary()), pa.array(sizes, pa.binary())], schema=schema)
 
     return run
 
@@ -208,15 +208,15 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = balanced_sample(labels, "quality", sample)
     shares = {r["quality"]: r["count"] for r in labels.where(F.col("quality").isin(0, 1)).groupBy("quality").count().collect()}
     share_good = shares.get(1, 1) / max(1, sum(shares.values()) or 1)
-    picked = docs.join(F.broadcast(chosen.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).select("doc_id", "label", "text")
-    schema = StructType([picked.schema["doc_id"], picked.schema["label"], StructField("x", ArrayType(FloatType())), StructField("size", ArrayType(DoubleType()))])
-    rows = sorted(picked.mapInArrow(_sample_lines(to_arrow_schema(schema)), schema).collect(), key=lambda r: (str(r["doc_id"]), len(r["size"]), r["size"]))
+    picked = docs.select("doc_id", "text").join(F.broadcast(chosen.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).select("doc_id", "label", "text")
+    schema = StructType([picked.schema["doc_id"], picked.schema["label"], StructField("x", BinaryType()), StructField("size", BinaryType())])
+    rows = sorted(picked.mapInArrow(_sample_lines(to_arrow_schema(schema)), schema).collect(), key=lambda r: (str(r["doc_id"]), len(r["size"]), bytes(r["size"])))
     rows = [r for r in rows if r["size"]]
     if not rows:
         return Model(np.zeros(3 * len(LINE_FEATURES) + 1), np.zeros((2, 2)), 1.0, 0.0)
-    first = np.concatenate(([0], np.cumsum([len(r["size"]) for r in rows])))
-    x = np.concatenate([np.array(r["x"], np.float32) for r in rows]).reshape(-1, len(LINE_FEATURES))
-    size = np.concatenate([np.array(r["size"]) for r in rows])
+    first = np.concatenate(([0], np.cumsum([len(r["size"]) // 8 for r in rows])))
+    x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float32).reshape(-1, len(LINE_FEATURES))
+    size = np.frombuffer(b"".join(bytes(r["size"]) for r in rows))
     y = np.array([r["label"] for r in rows])
     weights, transition = train(with_neighbours(x, first).astype(np.float64), np.repeat(y, np.diff(first)), first)
     q = document_quality(x, size, first, weights, transition)
@@ -238,11 +238,12 @@ def _score(model: tuple, columns: list[str], schema: pa.Schema):
 
 
 def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), sample: int = SAMPLE) -> DataFrame:
-    """Quality score in [0, 1] of every document: the `keep` columns and score.
+    """Quality score in [0, 1] of every document: the `keep` columns (none of them named score) and score.
 
     Null and empty texts have no lines and score by the curve at 0.5. Repeated rows are scored each. Without usable labels
     every document scores 0.5. Training uses at most `sample` labelled documents, half of each label, a documented bound, and
-    every line of them; scoring uses every line of every document.
+    every line of them; scoring uses every line of every document. Columns outside `keep` are ignored, whatever their names;
+    an empty table gives an empty result.
     """
     m = learn(docs, labels, sample)
     source = docs.select(*dict.fromkeys([*keep, "text"]))

@@ -214,7 +214,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
 
 
 #: Entries of a task's memory of encoded words; it starts afresh when full.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
 
 
 def _byte_names() -> dict[int, str]:
