@@ -17,11 +17,21 @@ from riskspan.llm.common import materialise, table
 SIMILAR = 80
 
 
+def _aside(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The documents with neutral names for all columns but doc_id and text, so that none clashes with an operator's results."""
+    names = [c if c in ("doc_id", "text") else f"_c{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), names
+
+
+def _back(df: DataFrame, names: list[str], columns: list[str]) -> DataFrame:
+    return df.select(*[F.col(n).alias(c) for n, c in zip(names, columns, strict=True)])
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line field scores at 0.5 or more."""
-    columns = docs.columns
-    scored = crf.score(docs, crf.training_labels(spark, sf_dir), keep=tuple(columns))
-    return scored.where(F.col("score") >= 0.5).select(*columns)
+    """Documents that the line field scores at 0.5 or more. Null and empty texts, repeated rows and null ids are scored like others."""
+    inner, names = _aside(docs)
+    scored = crf.score(inner, crf.training_labels(spark, sf_dir), keep=tuple(names))
+    return _back(scored.where(F.col("score") >= 0.5), names, docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +41,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window with the benchmark."""
-    columns = docs.columns
-    marked = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), columns)
-    return marked.where(~F.col("contaminated")).select(*columns)
+    """Documents that share no window with the benchmark; texts without words share none."""
+    inner, names = _aside(docs)
+    marked = decontam.decontaminate(inner, table(spark, sf_dir, "benchmark"), names)
+    return _back(marked.where(~F.col("contaminated")), names, docs.columns)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
