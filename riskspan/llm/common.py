@@ -42,7 +42,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def number_within(df: DataFrame, key: str, order: list[str], out: str, few: bool = False, rows_per_task: int = 2_000) -> DataFrame:
+def number_within(df: DataFrame, key: str, order: list[str], out: str, few: bool = False, rows_per_task: int = 500) -> DataFrame:
     """Gapless numbers from 0 within each `key`, without gathering a large key in one task.
 
     A key of more than rows_per_task rows is dealt over ceil(count / rows_per_task) parts by the hash of its order columns. A

@@ -27,9 +27,9 @@ SEED = 5
 #: Anchors with at least 1 / HOT of all postings (so at most HOT of them) are known to every task and never shuffled by anchor.
 HOT = 2_000
 #: Postings of an anchor that one task extends together; the windows of larger groups are compared by their hashes instead.
-GROUP = 5_000
+GROUP = 50_000
 #: Postings that one call extends.
-BUCKET = 40_000
+BUCKET = 50_000
 
 RUNS = StructType([StructField("anchor", LongType()), StructField("run", LongType()), StructField("doc", LongType())])
 #: way: 0 to be joined, 1 repeats an earlier document as a whole, 2 anchor of very many documents. The words around the seed (32 bits each, `left` of them before it) come with anchors of unequal runs.
