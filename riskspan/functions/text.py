@@ -56,15 +56,66 @@ def cut(code: Column, max_tokens: int = 4_000) -> Column:
 
 
 def prompt_context(state: Column, modifiers: Column, called: Column) -> Column:
-    """What a prompt says around a slice: state, modifiers and the first 25 distinct callees in order."""
+    """What a prompt says around a slice: state, modifiers and the first 25 distinct callees in order, each under its head."""
     names = F.array_join(F.slice(F.array_sort(F.array_distinct(called)), 1, 25), ", ")
-    parts = F.filter(F.array(F.nullif(state, F.lit("")), F.nullif(modifiers, F.lit("")), F.nullif(names, F.lit(""))), lambda p: p.isNotNull())
+    # The heads.
+    heads = (("// state variables\n", state), ("// modifiers\n", modifiers), ("// callees: ", names))
+    parts = F.array_compact(F.array(*[F.when(F.length(x) > 0, F.concat(F.lit(head), x)) for head, x in heads]))
     return F.when(F.size(parts) == 0, "(none extracted)").otherwise(F.array_join(parts, "\n\n"))
 
 
+def content_hash(content: Column) -> Column:
+    """SHA-256 of bytes, in hex."""
+    return F.sha2(content, 256)
+
+
+def decoded(content: Column) -> Column:
+    """Bytes as UTF-8, with each invalid sequence replaced; null and no bytes: empty."""
+    return F.coalesce(F.make_valid_utf8(content.cast("string")), F.lit(""))
+
+
+def first_line(code: Column, most: int = 120) -> Column:
+    """The first line of the text without blanks around it, cut; empty if there is none."""
+    return F.substring(F.element_at(F.split(F.trim(F.regexp_replace(code, r"^\s+|\s+$", "")), r"\r\n|\r|\n"), 1), 1, most)
+
+
+def section(document: Column, head: str) -> Column:
+    """What stands between a head and the next line that starts with "## "; empty without the head."""
+    at = F.locate(head, document)
+    rest = F.substring(document, at + len(head), F.length(document))
+    stop = F.locate("\n## ", rest)
+    return F.when(at == 0, "").when(stop > 0, F.substring(rest, F.lit(1), stop - 1)).otherwise(rest)
+
+
+def extracted(document: Column, pattern: str, default: str = "") -> Column:
+    """Group 1 of the pattern's first match, with ^ and $ at lines; the default without one."""
+    return F.when(document.rlike(f"(?m){pattern}"), F.regexp_extract(document, f"(?m){pattern}", 1)).otherwise(default)
+
+
+#: Fields that a reply may hold, with their types.
+REPLY = "vuln_id string, scenario_match boolean, property_match boolean, confidence double, key_variables array<string>, vulnerable_statements array<string>, attack_path string, severity string, correctness double, profitability double, verdict string, rebuttal string"
+
+
+def reply_fields(reply: Column) -> Column:
+    """The repaired reply as typed fields; null without an object. Missing fields are null, wrong types too."""
+    return F.from_json(reply, REPLY)
+
+
+def fixed(x: Column, digits: int = 3) -> Column:
+    """A number with so many digits, rounded from its exact binary value (0.5385 is below the tie, so 0.538); null stays null.
+
+    The JVM's own formats round the shortest decimal form instead. Meant for the few rows of a report.
+    """
+
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if pd.isna(v) else f"{v:.{digits}f}").astype(object)
+
+    return F.pandas_udf(run, "string")(x.cast("double"))
+
+
 def show_score(x: Column) -> Column:
     """A score for a table: 0.00, <0.01, three digits below 0.1, else two."""
-    return F.when(x == 0, "0.00").when(x < 0.01, "<0.01").when(x < 0.1, F.format_string("%.3f", x)).otherwise(F.format_string("%.2f", x))
+    return F.when(x == 0, "0.00").when(x < 0.01, "<0.01").when(x < 0.1, fixed(x, 3)).otherwise(fixed(x, 2))
 
 
 def _row_by_row(scan: Callable[[str], str | None], code: Column) -> Column:

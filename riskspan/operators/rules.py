@@ -5,12 +5,24 @@ A rule base is small configuration, so it becomes columns of one projection: no
 
 from __future__ import annotations
 
+import re
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def well_formed(pattern: str, rule: str = "") -> bool:
+    """Whether a pattern compiles. One that does not is left out with a warning: a slip in the rule base must not stop a run."""
+    try:
+        re.compile(pattern)
+    except re.error as e:
+        warnings.warn(f"rule {rule}: pattern {pattern!r} is left out: {e}", stacklevel=3)
+        return False
+    return True
+
+
 @dataclass(frozen=True)
 class Rule:
     """One risk class. Literals are matched without case; patterns are regular expressions, also without case."""
@@ -29,6 +41,16 @@ class Rule:
     captures: tuple[str, ...] = ()
     hints: tuple[str, ...] = ()
     checks: tuple[str, ...] = field(default=())
+    title: str = ""
+    category: str = ""
+    scenario: str = ""
+    property: str = ""
+    evidence: str = ""
+    invariants: tuple[str, ...] = ()
+
+    def __post_init__(self) -> None:
+        for name in ("must_call_patterns", "must_lack_patterns", "must_have_patterns", "captures"):
+            object.__setattr__(self, name, tuple(p for p in getattr(self, name) if well_formed(p, self.id)))
 
     def terms(self) -> list[str]:
         """Retrieval terms; repeats stay. Terms lose brackets and blanks at their ends after empty ones are dropped."""
@@ -53,13 +75,6 @@ def _matches(code: Column, patterns: tuple[str, ...]) -> list[Column]:
     return [code.rlike(f"(?i){p}") for p in patterns]
 
 
-def _any(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out | c
-    return out
-
-
 def retrieve(texts: DataFrame, rules: list[Rule], code: str = "code", top_k: int = 4, min_score: float = 0.0, forced: tuple[str, ...] = ()) -> DataFrame:
     """The top_k classes of each text with a score above min_score, best first and by id on ties, then forced ones at score 0.
 
@@ -81,42 +96,73 @@ def retrieve(texts: DataFrame, rules: list[Rule], code: str = "code", top_k: int
     return out.select(*columns, F.col("_hit.class_id").alias("class_id"), F.abs("_hit.order").alias("score"), (F.col("_at") + 1).alias("rank"))
 
 
-def checks_of(rule: Rule, code: Column, low: Column) -> dict[str, Column]:
-    """The rule's conditions that exist: call, lack and have."""
-    out = {}
-    for name, literals, patterns in (("call", rule.must_call, rule.must_call_patterns), ("lack", rule.must_lack, rule.must_lack_patterns), ("have", rule.must_have, rule.must_have_patterns)):
-        found = _holds(low, literals) + _matches(code, patterns)
-        if found:
-            out[name] = ~_any(found) if name == "lack" else _any(found)
-    return out
+#: Kinds of conditions, and what their hits are called.
+_HITS = (("must_call", "must_call_hits"), ("must_lack", "guards_present"), ("must_have", "must_have_hits"))
+_STRINGS = "array<string>"
 
 
-def _verdict(rule: Rule, code: Column, low: Column) -> Column:
-    checks = checks_of(rule, code, low)
-    passed = F.lit(True)
-    for c in checks.values():
-        passed = passed & c
-    guards = F.array_compact(F.array(*[F.when(c, g) for g, c in zip((*rule.must_lack, *rule.must_lack_patterns), _holds(low, rule.must_lack) + _matches(code, rule.must_lack_patterns))], F.lit(None).cast("string")))
-    # The texts of a verdict.
-    said = F.concat_ws(
-        "; ",
-        F.when(~checks["call"], "no scenario call pattern found") if "call" in checks else F.lit(None),
-        F.when(~checks["lack"], F.concat(F.lit("guard present: "), F.array_join(F.slice(guards, 1, 4), ", "))) if "lack" in checks else F.lit(None),
-        F.when(~checks["have"], "required feature not found") if "have" in checks else F.lit(None),
-    )
-    captured = F.flatten(F.array(*[F.regexp_extract_all(code, F.lit(p), F.lit(1)) for p in rule.captures])) if rule.captures else F.array().cast("array<string>")
-    return F.struct(passed.alias("passed"), F.when(passed, "all static conditions satisfied").otherwise(said).alias("reason"), guards.alias("guards"), captured.alias("captured"))
+def _found(code: Column, low: Column, literals: tuple[str, ...], patterns: tuple[str, ...]) -> Column:
+    """Literals and, marked re:, patterns that the text holds, in their order; null if there are none to look for."""
+    marked = [*literals, *(f"re:{p}" for p in patterns)]
+    held = _holds(low, literals) + _matches(code, patterns)
+    return F.array_compact(F.array(*[F.when(c, m) for m, c in zip(marked, held, strict=True)])) if marked else F.lit(None).cast(_STRINGS)
 
 
-def confirm(pairs: DataFrame, rules: list[Rule], code: str = "code") -> DataFrame:
-    """Adds passed, reason, guards and captured to rows of a text and a class_id. Unknown classes get nulls; null text is empty."""
+def _seen(rule: Rule, code: Column, low: Column) -> Column:
+    """Everything the rule looks for in a text, each pattern once."""
+    parts = [_found(code, low, getattr(rule, kind), getattr(rule, f"{kind}_patterns")).alias(kind) for kind, _ in _HITS]
+    numbers = F.flatten(F.array(*[F.regexp_extract_all(code, F.lit(p), F.lit(1)) for p in rule.captures])) if rule.captures else F.array().cast(_STRINGS)
+    return F.struct(*parts, numbers.alias("numbers"), F.array(*map(F.lit, rule.checks)).cast(_STRINGS).alias("checks"))
+
+
+def confirm(pairs: DataFrame, rules: list[Rule], code: str = "code", analyser: str | None = None) -> DataFrame:
+    """Adds passed, reason, guards, captured, checks and hits to rows of a text and a class_id.
+
+    A condition with nothing to look for does not exist; passed: all that exist hold. checks tells of each condition whether it
+    holds, hits what was found. With `analyser`, a column of the external analyser's checks for the text, the rule's own checks
+    among them are recorded as slither; they do not gate. Unknown classes get nulls; null text is empty.
+    """
     columns = pairs.columns
     body = F.coalesce(F.col(code), F.lit(""))
-    verdict = F.lit(None)
+    seen = F.lit(None)
     for r in reversed(rules):
-        verdict = F.when(F.col("class_id") == r.id, _verdict(r, F.col("_body"), F.col("_lower"))).otherwise(verdict)
-    out = pairs.withColumns({"_body": body, "_lower": F.lower(body)}).withColumn("_verdict", verdict)
-    return out.select(*columns, "_verdict.passed", "_verdict.reason", "_verdict.guards", "_verdict.captured")
+        seen = F.when(F.col("class_id") == r.id, _seen(r, F.col("_body"), F.col("_lower"))).otherwise(seen)
+    out = pairs.withColumns({"_body": body, "_lower": F.lower(body)}).withColumn("_seen", seen)
+    known = F.col("_seen").isNotNull()
+    call, lack, have = (F.col(f"_seen.{kind}") for kind, _ in _HITS)
+    holds = {"must_call": F.size(call) > 0, "must_lack": F.size(lack) == 0, "must_have": F.size(have) > 0}
+    exists = {"must_call": call.isNotNull(), "must_lack": lack.isNotNull(), "must_have": have.isNotNull()}
+    passed = F.lit(True)
+    for kind, h in holds.items():
+        passed = passed & (~exists[kind] | h)
+    # The texts of a verdict.
+    said = F.concat_ws(
+        "; ",
+        F.when(exists["must_call"] & ~holds["must_call"], "no scenario call pattern found"),
+        F.when(exists["must_lack"] & ~holds["must_lack"], F.concat(F.lit("guard present: "), F.array_join(F.slice(lack, 1, 4), ", "))),
+        F.when(exists["must_have"] & ~holds["must_have"], "required feature not found"),
+    )
+    checks = [(kind, exists[kind], holds[kind]) for kind, _ in _HITS]
+    hits = [(name, exists[kind], F.col(f"_seen.{kind}")) for kind, name in _HITS] + [("numbers", F.size("_seen.numbers") > 0, F.col("_seen.numbers"))]
+    if analyser:
+        told = F.filter("_seen.checks", lambda c: F.array_contains(F.coalesce(F.col(analyser), F.array().cast(_STRINGS)), c))
+        asked = F.col(analyser).isNotNull() & (F.size("_seen.checks") > 0)
+        checks.append(("slither", asked, F.size(told) > 0))
+        hits.append(("slither_hits", asked, told))
+
+    def mapped(entries: list[tuple[str, Column, Column]], kind: str) -> Column:
+        cells = [F.when(there, F.struct(F.lit(name).alias("k"), value.alias("v")).cast(f"struct<k:string,v:{kind}>")) for name, there, value in entries]
+        return F.map_from_entries(F.array_compact(F.array(*cells)))
+
+    return out.select(
+        *columns,
+        F.when(known, passed).alias("passed"),
+        F.when(known, F.when(passed, "all static conditions satisfied").otherwise(said)).alias("reason"),
+        F.when(known, F.coalesce(lack, F.array().cast(_STRINGS))).alias("guards"),
+        F.col("_seen.numbers").alias("captured"),
+        F.when(known, mapped(checks, "boolean")).alias("checks"),
+        F.when(known, mapped(hits, _STRINGS)).alias("hits"),
+    )
 
 
 def all_pairs(texts: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -126,6 +172,7 @@ def all_pairs(texts: DataFrame, rules: list[Rule]) -> DataFrame:
 def static_baseline(texts: DataFrame, rules: list[Rule], code: str = "code", **options) -> DataFrame:
     """Retrieval and confirmation without a model: detected where the conditions hold, confidence and score 1 or 0."""
     out = confirm(retrieve(texts, rules, code, **options).withColumnRenamed("score", "retrieval_score"), rules, code)
+    out = out.drop("checks", "hits")
     sure = F.when(F.col("passed"), 1.0).otherwise(0.0)
     return out.withColumns({"detected": F.col("passed"), "confidence": sure, "score": sure})
 

@@ -117,19 +117,22 @@ def _defined(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x)
 
 
-def reasons(low: Column, growth: Column, backing: Column | None = None, imbalance: Column | None = None, tiers: dict[str, float] = TIERS) -> Column:
-    """Alert texts in a fixed order, without those that do not apply."""
-    level = F.coalesce(*[F.when(low < tiers[k], F.format_string(f"low %.4f below the {k} threshold", low)) for k in ("failure", "severe", "depeg")], F.lit(None))
-    parts = [level, F.when(_defined(growth) & (growth > 0.5), F.format_string("supply grew %+.1f%% in 24h", growth * 100))]
-    if backing is not None:
-        parts.append(F.when(_defined(backing) & (backing < 1.5), F.format_string("backing ratio %.2f", backing)))
-    if imbalance is not None:
-        parts.append(F.when(_defined(imbalance) & (imbalance > 0.7), F.format_string("pool imbalance %.0f%%", imbalance * 100)))
+def reasons(low: Column, growth: Column, backing: Column | None = None, imbalance: Column | None = None, tiers: dict[str, float] = TIERS, growth_alert: float = 0.5, backing_alert: float = 1.5, imbalance_alert: float = 0.7) -> Column:
+    """Alert texts in a fixed order, without those that do not apply. Undefined inputs (null or NaN) say nothing."""
+    nothing = F.lit(None).cast("double")
+    backing, imbalance = nothing if backing is None else backing, nothing if imbalance is None else imbalance
+    # The texts.
+    parts = [
+        F.when(low < tiers["depeg"], F.format_string(f"price touched %.4f (< {tiers['depeg']})", low)),
+        F.when(_defined(growth) & (growth > growth_alert), F.format_string("absorbing supply +%.1f%% in window", growth * 100)),
+        F.when(_defined(backing) & (backing < backing_alert), F.format_string(f"backing ratio %.2f < {backing_alert}", backing)),
+        F.when(_defined(imbalance) & (imbalance > imbalance_alert), F.format_string(f"pool imbalance %.0f%% > {imbalance_alert * 100:.0f}%%", imbalance * 100)),
+    ]
     return F.array_compact(F.array(*parts))
 
 
 def indicators(series: DataFrame, supply: DataFrame | None = None, tiers: dict[str, float] = TIERS, minutes: int = 1_440) -> DataFrame:
-    """Every sample with its rolling low, deviation from 1, as-of supply growth and state."""
+    """Every sample with its rolling low, deviation from 1, as-of supply growth and state; numbers have six digits, state has all."""
     out = rolling_low(series, minutes)
     if supply is None:
         out = out.withColumn("growth", F.lit(None).cast("double"))
@@ -139,7 +142,7 @@ def indicators(series: DataFrame, supply: DataFrame | None = None, tiers: dict[s
         known = known.select("series_id", "ts", F.struct("_g").alias("asof"), "_kind", F.lit(None).cast("double").alias("value"), F.lit(None).cast("double").alias("low"))
         rows = out.select("series_id", "ts", F.lit(None).cast("struct<_g:double>").alias("asof"), F.lit(1).alias("_kind"), "value", "low")
         out = as_of(known.unionByName(rows), "asof").where("_kind = 1").select("series_id", "ts", "value", "low", F.col("asof._g").alias("growth"))
-    return out.select("series_id", "ts", "value", F.round(F.abs(F.col("value") - 1), 6).alias("deviation"), "low", "growth", state_of(F.col("low"), F.col("growth"), tiers=tiers).alias("state"))
+    return out.select("series_id", "ts", "value", F.round(F.abs(F.col("value") - 1), 6).alias("deviation"), F.round("low", 6).alias("low"), F.round("growth", 6).alias("growth"), F.col("low").alias("low_raw"), F.col("growth").alias("growth_raw"), state_of(F.col("low"), F.col("growth"), tiers=tiers).alias("state"))
 
 
 def alerts(series: DataFrame, supply: DataFrame | None = None, tiers: dict[str, float] = TIERS, minutes: int = 1_440, warmup_hours: int = 24, every_minutes: int = 60) -> DataFrame:
@@ -158,7 +161,7 @@ def alerts(series: DataFrame, supply: DataFrame | None = None, tiers: dict[str,
     seen = indicators(series, supply, tiers, minutes).join(evaluated, ["series_id", "ts"]).withColumn("_chunk", F.floor(F.col("ts") / DAY))
     seen = with_previous(seen, ["series_id"], "ts", {"state": "before"}, "_chunk")
     fired = seen.where((F.col("state") != "normal") & (F.coalesce("before", F.lit("normal")) != F.col("state")))
-    return fired.select("series_id", "ts", "state", reasons(F.col("low"), F.col("growth"), tiers=tiers).alias("reasons"))
+    return fired.select("series_id", "ts", "state", reasons(F.col("low_raw"), F.col("growth_raw"), tiers=tiers).alias("reasons"))
 
 
 def lead_times(events: DataFrame, warned: DataFrame, lookback_minutes: int = 2_880) -> DataFrame:

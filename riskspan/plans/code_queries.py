@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -210,29 +210,43 @@ def class_table(spark, sf_dir):
 
 
 def json_repair(spark, sf_dir):
-    """Conversation turns inside a wordy reply, with a lesser object and a bracket in a string around the wanted one."""
-    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn")
-    reply = F.format_string('Notes {a note} and {"x": 1}, then {"conv": %d, "turn": %d, "why": "a } in text"} done', "conv_id", "turn")
-    return rows.select("conv_id", "turn", T.repair_json(reply).alias("object"))
+    """Conversation turns, whole, inside a wordy reply, with a lesser object around the wanted one."""
+    rows = _read(spark, sf_dir, "conversations")
+    wanted = F.to_json(F.struct("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), F.lit(' a } and a " in text')).alias("why")))
+    reply = F.concat(F.lit('Notes {a note} and {"x": 1}, then '), wanted, F.lit(" done {"))
+    fixed = T.repair_json(reply)
+    return rows.select("conv_id", "turn", F.get_json_object(fixed, "$.why").alias("why"), F.get_json_object(fixed, "$.turn").cast("bigint").alias("told"))
+
+
+def _flat(column: str, gone: str = "[\\r\\n]") -> Column:
+    return F.regexp_replace(F.coalesce(column, F.lit("")), gone, " ")
 
 
 def strip_comments(spark, sf_dir):
-    code = F.format_string('f(); // page %d\n/* two\nlines */ g("http://x"); a / b', "page_id")
+    """Pages, whole, in a line comment, in a string and in a block comment of one text."""
+    body = F.coalesce("html", F.lit(""))
+    code = F.concat(F.lit("f(); // "), _flat("html"), F.lit('\n"'), _flat("html", '[\\r\\n"\\\\]'), F.lit('"; /* '), F.replace(F.regexp_replace(body, "\r", ""), F.lit("*/"), F.lit("")), F.lit(" */ g(a / b);"))
     return _read(spark, sf_dir, "pages").select("page_id", T.strip_comments(code).alias("code"))
 
 
 def normalize_identifiers(spark, sf_dir):
-    code = F.format_string("uint total = page%d + total; return page%d;", "page_id", "page_id")
-    return _read(spark, sf_dir, "pages").select("page_id", T.normalize_identifiers(code).alias("code"))
+    """Identifiers of whole pages (their ASCII part): how many there are after renaming, and the text around them."""
+    name = r"\b[A-Za-z_][A-Za-z0-9_]{2,}\b"
+    plain = F.regexp_replace(F.coalesce("html", F.lit("")), r"[^\x00-\x7F]", " ")
+    out = T.normalize_identifiers(plain)
+    names = F.filter(F.array_distinct(F.regexp_extract_all(out, F.lit(name), F.lit(0))), lambda n: ~n.isin(T.RESERVED))
+    pages = _read(spark, sf_dir, "pages")
+    return pages.select("page_id", F.size(names).cast("bigint").alias("names"), F.md5(F.regexp_replace(out, name, "N")).alias("around"))
 
 
 def function_slices(spark, sf_dir):
-    """A contract for every page, cut into its functions."""
-    code = F.format_string('pragma solidity ^0.8.0;\ncontract C%d {\n  uint256 public rate = 0;\n  function only(uint a);\n  function pay%d(address to) public onlyOwner {\n    require(rate > 0, "}"); // } not an end\n    send(to, rate);\n  }\n}\n', "page_id", "page_id")
+    """A contract for every page, with the whole page in comments and in a string of its function, cut into its functions."""
+    head = F.format_string("pragma solidity ^0.8.0;\ncontract C%d {\n  uint256 public rate = 0;\n  function only(uint a);\n  function pay%d(address to) public onlyOwner {\n", "page_id", "page_id")
+    code = F.concat(head, F.lit("    // } "), _flat("html"), F.lit('\n    note("{'), _flat("html", '[\\r\\n"\\\\]'), F.lit('");\n    send(to, rate);\n  }\n}\n'))
     name = F.format_string("c%d.sol", "page_id")
     files = _read(spark, sf_dir, "pages").select(F.lit("pages").alias("protocol"), F.lit("study").alias("tier"), F.lit("solidity").alias("language"), name.alias("file"), code.alias("text"))
-    out = slicing.function_slices(files)
-    return out.select("file", "contract", "function", "signature", "start_line", "end_line", "state_vars", F.array_join("callees", ",").alias("callees"), "solc_version")
+    out = slicing.function_slices(files, max_tokens=10**9)
+    return out.select("file", "contract", "function", "signature", "start_line", "end_line", "state_vars", "modifiers", "n_chars", "solc_version")
 
 
 def _any_sql(code: list[str]) -> str:
@@ -244,7 +258,7 @@ def _rule_sql(r: R.Rule) -> dict[str, str]:
     has = lambda t: f"contains(low, '{t.lower()}')"
     rex = lambda p: f"regexp_matches(body, '{p}', 'i')"
     call = [*map(has, r.must_call), *map(rex, r.must_call_patterns)]
-    lack = dict(zip((*r.must_lack, *r.must_lack_patterns), [*map(has, r.must_lack), *map(rex, r.must_lack_patterns)], strict=True))
+    lack = dict(zip((*r.must_lack, *(f"re:{p}" for p in r.must_lack_patterns)), [*map(has, r.must_lack), *map(rex, r.must_lack_patterns)], strict=True))
     have = [*map(has, r.must_have), *map(rex, r.must_have_patterns)]
     hard = [_any_sql(call)] * bool(call) + [f"NOT {_any_sql(list(lack.values()))}"] * bool(lack) + [_any_sql(have)] * bool(have)
     guards = "concat_ws(', ', " + ", ".join([f"CASE WHEN {c} THEN '{g}' END" for g, c in lack.items()] or ["NULL"]) + ")"
@@ -338,8 +352,8 @@ ORACLE_SQL = {
         o AS (SELECT pt.protocol AS target_protocol, kb.class_id AS target_class, po.*, row_number() OVER (PARTITION BY pt.protocol, kb.class_id, kind ORDER BY po.class_id <> kb.class_id, po.class_id, po.protocol, signature) AS k FROM pt, {_DIM}, po WHERE po.protocol <> pt.protocol)
         SELECT target_protocol, target_class, kind, class_id, protocol, signature FROM o WHERE k = 1""",
     "class_table": f"WITH {_ALL}, s AS ({_PC}) SELECT class_id, severity, layer, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn, {', '.join(_SHOW.format(c) for c in ('precision', 'recall', 'f1'))} FROM {_DIM} LEFT JOIN s USING (class_id)",
-    "json_repair": """SELECT conv_id, turn, '{"conv": ' || conv_id || ', "turn": ' || turn || ', "why": "a } in text"}' AS object FROM conversations""",
-    "strip_comments": """SELECT page_id, 'f();' || chr(10) || chr(10) || ' g("http://x"); a / b' AS code FROM pages""",
-    "normalize_identifiers": "SELECT page_id, 'uint id000 = id001 + id000; return id001;' AS code FROM pages",
-    "function_slices": """SELECT 'c' || page_id || '.sol' AS file, 'C' || page_id AS contract, 'pay' || page_id AS function, 'pay' || page_id || '(address to)' AS signature, 5::BIGINT AS start_line, 8::BIGINT AS end_line, 'uint256 public rate = 0;' AS state_vars, 'pay' || page_id || ',send' AS callees, '^0.8.0' AS solc_version FROM pages""",
+    "json_repair": """SELECT conv_id, turn, coalesce(text, '') || ' a } and a " in text' AS why, turn::BIGINT AS told FROM conversations""",
+    "strip_comments": r"""WITH p AS (SELECT page_id, regexp_replace(coalesce(html, ''), '[\r\n"\\]', ' ', 'g') AS s, replace(regexp_replace(coalesce(html, ''), '\r', '', 'g'), '*/', '') AS b FROM pages) SELECT page_id, 'f();' || chr(10) || '"' || s || '";' || CASE WHEN contains(b, chr(10)) THEN repeat(chr(10), (length(b) - length(replace(b, chr(10), '')))::INT) || ' g(a / b);' ELSE '  g(a / b);' END AS code FROM p""",
+    "normalize_identifiers": r"""WITH p AS (SELECT page_id, regexp_replace(coalesce(html, ''), '[^\x00-\x7F]', ' ', 'g') AS t FROM pages) SELECT page_id, len(list_filter(list_distinct(regexp_extract_all(t, '\b[A-Za-z_][A-Za-z0-9_]{2,}\b')), lambda n: n NOT IN (""" + ", ".join(f"'{w}'" for w in T.RESERVED) + r""")))::BIGINT AS names, md5(regexp_replace(t, '\b[A-Za-z_][A-Za-z0-9_]{2,}\b', 'N', 'g')) AS around FROM p""",
+    "function_slices": r"""SELECT 'c' || page_id || '.sol' AS file, 'C' || page_id AS contract, 'pay' || page_id AS function, 'pay' || page_id || '(address to)' AS signature, 5::BIGINT AS start_line, 9::BIGINT AS end_line, 'uint256 public rate = 0;' AS state_vars, '' AS modifiers, (length('  function pay' || page_id || '(address to) public onlyOwner {') + 10 + 8 + length(coalesce(html, '')) * 2 + 3 + 4 + 24)::BIGINT AS n_chars, '^0.8.0' AS solc_version FROM pages""",
 }

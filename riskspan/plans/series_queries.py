@@ -162,7 +162,7 @@ ORACLE_SQL = {
         SELECT series_id, kind AS threshold, coalesce(events, 0)::BIGINT AS events, coalesce(minutes, 0)::BIGINT AS minutes, min_value FROM (SELECT DISTINCT series_id FROM s) CROSS JOIN t_ep LEFT JOIN c ON c.series_id = s.series_id AND c.threshold = kind""".replace("(SELECT DISTINCT series_id FROM s) CROSS JOIN t_ep LEFT JOIN c ON c.series_id = s.series_id AND c.threshold = kind", "(SELECT DISTINCT series_id, kind FROM s, t_ep) LEFT JOIN (SELECT series_id, threshold AS kind, events, minutes, min_value FROM c) USING (series_id, kind)"),
     "rolling_min_state": f"WITH {_S}, {_LOW} SELECT series_id, ts, value, low, round(abs(value - 1), 6) AS deviation, {_STATE} AS state FROM lo",
     "supply_growth_asof": f"WITH {_S}, {_SUP} SELECT * FROM gr",
-    "early_warning_alerts": f"""WITH {_S}, {_G}, {_AL} SELECT series_id, ts, state, concat_ws('; ', CASE WHEN low < 5.0 THEN printf('low %.4f below the failure threshold', low) WHEN low < 10.0 THEN printf('low %.4f below the severe threshold', low) WHEN low < 35.0 THEN printf('low %.4f below the depeg threshold', low) END, CASE WHEN growth > 0.5 THEN printf('supply grew %+.1f%% in 24h', growth * 100) END) AS reasons FROM al""",
+    "early_warning_alerts": f"""WITH {_S}, {_G}, {_AL} SELECT series_id, ts, state, concat_ws('; ', CASE WHEN low < 35.0 THEN printf('price touched %.4f (< 35.0)', low) END, CASE WHEN growth > 0.5 THEN printf('absorbing supply +%.1f%% in window', growth * 100) END) AS reasons FROM al""",
     "lead_time": f"WITH {_S}, {_G}, {_LT} SELECT * FROM lt",
     "lead_time_pooled": f"WITH {_S}, {_G}, {_LT} SELECT {_LS}",
     "lead_time_by_series": f"WITH {_S}, {_G}, {_LT} SELECT series_id, {_LS} GROUP BY series_id",

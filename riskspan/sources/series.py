@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,12 +47,36 @@ def normalise_epoch(raw: Column) -> Column:
 
 
 def parse_klines(lines: DataFrame, series_id: str) -> DataFrame:
-    """Minute klines, one CSV line in `value`: field 0 is the open time, field 4 the close; header and bad lines are skipped."""
+    """Minute klines, one CSV line in `value`: field 0 is the open time, field 4 the close; header and bad lines are skipped.
+
+    Times may have a fraction or an exponent; they are cut to whole numbers.
+    """
     parts = F.split("value", ",")
-    rows = lines.select(F.try_element_at(parts, F.lit(1)).try_cast("bigint").alias("raw"), F.try_element_at(parts, F.lit(5)).try_cast("double").alias("value")).dropna()
+    raw = F.try_element_at(parts, F.lit(1)).try_cast("double").try_cast("bigint")
+    rows = lines.select(raw.alias("raw"), F.try_element_at(parts, F.lit(5)).try_cast("double").alias("value")).dropna()
     return dedup(rows.select(F.lit(series_id).alias("series_id"), normalise_epoch(F.col("raw")).alias("ts"), "value"))
 
 
+def read_kline_archives(spark: SparkSession, path: str) -> DataFrame:
+    """Lines (archive, value) of the CSV members of all ZIP files below a folder; damaged archives give none."""
+    import io
+    import zipfile
+
+    def lines(batches):
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                        members = [archive.read(m).decode("utf-8", "replace").splitlines() for m in archive.namelist() if m.endswith(".csv")]
+                except zipfile.BadZipFile:
+                    continue
+                for member in members:
+                    yield pd.DataFrame({"archive": name, "value": member})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(path)
+    return files.select("path", "content").mapInPandas(lines, "archive string, value string")
+
+
 def parse_prices(documents: DataFrame, series_id: str) -> DataFrame:
     """Hourly prices from {"coins": {name: {"prices": [{"timestamp", "price"}]}}} in `value`; the first coin counts."""
     parsed = F.from_json("value", "coins map<string, struct<prices: array<struct<timestamp: bigint, price: double>>>>")
@@ -79,14 +104,6 @@ def prefer_finest(series: DataFrame) -> DataFrame:
     return series.join(best, ["series_id", "resolution"])
 
 
-def scorable(specs: DataFrame, series: DataFrame) -> DataFrame:
-    """Protocol specs (protocol, peg_target, series_id) with the reason why a series is not scored; null: scored."""
-    counts = series.groupBy("series_id").count()
-    joined = specs.join(counts, "series_id", "left")
-    reason = F.when(F.col("peg_target").isNull() | (F.col("peg_target") != "usd"), "peg is not usd").when(F.col("series_id").isNull(), "no series").when(F.coalesce("count", F.lit(0)) == 0, "empty series")
-    return joined.select("protocol", "peg_target", "series_id", reason.alias("reason"))
-
-
 def synthetic_minutes(spark: SparkSession, days: int = 8, seed: int = 7, start: int = 1_651_881_600, series_id: str = "demo") -> DataFrame:
     """A seeded minute series in four regimes: calm, drift, break, collapse."""
     n = days * 1_440

@@ -116,7 +116,7 @@ def test_small_functions(spark):
         T.prompt_context(F.lit("s"), F.lit(""), F.array(F.lit("b"), F.lit("a"), F.lit("b"))).alias("some"), T.show_score(F.lit(0.004)).alias("low"), T.show_score(F.lit(0.05)).alias("mid"), T.show_score(F.lit(0.5)).alias("high"),
         T.path_contains(F.lit("A\\b/C.sol"), F.lit("a/B")).alias("path"),
     ).first()
-    assert tuple(row) == (True, False, "(none extracted)", "s\n\na, b", "<0.01", "0.050", "0.50", True)
+    assert tuple(row) == (True, False, "(none extracted)", "// state variables\ns\n\n// callees: a, b", "<0.01", "0.050", "0.50", True)
 
 
 def test_skips_cache_and_integrity(spark):

@@ -1,10 +1,10 @@
-"""Episodes on hand-made series: dips, holes and hourly prints."""
+"""Episodes on hand-made series: dips, holes and slow prints."""
 
 import pytest
 
 from riskspan.operators import series as S
 
-T0 = 1_650_000_000
+T0 = 1_700_006_400
 
 
 def _series(spark, values, step=60, at=None):
@@ -13,24 +13,38 @@ def _series(spark, values, step=60, at=None):
 
 
 @pytest.mark.parametrize(
-    "values, step, least, found",
+    "low, before, dip, after, step, least, found",
     [
-        ([1] * 10 + [0.985] * 3 + [1] * 10, 60, 1, 0),
-        ([1] * 10 + [0.985] * 8 + [1] * 10, 60, 1, 1),
-        ([1, 1, 0.98, 1, 1], 3600, 1, 1),
-        ([1, 1, 0.98, 1, 1], 3600, 2, 0),
-        ([1, 0.98, 0.97, 1], 3600, 2, 1),
+        (0.97, 4, 4, 6, 60, 1, 0),  # four minutes are under the five that count
+        (0.97, 4, 5, 6, 60, 1, 1),
+        (0.99, 4, 9, 6, 60, 1, 0),  # not below the threshold
+        (0.5, 2, 1, 3, 7_200, 1, 1),  # one print every two hours
+        (0.5, 2, 1, 3, 7_200, 2, 0),
+        (0.5, 0, 2, 0, 7_200, 2, 1),  # the whole series
     ],
 )
-def test_episode_counts(spark, values, step, least, found):
-    assert S.episodes(_series(spark, values, step), {"depeg": 0.99}, 5, least).count() == found
+def test_a_dip_counts_by_its_minutes_and_samples(spark, low, before, dip, after, step, least, found):
+    values = [1.002] * before + [low] * dip + [1.001] * after
+    out = S.episodes(_series(spark, values, step), {"depeg": 0.99}, 5, least).collect()
+    assert len(out) == found and all((r["samples"], r["min_value"]) == (dip, low) for r in out)
 
 
 def test_a_hole_in_the_data_ends_an_episode(spark):
-    at = [T0 + i * 60 for i in range(6)] + [T0 + 3 * 86_400 + i * 60 for i in range(7)]
-    out = S.episodes(_series(spark, [0.97] * 12 + [1.0], at=at), {"depeg": 0.99}, 5, 1).collect()
-    assert len(out) == 2 and all(r["duration_min"] < 60 for r in out)
+    at = [T0 + 60 * i for i in range(8)] + [T0 + 40_000 + 60 * i for i in range(9)]
+    out = S.episodes(_series(spark, [0.9] * 17, at=at), {"depeg": 0.99}, 5, 1).collect()
+    assert sorted((r["start_ts"], r["samples"]) for r in out) == [(T0, 8), (T0 + 40_000, 9)]
 
 
 def test_empty_series(spark):
     assert S.episodes(_series(spark, []), {"depeg": 0.99}, 5, 1).count() == 0
+
+
+def test_alert_texts(spark):
+    from pyspark.sql import functions as F
+
+    cases = [(0.7512, 0.61, 1.234, 0.81), (0.995, float("nan"), None, 0.7), (0.95, 0.5, 1.5, float("nan"))]
+    df = spark.createDataFrame(cases, "low double, growth double, backing double, share double")
+    got = [r[0] for r in df.select(S.reasons(F.col("low"), F.col("growth"), F.col("backing"), F.col("share"))).collect()]
+    assert got == [["price touched 0.7512 (< 0.99)", "absorbing supply +61.0% in window", "backing ratio 1.23 < 1.5", "pool imbalance 81% > 70%"], [], ["price touched 0.9500 (< 0.99)"]]
+    state = [r[0] for r in df.select(S.state_of(F.col("low"), F.col("growth"), F.col("backing"))).collect()]
+    assert state == ["collapse", "normal", "stressed"]
