@@ -4,8 +4,10 @@ import hashlib
 import json
 import os
 import random
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from riskspan.operators import model, tables
@@ -14,6 +16,8 @@ from riskspan.operators import rules as R
 from riskspan.operators import series as S
 from riskspan.streaming import series as live
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks do not import test modules
+
 
 class Scripted:
     """A provider that answers by a function of the prompt; limits and failures as asked."""
