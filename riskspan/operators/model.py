@@ -19,7 +19,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import prompt_key, repair_json, reply_fields
@@ -133,6 +134,17 @@ def complete(providers: list, system: str, user: str, temperature: float, retrie
     return Reply("", "none", "none", error)
 
 
+def _known(spark: SparkSession, cache: str | None) -> DataFrame:
+    """Good replies of earlier runs, one for each key; none without a cache or before its first run."""
+    try:
+        found = spark.read.schema(REPLIES).option("recursiveFileLookup", "true").parquet(cache) if cache else None
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        found = None
+    return spark.createDataFrame([], REPLIES) if found is None else found.where("error = ''").dropDuplicates(["key"])
+
+
 def ask(prompts: DataFrame, providers: list, cache: str | None = None, retries: int = 4, backoff: float = 2.0, fail_fast: int = 8) -> DataFrame:
     """Adds text, provider, model, error and cached to prompts (system, user, temperature).
 
@@ -147,10 +159,8 @@ def ask(prompts: DataFrame, providers: list, cache: str | None = None, retries:
     columns = prompts.columns
     keyed = prompts.withColumn("_key", prompt_key(F.lit(usable[0].name), F.col("system"), F.col("user"), F.col("temperature")))
     asked = keyed.select("_key", "system", "user", "temperature").dropDuplicates(["_key"])
-    known = spark.createDataFrame([], REPLIES)
-    if cache and os.path.isdir(cache) or cache and "://" in cache:
-        known = spark.read.schema(REPLIES).parquet(cache).where("error = ''").dropDuplicates(["key"])
-        asked = asked.join(known.select("key"), F.col("_key") == F.col("key"), "left_anti")
+    known = _known(spark, cache)
+    asked = asked.join(known.select("key"), F.col("_key") == F.col("key"), "left_anti")
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         good = bad = 0
