@@ -68,20 +68,31 @@ def _fit(level: DataFrame) -> tuple[float, float]:
     return mean, 1 / rho - 1
 
 
-def reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
+def hierarchy(host: Column, suffixes: tuple[str, ...] = ()) -> tuple[Column, Column]:
+    """Registered domain and public suffix of a host, without its port. The suffix is the longest of `suffixes` (such as
+    "co.uk") that the host ends with, else the last label; the domain has one label more, if there is one."""
+    labels = F.split(F.regexp_replace(host, ":[0-9]*$", ""), r"\.")
+    size = F.lit(1)
+    for s in sorted(suffixes, key=lambda s: s.count(".")):
+        size = F.when(F.concat(F.lit("."), F.array_join(labels, ".")).endswith("." + s), s.count(".") + 1).otherwise(size)
+    last = lambda n: F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n), ".")
+    return last(size + 1), last(size)
+
+
+def reputation(outcomes: DataFrame, z: float = 1.645, suffixes: tuple[str, ...] = ()) -> DataFrame:
     """Posterior reputation of every host of `outcomes` (host, good): host, domain, suffix, n, k, mean, low, high.
 
-    `good` is true, false or null (not labelled). Rates shrink from host to registered domain (last two labels) to suffix
-    (last label) to the overall mean; each level's prior strength is fitted to the spread of the level below it. low and
-    high are mean -/+ z standard deviations of the host's beta posterior. Null hosts count as the empty host.
+    `good` is true, false or null (not labelled). Rates shrink from host to registered domain to suffix (see hierarchy()) to
+    the overall mean; each level's prior strength is fitted to the spread of the level below it. low and high are mean -/+ z
+    standard deviations of the host's beta posterior: a normal approximation, as SQL has no beta quantile to compare with.
+    Null hosts count as the empty host. An empty table gives an empty result.
     """
-    labels = F.split("host", r"\.")
+    domain, suffix = hierarchy(F.col("host"), suffixes)
     hosts = (
         outcomes.select(F.coalesce("host", F.lit("")).alias("host"), F.col("good").cast("int").alias("g"))
         .groupBy("host")
         .agg(F.count("g").alias("n"), F.coalesce(F.sum("g"), F.lit(0)).alias("k"))
-        .withColumn("suffix", F.element_at(labels, -1))
-        .withColumn("domain", F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2)))
+        .withColumns({"domain": domain, "suffix": suffix})
     )
     hosts = materialise(hosts, "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
@@ -100,19 +111,21 @@ def reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     return scored.select("host", "domain", "suffix", "n", "k", "mean", (F.col("mean") - z * sd).alias("low"), (F.col("mean") + z * sd).alias("high"))
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, outcomes: DataFrame | None = None, threshold: float = 0.5, id_col: str = "page_id") -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, outcomes: DataFrame | None = None, threshold: float = 0.5, id_col: str = "page_id", suffixes: tuple[str, ...] = ()) -> DataFrame:
     """Verdict for every page: the longest fitting rule's, else block where the host's posterior upper bound is below
     `threshold` (surely bad), else allow.
 
-    Labelled outcomes are `outcomes` (host, good) or, without them, the pages that a rule decides. Null URLs have an empty
-    host and path and are judged by the empty host's posterior. Repeated rows are judged each; other columns are ignored.
+    Labelled outcomes are `outcomes` (host, good) or, without them, the pages that a rule decides: reputation then says how
+    the rules judged a host's other pages, nothing beyond them. Null URLs have an empty host and path and are judged by the
+    empty host's posterior. Repeated rows are judged each, null ids too; other columns are ignored, whatever their names. An
+    empty table gives an empty result.
     """
     host, path = split_url(F.col("url"))
     pages = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     name, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     pages = pages.select("*", name.alias("rule"), verdict.alias("_v"))
     seen = outcomes if outcomes is not None else pages.select("host", (F.col("_v") == "allow").alias("good"))
-    scores = reputation(seen).select(F.col("host").alias("_h"), "high", "mean")
+    scores = reputation(seen, suffixes=suffixes).select(F.col("host").alias("_h"), "high", "mean")
     joined = pages.join(scores, F.col("host") == F.col("_h"), "left")
     own = F.when(F.col("high") < threshold, "block").otherwise("allow")
     return joined.select("page_id", "host", "path", "rule", F.coalesce("_v", own).alias("verdict"), F.col("mean").alias("reputation"))
@@ -129,8 +142,8 @@ parts AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*
 rules(rh, rp, rv) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
 ruled AS (SELECT page_id, host, path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(rv, length(rh || rp)) AS rv
           FROM parts LEFT JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY ALL),
-h AS (SELECT host, list_extract(string_split(host, '.'), -1) AS suffix,
-             CASE WHEN contains(host, '.') THEN regexp_extract(host, '([^.]*\.[^.]*)$', 1) ELSE host END AS domain,
+h AS (SELECT host, list_extract(string_split(regexp_replace(host, ':[0-9]*$', ''), '.'), -1) AS suffix,
+             CASE WHEN contains(host, '.') THEN regexp_extract(regexp_replace(host, ':[0-9]*$', ''), '([^.]*\.[^.]*)$', 1) ELSE regexp_replace(host, ':[0-9]*$', '') END AS domain,
              count(rv)::DOUBLE AS n, count(*) FILTER (rv = 'allow')::DOUBLE AS k FROM ruled GROUP BY ALL),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY ALL),

@@ -12,7 +12,7 @@ def test_stages_act_on_what_is_left(spark):
     one = corpus_pipeline.quality_classifier(spark, docs, SF)
     assert one.columns == columns and sorted(r["doc_id"] for r in one.collect()) == sorted(kept) and 0 < len(kept) < docs.count()
     two = corpus_pipeline.near_duplicates(spark, one, SF)
-    firsts = [r["doc_id"] for r in near_dedup.near_duplicates(one).where("kept").collect()]
+    firsts = [r["doc_id"] for r in near_dedup.near_duplicates(one, corpus_pipeline.SIMILAR).where("kept").collect()]
     assert two.columns == columns and sorted(r["doc_id"] for r in two.collect()) == sorted(firsts)
     three = corpus_pipeline.decontamination(spark, two, SF)
     clean = decontam.decontaminate(two, spark.read.parquet(f"{SF}/benchmark.parquet"), ["doc_id"]).where("not contaminated")
