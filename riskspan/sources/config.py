@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 from typing import Any
 
-import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +18,8 @@ def read_yaml(path: str) -> dict:
     """A YAML file's mapping; empty without the file or without content."""
     if not os.path.exists(path):
         return {}
+    import yaml  # only where a file is read
+
     with open(path, encoding="utf-8") as f:
         return yaml.safe_load(f) or {}
 
