@@ -1,7 +1,8 @@
 """Secret scans, with DataFrame functions only.
 
 Base patterns find assignments, access keys and long hexadecimal runs. Two character Markov models, of random strings and of
-ordinary identifiers, then compare the log-likelihood of every longer token: a ratio above the threshold is a secret too.
+ordinary identifiers, then compare the log-likelihood of every token of eight characters or more: a ratio above the threshold
+for its length is a secret too.
 The models are tables of character pairs, counted from labelled samples and read as literals by an expression.
 """
 
@@ -21,11 +22,13 @@ PATTERNS = {
     "hex": r"[0-9a-f]+",
 }
 LEAST = {"assign": 6, "access": 20, "hex": 24}
-#: Tokens that the models compare: at least 16 characters, a digit and a letter among them.
-TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}"
+#: Tokens that the models compare: at least 8 characters, of whatever kinds.
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{8,}"
 KINDS = ("assign", "access", "hex", "markov")
-#: Bits of evidence per character pair above which a token counts as random.
+#: Evidence above which a token counts as random: bits per character pair, and bits in all. The second is what outweighs the
+#: odds of one secret in 65,536 tokens, so short tokens need more bits per pair than long ones.
 THRESHOLD = 0.5
+BITS = 16.0
 #: Documents whose words are the sample of ordinary identifiers, at most, unless the caller says otherwise.
 SAMPLE = 2_000
 _CODES = 128
@@ -168,18 +171,24 @@ def _apart(tokens: Column, base: Column) -> Column:
     return F.when((F.size(tokens) == 0) | (F.size(base) == 0), tokens).otherwise(_let(both, alone))
 
 
-def find(docs: DataFrame, ratios: list[float], keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
+def find(docs: DataFrame, ratios: list[float], keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD, bits: float = BITS) -> DataFrame:
     """The `keep` columns and all spans of secrets: assign, access, hex, markov (arrays of start, end, match).
 
-    Null and empty texts have none. Markov spans are tokens with evidence above `threshold` that no base span overlaps.
+    Null and empty texts have none. Markov spans are tokens with evidence above `threshold` per character pair and `bits` in
+    all that no base span overlaps. Only texts with such a token are searched for its place.
     Repeated rows are scanned each; an empty table gives an empty result. Work grows a little faster than the length of a text
     or token, never with its square. Kept columns named like a result would give two columns of that name.
     """
     text = F.coalesce("text", F.lit(""))
     base = docs.select(*[F.col(c).alias(f"_keep_{c}") for c in keep], text.alias("_t"), *[base_spans(text, k).alias(k) for k in KINDS[:3]])
-    tokens = F.filter(_spans(F.col("_t"), TOKEN), lambda s: evidence(s["m"], ratios) > threshold)
+
+    def is_random(token: Column) -> Column:
+        return evidence(token, ratios) > F.greatest(F.lit(threshold), bits / F.length(token))
+
+    some = F.exists(F.array_distinct(F.regexp_extract_all("_t", F.lit(TOKEN), F.lit(0))), is_random)
+    tokens = F.filter(_spans(F.col("_t"), TOKEN), lambda s: is_random(s["m"]))
     tokens = _let(tokens, lambda t: _apart(t, F.concat("assign", "access", "hex")))
-    found = base.withColumn("markov", F.when(F.col("_t").rlike(TOKEN), tokens).otherwise(F.array().cast(_EMPTY)))
+    found = base.withColumn("markov", F.when(some, tokens).otherwise(F.array().cast(_EMPTY)))
     return found.select(*[F.col(f"_keep_{c}").alias(c) for c in keep], *KINDS)
 
 

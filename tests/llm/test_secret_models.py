@@ -25,7 +25,7 @@ def plain_markov(text, ratio, base):
     out = []
     for m in re.finditer(secrets.TOKEN, text):
         bits = sum(ratio(ord(a), ord(b)) for a, b in zip("\0" + m[0], m[0], strict=False)) / len(m[0])
-        if bits > secrets.THRESHOLD and not any(s < m.end() and m.start() < e for s, e in base):
+        if bits > max(secrets.THRESHOLD, secrets.BITS / len(m[0])) and not any(s < m.end() and m.start() < e for s, e in base):
             out.append((m.start(), m.end()))
     return out
 
@@ -34,7 +34,7 @@ def test_markov_spans_equal_a_plain_model(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rng = random.Random(1)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    random_ones = [f"see {''.join(rng.choices(letters, k=rng.randint(16, 40)))} and {'x' * 20}1 ümlaut 🙂 {''.join(rng.choices(letters, k=24))}" for _ in range(60)]
+    random_ones = [f"see {''.join(rng.choices(letters, k=rng.randint(8, 40)))} and {'x' * 20}1 ümlaut 🙂 {''.join(rng.choices(letters, k=24))}" for _ in range(60)]
     docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(random_ones)], "doc_id long, text string"))
     chosen = secrets.samples(docs).collect()
     ratio = plain_ratios([(r["token"], r["random"]) for r in chosen])
@@ -48,6 +48,22 @@ def test_markov_spans_equal_a_plain_model(spark):
     assert n > 50
 
 
+def test_letters_alone_and_short_tokens_are_compared(spark):
+    """Random strings of letters alone, and of twelve characters, are found; words, long compounds and plain numbers are not."""
+    rng = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = "information Donaudampfschifffahrtsgesellschaft configuration_settings 9914969043960559 understanding"
+    labelled = [("".join(rng.choices(letters, k=24)), True) for _ in range(2_000)]
+    corpus = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    plain = secrets.samples(corpus).where("not random").select("token", "random")
+    ratios = secrets.train(plain.unionByName(spark.createDataFrame(labelled, "token string, random boolean")))
+    docs = [(k, f"use {''.join(rng.choices(letters[:52], k=24))} or {''.join(rng.choices(letters, k=12))} now") for k in range(200)]
+    docs.append((-1, words))
+    found = {r["doc_id"]: len(r["markov"]) for r in secrets.find(spark.createDataFrame(docs, "doc_id long, text string"), ratios).collect()}
+    assert found.pop(-1) == 0
+    assert sum(found.values()) >= 0.9 * 2 * len(found)
+
+
 def test_long_tokens_and_many_matches_take_seconds(spark):
     rng = random.Random(2)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
