@@ -7,9 +7,10 @@ that no such run exists is about 5e-7, and none for sets of up to 32 shingles; l
 document with a common passage into one list.) At a similarity of 0.80 the keys are two consecutive values (about 8e-10).
 
 1. Every class is compared with the hub of its lists, once, and verified links are joined to components.
-2. Lists that still hold several components are searched for all links between different components. How many shingles of a
-   class no other listed class has bounds what it can share, the union of both sketches estimates it, and the pairs left are
-   verified on the full sets where they are found: no candidate pair is written or shuffled.
+2. Classes of lists that still hold several components are searched for all links between different components. How many
+   shingles of a class no other such class has bounds what it can share. The classes left meet in the lists of their rarest
+   shingles (see _rarest()), the union of both sketches estimates each pair, and those left are verified on the full sets where
+   they are found: no candidate pair is written or shuffled.
 Lists are never cut: long ones are searched in blocks of bounded size, by many tasks.
 """
 
@@ -19,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.window import Window
 
 from .bitmap import build, test
 from .common import materialise, mix, scan_words, slices, starts_of, table, text_bytes, window_hashes
@@ -246,6 +248,21 @@ def _search(t: pa.Table, percent: int, least: int) -> pa.Table:
     return pa.table({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
 
 
+def _rarest(live: DataFrame, need: Column) -> DataFrame:
+    """Inverted lists of the classes' rarest shingles: key (the shingle), class, n, m, comp.
+
+    Shingles are ordered by how many classes hold them, those of one component first, then by value. Of two sets with `need`
+    shingles in common, each has one of these among its n - need + 1 first ones, so these lists lose no pair, and a passage that
+    many classes hold makes no list where the classes have rarer shingles. A shingle of one component lists nothing, but takes
+    its place among the first ones. m counts the others: all that a class can share with one of another component.
+    """
+    spread = live.select("class", "n", "comp", F.explode("shingles").alias("key"))
+    across = spread.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "c")
+    of_class = Window.partitionBy("class")
+    ranked = spread.join(across, "key").withColumns({"m": F.count(F.lit(1)).over(of_class), "place": F.row_number().over(of_class.orderBy("c", "key"))})
+    return ranked.where(F.col("place") <= F.col("m") - need + 1).select("key", "class", "n", "m", "comp")
+
+
 def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sketch rows of all documents, and one row per class of equal sets: class (its least id), n, sketch."""
     rows = materialise(docs.select("doc_id", "text").mapInArrow(_sketches, SKETCH), "sketches")
@@ -288,18 +305,19 @@ def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # Lists that hold several components.
     held = lists.join(comp, "class", "left").select("key", "class", "n", F.coalesce("comp", "class").alias("comp"))
     open_ = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    held = materialise(held.join(open_, "key"), "open-lists")
-    left = held.select("class", "n").distinct()
-    alone = sets.join(left, "class", "left_semi").select("class", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("class").alias("class")).where("c = 1")
+    left = held.join(open_, "key").select("class", "n", "comp").distinct()
+    left = materialise(left.join(sets, "class"), "open-classes")
+    alone = left.select("class", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("class").alias("class")).where("c = 1")
     alone = alone.groupBy("class").agg(F.count(F.lit(1)).alias("u"))
-    live = left.join(alone, "class", "left").select("class", (F.col("n") - F.coalesce("u", F.lit(0))).alias("m")).where(100 * F.col("m") >= percent * F.col("n"))
-    held = materialise(held.join(live, "class"), "live-lists")
+    need = F.expr(f"({percent} * n + 99) div 100")  # shingles that a class shares with any class it links to
+    live = materialise(left.join(alone, "class", "left").where(F.col("n") - F.coalesce("u", F.lit(0)) >= need).select(*left.columns), "live-classes")
+    held = materialise(_rarest(live, need), "live-lists")
     sizes = held.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "size")
     held = materialise(held.join(sizes, "key"), "live-lists")
     # A class's home is a block of its largest list. Blocks that meet in a list are searched by one task for each pair of them.
     home = held.groupBy("class", "n", "m", "comp").agg(F.max(F.struct("size", "key")).alias("h"), F.collect_set("key").alias("keys"))
     home = home.select("class", "n", "m", "comp", "keys", F.xxhash64("h.key", F.pmod(F.xxhash64("class"), F.ceil(F.col("h.size") / BLOCK))).alias("home"))
-    home = materialise(home.join(sets, "class"), "homes")
+    home = materialise(home.join(live.select("class", "shingles"), "class"), "homes")
     meets = held.select("key", "class").join(home.select("class", "home"), "class").select("key", "home").distinct()
     cells = meets.select("key", F.col("home").alias("i")).join(meets.select("key", F.col("home").alias("j")), "key").where("i <= j").select("i", "j").distinct()
     sides = cells.select("i", "j", F.col("i").alias("home"), F.lit(0).alias("side")).unionByName(cells.where("i < j").select("i", "j", F.col("j").alias("home"), F.lit(1).alias("side")))

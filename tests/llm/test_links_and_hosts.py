@@ -1,4 +1,4 @@
-"""op6's components beyond one task and its chances of a lost link; op5's hierarchy of hosts."""
+"""op6's components beyond one task, its lists and its chances of a lost link; op5's hierarchy of hosts."""
 
 import random
 
@@ -47,6 +47,46 @@ def test_links_at_the_threshold_are_found(percent):
     assert (lost, dropped) == (0, 0)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_forms_of_one_template_equal_all_pairs(spark, percent, monkeypatch):
+    """Filled-in forms of one long template, most of them a little under the limit: open lists, searched in several blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 20)
+    rng = random.Random(percent)
+    base, texts = [f"t{i}" for i in range(300)], []
+    for _ in range(150):
+        words, at = list(base), rng.randrange(200)
+        for p in rng.sample(range(300), rng.choice([0, 2, 4, 5, 6, 8])):
+            words[p] = f"z{rng.randrange(40)}"
+        words[at : at + rng.choice([0, 5, 12])] = [f"own{rng.randrange(30)}"] * rng.randrange(3)
+        texts.append(" ".join(words))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+    least = list(range(len(sets)))
+    for _ in sets:
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+    assert 1 < len(set(least)) < len(sets)
+    out = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), percent).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == dict(enumerate(least))
+
+
+def test_rarest_shingles_lose_no_pair(spark):
+    """Every pair of sets of different components at 85 % meets in a list of rarest shingles."""
+    rng = random.Random(3)
+    rows = []
+    for c in range(120):
+        core = 1000 * (c % 6)
+        kept = [core + i for i in range(60) if rng.random() > 0.06]
+        rows.append((c, c % 40, sorted({*kept, *(9000 + rng.randrange(200) for _ in range(rng.randrange(6)))})))
+    live = spark.createDataFrame([(c, len(s), comp, s) for c, comp, s in rows], "class long, n long, comp long, shingles array<long>")
+    lists: dict[int, set[int]] = {}
+    for r in near_dedup._rarest(live, F.expr("(85 * n + 99) div 100")).collect():
+        lists.setdefault(r["key"], set()).add(r["class"])
+    met = {(a, b) for members in lists.values() for a in members for b in members}
+    alike = [(a, b) for a, x, s in rows for b, y, t in rows if x != y and 100 * len(set(s) & set(t)) >= 85 * len(set(s) | set(t))]
+    assert len(alike) > 50 and set(alike) <= met and len(met) < len(rows) ** 2 / 2
+
+
 def test_hierarchy_of_hosts(spark):
     hosts = ["a.b.co.uk", "b.co.uk:8080", "co.uk", "x.example.com:81", "localhost", "", "uk"]
     df = spark.createDataFrame([(h,) for h in hosts], "host string")
