@@ -1,7 +1,8 @@
 """A corpus pipeline of five training-data operators: documents in, packed token sequences out.
 
 Each stage takes the documents that its predecessor kept and returns documents (the last: packed pieces). Between stages the
-documents are written as Parquet and read again, so a lost executor costs one stage at most.
+documents are written as Parquet and read again, so a lost executor costs one stage at most. What a written stage no longer
+needs is deleted.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspan.llm import crf, decontam, near_dedup, packing, secrets
-from riskspan.llm.common import materialise, table
+from riskspan.llm.common import drop_tables, materialise, table, tables_written
 
 #: Percent of shared word shingles from which the near-dedup stage takes documents for copies.
 SIMILAR = 80
@@ -70,9 +71,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The pieces of all stages' documents. A written stage replaces the tables before it; those behind the pieces, which are
+    computed when they are read, stay until the caller drops them with drop_tables()."""
+    docs, before = table(spark, sf_dir, "documents"), tables_written()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialise(docs, f"stage-{k}")
+            drop_tables(spark, before, but_last=True)
     return docs

@@ -34,14 +34,40 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables that materialise() wrote and that nobody has dropped yet, in order.
+_written: list[str] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write `df` to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    Who asked for the result owns the tables behind it and drops them with drop_tables() once the result itself is written.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables_written() -> int:
+    """How many tables of materialise() there are: a place for drop_tables()."""
+    return len(_written)
+
+
+def drop_tables(spark: SparkSession, since: int = 0, but_last: bool = False) -> None:
+    """Delete the tables that materialise() wrote after the first `since`, all or all but the last.
+
+    Results that are still to be computed from them fail afterwards; written results do not.
+    """
+    gone = _written[since : len(_written) - 1 if but_last else None]
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in gone:
+        at = hadoop.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _written.remove(path)
+
+
 def number_within(df: DataFrame, key: str, order: list[str], out: str, few: bool = False, rows_per_task: int = 500) -> DataFrame:
     """Gapless numbers from 0 within each `key`, without gathering a large key in one task.
 

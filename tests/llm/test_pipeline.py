@@ -1,5 +1,7 @@
+import os
+
 import corpus_pipeline
-from riskspan.llm import crf, decontam, near_dedup, packing, secrets
+from riskspan.llm import common, crf, decontam, near_dedup, packing, secrets
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,3 +29,16 @@ def test_stages_act_on_what_is_left(spark):
     five = corpus_pipeline.best_fit_packing(spark, four, SF)
     assert five.columns == packing.pack(four, corpus_pipeline.public_tokenizers.path("word_bpe_49k.json")).columns
     assert {r["doc_id"] for r in five.collect()} == set(before)
+
+
+def test_written_stages_replace_the_tables_before_them(spark):
+    """run() leaves the last written stage and what the pieces are computed from; the rest is deleted, all on request."""
+    begun = common.tables_written()
+    pieces = corpus_pipeline.run(spark, SF)
+    left = common._written[begun:]
+    assert all(p.rsplit("/", 1)[1].startswith(("stage-3", "pieces")) for p in left), left
+    n = pieces.count()
+    assert n and pieces.select("doc_id").distinct().count() <= spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert all(os.path.isdir(p) for p in left)
+    common.drop_tables(spark, begun)
+    assert common.tables_written() == begun and not any(os.path.isdir(p) for p in left)
