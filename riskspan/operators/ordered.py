@@ -7,10 +7,46 @@ tasks as it has chunks.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import scratch
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write `df` to a scratch folder and read it back: what it holds is fixed, whatever a retry would compute."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[str | Column], out: str = "rank", parts: int | None = None, store: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
+    """Add the rank (from 1, without gaps) of each row within its `keys`, by `order`, without gathering a large key in one task.
+
+    Rows are dealt by ranges of (keys, order), whose bounds Spark samples, sorted inside their range and stored. So a key of many
+    rows spreads over many ranges; a row's rank is its number among the key's rows in its own range and those in the ranges before.
+    The second is a table of one row for each range, small enough for every task. Rows that tie on all of `order` are ranked in
+    any order, once for all. A null key is a key like others.
+    """
+    spark = df.sparkSession
+    by = [F.col(k) for k in keys] + [F.col(c) if isinstance(c, str) else c for c in order]
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = store(df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_range", F.shiftright("_at", 33))
+    key = F.struct(*keys) if keys else F.struct(F.lit(0))
+    heads = rows.groupBy("_range").agg(F.min_by(key, "_at").alias("_first"), F.max_by(key, "_at").alias("_last"))
+    tails = rows.join(F.broadcast(heads.select("_range", "_last")), "_range").where(key.eqNullSafe(F.col("_last"))).groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    sums = heads.join(tails, "_range").withColumn("_sum", F.sum("_n").over(Window.partitionBy("_last").orderBy("_range")))
+    sums = sums.withColumn("_prev", F.lag(F.struct("_last", "_sum")).over(Window.orderBy("_range")))
+    open_ = sums.where(F.col("_prev._last").eqNullSafe(F.col("_first"))).select("_range", "_first", F.col("_prev._sum").alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range", *keys).orderBy("_at"))
+    before = F.when(key.eqNullSafe(F.col("_first")), F.col("_before")).otherwise(0)
+    numbered = rows.withColumn("_i", inside).join(F.broadcast(open_), "_range", "left")
+    return numbered.withColumn(out, F.col("_i") + before).drop("_at", "_range", "_i", "_first", "_before")
+
 
 def with_previous(df: DataFrame, keys: list[str], order: str, columns: dict[str, str], chunk: str) -> DataFrame:
     """Add the columns' values of the row before, by `order` within `keys`; null for the first. `columns` maps to new names.
