@@ -62,15 +62,22 @@ def with_previous(df: DataFrame, keys: list[str], order: str, columns: dict[str,
     return out.withColumns({new: F.when(first, F.col(f"_carry.{c}")).otherwise(F.col(new)) for c, new in columns.items()}).drop("_n", "_carry")
 
 
-def with_running_sum(df: DataFrame, keys: list[str], order: str, value: Column, out: str, chunk: str) -> DataFrame:
-    """Add the sum of `value` (a number) over all rows up to this one, by `order` within `keys`."""
-    df = df.withColumn("_v", value)
+def with_running_sums(df: DataFrame, keys: list[str], order: str, sums: dict[str, str], chunk: str) -> DataFrame:
+    """Add the sums of columns over all rows up to this one, by `order` within `keys`. `sums` maps columns to new names.
+
+    `chunk` must rise with `order`. `order` must be unique within `keys`.
+    """
     inside = Window.partitionBy(*keys, chunk).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    sums = df.groupBy(*keys, chunk).agg(F.sum("_v").alias("_s"))
-    sums = sums.select(*keys, chunk, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
-    summed = df.withColumn(out, F.sum("_v").over(inside)).join(sums, [*keys, chunk])
-    return summed.withColumn(out, F.col(out) + F.col("_before")).drop("_v", "_before")
+    totals = df.groupBy(*keys, chunk).agg(*[F.sum(c).alias(f"_s_{new}") for c, new in sums.items()])
+    totals = totals.select(*keys, chunk, *[F.coalesce(F.sum(f"_s_{new}").over(before), F.lit(0)).alias(f"_b_{new}") for new in sums.values()])
+    out = df.withColumns({new: F.sum(c).over(inside) for c, new in sums.items()}).join(totals, [*keys, chunk])
+    return out.withColumns({new: F.col(new) + F.col(f"_b_{new}") for new in sums.values()}).drop(*[f"_b_{new}" for new in sums.values()])
+
+
+def with_running_sum(df: DataFrame, keys: list[str], order: str, value: Column, out: str, chunk: str) -> DataFrame:
+    """Add the sum of `value` (a number) over all rows up to this one, by `order` within `keys`."""
+    return with_running_sums(df.withColumn("_v", value), keys, order, {"_v": out}, chunk).drop("_v")
 
 
 def trailing(df: DataFrame, keys: list[str], order: str, width: int, aggregates: dict[str, Column]) -> DataFrame:
