@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("sharding", "urls", "decontam", "packing", "quality_rules", "toxicity", "crf", "substrings", "near_dedup", "secrets", "centroids", "one_bit")
+_MODULES = ("sharding", "urls", "decontam", "packing", "quality_rules", "toxicity", "crf", "substrings", "near_dedup", "secrets", "centroids", "one_bit", "prefix_trie")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
