@@ -32,12 +32,13 @@ GROUP = 50_000
 BUCKET = 50_000
 
 RUNS = StructType([StructField("anchor", LongType()), StructField("run", LongType()), StructField("doc", LongType())])
-#: way: 0 to be joined, 1 repeats an earlier document as a whole, 2 anchor of very many documents. The words around the seed (32 bits each, `left` of them before it) come with anchors of unequal runs.
+#: way: 0 to be joined, 1 repeats an earlier document as a whole, 2 anchor of very many documents. The text around the seed (`left` words before it) comes with anchors of unequal runs.
 POSTINGS = StructType([
     StructField("anchor", LongType()), StructField("doc", LongType()), StructField("at", IntegerType()), StructField("n", IntegerType()),
     StructField("left", IntegerType()), StructField("way", ByteType()), StructField("words", BinaryType()),
 ])
-WINDOWS = StructType([StructField("window", LongType()), StructField("doc", LongType()), StructField("at", IntegerType())])
+#: A window is known by two hashes of its words.
+WINDOWS = StructType([StructField("window", LongType()), StructField("second", LongType()), StructField("doc", LongType()), StructField("at", IntegerType())])
 SPANS = StructType([StructField("doc", LongType()), StructField("at", IntegerType()), StructField("n", IntegerType())])
 
 
@@ -73,14 +74,14 @@ def _blocks(batches: Iterator[pa.RecordBatch]):
     for whole in batches:
         for batch in slices(whole):
             data, offsets = text_bytes(batch.column("text"))
-            _, _, row, hashes = scan_words(data, offsets)
+            begin, end, row, hashes = scan_words(data, offsets)
             docs = np.asarray(batch.column("doc_id").fill_null(0), dtype=np.int64)
-            yield hashes, row, docs, starts_of(row, batch.num_rows)
+            yield hashes, row, docs, starts_of(row, batch.num_rows), (data, begin, end)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = to_arrow_schema(RUNS)
-    for hashes, row, docs, start in _blocks(batches):
+    for hashes, row, docs, _, _ in _blocks(batches):
         least, anchor, first, count = runs_of(hashes, row)
         cells = (least.view(np.int64), _whole(hashes, anchor, first, count).view(np.int64), docs[row[first]])
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], schema=schema)
@@ -96,7 +97,7 @@ def _postings(shared, unequal, hot):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_anchor, hot_lo, hot_unequal = hot.value
-        for hashes, row, docs, start in _blocks(batches):
+        for hashes, row, docs, start, (data, begin, end) in _blocks(batches):
             least, anchor, first, count = runs_of(hashes, row)
             picked = test(shared.value, least)
             least, anchor, first, count = least[picked], anchor[picked], first[picked], count[picked]
@@ -109,25 +110,34 @@ def _postings(shared, unequal, hot):
                 kept = ~known | (way == 2) | (doc > hot_lo[at])
                 least, anchor, first, count, doc, way, open_ = (x[kept] for x in (least, anchor, first, count, doc, way, open_))
             open_ &= way != 1
-            size = np.where(open_, count + LENGTH - 1, 0)
+            size = np.where(open_, end[first + count + LENGTH - 2] - begin[first], 0) if len(first) else np.empty(0, np.int64)
             ends = np.cumsum(size)
-            at = np.repeat(first - (ends - size), size) + np.arange(int(size.sum()))
-            words = (hashes[at] >> np.uint64(32)).astype(np.uint32).tobytes()
-            offsets = pa.py_buffer(np.concatenate(([0], 4 * ends)).astype(np.int32).tobytes())
+            at = np.repeat(begin[first] - (ends - size), size) + np.arange(int(size.sum()))
+            text = np.frombuffer(data, np.uint8)[at].tobytes()
+            offsets = pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32).tobytes())
             valid = pa.array(open_).buffers()[1] if len(open_) else None
-            context = pa.Array.from_buffers(pa.binary(), len(least), [valid, offsets, pa.py_buffer(words)])
+            context = pa.Array.from_buffers(pa.binary(), len(least), [valid, offsets, pa.py_buffer(text)])
             cells = (least.view(np.int64), doc, (first - start[row[first]]).astype(np.int32), count.astype(np.int32), (anchor - first).astype(np.int32), way)
             yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cells), context], schema=schema)
 
     return run
 
 
-def _words(column) -> tuple[np.ndarray, np.ndarray]:
-    """All words of a binary column, and the n + 1 positions where the rows' words start."""
+def _words(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the words of a column of texts, equal for equal words only; the n + 1 positions where the rows' words start; hashes."""
     array = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
-    offsets = np.frombuffer(array.buffers()[1], np.int32)[array.offset : array.offset + len(array) + 1] // 4
-    words = np.frombuffer(array.buffers()[2] or b"", np.uint32)[offsets[0] :] if len(array) else np.empty(0, np.uint32)
-    return words, (offsets - offsets[0]).astype(np.int64)
+    if not len(array):
+        return np.empty(0, np.int64), np.zeros(1, np.int64), np.empty(0, np.uint64)
+    data, offsets = text_bytes(array)
+    begin, end, row, hashes = scan_words(data, offsets)
+    raw = np.frombuffer(data, np.uint8)
+    inside = np.zeros(len(raw) + 1, np.int8)
+    inside[begin] += 1
+    inside[end] -= 1
+    joined = raw[np.cumsum(inside[:-1]) > 0].tobytes()
+    edges = np.concatenate(([0], np.cumsum(end - begin))).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(joined)])
+    return np.asarray(words.dictionary_encode().indices).astype(np.int64), starts_of(row, len(array)), hashes
 
 
 def _classes(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -144,13 +154,17 @@ def _classes(before: np.ndarray, word: np.ndarray) -> np.ndarray:
 def extend(anchor: np.ndarray, doc: np.ndarray, left: np.ndarray, words: np.ndarray, start: np.ndarray) -> np.ndarray:
     """[posting, words before the seed]: whether the window with so many words before the seed stands in an earlier document.
 
-    Posting i holds the words start[i] to start[i + 1], its seed at left[i]. Extension goes word by word: postings of an
-    anchor that agree so far share a class on each side, and windows are equal where both classes are.
+    Posting i holds the words start[i] to start[i + 1], its seed at left[i]. Postings of an anchor whose seeds are equal word for
+    word are extended word by word: those that agree so far share a class on each side, and windows are equal where both
+    classes are.
     """
     reach = LENGTH - SEED
     side = []
+    seeds = _classes(np.zeros(len(anchor), np.int64), np.unique(anchor, return_inverse=True)[1].astype(np.int64))
+    for i in range(SEED):
+        seeds = _classes(seeds, words[start[:-1] + left + i].astype(np.int64) if len(words) else seeds)
     for step in (-1, 1):
-        classes = [_classes(np.zeros(len(anchor), np.int64), np.unique(anchor, return_inverse=True)[1].astype(np.int64))]
+        classes = [seeds]
         for i in range(1, reach + 1):
             at = left - i if step < 0 else left + SEED - 1 + i
             inside = (at >= 0) & (start[:-1] + at < start[1:])
@@ -178,36 +192,37 @@ def maximal(repeated: np.ndarray, doc: np.ndarray, at: np.ndarray, left: np.ndar
 
 
 def _extend_bucket(t: pa.Table) -> pa.Table:
-    words, start = _words(t.column("words"))
+    words, start, _ = _words(t.column("words"))
     anchor, doc, left, at = (np.asarray(t.column(c)).astype(np.int64) for c in ("anchor", "doc", "left", "at"))
     cells = maximal(extend(anchor, doc, left, words, start), doc, at, left)
     return pa.Table.from_arrays([pa.array(c) for c in cells], schema=to_arrow_schema(SPANS))
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of postings by their hashes."""
+    """Windows of postings by two hashes of their words."""
     schema = to_arrow_schema(WINDOWS)
     for batch in batches:
-        words, start = _words(batch.column("words"))
+        _, start, words = _words(batch.column("words"))
         count = np.asarray(batch.column("n")).astype(np.int64)
         total = np.cumsum(count)
         k = np.arange(int(count.sum())) - np.repeat(total - count, count)
-        hashes = window_hashes(mix(words.astype(np.uint64)), LENGTH)[np.repeat(start[:-1], count) + k] if len(k) else np.empty(0, np.uint64)
+        place = np.repeat(start[:-1], count) + k
+        both = [window_hashes(w, LENGTH)[place].view(np.int64) if len(k) else np.empty(0, np.int64) for w in (words, mix(words ^ _WINDOW))]
         doc, at = np.asarray(batch.column("doc")), np.asarray(batch.column("at")).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.repeat(doc, count)), pa.array((np.repeat(at, count) + k).astype(np.int32))], schema=schema)
+        yield pa.RecordBatch.from_arrays([*map(pa.array, both), pa.array(np.repeat(doc, count)), pa.array((np.repeat(at, count) + k).astype(np.int32))], schema=schema)
 
 
 def _known(hot):
     """Windows of the hot table are decided here; the others go on with `known` false."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, least = hot.value
+        key, second, least = hot.value
         for batch in batches:
-            window, doc = np.asarray(batch.column("window")), np.asarray(batch.column("doc"))
+            window, other, doc = (np.asarray(batch.column(c)) for c in ("window", "second", "doc"))
             known, kept = np.zeros(len(window), bool), np.ones(len(window), bool)
             if len(key):
                 at = np.minimum(np.searchsorted(key, window), len(key) - 1)
-                known = key[at] == window
+                known = (key[at] == window) & (second[at] == other)
                 kept = ~known | (doc > least[at])
             whole = pa.RecordBatch.from_arrays([*batch.columns, pa.array(known)], names=[*batch.schema.names, "known"])
             yield whole.filter(pa.array(kept))
@@ -221,7 +236,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     Every document text is read whole, twice. The first reading sums anchors to one row each (least and greatest document and
     run, on the map side first). The second writes the postings of anchors that several documents hold, known by a bitmap of
     bounded size that lets some others pass; postings meet the sums again by a join. Anchors with many postings land nowhere
-    together: at most HOT of them go to every task, and the windows of groups above GROUP are summed by their hashes.
+    together: at most HOT of them go to every task, and the windows of groups above GROUP are summed by two hashes (128 bits).
+    Elsewhere words are compared as such: postings carry the text around their seeds.
     """
     spark = docs.sparkSession
     source = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
@@ -248,13 +264,13 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     many = postings.where("way = 2").select("n", "doc", "at", "words").unionByName(met.where("large").select("n", "doc", "at", "words"))
     windows = materialise(many.mapInArrow(_windows, WINDOWS), "windows")
-    least = windows.groupBy("window").agg(F.count(F.lit(1)).alias("c"), F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
-    least = materialise(least.select("window", "c", "least"), "least-windows")
+    least = windows.groupBy("window", "second").agg(F.count(F.lit(1)).alias("c"), F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
+    least = materialise(least.select("window", "second", "c", "least"), "least-windows")
     n = windows.count()
-    often = sorted(tuple(r) for r in least.where((F.col("c") > GROUP) & (F.col("c") * HOT >= n)).select("window", "least").collect())  # at most HOT rows
-    table_ = spark.sparkContext.broadcast(tuple(np.array([r[k] for r in often], dtype=np.int64) for k in (0, 1)))
+    often = sorted(tuple(r) for r in least.where((F.col("c") > GROUP) & (F.col("c") * HOT >= n)).select("window", "second", "least").collect())  # at most HOT rows
+    table_ = spark.sparkContext.broadcast(tuple(np.array([r[k] for r in often], dtype=np.int64) for k in (0, 1, 2)))
     tagged = windows.mapInArrow(_known(table_), StructType([*WINDOWS.fields, StructField("known", BooleanType())]))
-    seldom = tagged.where("not known").join(least, "window").where("doc > least")
+    seldom = tagged.where("not known").join(least, ["window", "second"]).where("doc > least")
     single = tagged.where("known").select("doc", "at").unionByName(seldom.select("doc", "at"))
     return whole.unionByName(extended).unionByName(single.select("doc", "at", F.lit(LENGTH).alias("n")))
 

@@ -61,3 +61,22 @@ def test_extension_stops_where_the_words_differ():
     assert out[0].sum() == 0 and np.flatnonzero(out[1]).tolist() == [2, 3]
     doc, at, n = substrings.maximal(out, np.array([1, 2]), np.array([100, 200]), np.array([8, 8]))
     assert (doc.tolist(), at.tolist(), n.tolist()) == ([2], [205], [14])
+
+
+def test_words_that_share_half_a_hash_stay_apart(spark):
+    """Words whose 64-bit hashes agree in 32 bits, in texts that repeat no window of thirteen words."""
+    tokens = [f"tok{i}" for i in range(600_000)]
+    data = " ".join(tokens).encode()
+    hashes = substrings.scan_words(data, np.array([0, len(data)]))[3]
+    rng, rows = random.Random(1), []
+    for shift in (0, 32):
+        half = (hashes >> np.uint64(shift)).astype(np.uint32)
+        order = np.argsort(half, kind="stable")
+        same = np.flatnonzero(half[order][1:] == half[order][:-1])[:20]
+        assert len(same) == 20
+        for k, at in enumerate(same):
+            around = [f"{shift}-{k}-{rng.randrange(10**9)}" for _ in range(20)]
+            for word in (tokens[order[at]], tokens[order[at + 1]]):
+                rows += [(len(rows) + 1, " ".join([*around[:6], word, *around[6:12]])), (len(rows) + 2, " ".join([*around[:8], word, *around[8:]]))]
+    out = substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in out} == brute(rows)
