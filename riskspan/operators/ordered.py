@@ -80,14 +80,17 @@ def with_running_sum(df: DataFrame, keys: list[str], order: str, value: Column,
     return with_running_sums(df.withColumn("_v", value), keys, order, {"_v": out}, chunk).drop("_v")
 
 
-def trailing(df: DataFrame, keys: list[str], order: str, width: int, aggregates: dict[str, Column]) -> DataFrame:
-    """Add aggregates over the rows with order value in [own - width, own].
+def rolling_least(df: DataFrame, keys: list[str], order: str, width: int, value: str, out: str) -> DataFrame:
+    """Add the least `value` of the rows whose order value is in [own - width, own], with constant work a row for any width.
 
-    Rows are dealt by blocks of `width`; each block also gets the rows of the block before it, which is all a window of that
-    width can reach.
+    In blocks of `width` such a window is the head of its own block and the tail of the one before. The least value of the head is
+    a running minimum. Rows of the block before, moved on by `width`, stand in the own block, and those that are still in the
+    window are the ones at or after the row: a running minimum from the block's end. Neither frame is ever scanned anew.
     """
     block = F.floor(F.col(order) / F.lit(width))
-    dealt = df.withColumn("_own", block).withColumn("_block", F.explode(F.array(block, block + 1)))
-    window = Window.partitionBy(*keys, "_block").orderBy(order).rangeBetween(-width, 0)
-    out = dealt.withColumns({name: a.over(window) for name, a in aggregates.items()})
-    return out.where(F.col("_own") == F.col("_block")).drop("_own", "_block")
+    own = df.withColumns({"_block": block, "_own": F.lit(True)})
+    moved = df.select(*keys, (F.col(order) + width).alias(order), F.col(value).alias("_moved"), (block + 1).alias("_block"))
+    both = own.unionByName(moved, allowMissingColumns=True)
+    at = Window.partitionBy(*keys, "_block")
+    head, tail = F.min(F.when(F.col("_own"), F.col(value))).over(at.orderBy(order)), F.min("_moved").over(at.orderBy(F.desc(order)))
+    return both.withColumn(out, F.least(head, tail)).where("_own").drop("_block", "_own", "_moved")

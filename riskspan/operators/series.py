@@ -5,10 +5,16 @@ A series table has series_id string, ts bigint (epoch seconds) and value double,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .ordered import trailing, with_previous, with_running_sum
+from .ordered import rolling_least, stored, with_previous, with_running_sum
+from .selection import upper_median
 
 DAY = 86_400
 #: Severities and their thresholds on a unit peg.
@@ -16,11 +22,6 @@ TIERS = {"depeg": 0.99, "severe": 0.95, "failure": 0.80}
 SWEEP = (0.995, 0.99, 0.98, 0.97, 0.95, 0.90)
 
 
-def upper_median(column: str) -> Column:
-    """The element at n // 2 of the sorted values: the upper of the two middle ones. Nulls do not count."""
-    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {column} DESC)")
-
-
 def with_gaps(series: DataFrame) -> DataFrame:
     """prev_ts and prev_value of the sample before, and the gap in seconds."""
     chunked = series.withColumn("_chunk", F.floor(F.col("ts") / DAY))
@@ -28,27 +29,86 @@ def with_gaps(series: DataFrame) -> DataFrame:
     return out.withColumn("gap", F.col("ts") - F.col("prev_ts"))
 
 
+def gap_table(series: DataFrame) -> DataFrame:
+    """with_gaps(), written once for all who read it."""
+    return stored(with_gaps(series).select("series_id", "ts", "value", "prev_value", "gap", "_chunk"))
+
+
 def median_step(gaps: DataFrame) -> DataFrame:
-    """Sampling step of each series in seconds, at least 1: the upper median gap, 60 for a single sample."""
-    return gaps.groupBy("series_id").agg(F.greatest(F.lit(1).cast("bigint"), F.coalesce(upper_median("gap"), F.lit(60)).cast("bigint")).alias("step"), F.count(F.lit(1)).alias("samples"))
+    """Sampling step of each series in seconds, at least 1: the upper median gap, 60 for a single sample; and its samples.
+
+    A series of n samples has n - 1 gaps, so series with a gap need no second count.
+    """
+    medians = upper_median(gaps, ["series_id"], "gap", "_gap").select("series_id", "_gap", (F.col("n") + 1).alias("_n"))
+    single = gaps.where("gap IS NULL").select("series_id").join(medians, "series_id", "left")
+    return single.select("series_id", F.greatest(F.lit(1).cast("bigint"), F.coalesce("_gap", F.lit(60)).cast("bigint")).alias("step"), F.coalesce("_n", F.lit(1)).cast("bigint").alias("samples"))
+
+
+PIECES = "series_id string, kind string, start_ts long, end_ts long, min_value double, samples long, step long, joined boolean, open boolean"
+
+
+def _pieces(tiers: dict[str, float], min_minutes: int, min_samples: int, max_gap_steps: int):
+    """Runs below each threshold inside the chunks of a batch. Thresholds fall, so each looks only at the samples of the one before."""
+    falling = sorted(tiers.items(), key=lambda kv: -kv[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ts, value, chunk, step = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("ts", "value", "_chunk", "step"))
+            prev, gap = (batch.column(c).cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False) for c in ("prev_value", "gap"))
+            series = batch.column("series_id").dictionary_encode()
+            code = np.asarray(series.indices)
+            first = np.ones(len(ts), bool)
+            first[1:] = (code[1:] != code[:-1]) | (chunk[1:] != chunk[:-1])
+            last = np.append(first[1:], True)
+            cut = gap > max(1, max_gap_steps) * step
+            need = np.maximum(np.maximum(1, min_samples), np.ceil(min_minutes * 60 / step))
+            at, out = np.arange(len(ts)), []
+            for kind, threshold in falling:
+                at = at[value[at] < threshold]
+                if not len(at):
+                    break
+                new = first[at] | cut[at]
+                new[1:] |= at[1:] != at[:-1] + 1
+                new[0] = True
+                begin = np.flatnonzero(new)
+                size = np.diff(np.append(begin, len(at)))
+                a, z = at[begin], at[begin + size - 1]
+                joined, open_ = first[a] & (prev[a] < threshold) & ~cut[a], last[z]
+                kept = joined | open_ | (size >= need[a])
+                cells = (code[a], ts[a], ts[z], np.minimum.reduceat(value[at], begin), size, step[a], joined, open_)
+                out.append((kind, *(c[kept] for c in cells)))
+            if out:
+                names = pa.array(np.repeat([o[0] for o in out], [len(o[1]) for o in out]), pa.string())
+                code, *cells = (np.concatenate([o[k] for o in out]) for k in range(1, 9))
+                cells = [pa.array(c, pa.int64()) if c.dtype.kind in "iu" else pa.array(c) for c in cells]
+                yield pa.RecordBatch.from_arrays([series.dictionary.take(pa.array(code)), names, *cells], names=[f.split()[0] for f in PIECES.split(", ")])
+
+    return run
 
 
 def episodes(series: DataFrame, tiers: dict[str, float], min_minutes: int = 5, min_samples: int = 2, max_gap_steps: int = 3, step_seconds: int | None = None) -> DataFrame:
     """Runs of samples below a threshold: series_id, kind, start_ts, end_ts, duration_min, min_value, samples.
 
     A run ends at a sample at or above the threshold, or where samples are more than max_gap_steps steps apart. It counts if
-    it has at least ceil(min_minutes * 60 / step) and min_samples samples. All tiers share one pass over the series.
+    it has at least ceil(min_minutes * 60 / step) and min_samples samples.
+
+    All thresholds share one pass, in which no sample is multiplied: each chunk of a series yields its runs below all of them,
+    those of a lower threshold found inside those of the next higher. Runs that neither reach over their chunk's end nor go on
+    from the chunk before are done; the others, at most two for each chunk and threshold, are joined at the borders.
     """
-    gaps = with_gaps(series)
-    steps = median_step(gaps).select("series_id", "step") if step_seconds is None else None
-    gaps = gaps.join(steps, "series_id") if steps is not None else gaps.withColumn("step", F.lit(step_seconds).cast("bigint"))
-    grid = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(float(v)).alias("threshold")) for k, v in tiers.items()])
-    tiered = gaps.withColumn("_t", F.explode(grid)).withColumns({"kind": F.col("_t.kind"), "threshold": F.col("_t.threshold")})
-    below = F.col("value") < F.col("threshold")
-    before = F.coalesce(F.col("prev_value") < F.col("threshold"), F.lit(False))
-    starts = below & (~before | (F.col("gap") > F.lit(max(1, max_gap_steps)) * F.col("step")))
-    numbered = with_running_sum(tiered, ["series_id", "kind"], "ts", starts.cast("bigint"), "island", "_chunk")
-    runs = numbered.where(below).groupBy("series_id", "kind", "island").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.min("value").alias("min_value"), F.count(F.lit(1)).alias("samples"), F.max("step").alias("step"))
+    gaps = gap_table(series)
+    if step_seconds is None:
+        # Told to each chunk, as a series' samples must not meet in one task.
+        steps = gaps.select("series_id", "_chunk").distinct().join(median_step(gaps).select("series_id", "step"), "series_id")
+        rows = gaps.join(steps, ["series_id", "_chunk"])
+    else:
+        rows = gaps.withColumn("step", F.lit(step_seconds).cast("bigint")).repartition("series_id", "_chunk")
+    pieces = stored(rows.sortWithinPartitions("series_id", "_chunk", "ts").mapInArrow(_pieces(tiers, min_minutes, min_samples, max_gap_steps), PIECES))
+    edges = pieces.where("joined OR open").withColumn("_island", F.sum((~F.col("joined")).cast("long")).over(Window.partitionBy("series_id", "kind").orderBy("start_ts")))
+    edges = edges.groupBy("series_id", "kind", "_island").agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"), F.min("min_value").alias("min_value"), F.sum("samples").alias("samples"), F.max("step").alias("step")).drop("_island")
+    runs = pieces.where("NOT joined AND NOT open").drop("joined", "open").unionByName(edges)
     need = F.greatest(F.lit(1), F.ceil(F.lit(min_minutes * 60) / F.col("step")), F.lit(min_samples))
     minutes = F.greatest(F.lit(1).cast("bigint"), F.floor((F.col("end_ts") - F.col("start_ts") + F.col("step")) / 60))
     return runs.where(F.col("samples") >= need).select("series_id", "kind", "start_ts", "end_ts", minutes.alias("duration_min"), "min_value", "samples")
@@ -64,7 +124,7 @@ def sensitivity(series: DataFrame, grid: tuple[float, ...] = SWEEP, **rules) ->
 
 def rolling_low(series: DataFrame, minutes: int = 1_440) -> DataFrame:
     """Add low: the least value of the last `minutes`, both ends included."""
-    return trailing(series, ["series_id"], "ts", minutes * 60, {"low": F.min("value")})
+    return rolling_least(series, ["series_id"], "ts", minutes * 60, "value", "low")
 
 
 def supply_growth(supply: DataFrame, hours: int = 24) -> DataFrame:
@@ -89,8 +149,6 @@ def as_of(rows: DataFrame, column: str) -> DataFrame:
 
     Chunked like everything ordered here: the last value of a day comes from the day's rows, older ones from the days' table.
     """
-    from pyspark.sql.window import Window
-
     rows = rows.withColumn("_chunk", F.floor(F.col("ts") / DAY))
     inside = Window.partitionBy("series_id", "_chunk").orderBy("ts", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     days = rows.groupBy("series_id", "_chunk").agg(F.max_by(column, F.when(F.col(column).isNotNull(), F.struct("ts", "_kind"))).alias("_day"))
@@ -152,7 +210,7 @@ def alerts(series: DataFrame, supply: DataFrame | None = None, tiers: dict[str,
     A series is evaluated every ceil(every_minutes / step) samples from its ceil(warmup_hours / step)-th on, but not at its
     last sample; only data up to the sample count. Series of fewer than two samples give nothing.
     """
-    gaps = with_gaps(series)
+    gaps = gap_table(series)
     steps = median_step(gaps)
     numbered = with_running_sum(gaps.select("series_id", "ts", "value", "_chunk"), ["series_id"], "ts", F.lit(1).cast("bigint"), "rn", "_chunk").select("series_id", "ts", "rn")
     window = F.greatest(F.lit(1), F.ceil(F.lit(warmup_hours * 3_600) / F.col("step")))
@@ -167,24 +225,36 @@ def alerts(series: DataFrame, supply: DataFrame | None = None, tiers: dict[str,
 def lead_times(events: DataFrame, warned: DataFrame, lookback_minutes: int = 2_880) -> DataFrame:
     """For every episode of one kind: lead_minutes of the first admissible alert (null if none) and their number.
 
-    Admissible alerts come before the start, within the lookback and after the previous episode's end. An interval join on
-    the series, then one aggregate per episode.
+    Admissible alerts come before the start, within the lookback and after the previous episode's end. With alerts numbered along
+    their series, the numbers of the last alert before the floor and of the last one before the start, two as-of look-ups, tell
+    how many are admissible; the first of them is the one after the former. No alert is ever paired with an episode.
     """
-    from pyspark.sql.window import Window
-
-    before = F.lag("end_ts").over(Window.partitionBy("series_id").orderBy("start_ts"))
-    spans = events.select("series_id", "start_ts", "end_ts", before.alias("prev_end"))
-    floor = F.greatest(F.col("start_ts") - lookback_minutes * 60, F.coalesce(F.col("prev_end") + 1, F.col("start_ts") - lookback_minutes * 60))
-    spans = spans.withColumn("floor_ts", floor)
-    near = warned.select(F.col("series_id").alias("_s"), F.col("ts").alias("_ts"))
-    joined = spans.join(near, (F.col("series_id") == F.col("_s")) & (F.col("_ts") >= F.col("floor_ts")) & (F.col("_ts") < F.col("start_ts")), "left")
-    grouped = joined.groupBy("series_id", "start_ts", "end_ts").agg(F.min("_ts").alias("first"), F.count("_ts").alias("admissible"))
-    return grouped.select("series_id", "start_ts", "end_ts", F.expr("(start_ts - first) div 60").alias("lead_minutes"), "admissible")
+    spans = with_previous(events.select("series_id", "start_ts", "end_ts", F.floor(F.col("start_ts") / DAY).alias("_chunk")), ["series_id"], "start_ts", {"end_ts": "prev_end"}, "_chunk")
+    lookback = F.col("start_ts") - lookback_minutes * 60
+    spans = stored(spans.select("series_id", "start_ts", "end_ts", F.greatest(lookback, F.coalesce(F.col("prev_end") + 1, lookback)).alias("floor_ts")))
+    alerts_ = with_running_sum(warned.select("series_id", "ts", F.floor(F.col("ts") / DAY).alias("_chunk")), ["series_id"], "ts", F.lit(1).cast("bigint"), "number", "_chunk")
+    alerts_ = stored(alerts_.select("series_id", "ts", "number"))
+    known = alerts_.select("series_id", "ts", "number", F.lit(1).alias("_kind"))
+    none = F.lit(None).cast("bigint")
+    # A probe stands before an alert of its own instant: it sees earlier ones only.
+    probes = spans.select("series_id", F.explode(F.array(F.struct(F.col("floor_ts").alias("at"), F.lit("floor").alias("end")), F.struct(F.col("start_ts").alias("at"), F.lit("start").alias("end")))).alias("_p"), "start_ts", "end_ts")
+    probes = probes.select("series_id", F.col("_p.at").alias("ts"), none.alias("number"), F.lit(0).alias("_kind"), "start_ts", "end_ts", F.col("_p.end").alias("end"))
+    seen = as_of(known.unionByName(probes, allowMissingColumns=True), "number").where("_kind = 0")
+    seen = seen.groupBy("series_id", "start_ts", "end_ts").agg(*[F.coalesce(F.max(F.when(F.col("end") == e, F.col("number"))), F.lit(0)).alias(e) for e in ("floor", "start")])
+    counted = seen.withColumn("admissible", F.col("start") - F.col("floor")).withColumn("number", F.when(F.col("admissible") > 0, F.col("floor") + 1))
+    first = alerts_.select("series_id", "number", F.col("ts").alias("first"))
+    return counted.join(first, ["series_id", "number"], "left").select("series_id", "start_ts", "end_ts", F.expr("(start_ts - first) div 60").alias("lead_minutes"), "admissible")
 
 
 def lead_summary(leads: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Episodes, those preceded by an alert, and the upper median lead: per `by` columns, or pooled over all."""
-    return leads.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("total"), F.count("lead_minutes").alias("detected"), upper_median("lead_minutes").cast("long").alias("median_lead"))
+    counts = [F.count(F.lit(1)).alias("total"), F.count("lead_minutes").alias("detected")]
+    leads = stored(leads)
+    if by:
+        medians = upper_median(leads, by, "lead_minutes", "median_lead").drop("n")
+        return leads.groupBy(*by).agg(*counts).join(medians, by, "left")
+    medians = upper_median(leads.withColumn("_all", F.lit(0)), ["_all"], "lead_minutes", "median_lead").drop("n")
+    return leads.agg(*counts).withColumn("_all", F.lit(0)).join(medians, "_all", "left").drop("_all")
 
 
 def best_view(views: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def series_dedup(spark, sf_dir):
 
 
 def series_median_step(spark, sf_dir):
-    return S.median_step(S.with_gaps(_series(spark, sf_dir, "user_id")))
+    return S.median_step(S.gap_table(_series(spark, sf_dir, "user_id")))
 
 
 def episodes(spark, sf_dir):
@@ -92,7 +92,7 @@ def best_view(spark, sf_dir):
     views = []
     for name, view in (("1m", fine), ("1h", coarse)):
         counts = S.episodes(view, TIERS).groupBy("series_id").agg(F.count(F.lit(1)).alias("events"))
-        views.append(S.median_step(S.with_gaps(view)).join(counts, "series_id", "left").select("series_id", F.lit(name).alias("resolution"), "step", F.coalesce("events", F.lit(0)).alias("events"), "samples"))
+        views.append(S.median_step(S.gap_table(view)).join(counts, "series_id", "left").select("series_id", F.lit(name).alias("resolution"), "step", F.coalesce("events", F.lit(0)).alias("events"), "samples"))
     return S.best_view(views[0].unionByName(views[1]))
 
 

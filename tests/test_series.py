@@ -1,5 +1,9 @@
 """Episodes on hand-made series: dips, holes and slow prints."""
 
+import contextlib
+import io
+import random
+
 import pytest
 
 from riskspan.operators import series as S
@@ -48,3 +52,58 @@ def test_alert_texts(spark):
     assert got == [["price touched 0.7512 (< 0.99)", "absorbing supply +61.0% in window", "backing ratio 1.23 < 1.5", "pool imbalance 81% > 70%"], [], ["price touched 0.9500 (< 0.99)"]]
     state = [r[0] for r in df.select(S.state_of(F.col("low"), F.col("growth"), F.col("backing"))).collect()]
     assert state == ["collapse", "normal", "stressed"]
+
+
+def _runs(samples, threshold, step, limit=3):
+    out, run = [], []
+    for t, v in samples:
+        if run and (v >= threshold or t - run[-1][0] > limit * step):
+            out.append(run)
+            run = []
+        if v < threshold:
+            run.append((t, v))
+    return [*out, run] if run else out
+
+
+@pytest.mark.parametrize("step", [None, 60])
+def test_nested_thresholds_over_many_days_equal_plain_runs(spark, step):
+    """Runs over several midnights, holes, equal thresholds and a threshold that nothing reaches, all in one pass."""
+    rng = random.Random(12)
+    tiers = {"a": 0.9, "b": 0.5, "same": 0.5, "c": 0.2, "never": -1.0}
+    rows, want = [], []
+    for s in range(6):
+        at, level, samples = T0 + 17 * s, 0.5, []
+        for _ in range(4_000):
+            at += 300 if rng.random() < 0.99 else 20_000
+            level = min(1.0, max(0.0, level + rng.gauss(0, 0.03)))
+            samples.append((at, level))
+        rows += [(f"s{s}", t, v) for t, v in samples]
+        used = 300 if step is None else step
+        for kind, threshold in tiers.items():
+            for run in _runs(samples, threshold, used):
+                if len(run) >= max(2, -(-300 // used)):
+                    want.append((f"s{s}", kind, run[0][0], run[-1][0], max(1, (run[-1][0] - run[0][0] + used) // 60), min(v for _, v in run), len(run)))
+    df = spark.createDataFrame(rows, "series_id string, ts long, value double")
+    assert sorted(tuple(r) for r in S.episodes(df, tiers, step_seconds=step).collect()) == sorted(want)
+
+
+def test_lead_times_equal_plain_counting_and_join_on_equality_only(spark):
+    rng = random.Random(4)
+    spans, warned, want = [], [], []
+    for s in ("x", "y", "z"):
+        at, prev = T0, None
+        alerts = sorted({T0 + rng.randrange(40 * 86_400) for _ in range(300)}) if s != "z" else []
+        for _ in range(60):
+            start = at + rng.choice([60, 5_000, 90_000])
+            at = start + rng.randrange(20_000)
+            floor = max(start - 36_000, prev + 1 if prev else 0)
+            near = [t for t in alerts if floor <= t < start]
+            spans.append((s, start, at))
+            want.append((s, start, at, (start - near[0]) // 60 if near else None, len(near)))
+            prev = at
+        warned += [(s, t) for t in alerts]
+    found = S.lead_times(spark.createDataFrame(spans, "series_id string, start_ts long, end_ts long"), spark.createDataFrame(warned, "series_id string, ts long"), 600)
+    assert sorted((tuple(r) for r in found.collect()), key=str) == sorted(want, key=str)
+    with contextlib.redirect_stdout(io.StringIO()) as plan:
+        found.explain("formatted")
+    assert "NestedLoop" not in plan.getvalue() and "Join condition: None" in plan.getvalue() and not [x for x in plan.getvalue().splitlines() if "Join condition" in x and "None" not in x]
