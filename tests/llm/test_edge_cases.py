@@ -196,11 +196,11 @@ def test_near_copies_of_a_common_source(spark):
 
 def test_decontamination(spark, docs, none):
     items = spark.createDataFrame([("x", " ".join(WORDS[5:20]).upper()), ("y", "B c"), ("z", None), ("e", "!!"), (None, "a b c")], "item_id string, text string")
-    got = {r["doc_id"]: r for r in decontam.decontaminate(docs, items, ["doc_id"]).collect()}
+    got = {r["doc_id"]: r for r in decontam.decontaminate(docs, items, ["doc_id"], places=True).collect()}
     assert got[1]["n_hit"] == 15 and got[1]["n_items"] == 1 and got[1]["longest_match"] == 15
     assert [tuple(m) for m in got[1]["matches"]] == [("x", 5, 0, 15)] and [tuple(m) for m in got[9]["matches"]] == [("y", 1, 0, 2), (None, 0, 0, 3)]
     assert got[8]["n_hit"] == 3 and got[8]["n_items"] == 1 and got[9]["contaminated"] and not got[7]["contaminated"]
-    joined = {r["doc_id"]: r for r in decontam.decontaminate(docs, items, ["doc_id"], most_bytes=0).collect()}  # the way of large benchmarks
+    joined = {r["doc_id"]: r for r in decontam.decontaminate(docs, items, ["doc_id"], most_bytes=0, places=True).collect()}  # a pass for each item
     plain = lambda r: {**r.asDict(), "matches": sorted(map(str, r["matches"]))}
     assert {i: plain(r) for i, r in joined.items()} == {i: plain(r) for i, r in got.items()}
     assert got[4]["n_words"] == got[5]["n_words"] == 0 and got[4]["items_sha256"] == hashlib.sha256(b"").hexdigest()
