@@ -1,16 +1,31 @@
 """Rules over code: which risk classes a text may concern (retrieval), and which static conditions hold (confirmation).
 
-A rule base is small configuration, so it becomes columns of one projection: no join, no shuffle, one pass over the texts.
+A rule base is a table that the tasks hold, so the plan is the same for six rules and for twenty thousand terms. Retrieval looks
+a text's distinct q-grams up in an inverted index of the terms, each term under its rarest q-gram, and confirms what it finds on
+the text. Confirmation runs a pair's own conditions only. A base above MOST_BYTES goes to the tasks part by part.
 """
 
 from __future__ import annotations
 
 import re
 import warnings
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
+
+from .ordered import stored
+
+#: Characters of the terms and patterns of rules that a task holds at a time.
+MOST_BYTES = 32 << 20
+#: Characters of the q-grams: a term is indexed by the longest that it holds.
+GRAMS = (12, 6, 3)
 
 
 def well_formed(pattern: str, rule: str = "") -> bool:
@@ -67,55 +82,134 @@ def without_mitigation(classes: DataFrame, mitigations: DataFrame) -> DataFrame:
     return classes.join(mitigations.select("mitigation"), "mitigation", "left_anti").select("class_id", "mitigation")
 
 
-def _holds(low: Column, terms: list[str] | tuple[str, ...]) -> list[Column]:
-    return [F.contains(low, F.lit(t.lower())) for t in terms]
-
-
-def _matches(code: Column, patterns: tuple[str, ...]) -> list[Column]:
-    return [code.rlike(f"(?i){p}") for p in patterns]
-
-
-def retrieve(texts: DataFrame, rules: list[Rule], code: str = "code", top_k: int = 4, min_score: float = 0.0, forced: tuple[str, ...] = ()) -> DataFrame:
+def parts_of(rules: list[Rule], most_bytes: int) -> list[list[Rule]]:
+    """The rules in runs of at most `most_bytes` characters of terms and patterns (a larger single rule is its own run)."""
+    out: list[list[Rule]] = [[]]
+    held = 0
+    for r in rules:
+        size = sum(len(x) for x in (*r.terms(), *r.must_call, *r.must_lack, *r.must_have, *r.must_call_patterns, *r.must_lack_patterns, *r.must_have_patterns, *r.captures))
+        if out[-1] and held + size > most_bytes:
+            out.append([])
+            held = 0
+        out[-1].append(r)
+        held += size
+    return out
+
+
+class TermIndex:
+    """An inverted index of the rules' terms: q-gram to terms, term to (rule, how often the rule lists it)."""
+
+    def __init__(self, rules: list[Rule]) -> None:
+        self.ids = [r.id for r in rules]
+        self.sizes = [len(r.terms()) for r in rules]
+        self.rules: dict[str, list[tuple[int, int]]] = {}
+        for k, r in enumerate(rules):
+            for term, n in Counter(r.terms()).items():
+                self.rules.setdefault(term, []).append((k, n))
+
+    @cached_property
+    def grams(self) -> tuple[list[str], dict[int, dict[str, list[str]]]]:
+        """Terms shorter than a q-gram, and for each length the others by their q-gram that fewest terms hold. Built once a task."""
+        cuts = {t: {t[i : i + q] for i in range(len(t) - q + 1)} for t in self.rules for q in [self._length(t)] if q}
+        often = Counter(g for own in cuts.values() for g in own)
+        index: dict[int, dict[str, list[str]]] = {}
+        for term, own in cuts.items():
+            rarest = min(own, key=lambda g: (often[g], g))
+            index.setdefault(len(rarest), {}).setdefault(rarest, []).append(term)
+        return [t for t in self.rules if t not in cuts], index
+
+    @staticmethod
+    def _length(term: str) -> int:
+        return next((q for q in GRAMS if q <= len(term)), 0)
+
+    def scores(self, low: str) -> dict[int, float]:
+        """Of each rule with a term in the text: terms found over the square root of their number."""
+        short, index = self.grams
+        asked = list(short)
+        for q, terms in index.items():
+            for g in {low[i : i + q] for i in range(len(low) - q + 1)} & terms.keys():
+                asked += terms[g]
+        hits: Counter = Counter()
+        for term in asked:
+            if term in low:
+                for k, n in self.rules[term]:
+                    hits[k] += n
+        return {k: n / self.sizes[k] ** 0.5 for k, n in hits.items()}
+
+
+RANKED = ArrayType(StructType([StructField("class_id", StringType()), StructField("score", DoubleType())]))
+
+
+def _with_column(df: DataFrame, name: str, kind, compute) -> DataFrame:
+    """Add or replace a column by a function of record batches that returns a list, passing all others on."""
+    schema = StructType([*(f for f in df.schema if f.name != name), StructField(name, kind)])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = [batch.column(f.name) for f in list(arrow)[:-1]]
+            yield pa.RecordBatch.from_arrays([*cells, pa.array(compute(batch), arrow.field(name).type)], schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
+def retrieve(texts: DataFrame, rules: list[Rule], code: str = "code", top_k: int = 4, min_score: float = 0.0, forced: tuple[str, ...] = (), most_bytes: int = MOST_BYTES) -> DataFrame:
     """The top_k classes of each text with a score above min_score, best first and by id on ties, then forced ones at score 0.
 
     Score: terms found over the square root of the number of terms. Adds class_id, score and rank (from 1). Null text is empty.
+    Rules of several parts are ranked part by part; a rule is in one of them.
     """
     columns = texts.columns
-    low = F.lower(F.coalesce(F.col(code), F.lit("")))
-    scored = []
-    for r in rules:
-        terms = r.terms()
-        hits = sum((h.cast("int") for h in _holds(F.col("_low"), terms)), F.lit(0))
-        score = hits / F.sqrt(F.lit(float(len(terms)))) if terms else F.lit(0.0)
-        scored.append(F.struct((-score).alias("order"), F.lit(r.id).alias("class_id")))
-    ranked = F.slice(F.array_sort(F.filter(F.array(*scored), lambda s: -s["order"] > min_score)), 1, top_k)
+    out = texts.withColumns({"_low": F.lower(F.coalesce(F.col(code), F.lit(""))), "_ranked": F.array().cast(RANKED)})
+    parts = parts_of(rules, most_bytes)
+    for at, part in enumerate(parts):
+        index = texts.sparkSession.sparkContext.broadcast(TermIndex(part))
+
+        def ranked(batch: pa.RecordBatch, index=index) -> list[list[dict]]:
+            found = []
+            for low, before in zip(batch.column("_low").to_pylist(), batch.column("_ranked").to_pylist(), strict=True):
+                scores = index.value.scores(low)
+                if min_score < 0:  # then rules without a term in the text count too
+                    scores = dict.fromkeys(range(len(index.value.ids)), 0.0) | scores
+                own = [{"class_id": index.value.ids[k], "score": s} for k, s in scores.items() if s > min_score]
+                found.append(sorted(before + own, key=lambda x: (-x["score"], x["class_id"]))[:top_k])
+            return found
+
+        out = _with_column(out, "_ranked", RANKED, ranked)
+        if at < len(parts) - 1:
+            out = stored(out)  # the next part's index must not stand beside this one's
+    best = F.col("_ranked")
     if forced:
-        extra = F.array(*[F.struct(F.lit(0.0).alias("order"), F.lit(c).alias("class_id")) for c in forced])
-        ranked = F.concat(ranked, F.filter(extra, lambda e: ~F.exists(ranked, lambda s: s["class_id"] == e["class_id"])))
-    out = texts.withColumn("_low", low).select(*columns, F.posexplode(ranked).alias("_at", "_hit"))
-    return out.select(*columns, F.col("_hit.class_id").alias("class_id"), F.abs("_hit.order").alias("score"), (F.col("_at") + 1).alias("rank"))
+        extra = F.array(*[F.struct(F.lit(c).alias("class_id"), F.lit(0.0).alias("score")) for c in forced])
+        best = F.concat(best, F.filter(extra, lambda e: ~F.exists("_ranked", lambda s: s["class_id"] == e["class_id"])))
+    return out.select(*columns, F.posexplode(best).alias("_at", "_hit")).select(*columns, "_hit.class_id", "_hit.score", (F.col("_at") + 1).alias("rank"))
 
 
 #: Kinds of conditions, and what their hits are called.
 _HITS = (("must_call", "must_call_hits"), ("must_lack", "guards_present"), ("must_have", "must_have_hits"))
 _STRINGS = "array<string>"
+_LIST = ArrayType(StringType())
+SEEN = StructType([*(StructField(kind, _LIST) for kind, _ in _HITS), StructField("numbers", _LIST), StructField("checks", _LIST)])
 
 
-def _found(code: Column, low: Column, literals: tuple[str, ...], patterns: tuple[str, ...]) -> Column:
-    """Literals and, marked re:, patterns that the text holds, in their order; null if there are none to look for."""
-    marked = [*literals, *(f"re:{p}" for p in patterns)]
-    held = _holds(low, literals) + _matches(code, patterns)
-    return F.array_compact(F.array(*[F.when(c, m) for m, c in zip(marked, held, strict=True)])) if marked else F.lit(None).cast(_STRINGS)
+class Conditions:
+    """What a rule looks for in a text."""
 
+    def __init__(self, rule: Rule) -> None:
+        self.kinds = [(getattr(rule, kind), getattr(rule, f"{kind}_patterns")) for kind, _ in _HITS]
+        self.captures, self.checks = rule.captures, list(rule.checks)
 
-def _seen(rule: Rule, code: Column, low: Column) -> Column:
-    """Everything the rule looks for in a text, each pattern once."""
-    parts = [_found(code, low, getattr(rule, kind), getattr(rule, f"{kind}_patterns")).alias(kind) for kind, _ in _HITS]
-    numbers = F.flatten(F.array(*[F.regexp_extract_all(code, F.lit(p), F.lit(1)) for p in rule.captures])) if rule.captures else F.array().cast(_STRINGS)
-    return F.struct(*parts, numbers.alias("numbers"), F.array(*map(F.lit, rule.checks)).cast(_STRINGS).alias("checks"))
+    def seen(self, body: str, low: str) -> dict:
+        """Literals and, marked re:, patterns that the text holds, in their order; null if there are none to look for."""
+        out = {}
+        for (kind, _), (literals, patterns) in zip(_HITS, self.kinds, strict=True):
+            held = [t for t in literals if t.lower() in low] + [f"re:{p}" for p in patterns if re.search(p, body, re.IGNORECASE)]
+            out[kind] = held if literals or patterns else None
+        numbers = [m[min(1, m.re.groups)] or "" for p in self.captures for m in re.finditer(p, body)]
+        return {**out, "numbers": numbers, "checks": self.checks}
 
 
-def confirm(pairs: DataFrame, rules: list[Rule], code: str = "code", analyser: str | None = None) -> DataFrame:
+def confirm(pairs: DataFrame, rules: list[Rule], code: str = "code", analyser: str | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Adds passed, reason, guards, captured, checks and hits to rows of a text and a class_id.
 
     A condition with nothing to look for does not exist; passed: all that exist hold. checks tells of each condition whether it
@@ -124,10 +218,18 @@ def confirm(pairs: DataFrame, rules: list[Rule], code: str = "code", analyser: s
     """
     columns = pairs.columns
     body = F.coalesce(F.col(code), F.lit(""))
-    seen = F.lit(None)
-    for r in reversed(rules):
-        seen = F.when(F.col("class_id") == r.id, _seen(r, F.col("_body"), F.col("_lower"))).otherwise(seen)
-    out = pairs.withColumns({"_body": body, "_lower": F.lower(body)}).withColumn("_seen", seen)
+    out = pairs.withColumns({"_body": body, "_lower": F.lower(body), "_seen": F.lit(None).cast(SEEN)})
+    parts = parts_of(rules, most_bytes)
+    for at, part in enumerate(parts):
+        base = pairs.sparkSession.sparkContext.broadcast({r.id: Conditions(r) for r in reversed(part)})
+
+        def seen(batch: pa.RecordBatch, base=base) -> list[dict | None]:
+            cells = (batch.column(c) for c in ("class_id", "_body", "_lower", "_seen"))
+            return [base.value[i].seen(body, low) if i in base.value else before for i, body, low, before in zip(*(c.to_pylist() for c in cells), strict=True)]
+
+        out = _with_column(out, "_seen", SEEN, seen)
+        if at < len(parts) - 1:
+            out = stored(out)
     known = F.col("_seen").isNotNull()
     call, lack, have = (F.col(f"_seen.{kind}") for kind, _ in _HITS)
     holds = {"must_call": F.size(call) > 0, "must_lack": F.size(lack) == 0, "must_have": F.size(have) > 0}

@@ -29,7 +29,13 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("protocol"), F.col("lang").alias("contract"))
+    return _spread(_read(spark, sf_dir, "documents")).select("doc_id", "text", F.col("source").alias("protocol"), F.col("lang").alias("contract"))
+
+
+def _spread(table: DataFrame) -> DataFrame:
+    """A table of fewer files than cores is dealt to all cores before work in Python; a larger one is read as it lies."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if len(table.inputFiles()) < cores else table
 
 
 def retrieve_topk(spark, sf_dir):
@@ -37,6 +43,28 @@ def retrieve_topk(spark, sf_dir):
     return out.select("doc_id", "class_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
+#: Syllables of the documents' invented words, of which a large rule base is generated.
+SYLLABLES = ("th", "an", "er", "tion", "ou", "wh", "in", "ed", "st", "or", "re", "ha", "he", "nd", "ea", "ing", "ble", "ly", "sh", "of")
+MANY = 20_000
+
+
+def many_rules() -> list[R.Rule]:
+    """2,000 classes of ten terms each: the numbers to 20,000 written in syllables, the last digit first."""
+
+    def term(k: int) -> str:
+        out = ""
+        for _ in range(4):
+            out, k = out + SYLLABLES[k % 20], k // 20
+        return out
+
+    return [R.Rule(f"G{c:04d}", hints=tuple(term(10 * c + i) for i in range(10))) for c in range(MANY // 10)]
+
+
+def retrieve_many_terms(spark, sf_dir):
+    out = R.retrieve(_docs(spark, sf_dir).select("doc_id", "text"), many_rules(), "text")
+    return out.select("doc_id", "class_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
 def rule_confirm(spark, sf_dir):
     out = R.confirm(R.all_pairs(_docs(spark, sf_dir), RULES), RULES, "text")
     return out.select("doc_id", "class_id", "passed", "reason", F.array_join("guards", ", ").alias("guards"))
@@ -244,11 +272,40 @@ def function_slices(spark, sf_dir):
     head = F.format_string("pragma solidity ^0.8.0;\ncontract C%d {\n  uint256 public rate = 0;\n  function only(uint a);\n  function pay%d(address to) public onlyOwner {\n", "page_id", "page_id")
     code = F.concat(head, F.lit("    // } "), _flat("html"), F.lit('\n    note("{'), _flat("html", '[\\r\\n"\\\\]'), F.lit('");\n    send(to, rate);\n  }\n}\n'))
     name = F.format_string("c%d.sol", "page_id")
-    files = _read(spark, sf_dir, "pages").select(F.lit("pages").alias("protocol"), F.lit("study").alias("tier"), F.lit("solidity").alias("language"), name.alias("file"), code.alias("text"))
+    files = _spread(_read(spark, sf_dir, "pages")).select(F.lit("pages").alias("protocol"), F.lit("study").alias("tier"), F.lit("solidity").alias("language"), name.alias("file"), code.alias("text"))
     out = slicing.function_slices(files, max_tokens=10**9)
     return out.select("file", "contract", "function", "signature", "start_line", "end_line", "state_vars", "modifiers", "n_chars", "solc_version")
 
 
+def _page_files(spark, sf_dir):
+    """Each page as a file in one of three languages, its text in comments and strings; every second file is of a benchmark.
+
+    The Solidity ones have a modifier and, like the others, a function too short to count.
+    """
+    i, flat, text = F.col("page_id").cast("string"), _flat("html"), _flat("html", '[\\r\\n"\\\\]')
+    lit = F.lit
+    solidity = F.concat(lit("pragma solidity ^0.8.0;\ncontract C"), i, lit(" {\n  uint256 public rate = 0;\n  modifier only"), i, lit("() { require(rate > 0); _; }\n  function tiny() public { x(); }\n  function pay"), i, lit("(address to) public only"), i, lit(" {\n    // } "), flat, lit('\n    note("{'), text, lit('");\n    send(to, rate);\n  }\n}\n'))
+    go = F.concat(lit("package p\nfunc tiny() { x() }\nfunc (k Keeper) Pay"), i, lit("(to string) error {\n\t// } "), flat, lit('\n\tnote("{'), text, lit('")\n\treturn nil\n}\n'))
+    ride = F.concat(lit("{-# STDLIB_VERSION 5 #-}\nfunc tiny() = { 1 }\n@Callable(i)\nfunc pay"), i, lit('(to: String) = {\n  let x = "{'), text, lit('"\n  [StringEntry("to", x)]\n}\n'))
+    kind = F.col("page_id") % 3
+    choose = lambda a, b, c: F.when(kind == 0, a).when(kind == 1, b).otherwise(c)
+    return _spread(_read(spark, sf_dir, "pages")).select(
+        lit("pages").alias("protocol"), F.when(F.col("page_id") % 2 == 0, "benchmark").otherwise("study").alias("tier"),
+        choose(lit("solidity"), lit("go"), lit("ride")).alias("language"), F.concat(lit("p"), i, choose(lit(".sol"), lit(".go"), lit(".ride"))).alias("file"), choose(solidity, go, ride).alias("text"),
+    )
+
+
+def lateral_slices(spark, sf_dir):
+    """Files of three languages cut by a lateral join in SQL: budget, short functions, modifiers and benchmark comments act."""
+    slicing.register(spark)
+    files = _page_files(spark, sf_dir)
+    return spark.sql(
+        "SELECT f.file, f.tier, s.contract, s.signature, s.start_line, s.end_line, s.code, s.state_vars, s.modifiers, array_join(s.callees, ',') AS callees, s.approx_tokens, s.solc_version "
+        "FROM {files} f, LATERAL slice_functions(f.protocol, f.tier, f.language, f.file, f.text, 500, 60) s",
+        files=files,
+    )
+
+
 def _any_sql(code: list[str]) -> str:
     return "(" + " OR ".join(code) + ")"
 
@@ -314,13 +371,18 @@ _LAST = [f"SELECT '{r.id}' AS class_id, " + ", ".join(f"count(*) FILTER (k % 4 =
 QUERIES = {
     f.__name__: f
     for f in (
-        retrieve_topk, rule_confirm, guard_capture, static_baseline, mock_detect, critic_gate, evaluation_overall, per_class_prf, ranked_metrics, layered_eval, run_compare, control_fp,
+        retrieve_topk, retrieve_many_terms, rule_confirm, guard_capture, static_baseline, mock_detect, critic_gate, evaluation_overall, per_class_prf, ranked_metrics, layered_eval, run_compare, control_fp,
         run_summary, label_path_match, bootstrap_f1, recommendations, applicability_matrix, corpus_share, token_budget, slice_id, callees, exclude_filter, stride_sample, line_to_span,
-        analyser_map, loo_exemplars, class_table, json_repair, strip_comments, normalize_identifiers, function_slices,
+        analyser_map, loo_exemplars, class_table, json_repair, strip_comments, normalize_identifiers, function_slices, lateral_slices,
     )
 }
 ORACLE_SQL = {
     "retrieve_topk": f"WITH {_BASE} SELECT doc_id, class_id, score, rank FROM rk UNION ALL SELECT doc_id, 'R2', 0.0::DOUBLE, 1 + (SELECT count(*) FROM rk WHERE rk.doc_id = t.doc_id) FROM t WHERE NOT EXISTS (SELECT 1 FROM rk WHERE rk.doc_id = t.doc_id AND rk.class_id = 'R2')",
+    "retrieve_many_terms": f"""WITH y AS (SELECT {list(SYLLABLES)!r} AS s), k AS (SELECT range AS k FROM range({MANY})),
+        g AS (SELECT 'G' || lpad((k // 10)::VARCHAR, 4, '0') AS class_id, s[k % 20 + 1] || s[k // 20 % 20 + 1] || s[k // 400 % 20 + 1] || s[k // 8000 + 1] AS term FROM k, y),
+        d AS MATERIALIZED (SELECT doc_id, lower(text) AS low FROM documents),
+        h AS (SELECT doc_id, class_id, count(*) / sqrt(10.0::DOUBLE) AS score FROM d, g WHERE contains(low, term) GROUP BY ALL)
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, class_id) AS rank FROM h) WHERE rank <= 4""",
     "rule_confirm": f"WITH {_BASE} SELECT doc_id, class_id, passed, reason, guards FROM v",
     "guard_capture": f"WITH {_T} SELECT doc_id, 'R5' AS class_id, array_to_string(regexp_extract_all(body, '(ge[a-z]+)', 1), '|') AS captured FROM t UNION ALL SELECT doc_id, 'R10', array_to_string(regexp_extract_all(body, '([0-9]{{3,}})', 1), '|') FROM t",
     "static_baseline": f"WITH {_BASE} SELECT doc_id, class_id, passed AS detected, passed::INT::DOUBLE AS confidence, passed::INT::DOUBLE AS score FROM rk",
@@ -355,5 +417,17 @@ ORACLE_SQL = {
     "json_repair": """SELECT conv_id, turn, coalesce(text, '') || ' a } and a " in text' AS why, turn::BIGINT AS told FROM conversations""",
     "strip_comments": r"""WITH p AS (SELECT page_id, regexp_replace(coalesce(html, ''), '[\r\n"\\]', ' ', 'g') AS s, replace(regexp_replace(coalesce(html, ''), '\r', '', 'g'), '*/', '') AS b FROM pages) SELECT page_id, 'f();' || chr(10) || '"' || s || '";' || CASE WHEN contains(b, chr(10)) THEN repeat(chr(10), (length(b) - length(replace(b, chr(10), '')))::INT) || ' g(a / b);' ELSE '  g(a / b);' END AS code FROM p""",
     "normalize_identifiers": r"""WITH p AS (SELECT page_id, regexp_replace(coalesce(html, ''), '[^\x00-\x7F]', ' ', 'g') AS t FROM pages) SELECT page_id, len(list_filter(list_distinct(regexp_extract_all(t, '\b[A-Za-z_][A-Za-z0-9_]{2,}\b')), lambda n: n NOT IN (""" + ", ".join(f"'{w}'" for w in T.RESERVED) + r""")))::BIGINT AS names, md5(regexp_replace(t, '\b[A-Za-z_][A-Za-z0-9_]{2,}\b', 'N', 'g')) AS around FROM p""",
+    "lateral_slices": r"""WITH p AS (SELECT page_id, page_id % 3 AS k, page_id % 2 = 0 AS bench, page_id::VARCHAR AS i, regexp_replace(coalesce(html, ''), '[\r\n]', ' ', 'g') AS flat, regexp_replace(coalesce(html, ''), '[\r\n"\\]', ' ', 'g') AS txt FROM pages),
+        r AS (SELECT *, CASE k WHEN 0 THEN '  function pay' || i || '(address to) public only' || i || ' {' WHEN 1 THEN 'func (k Keeper) Pay' || i || '(to string) error {' ELSE '@Callable(i)' || chr(10) || 'func pay' || i || '(to: String) = {' END || chr(10)
+          || CASE WHEN k = 2 THEN '' ELSE CASE WHEN bench THEN '' ELSE CASE k WHEN 0 THEN '    // } ' ELSE chr(9) || '// } ' END || flat END || chr(10) END
+          || CASE k WHEN 0 THEN '    note("{' || txt || '");' || chr(10) || '    send(to, rate);' || chr(10) || '  }' WHEN 1 THEN chr(9) || 'note("{' || txt || '")' || chr(10) || chr(9) || 'return nil' || chr(10) || '}' ELSE '  let x = "{' || txt || '"' || chr(10) || '  [StringEntry("to", x)]' || chr(10) || '}' END AS code FROM p),
+        c AS (SELECT *, CASE WHEN greatest(1, length(code) // 4) > 500 THEN code[1:2000] || chr(10) || '// ...[truncated]' ELSE code END AS cut,
+          CASE k WHEN 0 THEN '  function pay' || i || '(address to) public only' || i || ' {' || chr(10) || '    // } ' || flat || chr(10) || '    note("{' || txt || '");' || chr(10) || '    send(to, rate);' || chr(10) || '  }'
+            WHEN 1 THEN 'func (k Keeper) Pay' || i || '(to string) error {' || chr(10) || chr(9) || '// } ' || flat || chr(10) || chr(9) || 'note("{' || txt || '")' || chr(10) || chr(9) || 'return nil' || chr(10) || '}' ELSE code END AS raw FROM r),
+        n AS (SELECT *, list_filter(regexp_extract_all(raw, '\b([A-Za-z_][0-9A-Za-z_]*)\s*\(', 1), lambda x: x NOT IN (@RESERVED@))[1:40] AS calls FROM c)
+        SELECT 'p' || i || CASE k WHEN 0 THEN '.sol' WHEN 1 THEN '.go' ELSE '.ride' END AS file, CASE WHEN bench THEN 'benchmark' ELSE 'study' END AS tier, CASE WHEN k = 0 THEN 'C' || i ELSE 'p' || i END AS contract,
+          CASE k WHEN 0 THEN 'pay' || i || '(address to)' WHEN 1 THEN 'Pay' || i || '(to string)' ELSE 'pay' || i || '(to: String)' END AS signature, CASE k WHEN 0 THEN 6 ELSE 3 END::BIGINT AS start_line, CASE k WHEN 0 THEN 10 WHEN 1 THEN 7 ELSE 7 END::BIGINT AS end_line,
+          cut AS code, CASE WHEN k = 0 THEN 'uint256 public rate = 0;' ELSE '' END AS state_vars, CASE WHEN k = 0 THEN 'modifier only' || i || '() { require(rate > 0); _; }' ELSE '' END AS modifiers,
+          array_to_string(calls, ',') AS callees, greatest(1, length(cut) // 4)::BIGINT AS approx_tokens, CASE WHEN k = 0 THEN '^0.8.0' ELSE '' END AS solc_version FROM n""".replace("@RESERVED@", ", ".join(f"'{w}'" for w in T.RESERVED)),
     "function_slices": r"""SELECT 'c' || page_id || '.sol' AS file, 'C' || page_id AS contract, 'pay' || page_id AS function, 'pay' || page_id || '(address to)' AS signature, 5::BIGINT AS start_line, 9::BIGINT AS end_line, 'uint256 public rate = 0;' AS state_vars, '' AS modifiers, (length('  function pay' || page_id || '(address to) public onlyOwner {') + 10 + 8 + length(coalesce(html, '')) * 2 + 3 + 4 + 24)::BIGINT AS n_chars, '^0.8.0' AS solc_version FROM pages""",
 }

@@ -126,3 +126,45 @@ def test_skips_cache_and_integrity(spark):
     assert [r.key for r in tables.uncached(prompts, spark.createDataFrame([("k2", "r")], "key string, reply string")).collect()] == ["k1"]
     classes = R.dimension(spark, [R.Rule("V1", mitigation="M1"), R.Rule("V2", mitigation="M9")])
     assert [r.class_id for r in R.without_mitigation(classes, spark.createDataFrame([("M1",)], "mitigation string")).collect()] == ["V2"]
+
+
+def _rules(n):
+    return [R.Rule(f"C{k:05d}", must_call=(f"call{k}(",), must_lack_patterns=(f"guard{k}\\b",), hints=(f"t{k}", "ab", "a long enough term of many characters")) for k in range(n)]
+
+
+def test_a_large_rule_base_is_found_as_by_looking_for_every_term(spark):
+    import random
+
+    rng, base = random.Random(2), _rules(400)
+    texts = [(i, " ".join(rng.choice([f"T{rng.randrange(500)}", f"call{rng.randrange(500)}(", "ab", "x", "a long enough term of many characters"]) for _ in range(rng.randrange(60)))) for i in range(80)] + [(90, None), (91, ""), (92, "ab" * 60_000)]
+    df = spark.createDataFrame(texts, "i int, code string")
+    want = []
+    for i, text in texts:
+        low = (text or "").lower()
+        scores = [(sum(t in low for t in r.terms()) / len(r.terms()) ** 0.5, r.id) for r in base]
+        want += [(i, c, s, k) for k, (s, c) in enumerate(sorted((x for x in scores if x[0] > 0), key=lambda x: (-x[0], x[1]))[:4], 1)]
+    for most in (R.MOST_BYTES, 6_000):  # whole, and part by part
+        got = [(r.i, r.class_id, r.score, r["rank"]) for r in R.retrieve(df, base, top_k=4, most_bytes=most).collect()]
+        assert sorted(got) == sorted(want)
+    one, parts = (sorted(map(str, R.confirm(R.retrieve(df, base), base, most_bytes=most).drop("code").collect())) for most in (R.MOST_BYTES, 6_000))
+    assert one == parts and len(one) == len(want)
+
+
+def test_the_plan_does_not_grow_with_the_rule_base(spark):
+    df = spark.createDataFrame([(1, "x")], "i int, code string")
+    size = [len(R.static_baseline(df, _rules(n))._jdf.queryExecution().optimizedPlan().toString()) for n in (3, 3_000)]
+    assert abs(size[0] - size[1]) < 200
+
+
+def test_slices_by_lateral_join(spark):
+    slicing.register(spark)
+    text = "contract C {\n  modifier only() { require(x); _; }\n  function f(uint a) only { // why\n    g(a); " + "x; " * 40 + "}\n}\n"
+    files = spark.createDataFrame([("p", "benchmark", "solidity", "c.sol", text), ("p", "study", None, "n.txt", text), ("p", None, None, None, None)], "protocol string, tier string, language string, file string, text string")
+    cut = "SELECT f.file, s.* FROM {files} f, LATERAL slice_functions(protocol, tier, language, f.file, text, @, 60) s"
+    whole = spark.sql(cut.replace("@", "4000"), files=files).collect()
+    same = slicing.function_slices(files).collect()
+    assert [(r.id, r.code, r.modifiers, r.callees) for r in whole] == [(r.id, r.code, r.modifiers, r.callees) for r in same] and len(whole) == 1
+    assert "why" not in whole[0].code and whole[0].modifiers.startswith("modifier only()")
+    assert spark.sql(cut.replace("@", "20"), files=files).first().code.endswith("\n// ...[truncated]")
+    with pytest.raises(Exception, match="constant of at least 0"):
+        spark.sql(cut.replace("@", "-1"), files=files)
