@@ -12,7 +12,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.draws import bits_of
 from ..functions.text import path_contains
+from .ordered import stored
+from .selection import at_rank
 
 KEY = ["protocol", "file", "function", "class_id"]
 
@@ -144,37 +147,49 @@ def control_false_positives(findings: DataFrame, labels: DataFrame, protocols: D
     return wrong.groupBy(*by).agg(F.count(F.lit(1)).alias("control_fp"))
 
 
+#: Draws that one call makes.
+DRAWS = 1 << 20
+
+
 def bootstrap_f1(findings: DataFrame, labels: DataFrame, iterations: int = 2_000, level: float = 0.95, seed: int = 0) -> DataFrame:
     """F1 with a percentile interval: f1, lo, hi, n, iterations.
 
-    Units are the rows of findings and one missed unit per label without a finding. A resample is determined by how often each
-    of the four kinds of unit is drawn, so an iteration is one multinomial draw, whatever the number of rows.
+    Units are the rows of findings and one missed unit per label without a finding. Draw j of iteration i takes the unit that a
+    hash of (seed, i, j) names, units lying in the order true and false positives, false and true negatives; so anyone can draw
+    the same resamples. An iteration's draws are counted in blocks, and the interval's ends are selected by rank.
     """
     matched = match_labels(findings, labels)
     marked = with_truth(findings, truth_keys(matched))
     d, t = F.coalesce("detected", F.lit(False)), F.col("is_true")
     got = marked.agg(F.count_if(d & t).alias("tp"), F.count_if(d & ~t).alias("fp"), F.count_if(~d & t).alias("fn"), F.count_if(~d & ~t).alias("tn")).first()
     missed = matched.where("NOT retrieved").count()
-    counts = np.array([got.tp, got.fp, got.fn + missed, got.tn], dtype=float)
-    n = int(counts.sum())
-
-    def f1_of(tp, fp, fn):
-        p, r = tp / np.maximum(tp + fp, 1), tp / np.maximum(tp + fn, 1)
-        return np.round(np.where(p + r > 0, 2 * p * r / np.maximum(p + r, 1e-300), 0.0), 4)
+    upto = np.cumsum([got.tp, got.fp, got.fn + missed, got.tn])
+    n, spark = int(upto[-1]), findings.sparkSession
+    if n == 0:
+        return spark.createDataFrame([(0.0, 0.0, 0.0, 0, iterations)], "f1 double, lo double, hi double, n bigint, iterations int")
 
     def draw(batches):
         for b in batches:
-            drawn = np.array([np.random.default_rng([seed, int(i)]).multinomial(n, counts / max(n, 1)) for i in b["id"]]).reshape(-1, 4)
-            yield pd.DataFrame({"f1": f1_of(*drawn[:, :3].T.astype(float))})
-
-    spark = findings.sparkSession
-    point = float(f1_of(*counts[:3]))
+            rows = []
+            for i, block in zip(b["i"], b["block"], strict=True):
+                j = np.arange(block * DRAWS, min(n, (block + 1) * DRAWS))
+                unit = (bits_of(seed, int(i), j) * np.uint64(n)) >> np.uint64(32)
+                rows.append((i, *np.bincount(np.searchsorted(upto, unit.astype(np.int64), "right"), minlength=4)[:3].tolist()))
+            yield pd.DataFrame(rows, columns=["i", "tp", "fp", "fn"])
+
+    blocks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit((n - 1) // DRAWS).cast("bigint"))).alias("block")
+    drawn = spark.range(iterations).select(F.col("id").alias("i"), blocks).repartition("i", "block").mapInPandas(draw, "i bigint, tp bigint, fp bigint, fn bigint")
+    totals = drawn.groupBy("i").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
+    scores = stored(totals.select(F.lit(0).alias("g"), F.round(_f1("tp", "fp", "fn") * 10_000).cast("bigint").alias("s")))
     tail = (1 - level) / 2
-    if n == 0:
-        return spark.createDataFrame([(0.0, 0.0, 0.0, 0, iterations)], "f1 double, lo double, hi double, n bigint, iterations int")
-    scores = spark.range(iterations).mapInPandas(draw, "f1 double").agg(F.sort_array(F.collect_list("f1")).alias("s"))
-    at = lambda q: F.element_at("s", min(iterations - 1, int(q * iterations)) + 1)
-    return scores.select(F.lit(point).alias("f1"), at(tail).alias("lo"), at(1 - tail).alias("hi"), F.lit(n).cast("bigint").alias("n"), F.lit(iterations).alias("iterations"))
+    ends = [at_rank(scores, ["g"], "s", lambda _, q=q: F.lit(min(iterations - 1, int(q * iterations))), name).select("g", (F.col(name) / 10_000).alias(name)) for q, name in ((tail, "lo"), (1 - tail, "hi"))]
+    point = spark.createDataFrame([(0, int(upto[0]), int(upto[1] - upto[0]), int(upto[2] - upto[1]), n, iterations)], "g int, tp bigint, fp bigint, fn bigint, n bigint, iterations int")
+    return point.join(ends[0], "g").join(ends[1], "g").select(F.round(_f1("tp", "fp", "fn"), 4).alias("f1"), "lo", "hi", "n", "iterations")
+
+
+def _f1(tp: str, fp: str, fn: str) -> Column:
+    """2 p r / (p + r) is 2 tp / (2 tp + fp + fn); 0 without true positives."""
+    return F.coalesce(F.try_divide(2.0 * F.col(tp), 2 * F.col(tp) + F.col(fp) + F.col(fn)), F.lit(0.0))
 
 
 def run_summary(findings: DataFrame, by: list[str] = []) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.draws import bits_sql
 from ..operators import evaluate as E
 from ..operators import rules as R
 from ..operators import slicing, tables
@@ -403,6 +404,13 @@ ORACLE_SQL = {
     "corpus_share": f"WITH {_T} SELECT protocol, count(*) AS slices, sum(length(body) - length(replace(body, chr(10), '')) + 1)::BIGINT AS lines, sum(greatest(1, length(body) // 4))::BIGINT AS tokens, round(count(*) / (SELECT count(*) FROM t)::DOUBLE, 4) AS share FROM t GROUP BY protocol",
     "token_budget": f"WITH {_T} SELECT doc_id, (length(body) - length(replace(body, chr(10), '')) + 1)::BIGINT AS n_lines, greatest(1, length(body) // 4)::BIGINT AS tokens, CASE WHEN length(body) // 4 > 500 THEN 2018 ELSE length(body) END::BIGINT AS kept_chars FROM t",
     "slice_id": "SELECT doc_id, substr(sha256(concat_ws(':', source, lang || '.txt', lang, 'f()', doc_id)), 1, 16) AS id FROM documents",
+    "bootstrap_f1": f"""WITH {_ALL}, x AS (SELECT coalesce(f.detected, false) AS d, tr.file IS NOT NULL AS t FROM f LEFT JOIN tr USING (protocol, file, function, class_id)),
+        q AS (SELECT count(*) FILTER (d AND t) AS tp, count(*) FILTER (d AND NOT t) AS fp, count(*) FILTER (NOT d AND t) + (SELECT count(*) FROM m WHERE hit IS NULL) AS fn, count(*) FILTER (NOT d AND NOT t) AS tn FROM x),
+        w AS (SELECT *, tp + fp + fn + tn AS n FROM q),
+        z AS (SELECT i.range AS i, tp, fp, fn, ({bits_sql(0, "i.range", "j.range")} * n) >> 32 AS unit FROM w, range(2000) i, range((SELECT n FROM w)) j),
+        b AS (SELECT i, count(*) FILTER (unit < tp) AS a, count(*) FILTER (unit >= tp AND unit < tp + fp) AS b, count(*) FILTER (unit >= tp + fp AND unit < tp + fp + fn) AS c FROM z GROUP BY i),
+        l AS (SELECT list(s ORDER BY s) AS l FROM (SELECT CASE WHEN a = 0 THEN 0.0::DOUBLE ELSE round(2.0::DOUBLE * a / (2 * a + b + c), 4) END AS s FROM b))
+        SELECT CASE WHEN tp = 0 THEN 0.0::DOUBLE ELSE round(2.0::DOUBLE * tp / (2 * tp + fp + fn), 4) END AS f1, l[51] AS lo, l[1951] AS hi, n, 2000::INTEGER AS iterations FROM w, l""",
     "callees": r"SELECT page_id, coalesce((SELECT string_agg(c, ',' ORDER BY k) FROM (SELECT unnest(n) AS c, generate_subscripts(n, 1) AS k FROM (SELECT regexp_extract_all(coalesce(html, ''), '\b([A-Za-z_][A-Za-z0-9_]*)\s*\(', 1) AS n)) WHERE c NOT IN (" + ", ".join(f"'{w}'" for w in T.RESERVED) + ")), '') AS callees FROM pages",
     "exclude_filter": "SELECT * FROM (SELECT doc_id, concat_ws('/', source, lang, 'Doc' || doc_id || '.txt') AS file, strlen(text)::BIGINT AS n_bytes FROM documents) WHERE n_bytes BETWEEN 1 AND 2000 AND NOT contains('/' || lower(file), '/src1/') AND NOT contains('/' || lower(file), '/src2/') AND NOT contains(lower(file), '/doc7')",
     "stride_sample": "WITH x AS (SELECT source AS protocol, lang AS file, doc_id AS start_line, doc_id AS id, row_number() OVER (ORDER BY source, lang, doc_id) - 1 AS r, greatest(1, count(*) OVER () // 60) AS s, count(*) OVER () AS n FROM documents) SELECT protocol, file, start_line, id FROM x WHERE n <= 60 OR (r % s = 0 AND r // s < 60) OR id IN (SELECT doc_id FROM labels WHERE toxic = 1)",

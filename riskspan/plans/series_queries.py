@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.draws import bits_sql
 from ..operators import series as S
 from ..sources import series as src
 
 #: Severities on the scale of the events' values.
 TIERS = {"depeg": 35.0, "severe": 10.0, "failure": 5.0}
+SYNTHETIC_START = 1_704_067_200
 GRID = (35.0, 20.0, 10.0, 5.0, 0.5)
 
 
@@ -110,7 +112,11 @@ def missing_months(spark, sf_dir):
 
 
 def synthetic_minutes(spark, sf_dir):
-    return S.episodes(src.synthetic_minutes(spark), S.TIERS)
+    """The events' minutes of each type with synthetic values over 31 days, noise by type and minute, and the episodes in them."""
+    minute = F.floor((F.col("ts") - SYNTHETIC_START) / 60)
+    at = _series(spark, sf_dir).select("series_id", minute.alias("at")).distinct().withColumn("ts", SYNTHETIC_START + F.col("at") * 60)
+    keyed = at.withColumn("_key", F.col("at") * 256 + F.ascii("series_id"))
+    return S.episodes(src.synthetic_values(keyed, "at", 31 * 1_440, 7, "_key"), S.TIERS)
 
 
 _S = """s AS (SELECT event_type AS series_id, floor(epoch(ts))::BIGINT AS ts, min(value) AS value FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL GROUP BY ALL)"""
@@ -173,5 +179,11 @@ ORACLE_SQL = {
         hs AS (SELECT series_id, greatest(1, coalesce(percentile_disc(0.5) WITHIN GROUP (ORDER BY gap DESC), 60)) AS step FROM hg GROUP BY series_id)
         SELECT series_id, CASE WHEN fine.step < hs.step THEN '1m' ELSE '1h' END AS resolution FROM fine JOIN hs USING (series_id)""",
     "kline_parse": "SELECT 'all' AS series_id, floor(epoch(ts))::BIGINT AS ts, min(value) AS value FROM events WHERE value IS NOT NULL GROUP BY ALL",
+    "synthetic_minutes": f"""WITH e AS (SELECT DISTINCT event_type AS series_id, floor((floor(epoch(ts)) - {SYNTHETIC_START}) / 60)::BIGINT AS m FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL),
+        k AS (SELECT *, m / {31 * 1_440}::DOUBLE AS x, m * 256 + ascii(series_id) AS key FROM e),
+        u AS (SELECT *, ({bits_sql(7, "key", "1")} + 1) / {float(1 << 32)}::DOUBLE AS u1, {bits_sql(7, "key", "2")} / {float(1 << 32)}::DOUBLE AS u2 FROM k),
+        s AS (SELECT series_id, {SYNTHETIC_START} + m * 60 AS ts, round(greatest(0.01::DOUBLE, CASE WHEN x < 0.5 THEN 1.0::DOUBLE WHEN x < 0.7 THEN 1.0::DOUBLE - (x - 0.5::DOUBLE) * 0.1::DOUBLE WHEN x < 0.85 THEN 0.98::DOUBLE - (x - 0.7::DOUBLE) * 2 ELSE 0.6::DOUBLE - (x - 0.85::DOUBLE) * 3 END
+          + sqrt(-2 * ln(u1)) * cos(u2 * 2 * pi()) * CASE WHEN x < 0.5 THEN 0.0006::DOUBLE ELSE 0.004::DOUBLE END), 6) AS value FROM u),
+        {_G}, {_episodes_sql(S.TIERS)} SELECT * FROM ep""",
     "missing_months": "SELECT m AS month FROM (VALUES ('2023-12'), ('2024-01'), ('2024-02')) v(m) WHERE NOT EXISTS (SELECT 1 FROM events WHERE strftime(ts, '%Y-%m') = m)",
 }

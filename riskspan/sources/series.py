@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.draws import normal
+
 
 def epoch_seconds(ts: str) -> Column:
     """Whole seconds since 1970 of a timestamp without zone, whatever the session's zone."""
@@ -104,13 +106,21 @@ def prefer_finest(series: DataFrame) -> DataFrame:
     return series.join(best, ["series_id", "resolution"])
 
 
-def synthetic_minutes(spark: SparkSession, days: int = 8, seed: int = 7, start: int = 1_651_881_600, series_id: str = "demo") -> DataFrame:
-    """A seeded minute series in four regimes: calm, drift, break, collapse."""
-    n = days * 1_440
-    x = F.col("id") / n
+def synthetic_values(rows: DataFrame, at: str, span: int, seed: int = 7, key: str = "ts") -> DataFrame:
+    """Add value: a seeded series in four regimes, calm, drift, break and collapse, over `span` steps of the number `at`.
+
+    The noise of a row is a function of the seed and of the row's own `key`, whatever task computes it.
+    """
+    x = F.col(at) / span
     level = F.when(x < 0.5, 1.0).when(x < 0.7, 1.0 - (x - 0.5) * 0.1).when(x < 0.85, 0.98 - (x - 0.7) * 2).otherwise(0.6 - (x - 0.85) * 3)
-    noise = F.randn(seed) * F.when(x < 0.5, 0.0006).otherwise(0.004)
-    return spark.range(n).select(F.lit(series_id).alias("series_id"), (F.lit(start) + F.col("id") * 60).alias("ts"), F.greatest(F.lit(0.01), level + noise).alias("value"))
+    noise = normal(seed, F.col(key)) * F.when(x < 0.5, 0.0006).otherwise(0.004)
+    return rows.withColumn("value", F.round(F.greatest(F.lit(0.01), level + noise), 6))
+
+
+def synthetic_minutes(spark: SparkSession, days: int = 8, seed: int = 7, start: int = 1_651_881_600, series_id: str = "demo") -> DataFrame:
+    """synthetic_values() at every minute of `days` days."""
+    minutes = spark.range(days * 1_440).select(F.lit(series_id).alias("series_id"), (F.lit(start) + F.col("id") * 60).alias("ts"), F.col("id").alias("_at"))
+    return synthetic_values(minutes, "_at", days * 1_440, seed).drop("_at")
 
 
 def first_by_ordinal(rows: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
