@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -104,6 +107,21 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_BYTES
         yield batch.take(pa.array(range(a, b), pa.int64()))
 
 
+def returning_memory(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """`run`, after whose last batch the Python worker gives freed memory back: Spark keeps idle workers beside the next stage's."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's; others give memory back by themselves
+            if trim:
+                trim(0)
+
+    return lean
+
+
 def text_bytes(column: pa.Array) -> tuple[bytes, np.ndarray]:
     """The rows' UTF-8 bytes with one newline after each, and the n + 1 offsets of the rows in them (null: empty)."""
     texts = column.fill_null("").cast(pa.large_binary())

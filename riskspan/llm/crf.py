@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 
-from .common import scan_words, slices, table, text_bytes
+from .common import returning_memory, scan_words, slices, table, text_bytes
 from .toxicity import balanced_sample, held_out
 
 LINE_FEATURES = ("length", "words", "word_length", "upper", "digits", "marks", "symbols", "pipes", "stutter", "variety", "repeated_line", "stop", "shouts")
@@ -248,7 +248,7 @@ def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",
     m = learn(docs, labels, sample)
     source = docs.select(*dict.fromkeys([*keep, "text"]))
     schema = StructType([source.schema[c] for c in keep] + [StructField("score", DoubleType())])
-    return source.mapInArrow(_score((m.weights, m.transition, m.slope, m.intercept), list(keep), to_arrow_schema(schema)), schema)
+    return source.mapInArrow(returning_memory(_score((m.weights, m.transition, m.slope, m.intercept), list(keep), to_arrow_schema(schema))), schema)
 
 
 def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

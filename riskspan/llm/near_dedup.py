@@ -27,9 +27,11 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from .bitmap import build, test
-from .common import materialise, mix, scan_words, slices, starts_of, table, text_bytes, window_hashes
+from .common import materialise, mix, returning_memory, scan_words, slices, starts_of, table, text_bytes, window_hashes
 
 SHINGLE = 5
+#: Bytes of text whose shingles a task sorts at a time.
+SLICE = 1 << 20
 K = 32
 PERCENT = 85
 #: For each threshold in percent: the length of the runs of sketch values that key the lists, and the values that sketches must
@@ -67,7 +69,7 @@ SKETCH = StructType([StructField("doc_id", LongType()), StructField("n", LongTyp
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = to_arrow_schema(SKETCH)
     for whole in batches:
-        for batch in slices(whole):
+        for batch in slices(whole, limit=SLICE):
             values, first = shingle_sets(batch.column("text"))
             sums = []
             for v in (values, mix(values ^ np.uint64(0x5851F42D4C957F2D))):
@@ -95,7 +97,7 @@ def _sets_of(marked):
             if not len(picked):
                 continue
             some = pa.RecordBatch.from_arrays([ids.take(pa.array(picked)), whole.column("text").take(pa.array(picked))], names=["doc_id", "text"])
-            for batch in slices(some):
+            for batch in slices(some, limit=SLICE):
                 values, first = shingle_sets(batch.column("text"))
                 lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists.cast(schema.field("shingles").type)], schema=schema)
@@ -265,7 +267,7 @@ def _rarest(live: DataFrame, need: Column) -> DataFrame:
 
 def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sketch rows of all documents, and one row per class of equal sets: class (its least id), n, sketch."""
-    rows = materialise(docs.select("doc_id", "text").mapInArrow(_sketches, SKETCH), "sketches")
+    rows = materialise(docs.select("doc_id", "text").mapInArrow(returning_memory(_sketches), SKETCH), "sketches")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("n", "set1", "set2").agg(F.min("doc_id").alias("class"), F.first("sketch").alias("sketch"))
     return rows, materialise(classes, "classes")
 
@@ -297,7 +299,7 @@ def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     listed = lists.select("class").distinct()
     marked = spark.sparkContext.broadcast(build(listed.select(F.xxhash64("class").alias("mark"))))
     source = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64(F.col("doc_id").cast("long")).alias("mark"))
-    sets = source.mapInArrow(_sets_of(marked), SETS).join(listed, "class", "left_semi")
+    sets = source.mapInArrow(returning_memory(_sets_of(marked)), SETS).join(listed, "class", "left_semi")
     sets = materialise(sets.dropDuplicates(["class"]), "sets")
     links = materialise(verified(star, sets, percent), "links")
     comp = components(links)
