@@ -203,15 +203,18 @@ def indicators(series: DataFrame, supply: DataFrame | None = None, tiers: dict[s
     return out.select("series_id", "ts", "value", F.round(F.abs(F.col("value") - 1), 6).alias("deviation"), F.round("low", 6).alias("low"), F.round("growth", 6).alias("growth"), F.col("low").alias("low_raw"), F.col("growth").alias("growth_raw"), state_of(F.col("low"), F.col("growth"), tiers=tiers).alias("state"))
 
 
-def alerts(series: DataFrame, supply: DataFrame | None = None, tiers: dict[str, float] = TIERS, minutes: int = 1_440, warmup_hours: int = 24, every_minutes: int = 60) -> DataFrame:
+def alerts(series: DataFrame, supply: DataFrame | None = None, tiers: dict[str, float] = TIERS, minutes: int = 1_440, warmup_hours: int = 24, every_minutes: int = 60, step_seconds: int | None = None) -> DataFrame:
     """Early warnings: series_id, ts, state, reasons, at evaluated samples whose state is not normal and differs from that of
     the sample evaluated before.
 
     A series is evaluated every ceil(every_minutes / step) samples from its ceil(warmup_hours / step)-th on, but not at its
-    last sample; only data up to the sample count. Series of fewer than two samples give nothing.
+    last sample; only data up to the sample count. Series of fewer than two samples give nothing. The step is the median one
+    unless step_seconds is given.
     """
     gaps = gap_table(series)
     steps = median_step(gaps)
+    if step_seconds is not None:
+        steps = steps.withColumn("step", F.lit(step_seconds).cast("bigint"))
     numbered = with_running_sum(gaps.select("series_id", "ts", "value", "_chunk"), ["series_id"], "ts", F.lit(1).cast("bigint"), "rn", "_chunk").select("series_id", "ts", "rn")
     window = F.greatest(F.lit(1), F.ceil(F.lit(warmup_hours * 3_600) / F.col("step")))
     stride = F.greatest(F.lit(1), F.ceil(F.lit(every_minutes * 60) / F.col("step")))

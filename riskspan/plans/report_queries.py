@@ -17,6 +17,7 @@ from ..sources import config, files
 from ..sources import series as src
 from ..sources import tables as src_tables
 from ..streaming import series as live
+from ..streaming import warnings as warn
 from . import code_queries as C
 from . import series_queries as Q
 
@@ -296,6 +297,24 @@ def stream_lows(spark, sf_dir):
     return live.run_available(live.lows(stream), path)
 
 
+#: Step of the streamed warnings, and how late their samples may come.
+WARN_STEP, WARN_LATE = 1_200, 60
+
+
+def stream_alerts(spark, sf_dir):
+    """Early warnings of the events as a stream of four micro-batches, in which every fifth sample comes up to an hour late and
+    every seventh comes again; those up to the watermark equal the table's."""
+    path = scratch(spark)
+    rows = Q._series(spark, sf_dir).withColumn("time", F.timestamp_seconds("ts"))
+    least, span = rows.agg(F.min("ts"), F.max("ts") - F.min("ts") + 1).first()
+    late = F.when(F.col("ts") % 5 == 0, F.lit(WARN_LATE * 60 - 1)).otherwise(0)
+    again = F.explode(F.when(F.col("ts") % 7 == 0, F.array(F.lit(0), F.lit(1_800))).otherwise(F.array(F.lit(0))))
+    sent = rows.withColumn("_again", again).select("series_id", "time", "value", (F.floor((F.col("ts") + late + F.col("_again") - least) * 4 / span)).alias("_at"))
+    stream = warn.in_batches(sent, f"{path}/in", 4, F.least(F.col("_at"), F.lit(3)).cast("int")).drop("_at")
+    out = live.run_available(warn.alerts(stream, WARN_STEP, Q.TIERS, minutes=60, late_minutes=WARN_LATE), path)
+    return out.withColumn("reasons", F.array_join("reasons", "; "))
+
+
 _LBL = "coalesce(CASE WHEN {0} IS NULL THEN '—' ELSE printf('%.3f', {0}) END, '—')"
 _OVERALL = [
     ("True positives", "tp::VARCHAR"), ("False positives", "fp::VARCHAR"), ("False negatives", "fn::VARCHAR"), ("True negatives", "tn::VARCHAR"),
@@ -366,6 +385,9 @@ def _sql() -> dict[str, str]:
             UNION ALL SELECT class_id, sites, section, place + 10000, printf('- `%s` %s:7 → `%s` (score %.3f)', protocol, file, function, score) FROM s JOIN g USING (class_id) WHERE place <= 10
             UNION ALL SELECT class_id, sites, section, 99999, '- ...and ' || (sites - 10) || ' more' FROM g WHERE sites > 10""",
         "stream_episodes": f"WITH {Q._U}, g AS (SELECT *, lag(ts) OVER w AS prev_ts, lag(value) OVER w AS prev_value FROM s WINDOW w AS (PARTITION BY series_id ORDER BY ts)), st AS (SELECT DISTINCT series_id, {_STEP}::BIGINT AS step FROM s), {Q._episodes_sql({'depeg': 35.0})} SELECT * FROM ep",
+        "stream_alerts": f"""WITH {Q._S.replace("s AS (", "s0 AS (", 1)}, s AS (SELECT * FROM s0 WHERE ts <= (SELECT floor(epoch(max(ts)))::BIGINT - {WARN_LATE * 60} FROM events WHERE event_type IS NOT NULL AND value IS NOT NULL)),
+            st AS (SELECT series_id, {WARN_STEP}::BIGINT AS step, count(*) AS samples FROM s GROUP BY series_id), {Q._LOW}, gr AS (SELECT series_id, ts, NULL::DOUBLE AS growth FROM s), {Q._AL[Q._AL.index("rn AS (") :]}
+            SELECT series_id, ts, state, CASE WHEN low < 35.0 THEN printf('price touched %.4f (< 35.0)', low) ELSE '' END AS reasons FROM al""",
         "stream_lows": f"WITH {Q._S}, h AS (SELECT series_id, ts // 3600 * 3600 AS hour, min(value) AS low, count(*) AS samples FROM s GROUP BY series_id, ts // 3600 * 3600) SELECT series_id, hour::BIGINT AS start_ts, (hour + 3600)::BIGINT AS end_ts, low, samples FROM h WHERE hour + 3600 <= (SELECT max(ts) - 3600 FROM s)",
     }
 
@@ -375,7 +397,7 @@ QUERIES = {
     for f in (
         file_measures, file_scan, analyser_report, benchmark_labels, benchmark_dropped, fetch_quality, series_csv, price_json, supply_json, finest_series, protocol_filter, market_protocols, unavailable_protocols, skip_reasons,
         benchmark_scope, labelled_slices, picked_slice, confirm_rate, analyser_record, group_sizes, run_order, best_reply, uncached_prompts, commit_refs, prompt_context, sections, first_lines, reply_fields, pair_analysis,
-        corpus_table, overall_table, layer_table, run_table, sensitivity_table, lead_table, alerts_head, report_lines, prevention_lines, stream_episodes, stream_lows,
+        corpus_table, overall_table, layer_table, run_table, sensitivity_table, lead_table, alerts_head, report_lines, prevention_lines, stream_episodes, stream_lows, stream_alerts,
     )
 }
 ORACLE_SQL = _sql()

@@ -159,3 +159,46 @@ def test_streamed_episodes_over_several_batches(spark, tmp_path):
     want = S.episodes(spark.createDataFrame(rows, "series_id string, ts bigint, value double"), S.TIERS, 3, 2, step_seconds=60)
     key = lambda df: sorted(tuple(r[c] for c in ("series_id", "kind", "start_ts", "end_ts", "duration_min", "min_value", "samples")) for r in df.collect())
     assert key(got) == key(want) and got.count() > 20
+
+
+def test_streamed_warnings_with_late_and_repeated_rows_and_a_restart(spark, tmp_path):
+    """Two runs on one checkpoint over six files; rows up to half an hour late, some again; equal to the batch operator up to the watermark."""
+    from riskspan.streaming import warnings as W
+
+    rng = random.Random(8)
+    rows = []
+    for s in ("a", "b", "c"):
+        ts, value = 1_700_000_000, 1.0
+        for _ in range(900):
+            ts += rng.choice([60, 60, 60, 120])
+            value = rng.choice([value, value, value, value, 1.0, 0.97, 0.9, 0.7])
+            rows.append((s, ts, value))
+    sent = sorted([(ts + rng.choice([0, 0, 900, 1_799]), s, ts, v) for s, ts, v in rows] + [(ts + 600, s, ts, v) for s, ts, v in rows if ts % 7 == 0])
+    schema = "series_id string, ts bigint, value double"
+    size = -(-len(sent) // 6)
+    options = {"minutes": 4, "warmup_hours": 2, "every_minutes": 10}
+    for part in (range(0, 3), range(3, 6)):
+        for k in part:
+            df = spark.createDataFrame([r[1:] for r in sent[k * size : (k + 1) * size]], schema).withColumn("time", F.timestamp_seconds("ts")).drop("ts")
+            df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("series_id string, value double, time timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        got = live.run_available(W.alerts(stream, 60, late_minutes=30, **options), str(tmp_path / "run"))
+    known = spark.createDataFrame([r for r in rows if r[1] <= max(r[1] for r in rows) - 1_800], schema)
+    want = S.alerts(known, None, step_seconds=60, **options)
+    key = lambda df: sorted((r["series_id"], r["ts"], r["state"], tuple(r["reasons"])) for r in df.collect())
+    assert key(got) == key(want) and got.count() > 20
+
+
+def test_an_idle_series_starts_anew(spark, tmp_path):
+    """After the idle time its counters are gone: the warm-up begins again, and nothing is judged in it."""
+    from riskspan.streaming import warnings as W
+
+    day, t0 = 86_400, 1_700_000_000
+    batches = [[("a", t0 + 60 * i, 0.5) for i in range(10)], [("b", t0 + 9 * day, 1.0)], [("b", t0 + 10 * day, 1.0)], [("a", t0 + 11 * day + 60 * i, 0.5) for i in range(4)], [("b", t0 + 20 * day, 1.0)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, "series_id string, ts bigint, value double").withColumn("time", F.timestamp_seconds("ts")).drop("ts").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("series_id string, value double, time timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for days, fired in ((5, 1), (30, 1)):
+        out = live.run_available(W.alerts(stream, 60, warmup_hours=0, every_minutes=1, late_minutes=1, idle_days=days), str(tmp_path / f"run{days}"))
+        found = [r["ts"] for r in out.where("series_id = 'a'").collect()]
+        assert len(found) == (2 if days == 5 else 1), found
