@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import bits_sql
 from ..operators import series as S
+from ..session import scratch
+from ..sources import archives as arc
 from ..sources import series as src
 
 #: Severities on the scale of the events' values.
@@ -106,6 +108,21 @@ def kline_parse(spark, sf_dir):
     return src.parse_klines(lines.unionByName(header), "all")
 
 
+def archive_days(spark, sf_dir):
+    """The events written as daily archives, one of them then cut off, and those of the month's second half read back: samples,
+    least value and sum of each, and the failed one as a row."""
+    folder = f"{scratch(spark)}/archives"
+    arc.write_archives(_series(spark, sf_dir), folder, "yyyy-MM-dd").write.format("noop").mode("overwrite").save()
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    broken = hadoop.Path(f"{folder}/broken/broken-2024-01-20.zip")
+    with_file = broken.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(broken)
+    with_file.write(bytearray(b"PK\x03\x04 cut off"))
+    with_file.close()
+    half = arc.archives(spark, folder).where(F.col("period") >= "2024-01-16")
+    daily = half.groupBy("series_id", "period").agg(F.count("value").alias("samples"), F.min("value").alias("least"), F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("total"), F.max("error").alias("error"))
+    return daily.withColumn("error", F.split("error", ":")[0])
+
+
 def missing_months(spark, sf_dir):
     months = spark.createDataFrame([("2023-12",), ("2024-01",), ("2024-02",)], "month string")
     return src.missing_months(months, _series(spark, sf_dir))
@@ -156,7 +173,7 @@ _LS = "count(*) AS total, count(lead_minutes) AS detected, percentile_disc(0.5)
 
 QUERIES = {
     f.__name__: f
-    for f in (series_dedup, series_median_step, episodes, episodes_tiers, episode_sensitivity, rolling_min_state, supply_growth_asof, early_warning_alerts, lead_time, lead_time_pooled, lead_time_by_series, episode_kind_counts, severe_events, best_view, kline_parse, missing_months, synthetic_minutes)
+    for f in (series_dedup, series_median_step, episodes, episodes_tiers, episode_sensitivity, rolling_min_state, supply_growth_asof, early_warning_alerts, lead_time, lead_time_pooled, lead_time_by_series, episode_kind_counts, severe_events, best_view, kline_parse, archive_days, missing_months, synthetic_minutes)
 }
 ORACLE_SQL = {
     "series_dedup": f"WITH {_S} SELECT * FROM s",
@@ -179,6 +196,7 @@ ORACLE_SQL = {
         hs AS (SELECT series_id, greatest(1, coalesce(percentile_disc(0.5) WITHIN GROUP (ORDER BY gap DESC), 60)) AS step FROM hg GROUP BY series_id)
         SELECT series_id, CASE WHEN fine.step < hs.step THEN '1m' ELSE '1h' END AS resolution FROM fine JOIN hs USING (series_id)""",
     "kline_parse": "SELECT 'all' AS series_id, floor(epoch(ts))::BIGINT AS ts, min(value) AS value FROM events WHERE value IS NOT NULL GROUP BY ALL",
+    "archive_days": f"WITH {_S} SELECT series_id, strftime(make_timestamp(ts * 1000000), '%Y-%m-%d') AS period, count(*) AS samples, min(value) AS least, sum(value::DECIMAL(18,4))::DOUBLE AS total, NULL::VARCHAR AS error FROM s WHERE ts >= epoch(TIMESTAMP '2024-01-16') GROUP BY ALL UNION ALL SELECT 'broken', '2024-01-20', 0, NULL, NULL, 'BadZipFile'",
     "synthetic_minutes": f"""WITH e AS (SELECT DISTINCT event_type AS series_id, floor((floor(epoch(ts)) - {SYNTHETIC_START}) / 60)::BIGINT AS m FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL),
         k AS (SELECT *, m / {31 * 1_440}::DOUBLE AS x, m * 256 + ascii(series_id) AS key FROM e),
         u AS (SELECT *, ({bits_sql(7, "key", "1")} + 1) / {float(1 << 32)}::DOUBLE AS u1, {bits_sql(7, "key", "2")} / {float(1 << 32)}::DOUBLE AS u2 FROM k),
