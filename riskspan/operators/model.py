@@ -14,18 +14,17 @@ import re
 import time
 import urllib.error
 import urllib.request
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import prompt_key, repair_json, reply_fields
-from ..session import scratch
+from . import keyed_store
 from . import prompts as P
+from .ordered import stored
 from .rules import Rule, confirm, decide, retrieve
 
 REPLIES = "key string, text string, provider string, model string, error string, finish_reason string, latency_s double"
@@ -134,22 +133,11 @@ def complete(providers: list, system: str, user: str, temperature: float, retrie
     return Reply("", "none", "none", error)
 
 
-def _known(spark: SparkSession, cache: str | None) -> DataFrame:
-    """Good replies of earlier runs, one for each key; none without a cache or before its first run."""
-    try:
-        found = spark.read.schema(REPLIES).option("recursiveFileLookup", "true").parquet(cache) if cache else None
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        found = None
-    return spark.createDataFrame([], REPLIES) if found is None else found.where("error = ''").dropDuplicates(["key"])
-
-
 def ask(prompts: DataFrame, providers: list, cache: str | None = None, retries: int = 4, backoff: float = 2.0, fail_fast: int = 8) -> DataFrame:
     """Adds text, provider, model, error and cached to prompts (system, user, temperature).
 
-    Equal prompts are asked once. With `cache`, a Parquet folder, good replies of earlier runs are used and those of this run
-    are added; without one the replies go to the scratch folder. A task that has only failures after `fail_fast` calls stops
+    Equal prompts are asked once. With `cache`, the folder of a keyed store, good replies of earlier runs are used and those of
+    this run are added. Keys are shuffled, texts are not: a prompt that stands for its equals is found by its row number. A task that has only failures after `fail_fast` calls stops
     the job: a dead endpoint must not pass for a model that finds nothing (0: never).
     """
     spark = prompts.sparkSession
@@ -157,10 +145,14 @@ def ask(prompts: DataFrame, providers: list, cache: str | None = None, retries:
     if not usable:
         raise RuntimeError(f"no usable provider among {[p.name for p in providers]}")
     columns = prompts.columns
-    keyed = prompts.withColumn("_key", prompt_key(F.lit(usable[0].name), F.col("system"), F.col("user"), F.col("temperature")))
-    asked = keyed.select("_key", "system", "user", "temperature").dropDuplicates(["_key"])
-    known = _known(spark, cache)
-    asked = asked.join(known.select("key"), F.col("_key") == F.col("key"), "left_anti")
+    key = prompt_key(F.lit(usable[0].name), F.col("system"), F.col("user"), F.col("temperature"))
+    keyed = stored(prompts.withColumns({"_key": key, "_row": F.monotonically_increasing_id()}))
+    first = keyed.groupBy("_key").agg(F.min("_row").alias("_row"))
+    known = keyed_store.lookup(first.select(F.col("_key").alias("key")), cache) if cache else None
+    if known is None:
+        known = spark.createDataFrame([], REPLIES)
+    asked = first.join(known.select("key"), F.col("_key") == F.col("key"), "left_anti").select("_row")
+    asked = keyed.join(asked, "_row", "left_semi").select("_key", "system", "user", "temperature")
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         good = bad = 0
@@ -174,10 +166,11 @@ def ask(prompts: DataFrame, providers: list, cache: str | None = None, retries:
                 rows.append((key, r.text, r.provider, r.model, r.error, r.finish_reason, float(r.latency_s)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in REPLIES.split(", ")])
 
-    path = f"{(cache or scratch(spark)).rstrip('/')}/run-{uuid.uuid4().hex}"
-    asked.mapInPandas(call, REPLIES).write.parquet(path)
-    fresh = spark.read.schema(REPLIES).parquet(path).withColumn("cached", F.lit(False))
-    replies = fresh.unionByName(known.withColumn("cached", F.lit(True))).select("key", "text", "provider", "model", "error", "cached")
+    fresh = stored(asked.mapInPandas(call, REPLIES))
+    replies = fresh.withColumn("cached", F.lit(False)).unionByName(known.withColumn("cached", F.lit(True)).select(*fresh.columns, "cached"))
+    replies = stored(replies.select("key", "text", "provider", "model", "error", "cached"))
+    if cache:
+        keyed_store.append(fresh.where("error = ''"), cache)
     return keyed.join(replies, F.col("_key") == F.col("key")).select(*columns, "text", "provider", "model", "error", "cached")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluate as E
-from ..operators import model, reports, slicing, tables
+from ..operators import keyed_store, model, reports, slicing, tables
 from ..operators import prompts as P
 from ..operators import rules as R
 from ..operators import series as S
@@ -185,8 +185,14 @@ def best_reply(spark, sf_dir):
 
 
 def uncached_prompts(spark, sf_dir):
-    turns = _read(spark, sf_dir, "conversations").select(T.prompt_key(F.lit("mock"), F.col("role"), F.col("text"), F.lit("0.3")).alias("key"), "turn", "text")
-    return tables.uncached(turns.select("key", "text"), turns.where("turn = 1").select("key")).select("key")
+    """The prompts without a reply in a store that has those of the first turns, in two runs and then in one."""
+    folder = f"{scratch(spark)}/replies"
+    turns = _read(spark, sf_dir, "conversations").select(T.prompt_key(F.lit("mock"), F.col("role"), F.col("text"), F.lit("0.3")).alias("key"), "turn", "text", "conv_id")
+    first = turns.where("turn = 1")
+    for part in (0, 1):
+        keyed_store.append(first.where(F.pmod("conv_id", F.lit(2)) == part).select("key", "text"), folder)
+    keyed_store.compact(spark, folder)
+    return keyed_store.missing(turns, folder)
 
 
 def commit_refs(spark, sf_dir):

@@ -2,7 +2,6 @@
 
 import hashlib
 import json
-import os
 import random
 import sys
 
@@ -10,7 +9,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from riskspan.operators import model, tables
+from riskspan.operators import keyed_store, model, tables
 from riskspan.operators import prompts as P
 from riskspan.operators import rules as R
 from riskspan.operators import series as S
@@ -77,7 +76,7 @@ def test_cache_and_fail_fast(spark, tmp_path):
     provider = Scripted("p", lambda s, u, t: f"{u}{t}" if u == "a" else "")
     first = {r["id"]: r for r in model.ask(prompts, [provider], cache, backoff=0).collect()}
     assert (first[1]["text"], first[2]["text"], first[3]["error"]) == ("a0.0", "a0.0", "HTTP 500: down") and not first[1]["cached"]
-    assert sum(len([f for f in os.listdir(os.path.join(cache, d)) if f.endswith(".parquet")]) > 0 for d in os.listdir(cache)) == 1
+    assert keyed_store.runs(spark, cache)[0] == 1
     again = {r["id"]: r for r in model.ask(prompts, [Scripted("p", lambda s, u, t: "new")], cache, backoff=0).collect()}
     assert again[1]["cached"] and again[1]["text"] == "a0.0" and again[3]["text"] == "new" and not again[3]["cached"]
     many = spark.range(40).select(F.lit("s").alias("system"), F.col("id").cast("string").alias("user"), F.lit(0.0).alias("temperature")).coalesce(1)
