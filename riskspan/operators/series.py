@@ -189,21 +189,31 @@ def reasons(low: Column, growth: Column, backing: Column | None = None, imbalanc
     return F.array_compact(F.array(*parts))
 
 
-def indicators(series: DataFrame, supply: DataFrame | None = None, tiers: dict[str, float] = TIERS, minutes: int = 1_440) -> DataFrame:
-    """Every sample with its rolling low, deviation from 1, as-of supply growth and state; numbers have six digits, state has all."""
+def with_last(samples: DataFrame, known: DataFrame, name: str) -> DataFrame:
+    """Add `name`: the value of `known` (series_id, ts, value) that stood at each sample's instant. An undefined value replaces an
+    older one too; null before the first."""
+    told = known.select("series_id", "ts", F.struct(F.col("value").cast("double").alias("v")).alias(name), F.lit(0).alias("_kind"))
+    both = told.unionByName(samples.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    return as_of(both, name).where("_kind = 1").withColumn(name, F.col(f"{name}.v")).drop("_kind")
+
+
+def indicators(series: DataFrame, supply: DataFrame | None = None, tiers: dict[str, float] = TIERS, minutes: int = 1_440, backing: DataFrame | None = None, imbalance: DataFrame | None = None) -> DataFrame:
+    """Every sample with its rolling low, deviation from 1, as-of supply growth, backing ratio and pool imbalance, and state; numbers
+    have six digits, state has all.
+
+    backing (value of the absorbing asset over the supply) and imbalance (largest share of the pool) are series too; the last
+    known value counts.
+    """
     out = rolling_low(series, minutes)
-    if supply is None:
-        out = out.withColumn("growth", F.lit(None).cast("double"))
-    else:
-        known = supply_growth(supply).select("series_id", "ts", F.col("growth").alias("_g"), F.lit(0).alias("_kind"))
-        # A growth that is undefined still replaces an older one: keep it as a struct.
-        known = known.select("series_id", "ts", F.struct("_g").alias("asof"), "_kind", F.lit(None).cast("double").alias("value"), F.lit(None).cast("double").alias("low"))
-        rows = out.select("series_id", "ts", F.lit(None).cast("struct<_g:double>").alias("asof"), F.lit(1).alias("_kind"), "value", "low")
-        out = as_of(known.unionByName(rows), "asof").where("_kind = 1").select("series_id", "ts", "value", "low", F.col("asof._g").alias("growth"))
-    return out.select("series_id", "ts", "value", F.round(F.abs(F.col("value") - 1), 6).alias("deviation"), F.round("low", 6).alias("low"), F.round("growth", 6).alias("growth"), F.col("low").alias("low_raw"), F.col("growth").alias("growth_raw"), state_of(F.col("low"), F.col("growth"), tiers=tiers).alias("state"))
+    known = {"growth": None if supply is None else supply_growth(supply).select("series_id", "ts", F.col("growth").alias("value")), "backing": backing, "imbalance": imbalance}
+    for name, table in known.items():
+        out = out.withColumn(name, F.lit(None).cast("double")) if table is None else with_last(out, table, name)
+    state = state_of(F.col("low"), F.col("growth"), F.col("backing"), tiers=tiers).alias("state")
+    rounded = [F.round("low", 6).alias("low"), F.round("growth", 6).alias("growth"), F.col("low").alias("low_raw"), F.col("growth").alias("growth_raw")]
+    return out.select("series_id", "ts", "value", F.round(F.abs(F.col("value") - 1), 6).alias("deviation"), *rounded, "backing", "imbalance", state)
 
 
-def alerts(series: DataFrame, supply: DataFrame | None = None, tiers: dict[str, float] = TIERS, minutes: int = 1_440, warmup_hours: int = 24, every_minutes: int = 60, step_seconds: int | None = None) -> DataFrame:
+def alerts(series: DataFrame, supply: DataFrame | None = None, tiers: dict[str, float] = TIERS, minutes: int = 1_440, warmup_hours: int = 24, every_minutes: int = 60, step_seconds: int | None = None, backing: DataFrame | None = None, imbalance: DataFrame | None = None) -> DataFrame:
     """Early warnings: series_id, ts, state, reasons, at evaluated samples whose state is not normal and differs from that of
     the sample evaluated before.
 
@@ -219,10 +229,10 @@ def alerts(series: DataFrame, supply: DataFrame | None = None, tiers: dict[str,
     window = F.greatest(F.lit(1), F.ceil(F.lit(warmup_hours * 3_600) / F.col("step")))
     stride = F.greatest(F.lit(1), F.ceil(F.lit(every_minutes * 60) / F.col("step")))
     evaluated = numbered.join(steps, "series_id").where((F.col("samples") >= 2) & (F.col("rn") >= window) & (F.col("rn") < F.col("samples")) & ((F.col("rn") - window) % stride == 0)).select("series_id", "ts")
-    seen = indicators(series, supply, tiers, minutes).join(evaluated, ["series_id", "ts"]).withColumn("_chunk", F.floor(F.col("ts") / DAY))
+    seen = indicators(series, supply, tiers, minutes, backing, imbalance).join(evaluated, ["series_id", "ts"]).withColumn("_chunk", F.floor(F.col("ts") / DAY))
     seen = with_previous(seen, ["series_id"], "ts", {"state": "before"}, "_chunk")
     fired = seen.where((F.col("state") != "normal") & (F.coalesce("before", F.lit("normal")) != F.col("state")))
-    return fired.select("series_id", "ts", "state", reasons(F.col("low_raw"), F.col("growth_raw"), tiers=tiers).alias("reasons"))
+    return fired.select("series_id", "ts", "state", reasons(F.col("low_raw"), F.col("growth_raw"), F.col("backing"), F.col("imbalance"), tiers=tiers).alias("reasons"))
 
 
 def lead_times(events: DataFrame, warned: DataFrame, lookback_minutes: int = 2_880) -> DataFrame:

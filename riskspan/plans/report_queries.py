@@ -11,6 +11,7 @@ from ..operators import keyed_store, model, reports, slicing, tables
 from ..operators import prompts as P
 from ..operators import rules as R
 from ..operators import series as S
+from ..operators.ordered import ranked
 from ..session import scratch
 from ..sinks import writers
 from ..sources import config, files
@@ -88,10 +89,11 @@ def series_csv(spark, sf_dir):
 
 
 def price_json(spark, sf_dir):
-    """Part prices as a price document of two coins, of which the first counts."""
-    parts = _read(spark, sf_dir, "part").select(F.struct(F.col("p_partkey").cast("bigint").alias("timestamp"), F.col("p_retailprice").cast("double").alias("price")).alias("p"))
-    doc = parts.agg(F.collect_list("p").alias("ps")).select(F.to_json(F.struct(F.create_map(F.lit("one"), F.struct(F.col("ps").alias("prices")), F.lit("two"), F.struct(F.slice("ps", 1, 2).alias("prices"))).alias("coins"))).alias("value"))
-    return src.parse_prices(doc, "part")
+    """Part prices as price documents of a hundred parts at most and of two coins each, of which the first counts."""
+    point = F.struct(F.col("p_partkey").cast("bigint").alias("timestamp"), F.col("p_retailprice").cast("double").alias("price"))
+    pages = _read(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 100).alias("page")).agg(F.collect_list(point).alias("ps"))
+    coins = F.create_map(F.lit("one"), F.struct(F.col("ps").alias("prices")), F.lit("two"), F.struct(F.slice("ps", 1, 2).alias("prices")))
+    return src.parse_prices(pages.select(F.to_json(F.struct(coins.alias("coins"))).alias("value")), "part")
 
 
 def supply_json(spark, sf_dir):
@@ -172,11 +174,10 @@ def group_sizes(spark, sf_dir):
 
 
 def run_order(spark, sf_dir):
-    runs = spark.createDataFrame([("static",), ("zeta",), ("full",), ("alpha",)], "run string")
-    from pyspark.sql.window import Window
-
-    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*tables.in_run_order(F.col("run"), ["full", "static"])))
-    return runs.select("run", place.cast("bigint").alias("place"))
+    """The orders' customers as runs, two of them canonical, in the report's order."""
+    runs = _read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("run")).distinct()
+    kinds = tables.in_run_order(F.col("run"), ["7", "4"])
+    return ranked(runs.select("run", kinds[0].alias("kind")), [], ["kind", "run"], "place").select("run", "place")
 
 
 def best_reply(spark, sf_dir):
@@ -366,7 +367,7 @@ def _sql() -> dict[str, str]:
             SELECT doc_id, 'A1' AS class_id, contains(low, 'password') AS passed, CASE WHEN contains(low, 'password') THEN 'all static conditions satisfied' ELSE 'no scenario call pattern found' END AS reason, CASE WHEN lang IS NOT NULL THEN lang IN ('en', 'de') END AS slither, CASE WHEN lang IN ('en', 'de') THEN lang WHEN lang IS NOT NULL THEN '' END AS told, NULL AS present, NULL AS have FROM t
             UNION ALL SELECT doc_id, 'A2', g IS FALSE AND h, CASE WHEN g IS FALSE AND h THEN 'all static conditions satisfied' ELSE concat_ws('; ', CASE WHEN g THEN 'guard present: re:[0-9]{4,}' END, CASE WHEN NOT h THEN 'required feature not found' END) END, NULL, NULL, CASE WHEN g THEN 're:[0-9]{4,}' ELSE '' END, CASE WHEN h THEN ' ' ELSE '' END FROM (SELECT doc_id, regexp_matches(body, '[0-9]{4,}') AS g, contains(low, ' ') AS h FROM t)""",
         "group_sizes": "SELECT source AS protocol, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, min(doc_id)) AS place FROM documents WHERE source IS NOT NULL GROUP BY source",
-        "run_order": "SELECT * FROM (VALUES ('full', 1::BIGINT), ('static', 2), ('alpha', 3), ('zeta', 4)) v(run, place)",
+        "run_order": "SELECT run, row_number() OVER (ORDER BY coalesce(list_position(['7', '4'], run), 3), run) AS place FROM (SELECT DISTINCT o_custkey::VARCHAR AS run FROM orders)",
         "best_reply": "WITH r AS (SELECT conv_id, turn::BIGINT AS attempt, (length(text) % 7) / 8.0::DOUBLE AS confidence FROM conversations WHERE length(text) % 3 > 0) SELECT conv_id, arg_max(attempt, confidence * 1000000 - attempt) AS attempt, max(confidence) AS confidence FROM r GROUP BY conv_id",
         "uncached_prompts": "WITH p AS (SELECT sha256(concat_ws('|', 'mock', role, text, '0.3')) AS key, turn FROM conversations) SELECT DISTINCT key FROM p WHERE key NOT IN (SELECT key FROM p WHERE turn = 1)",
         "commit_refs": "SELECT doc_id, coalesce(regexp_full_match(lower(CASE WHEN doc_id % 2 = 0 THEN substr(sha256(text), 1, (doc_id % 50)::INT) ELSE lang END), '[0-9a-f]{7,40}'), false) AS commit FROM documents",

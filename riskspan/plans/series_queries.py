@@ -64,6 +64,22 @@ def early_warning_alerts(spark, sf_dir):
     return _alerts(spark, sf_dir).withColumn("reasons", F.array_join("reasons", "; "))
 
 
+def _pool(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Of each series' days, dated at their start: total over forty times the samples, as backing ratio, and the largest value's
+    share of the total of the hour that holds most, as imbalance."""
+    hourly = _series(spark, sf_dir).withColumn("hour", F.floor(F.col("ts") / 3_600)).groupBy("series_id", "hour").agg(F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("total"), F.max("value").alias("most"), F.count(F.lit(1)).alias("n"))
+    day = (F.floor(F.col("hour") / 24) * S.DAY).alias("ts")
+    daily = hourly.groupBy("series_id", day).agg((F.sum(F.col("total").cast("decimal(18,4)")).cast("double") / (40 * F.sum("n"))).alias("backing"), F.max(F.try_divide("most", "total")).alias("imbalance"))
+    return tuple(daily.select("series_id", "ts", F.col(c).alias("value")) for c in ("backing", "imbalance"))
+
+
+def pool_alerts(spark, sf_dir):
+    """Early warnings with all four reasons: price, supply, backing ratio and pool imbalance."""
+    backing, imbalance = _pool(spark, sf_dir)
+    out = S.alerts(_series(spark, sf_dir), _supply(spark, sf_dir), TIERS, minutes=60, every_minutes=60, backing=backing, imbalance=imbalance)
+    return out.withColumn("reasons", F.array_join("reasons", "; "))
+
+
 def _leads(spark, sf_dir):
     failures = S.episodes(_series(spark, sf_dir), {"failure": TIERS["failure"]})
     return S.lead_times(failures, _alerts(spark, sf_dir), 600)
@@ -168,12 +184,21 @@ _LT = f"""{_episodes_sql({"failure": TIERS["failure"]})}, {_AL},
 sp AS (SELECT series_id, start_ts, end_ts, greatest(start_ts - 36000, coalesce(lag(end_ts) OVER (PARTITION BY series_id ORDER BY start_ts) + 1, start_ts - 36000)) AS floor_ts FROM ep),
 lf AS (SELECT sp.series_id, start_ts, end_ts, min(al.ts) AS first_ts, count(al.ts) AS admissible FROM sp LEFT JOIN al ON al.series_id = sp.series_id AND al.ts >= floor_ts AND al.ts < start_ts GROUP BY ALL),
 lt AS (SELECT series_id, start_ts, end_ts, (start_ts - first_ts) // 60 AS lead_minutes, admissible FROM lf)"""
+_STATE4 = f"CASE WHEN ({_STATE}) = 'normal' AND growth > 0.5 THEN 'active_depeg' ELSE {_STATE} END"
+_POOL = f"""hh AS (SELECT series_id, ts // 3600 AS hour, sum(value::DECIMAL(18,4))::DOUBLE AS total, max(value) AS most, count(*) AS n FROM s GROUP BY ALL),
+po AS (SELECT series_id, hour // 24 * 86400 AS ts, sum(total::DECIMAL(18,4))::DOUBLE / (40 * sum(n)) AS backing, max(CASE WHEN total <> 0 THEN most / total END) AS imbalance FROM hh GROUP BY ALL)"""
+_AL4 = (
+    _AL.replace("ASOF LEFT JOIN gr ON lo.series_id = gr.series_id AND lo.ts >= gr.ts", "ASOF LEFT JOIN gr ON lo.series_id = gr.series_id AND lo.ts >= gr.ts ASOF LEFT JOIN po ON lo.series_id = po.series_id AND lo.ts >= po.ts")
+    .replace("SELECT lo.*, growth,", "SELECT lo.*, growth, backing, imbalance,")
+    .replace(f"CASE WHEN {_STATE} = 'normal' AND growth > 0.5 THEN 'active_depeg' ELSE {_STATE} END", f"CASE WHEN ({_STATE4}) IN ('normal', 'stressed') AND backing < 1.5 THEN 'active_depeg' ELSE {_STATE4} END")
+    .replace("SELECT series_id, ts, state, low, growth FROM pr", "SELECT series_id, ts, state, low, growth, backing, imbalance FROM pr")
+)
 _ISO = "strftime(make_timestamp({0} * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00'"
 _LS = "count(*) AS total, count(lead_minutes) AS detected, percentile_disc(0.5) WITHIN GROUP (ORDER BY lead_minutes DESC) AS median_lead FROM lt"
 
 QUERIES = {
     f.__name__: f
-    for f in (series_dedup, series_median_step, episodes, episodes_tiers, episode_sensitivity, rolling_min_state, supply_growth_asof, early_warning_alerts, lead_time, lead_time_pooled, lead_time_by_series, episode_kind_counts, severe_events, best_view, kline_parse, archive_days, missing_months, synthetic_minutes)
+    for f in (series_dedup, series_median_step, episodes, episodes_tiers, episode_sensitivity, rolling_min_state, supply_growth_asof, early_warning_alerts, pool_alerts, lead_time, lead_time_pooled, lead_time_by_series, episode_kind_counts, severe_events, best_view, kline_parse, archive_days, missing_months, synthetic_minutes)
 }
 ORACLE_SQL = {
     "series_dedup": f"WITH {_S} SELECT * FROM s",
@@ -186,6 +211,8 @@ ORACLE_SQL = {
     "rolling_min_state": f"WITH {_S}, {_LOW} SELECT series_id, ts, value, low, round(abs(value - 1), 6) AS deviation, {_STATE} AS state FROM lo",
     "supply_growth_asof": f"WITH {_S}, {_SUP} SELECT * FROM gr",
     "early_warning_alerts": f"""WITH {_S}, {_G}, {_AL} SELECT series_id, ts, state, concat_ws('; ', CASE WHEN low < 35.0 THEN printf('price touched %.4f (< 35.0)', low) END, CASE WHEN growth > 0.5 THEN printf('absorbing supply +%.1f%% in window', growth * 100) END) AS reasons FROM al""",
+    "pool_alerts": f"""WITH {_S}, {_G}, {_POOL}, {_AL4} SELECT series_id, ts, state, concat_ws('; ', CASE WHEN low < 35.0 THEN printf('price touched %.4f (< 35.0)', low) END, CASE WHEN growth > 0.5 THEN printf('absorbing supply +%.1f%% in window', growth * 100) END,
+        CASE WHEN backing < 1.5 THEN printf('backing ratio %.2f < 1.5', backing) END, CASE WHEN imbalance > 0.7 THEN printf('pool imbalance %.0f%% > 70%%', imbalance * 100) END) AS reasons FROM al""",
     "lead_time": f"WITH {_S}, {_G}, {_LT} SELECT * FROM lt",
     "lead_time_pooled": f"WITH {_S}, {_G}, {_LT} SELECT {_LS}",
     "lead_time_by_series": f"WITH {_S}, {_G}, {_LT} SELECT series_id, {_LS} GROUP BY series_id",
