@@ -208,6 +208,7 @@ def analyse(slices: DataFrame, rules: list[Rule], providers: list, settings: Set
         pairs = pairs.withColumn("normalized_code", F.coalesce(F.nullif("normalized_code", F.lit("")), "code"))
     if chosen is not None:
         pairs = P.with_exemplars(pairs, chosen, pool)
+    pairs = stored(pairs)
     analyser = "analyser" if s.use_analyser and "analyser" in slices.columns else None
     user = P.auditor_prompt(rules, use, analyser, "exemplars" if chosen is not None else None, scaffold)
     attempts = pairs.select("id", "class_id", F.lit(P.AUDITOR).alias("system"), user.alias("user"), F.explode(F.sequence(F.lit(0), F.lit(max(1, s.auditors) - 1))).alias("attempt"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -235,6 +237,25 @@ def pair_analysis(spark, sf_dir):
     )
 
 
+#: The small rule base with the texts that prompts show.
+TITLED = [dataclasses.replace(r, title=f"Class {r.id}", scenario=f"someone calls\n{r.must_call[:1]}", property=f"no guard\nin {r.layer}") for r in C.RULES]
+
+
+def audit_prompts(spark, sf_dir):
+    """The auditor's and the critic's prompts of every retrieved pair: their hashes, lengths and the critic's rubric. The finding
+    under review names the document's first words as variables and its lines as statements."""
+    words, lines = F.split(F.coalesce("text", F.lit("")), " "), F.split(F.coalesce("text", F.lit("")), "\n")
+    docs = _docs(spark, sf_dir).select(
+        "doc_id", "protocol", "contract", F.concat(F.lit("f"), "doc_id", F.lit("()")).alias("signature"), F.when(F.col("doc_id") % 3 == 0, "^0.8.0").alias("solc_version"),
+        F.lit("(none extracted)").alias("context"), F.col("text").alias("code"), F.when(F.col("doc_id") % 4 == 0, F.array(F.lit("timestamp"), F.lit("suicidal"))).alias("told"),
+        words.alias("key_variables"), F.when(F.col("doc_id") % 5 > 0, lines).alias("vulnerable_statements"), F.concat(F.lit("path "), "contract").alias("attack_path"),
+    )
+    pairs = R.retrieve(docs, TITLED, "code")
+    auditor, critic, system = P.auditor_prompt(TITLED, "code", "told"), P.critic_prompt(TITLED), P.critic_system(TITLED)
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return pairs.select("doc_id", "class_id", sha(auditor).alias("auditor"), F.length(auditor).cast("bigint").alias("n_auditor"), sha(critic).alias("critic"), F.length(critic).cast("bigint").alias("n_critic"), sha(system).alias("system"), P.rubric_of(TITLED).alias("rubric"))
+
+
 # Reports.
 def corpus_table(spark, sf_dir):
     meta = C._protocols(spark, sf_dir)
@@ -336,6 +357,24 @@ def _cte(sql: str) -> str:
     return f"({sql})"
 
 
+def _prompts_sql() -> str:
+    quote = lambda t: "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    by = lambda f: "CASE class_id " + " ".join(f"WHEN '{r.id}' THEN {quote(f(r))}" for r in TITLED) + " END"
+    flat = lambda t: t.replace("\n", " ")
+    auditor = " || ".join([
+        quote("## TARGET\nprotocol: "), "coalesce(protocol, '')", quote("   contract: "), "coalesce(contract, '')", quote("\nfunction: f"), "doc_id", quote("()   compiler: "), "CASE WHEN doc_id % 3 = 0 THEN '^0.8.0' ELSE 'unknown' END",
+        quote(f"\n\n{P.CODE_HEAD}\n"), "body", quote("\n\n## CONTEXT\n(none extracted)\n\n## STATIC ANALYSIS SIGNALS\n"), "CASE WHEN doc_id % 4 = 0 THEN 'timestamp, suicidal' ELSE 'none' END", quote(f"\n\n{P.CLASS_HEAD}\nid: "), "class_id",
+        quote("\ntitle: "), by(lambda r: r.title), quote("\nscenario: "), by(lambda r: flat(r.scenario)), quote("\nproperty: "), by(lambda r: flat(r.property)),
+        quote("\n\n## TASK\nDecide whether the function implements the scenario and whether it has the property; name variables, statements and a path to profit."),
+    ])
+    critic = " || ".join([
+        quote(f"{P.CODE_HEAD}\n"), "body", quote("\n\n## FINDING\nid: "), "class_id", quote("\ntitle: "), by(lambda r: r.title), quote("\nlayer: "), by(lambda r: r.layer), quote("\nproperty: "), by(lambda r: flat(r.property)),
+        quote("\nvariables: "), "array_to_string(string_split(body, ' ')[1:8], ', ')", quote("\nstatements: "), "CASE WHEN doc_id % 5 > 0 THEN array_to_string(string_split(body, chr(10))[1:4], ' | ') ELSE '' END", quote("\npath: "), "coalesce('path ' || contract, '')",
+    ])
+    rubric = by(lambda r: P.CRITIC["implementation" if r.layer == "implementation" else "design"])
+    return f"WITH {C._BASE}, p AS (SELECT doc_id, class_id, {auditor} AS a, {critic} AS c, {rubric} AS s, {by(lambda r: 'implementation' if r.layer == 'implementation' else 'design')} AS rubric FROM rk JOIN (SELECT doc_id, body FROM t) USING (doc_id)) SELECT doc_id, class_id, sha256(a) AS auditor, length(a) AS n_auditor, sha256(c) AS critic, length(c) AS n_critic, sha256(s) AS system, rubric FROM p"
+
+
 def _sql() -> dict[str, str]:
     code, ser = C.ORACLE_SQL, Q.ORACLE_SQL
     tex = lambda c: f"replace(replace(coalesce({c}, 'None'), '_', '\\_'), '%', '\\%')"
@@ -373,6 +412,7 @@ def _sql() -> dict[str, str]:
         "commit_refs": "SELECT doc_id, coalesce(regexp_full_match(lower(CASE WHEN doc_id % 2 = 0 THEN substr(sha256(text), 1, (doc_id % 50)::INT) ELSE lang END), '[0-9a-f]{7,40}'), false) AS commit FROM documents",
         "prompt_context": f"WITH n AS (SELECT page_id, url, html, array_to_string(list_sort(list_distinct(list_slice(string_split(html, ' '), 1, 60)))[1:25], ', ') AS names FROM pages), c AS (SELECT page_id, coalesce(nullif(concat_ws(chr(10) || chr(10), {', '.join(f'CASE WHEN {w} THEN {x} END' for x, w in ctx)}), ''), '(none extracted)') AS t FROM n) SELECT page_id, sha256(t) AS sha, length(t)::BIGINT AS n FROM c",
         "sections": "SELECT doc_id, chr(10) || 'id: V7' || chr(10) || CASE WHEN strpos(chr(10) || coalesce(text, ''), chr(10) || '## ') > 0 THEN substr(coalesce(text, ''), 1, greatest(0, strpos(chr(10) || coalesce(text, ''), chr(10) || '## ') - 2)) ELSE coalesce(text, '') END AS one, chr(10) || 'last' AS two, '' AS none, 'V7' AS id, 'V1' AS nothing FROM documents",
+        "audit_prompts": _prompts_sql(),
         "first_lines": rf"SELECT doc_id, substr(regexp_extract({trimmed}, '^[^\r\n]*'), 1, 120) AS line FROM documents",
         "reply_fields": "SELECT conv_id, turn, CASE WHEN ok THEN turn % 2 = 0 END AS property_match, CASE WHEN ok THEN turn / 16.0::DOUBLE END AS confidence, CASE WHEN ok THEN text END AS path, CASE WHEN ok THEN role END AS variables, CASE WHEN ok THEN turn::VARCHAR END AS severity, NULL::VARCHAR AS verdict FROM (SELECT *, turn % 5 <> 4 AS ok FROM conversations)",
         "pair_analysis": f"WITH {C._BASE}, x AS (SELECT rk.*, t.body FROM rk JOIN t USING (doc_id)) SELECT doc_id, class_id, passed AS detected, CASE WHEN passed THEN 'high' ELSE 'low' END AS severity, CASE WHEN passed THEN {hint} ELSE '' END AS variables, CASE WHEN passed THEN substr(regexp_extract(regexp_replace(body, '^\\s+|\\s+$', '', 'g'), '^[^\\r\\n]*'), 1, 120) ELSE '' END AS statements, CASE WHEN passed THEN {layer} END AS rubric, false AS inconsistent, CASE WHEN passed THEN 0.6::DOUBLE END AS weight, passed AS sure, 'mock' AS provider, false AS parse_failed, '' AS provider_error, 2::BIGINT AS calls FROM x",
@@ -403,7 +443,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         file_measures, file_scan, analyser_report, benchmark_labels, benchmark_dropped, fetch_quality, series_csv, price_json, supply_json, finest_series, protocol_filter, market_protocols, unavailable_protocols, skip_reasons,
-        benchmark_scope, labelled_slices, picked_slice, confirm_rate, analyser_record, group_sizes, run_order, best_reply, uncached_prompts, commit_refs, prompt_context, sections, first_lines, reply_fields, pair_analysis,
+        benchmark_scope, labelled_slices, picked_slice, confirm_rate, analyser_record, group_sizes, run_order, best_reply, uncached_prompts, commit_refs, prompt_context, sections, first_lines, reply_fields, pair_analysis, audit_prompts,
         corpus_table, overall_table, layer_table, run_table, sensitivity_table, lead_table, alerts_head, report_lines, prevention_lines, stream_episodes, stream_lows, stream_alerts,
     )
 }
