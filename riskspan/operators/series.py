@@ -88,20 +88,23 @@ def _pieces(tiers: dict[str, float], min_minutes: int, min_samples: int, max_gap
     return run
 
 
-def episodes(series: DataFrame, tiers: dict[str, float], min_minutes: int = 5, min_samples: int = 2, max_gap_steps: int = 3, step_seconds: int | None = None) -> DataFrame:
+def episodes(series: DataFrame, tiers: dict[str, float], min_minutes: int = 5, min_samples: int = 2, max_gap_steps: int = 3, step_seconds: int | None = None, gaps: DataFrame | None = None, steps: DataFrame | None = None) -> DataFrame:
     """Runs of samples below a threshold: series_id, kind, start_ts, end_ts, duration_min, min_value, samples.
 
     A run ends at a sample at or above the threshold, or where samples are more than max_gap_steps steps apart. It counts if
     it has at least ceil(min_minutes * 60 / step) and min_samples samples.
 
+    Who calls this and alerts() for one series can give both its gap_table() and median_step(), so that they are computed once.
+
     All thresholds share one pass, in which no sample is multiplied: each chunk of a series yields its runs below all of them,
     those of a lower threshold found inside those of the next higher. Runs that neither reach over their chunk's end nor go on
     from the chunk before are done; the others, at most two for each chunk and threshold, are joined at the borders.
     """
-    gaps = gap_table(series)
+    gaps = gap_table(series) if gaps is None else gaps
     if step_seconds is None:
+        steps = median_step(gaps) if steps is None else steps
         # Told to each chunk, as a series' samples must not meet in one task.
-        steps = gaps.select("series_id", "_chunk").distinct().join(median_step(gaps).select("series_id", "step"), "series_id")
+        steps = gaps.select("series_id", "_chunk").distinct().join(steps.select("series_id", "step"), "series_id")
         rows = gaps.join(steps, ["series_id", "_chunk"])
     else:
         rows = gaps.withColumn("step", F.lit(step_seconds).cast("bigint")).repartition("series_id", "_chunk")
@@ -213,7 +216,7 @@ def indicators(series: DataFrame, supply: DataFrame | None = None, tiers: dict[s
     return out.select("series_id", "ts", "value", F.round(F.abs(F.col("value") - 1), 6).alias("deviation"), *rounded, "backing", "imbalance", state)
 
 
-def alerts(series: DataFrame, supply: DataFrame | None = None, tiers: dict[str, float] = TIERS, minutes: int = 1_440, warmup_hours: int = 24, every_minutes: int = 60, step_seconds: int | None = None, backing: DataFrame | None = None, imbalance: DataFrame | None = None) -> DataFrame:
+def alerts(series: DataFrame, supply: DataFrame | None = None, tiers: dict[str, float] = TIERS, minutes: int = 1_440, warmup_hours: int = 24, every_minutes: int = 60, step_seconds: int | None = None, backing: DataFrame | None = None, imbalance: DataFrame | None = None, gaps: DataFrame | None = None, steps: DataFrame | None = None) -> DataFrame:
     """Early warnings: series_id, ts, state, reasons, at evaluated samples whose state is not normal and differs from that of
     the sample evaluated before.
 
@@ -221,8 +224,9 @@ def alerts(series: DataFrame, supply: DataFrame | None = None, tiers: dict[str,
     last sample; only data up to the sample count. Series of fewer than two samples give nothing. The step is the median one
     unless step_seconds is given.
     """
-    gaps = gap_table(series)
-    steps = median_step(gaps)
+    gaps = gap_table(series) if gaps is None else gaps
+    series = gaps.select("series_id", "ts", "value")  # as written, not computed again
+    steps = median_step(gaps) if steps is None else steps
     if step_seconds is not None:
         steps = steps.withColumn("step", F.lit(step_seconds).cast("bigint"))
     numbered = with_running_sum(gaps.select("series_id", "ts", "value", "_chunk"), ["series_id"], "ts", F.lit(1).cast("bigint"), "rn", "_chunk").select("series_id", "ts", "rn")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import bits_sql
 from ..operators import series as S
+from ..operators.ordered import stored
 from ..session import scratch
 from ..sources import archives as arc
 from ..sources import series as src
@@ -81,8 +82,11 @@ def pool_alerts(spark, sf_dir):
 
 
 def _leads(spark, sf_dir):
-    failures = S.episodes(_series(spark, sf_dir), {"failure": TIERS["failure"]})
-    return S.lead_times(failures, _alerts(spark, sf_dir), 600)
+    gaps = S.gap_table(_series(spark, sf_dir))
+    steps = stored(S.median_step(gaps))
+    failures = S.episodes(gaps, {"failure": TIERS["failure"]}, gaps=gaps, steps=steps)
+    warned = S.alerts(gaps, _supply(spark, sf_dir), TIERS, minutes=60, every_minutes=60, gaps=gaps, steps=steps)
+    return S.lead_times(failures, warned, 600)
 
 
 def lead_time(spark, sf_dir):
