@@ -26,11 +26,16 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{8,}"
 KINDS = ("assign", "access", "hex", "markov")
 #: Evidence above which a token counts as random: bits per character pair, and bits in all. The second is what outweighs the
-#: odds of one secret in 65,536 tokens, so short tokens need more bits per pair than long ones.
-THRESHOLD = 0.5
-BITS = 16.0
-#: Documents whose words are the sample of ordinary identifiers, at most, unless the caller says otherwise.
+#: odds of one secret in a million tokens, so short tokens need more bits per pair than long ones.
+THRESHOLD = 0.75
+BITS = 20.0
+#: Documents whose words, and matched secrets, join the labelled samples, at most, unless the caller says otherwise.
 SAMPLE = 2_000
+#: Alphabets of keys, tokens and digests.
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+ALPHABETS = (DIGITS + "abcdef", LOWER + DIGITS, UPPER + DIGITS, LOWER + UPPER, LOWER + UPPER + DIGITS, LOWER + UPPER + DIGITS + "+/", LOWER + UPPER + DIGITS + "_-")
+#: Random strings that are drawn for the samples, and numbers, dates and short numbered names each.
+DRAWN = 8_000
 _CODES = 128
 
 
@@ -130,26 +135,76 @@ def evidence(token: Column, ratios: list[float]) -> Column:
     return F.aggregate(bits, F.lit(0.0), lambda acc, x: acc + x) / F.length(token)
 
 
-def samples(docs: DataFrame, id_col: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
-    """token, random: all distinct values that base patterns matched, and the distinct plain words of some documents without a match.
+def _drawn(bound: Column | int, *of: Column | int) -> Column:
+    """A number from 0 below `bound`, a function of what it is drawn for: every run and retry draws the same."""
+    return F.pmod(F.xxhash64(*[x if isinstance(x, Column) else F.lit(x) for x in of]), bound if isinstance(bound, Column) else F.lit(bound))
+
+
+def _string(alphabet: Column, size: Column, *of: Column | int) -> Column:
+    """`size` characters of `alphabet`, drawn one by one."""
+    one = lambda i: F.substring(alphabet, _drawn(F.length(alphabet), i, *of).cast("int") + 1, F.lit(1))
+    return F.array_join(F.transform(F.sequence(F.lit(1), size.cast("int")), one), "")
+
+
+def random_strings(spark: SparkSession, many: int = DRAWN, seed: int = 1) -> DataFrame:
+    """token: `many` random strings of 16 to 48 characters, of each of ALPHABETS in turn."""
+    alphabet = F.element_at(F.array(*map(F.lit, ALPHABETS)), (F.col("id") % len(ALPHABETS) + 1).cast("int"))
+    return spark.range(many).select(_string(alphabet, 16 + _drawn(33, "id", seed), F.col("id"), seed).alias("token"))
+
+
+def _styles(words: Column, number: Column) -> list[Column]:
+    """The identifiers that code makes of some lower-case words: snake, capitals, camel, path, kebab, numbered."""
+    head, snake, pascal = F.element_at(words, 1), F.array_join(words, "_"), F.array_join(F.transform(words, F.initcap), "")
+    camel = F.concat(head, F.substring(pascal, F.length(head) + 1, F.length(pascal)))
+    return [snake, F.upper(snake), camel, pascal, F.array_join(words, "/"), F.array_join(words, "-"), F.concat_ws("_", snake, number), F.concat(head, number)]
 
-    Plain words come from the documents of at most `sample` ids, the least by hash, so every run takes the same: ids are
-    chosen first, from those under a hash cut that keeps about twice as many, and only their texts are read. Documents without
-    an id are never among them.
+
+def identifiers(spark: SparkSession, many: int = DRAWN) -> DataFrame:
+    """token: distinct names and words of code, from the session's own settings, their explanations and its functions, then
+    what the usual styles make of neighbouring words in these, and numbers, dates, short numbered names and runs of alphabets.
+
+    A table of fixed size for one version of Spark; values that users set are not read.
     """
-    text = F.coalesce("text", F.lit(""))
+    told = spark.sql("SET -v").select(F.concat_ws(" ", "key", "meaning").alias("t")).unionByName(spark.sql("SHOW SYSTEM FUNCTIONS").select(F.col("function").alias("t")))
+    names = told.select(F.explode(F.regexp_extract_all("t", F.lit(r"[A-Za-z0-9+/_-]{3,}"), F.lit(0))).alias("token"))
+    words = told.select(F.regexp_extract_all(F.lower("t"), F.lit(r"[a-z]{2,}"), F.lit(0)).alias("w")).where(F.size("w") > 1)
+    some = words.select("w", F.explode(F.sequence(F.lit(1), F.size("w") - 1, F.lit(3))).alias("i"))
+    some = some.select(F.slice("w", F.col("i"), 2 + _drawn(3, "i", F.col("w"))).alias("w"), _drawn(F.pow(F.lit(10), 1 + _drawn(4, "w", "i")).cast("bigint"), "i", "w").cast("string").alias("n"))
+    made = some.select(F.explode(F.array(*_styles(F.col("w"), F.col("n")))).alias("token"))
+    two = lambda k, base, size: F.lpad((base + _drawn(size, "id", k)).cast("string"), 2, "0")
+    date = F.concat((1970 + _drawn(70, "id", 1)).cast("string"), F.lit("-"), two(2, 1, 12), F.lit("-"), two(3, 1, 28), F.lit("/"), two(4, 0, 24), F.lit("-"), two(5, 0, 60))
+    number = _string(F.lit(DIGITS), 8 + _drawn(12, "id", 6), F.col("id"), 7)
+    cells = F.array_join(F.transform(F.sequence(F.lit(1), (2 + _drawn(3, "id", 8)).cast("int")), lambda i: F.concat(_string(F.lit(LOWER), F.lit(1), F.col("id"), i, 9), _string(F.lit(DIGITS), F.lit(1), F.col("id"), i, 10))), "")
+    figures = spark.range(many).select(F.explode(F.array(date, number, F.when(F.col("id") % 8 == 0, cells))).alias("token")).where("token is not null")
+    run = spark.range(26).crossJoin(spark.range(8, 27).withColumnRenamed("id", "n"))  # 494 rows: places and lengths in an alphabet
+    runs = run.select(F.explode(F.array(*[F.when(F.col("id") + F.col("n") <= len(a), F.substring(F.lit(a), (F.col("id") + 1).cast("int"), F.col("n").cast("int"))) for a in (LOWER, UPPER, DIGITS)])).alias("token")).where("token is not null")
+    return names.unionByName(made).unionByName(figures).unionByName(runs).distinct()
+
+
+def samples(docs: DataFrame, id_col: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
+    """Labelled samples (token, random): random strings and identifiers of code, values that the base patterns matched, and the
+    distinct plain words of some documents without a match.
+
+    Values have at least 16 characters (what follows "token:" in prose is a short word) and at most `sample` of them, the
+    least by hash, are taken, so that one kind of key does not become the model. Plain words come from the documents of at
+    most `sample` ids, the least by hash, so every run takes the same: ids are chosen first, from those under a hash cut that
+    keeps about twice as many, and only their texts are read. Documents without an id are never among them. An empty table
+    leaves the samples that need no documents.
+    """
+    spark, text = docs.sparkSession, F.coalesce("text", F.lit(""))
     hit = text.rlike("|".join([PATTERNS["assign"], r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"]))
     matched = docs.where(hit).select(F.explode(F.concat(F.transform(base_spans(text, "assign"), lambda s: _value(s["m"])), *[F.transform(base_spans(text, k), lambda s: s["m"]) for k in ("access", "hex")])).alias("token"))
-    matched = matched.where("length(token) >= 16").distinct().select("token", F.lit(True).alias("random"))
+    matched = matched.where("length(token) >= 16").distinct().orderBy(F.xxhash64("token"), "token").limit(sample)
     ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(id_col).alias("_h")).distinct()
     n = ids.count()
     cut = ids.where(F.pmod("_h", F.lit(1 << 20)) < (1 << 20) * min(1.0, 2 * sample / max(1, n)))
     chosen = cut.orderBy("_h", "_id").limit(sample).select("_id")
     plain = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).where(~hit).select(text.alias("_t"))
-    words = plain.select(F.explode(F.array_distinct(F.regexp_extract_all("_t", F.lit(r"[A-Za-z0-9+/_-]{4,}"), F.lit(0)))).alias("token")).distinct().select("token", F.lit(False).alias("random"))
+    words = plain.select(F.explode(F.array_distinct(F.regexp_extract_all("_t", F.lit(r"[A-Za-z0-9+/_-]{4,}"), F.lit(0)))).alias("token")).distinct()
     # Ordinary identifiers also hold digits: a word with a number, and words joined by a mark.
     joined = F.concat("token", F.lit("_"), F.lower("token"), F.pmod(F.xxhash64("token"), F.lit(1000)).cast("string"))
-    return matched.unionByName(words.select(F.explode(F.array("token", joined)).alias("token"), "random"))
+    ordinary = words.select(F.explode(F.array("token", joined)).alias("token")).unionByName(identifiers(spark))
+    return matched.unionByName(random_strings(spark)).withColumn("random", F.lit(True)).unionByName(ordinary.withColumn("random", F.lit(False)))
 
 
 def _apart(tokens: Column, base: Column) -> Column:
@@ -201,9 +256,9 @@ def _joined(kinds: tuple[str, ...]) -> Column:
     return F.array_join(F.transform(F.array_sort(every), lambda s: s["name"]), ",")
 
 
-def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), id_col: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
-    """Spans of all documents with models trained on samples of the same documents: see find() and samples()."""
-    return find(docs, train(materialise(samples(docs, id_col, sample), "secret-samples")), keep)
+def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), id_col: str = "doc_id", sample: int = SAMPLE, labelled: DataFrame | None = None) -> DataFrame:
+    """Spans of all documents, with models trained on `labelled` (token, random) or, without it, on samples(): see find()."""
+    return find(docs, train(materialise(samples(docs, id_col, sample) if labelled is None else labelled, "secret-samples")), keep)
 
 
 def _masked(text: Column, spans: Column, mask: str) -> Column:

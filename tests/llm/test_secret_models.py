@@ -6,6 +6,8 @@ import re
 import time
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from riskspan.llm import secrets
 
 
@@ -93,3 +95,35 @@ def test_masking_equals_plain_masking(spark):
                 out += text[at:a] + "#"
             at = max(at, b)
         assert got[i] == out + text[at:]
+
+
+def test_held_out_precision_and_recall(spark):
+    """Three quarters of the labelled samples train the models, the rest are told apart; names of code from elsewhere are left alone."""
+    corpus = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    labelled = secrets.materialise(secrets.samples(corpus), "labelled")
+    fold = F.pmod(F.xxhash64("token"), F.lit(4)) == 0
+    ratios = secrets.train(labelled.where(~fold))
+    held = labelled.where(fold).where("length(token) >= 8").withColumn("i", F.monotonically_increasing_id())
+    held = secrets.materialise(held, "held")
+    docs = held.where("token rlike '^[A-Za-z0-9+/_-]+$'").select(F.col("i").alias("doc_id"), F.col("token").alias("text"))
+    found = secrets.find(docs, ratios).select("doc_id", (F.size("markov") + F.size("hex") + F.size("access") > 0).alias("flag"))
+    n = held.join(found, held["i"] == found["doc_id"]).groupBy("random", "flag").count().collect()
+    n = {(r["random"], r["flag"]): r["count"] for r in n}
+    right, wrong, lost = n[True, True], n.get((False, True), 0), n.get((True, False), 0)
+    assert right > 1_000 and n[False, False] > 5_000
+    assert right / (right + wrong) >= 0.95 and right / (right + lost) >= 0.95
+
+
+def test_names_of_code_are_no_secrets(spark):
+    names = """MAX_CONNECTIONS_PER_HOST src/main/java/com/example/service getElementByIdFromDocument kwargs_defaultdict_items
+        2024-01-15/12-30 abcdefghijklmnopqrstuvwxyz a1b2c3d4 XMLHttpRequest __init_subclass__ utf8mb4_unicode_ci sha256sum_base64_encode
+        org/apache/hadoop/mapreduce/JobContext HttpServletRequestWrapper node_modules/lodash/fp/placeholder aws_s3_bucket_policy_v2
+        TLS_ECDHE_RSA_WITH_AES_128_GCM_SHA256 x86_64-linux-gnu application/x-www-form-urlencoded DEFAULT_MAX_RETRIES 9914969043960559 555-3824"""
+    corpus = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    ratios = secrets.train(secrets.materialise(secrets.samples(corpus), "labelled"))
+    rng = random.Random(6)
+    keys = ["".join(rng.choices(a, k=n)) for a in secrets.ALPHABETS for n in (20, 24, 32) for _ in range(100)]
+    rows = [(k, t) for k, t in enumerate(keys)] + [(-1 - k, t) for k, t in enumerate(names.split())]
+    found = secrets.find(spark.createDataFrame(rows, "doc_id long, text string"), ratios).collect()
+    assert not [r for r in found if r["doc_id"] < 0 and r["markov"]]
+    assert sum(bool(r["markov"] or r["hex"]) for r in found if r["doc_id"] >= 0) >= 0.97 * len(keys)
