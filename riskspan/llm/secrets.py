@@ -136,7 +136,7 @@ def evidence(token: Column, ratios: list[float]) -> Column:
 
 
 def _drawn(bound: Column | int, *of: Column | int) -> Column:
-    """A number from 0 below `bound`, a function of what it is drawn for: every run and retry draws the same."""
+    """A number from 0 below `bound`, a function of what it is drawn for: every run and retry draws the same. Numbers are literals."""
     return F.pmod(F.xxhash64(*[x if isinstance(x, Column) else F.lit(x) for x in of]), bound if isinstance(bound, Column) else F.lit(bound))
 
 
@@ -149,7 +149,7 @@ def _string(alphabet: Column, size: Column, *of: Column | int) -> Column:
 def random_strings(spark: SparkSession, many: int = DRAWN, seed: int = 1) -> DataFrame:
     """token: `many` random strings of 16 to 48 characters, of each of ALPHABETS in turn."""
     alphabet = F.element_at(F.array(*map(F.lit, ALPHABETS)), (F.col("id") % len(ALPHABETS) + 1).cast("int"))
-    return spark.range(many).select(_string(alphabet, 16 + _drawn(33, "id", seed), F.col("id"), seed).alias("token"))
+    return spark.range(many).select(_string(alphabet, 16 + _drawn(33, F.col("id"), seed), F.col("id"), seed).alias("token"))
 
 
 def _styles(words: Column, number: Column) -> list[Column]:
@@ -169,14 +169,14 @@ def identifiers(spark: SparkSession, many: int = DRAWN) -> DataFrame:
     names = told.select(F.explode(F.regexp_extract_all("t", F.lit(r"[A-Za-z0-9+/_-]{3,}"), F.lit(0))).alias("token"))
     words = told.select(F.regexp_extract_all(F.lower("t"), F.lit(r"[a-z]{2,}"), F.lit(0)).alias("w")).where(F.size("w") > 1)
     some = words.select("w", F.explode(F.sequence(F.lit(1), F.size("w") - 1, F.lit(3))).alias("i"))
-    some = some.select(F.slice("w", F.col("i"), 2 + _drawn(3, "i", F.col("w"))).alias("w"), _drawn(F.pow(F.lit(10), 1 + _drawn(4, "w", "i")).cast("bigint"), "i", "w").cast("string").alias("n"))
+    some = some.select(F.slice("w", F.col("i"), 2 + _drawn(3, F.col("i"), F.col("w"))).alias("w"), _drawn(F.pow(F.lit(10), 1 + _drawn(4, F.col("w"), F.col("i"))).cast("bigint"), F.col("i"), F.col("w")).cast("string").alias("n"))
     made = some.select(F.explode(F.array(*_styles(F.col("w"), F.col("n")))).alias("token"))
-    two = lambda k, base, size: F.lpad((base + _drawn(size, "id", k)).cast("string"), 2, "0")
-    date = F.concat((1970 + _drawn(70, "id", 1)).cast("string"), F.lit("-"), two(2, 1, 12), F.lit("-"), two(3, 1, 28), F.lit("/"), two(4, 0, 24), F.lit("-"), two(5, 0, 60))
-    number = _string(F.lit(DIGITS), 8 + _drawn(12, "id", 6), F.col("id"), 7)
-    cells = F.array_join(F.transform(F.sequence(F.lit(1), (2 + _drawn(3, "id", 8)).cast("int")), lambda i: F.concat(_string(F.lit(LOWER), F.lit(1), F.col("id"), i, 9), _string(F.lit(DIGITS), F.lit(1), F.col("id"), i, 10))), "")
-    figures = spark.range(many).select(F.explode(F.array(date, number, F.when(F.col("id") % 8 == 0, cells))).alias("token")).where("token is not null")
-    run = spark.range(26).crossJoin(spark.range(8, 27).withColumnRenamed("id", "n"))  # 494 rows: places and lengths in an alphabet
+    two = lambda k, base, size: F.lpad((base + _drawn(size, F.col("id"), k)).cast("string"), 2, "0")
+    date = F.concat((1970 + _drawn(70, F.col("id"), 1)).cast("string"), F.lit("-"), two(2, 1, 12), F.lit("-"), two(3, 1, 28), F.lit("/"), two(4, 0, 24), F.lit("-"), two(5, 0, 60))
+    number = _string(F.lit(DIGITS), 8 + _drawn(12, F.col("id"), 6), F.col("id"), 7)
+    cells = F.array_join(F.transform(F.sequence(F.lit(1), (2 + _drawn(2, F.col("id"), 8)).cast("int")), lambda i: F.concat(_string(F.lit(LOWER), F.lit(1), F.col("id"), i, 9), _string(F.lit(DIGITS), F.lit(1), F.col("id"), i, 10))), "")
+    figures = spark.range(many).select(F.explode(F.array(date, number, F.when(F.col("id") % 4 == 0, cells))).alias("token")).where("token is not null")
+    run = spark.range(26).select("id", F.explode(F.sequence(F.lit(8), F.lit(26))).alias("n"))  # places and lengths in an alphabet
     runs = run.select(F.explode(F.array(*[F.when(F.col("id") + F.col("n") <= len(a), F.substring(F.lit(a), (F.col("id") + 1).cast("int"), F.col("n").cast("int"))) for a in (LOWER, UPPER, DIGITS)])).alias("token")).where("token is not null")
     return names.unionByName(made).unionByName(figures).unionByName(runs).distinct()
 
