@@ -93,3 +93,15 @@ def test_hierarchy_of_hosts(spark):
     domain, suffix = urls.hierarchy(F.col("host"), ("co.uk",))
     got = [tuple(r) for r in df.select(domain, suffix).collect()]
     assert got == [("b.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("co.uk", "co.uk"), ("example.com", "com"), ("localhost", "localhost"), ("", ""), ("uk", "uk")]
+
+
+def test_the_posterior_bound_blocks_hosts_that_no_rule_names(spark):
+    """Labelled outcomes of pages: a bad host, new hosts of a bad and of a good domain, a mixed host, an unknown one."""
+    seen = [(f"h{i}.bad.net", False) for i in range(40) for _ in range(5)] + [(f"h{i}.good.net", True) for i in range(40) for _ in range(5)]
+    seen += [("spam.mixed.net", False)] * 40 + [("fine.mixed.net", True)] * 40 + [("half.mixed.net", i % 2 == 0) for i in range(40)]
+    seen += [("new.bad.net", None), ("new.good.net", None)]
+    hosts = ["h3.bad.net", "new.bad.net", "spam.mixed.net", "fine.mixed.net", "half.mixed.net", "new.good.net", "unknown.io"]
+    pages = spark.createDataFrame([(i, f"https://{h}/p") for i, h in enumerate(hosts)], "page_id long, url string")
+    out = urls.judge(pages, outcomes=spark.createDataFrame(seen, "host string, good boolean")).collect()
+    assert all(r["rule"] is None for r in out)
+    assert {r["host"] for r in out if r["verdict"] == "block"} == {"h3.bad.net", "new.bad.net", "spam.mixed.net"}
