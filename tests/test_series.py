@@ -107,3 +107,18 @@ def test_lead_times_equal_plain_counting_and_join_on_equality_only(spark):
     with contextlib.redirect_stdout(io.StringIO()) as plan:
         found.explain("formatted")
     assert "NestedLoop" not in plan.getvalue() and "Join condition: None" in plan.getvalue() and not [x for x in plan.getvalue().splitlines() if "Join condition" in x and "None" not in x]
+
+
+def test_the_lead_table_needs_no_product_of_tables(spark):
+    from riskspan.operators import reports
+
+    leads = spark.createDataFrame([("s", 10), ("s", 20), ("s", 40), ("t", None)], "series_id string, lead_minutes long")
+    alerts = spark.createDataFrame([("s",)] * 7, "series_id string")
+    spark.conf.set("spark.sql.crossJoin.enabled", "false")
+    try:
+        told = {r["metric"]: r["value"] for r in reports.lead(S.lead_summary(leads), alerts).collect()}
+        none = {r["metric"]: r["value"] for r in reports.lead(S.lead_summary(leads.limit(0)), alerts.limit(0)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.crossJoin.enabled")
+    assert told == {"Alerts raised": "7", "Episodes": "4", "Episodes preceded by an alert": "3", "Episodes warned": "75.0%", "Median lead (minutes)": "20", "Look-back (minutes)": "2880"}
+    assert none == told | {"Alerts raised": "0", "Episodes": "0", "Episodes preceded by an alert": "0", "Episodes warned": "—", "Median lead (minutes)": "—"}
