@@ -24,6 +24,8 @@ from .ordered import stored
 
 #: Characters of the terms and patterns of rules that a task holds at a time.
 MOST_BYTES = 32 << 20
+#: Bytes of texts that a task turns into Python strings at a time.
+CUT_BYTES = 1 << 20
 #: Characters of the q-grams: a term is indexed by the longest that it holds.
 GRAMS = (12, 6, 3)
 
@@ -140,17 +142,26 @@ class TermIndex:
 RANKED = ArrayType(StructType([StructField("class_id", StringType()), StructField("score", DoubleType())]))
 
 
-def _with_column(df: DataFrame, name: str, kind, compute) -> DataFrame:
-    """Add or replace a column by a function of record batches that returns a list, passing all others on."""
-    schema = StructType([*(f for f in df.schema if f.name != name), StructField(name, kind)])
-    arrow = to_arrow_schema(schema)
+def _cut(*columns: pa.Array) -> Iterator[list[list]]:
+    """The columns of a batch as Python lists, so many rows at a time that they hold about CUT_BYTES (a larger row stands alone)."""
+    n, at = len(columns[0]), 0
+    sizes = sum(c.nbytes for c in columns) // max(1, n)
+    while at < n:
+        rows = max(1, CUT_BYTES // max(1, sizes))
+        yield [c.slice(at, rows).to_pylist() for c in columns]
+        at += rows
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells = [batch.column(f.name) for f in list(arrow)[:-1]]
-            yield pa.RecordBatch.from_arrays([*cells, pa.array(compute(batch), arrow.field(name).type)], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+def _computed(kind, compute, *inputs: str) -> Column:
+    """A column that a function makes of the inputs' rows, a list of results for lists of values. Only the inputs go to Python and
+    only the results come back. Marked as not deterministic, so that no filter above computes it a second time."""
+    arrow = to_arrow_schema(StructType([StructField("c", kind)])).field("c").type
+
+    def run(*columns: pa.Array) -> pa.Array:
+        parts = [pa.array(compute(*part), arrow) for part in _cut(*columns)]
+        return pa.concat_arrays(parts) if parts else pa.array([], arrow)
+
+    return F.arrow_udf(run, kind, F.ArrowUDFType.SCALAR).asNondeterministic()(*inputs)
 
 
 def retrieve(texts: DataFrame, rules: list[Rule], code: str = "code", top_k: int = 4, min_score: float = 0.0, forced: tuple[str, ...] = (), most_bytes: int = MOST_BYTES) -> DataFrame:
@@ -160,14 +171,14 @@ def retrieve(texts: DataFrame, rules: list[Rule], code: str = "code", top_k: int
     Rules of several parts are ranked part by part; a rule is in one of them.
     """
     columns = texts.columns
-    out = texts.withColumns({"_low": F.lower(F.coalesce(F.col(code), F.lit(""))), "_ranked": F.array().cast(RANKED)})
+    out = texts.withColumn("_low", F.lower(F.coalesce(F.col(code), F.lit(""))))
     parts = parts_of(rules, most_bytes)
     for at, part in enumerate(parts):
         index = texts.sparkSession.sparkContext.broadcast(TermIndex(part))
 
-        def ranked(batch: pa.RecordBatch, index=index) -> list[list[dict]]:
+        def ranked(lows: list[str], befores: list | None = None, index=index) -> list[list[dict]]:
             found = []
-            for low, before in zip(batch.column("_low").to_pylist(), batch.column("_ranked").to_pylist(), strict=True):
+            for low, before in zip(lows, befores or [[]] * len(lows), strict=True):
                 scores = index.value.scores(low)
                 if min_score < 0:  # then rules without a term in the text count too
                     scores = dict.fromkeys(range(len(index.value.ids)), 0.0) | scores
@@ -175,7 +186,7 @@ def retrieve(texts: DataFrame, rules: list[Rule], code: str = "code", top_k: int
                 found.append(sorted(before + own, key=lambda x: (-x["score"], x["class_id"]))[:top_k])
             return found
 
-        out = _with_column(out, "_ranked", RANKED, ranked)
+        out = out.withColumn("_ranked", _computed(RANKED, ranked, "_low", *(["_ranked"] if at else [])))
         if at < len(parts) - 1:
             out = stored(out)  # the next part's index must not stand beside this one's
     best = F.col("_ranked")
@@ -218,16 +229,16 @@ def confirm(pairs: DataFrame, rules: list[Rule], code: str = "code", analyser: s
     """
     columns = pairs.columns
     body = F.coalesce(F.col(code), F.lit(""))
-    out = pairs.withColumns({"_body": body, "_lower": F.lower(body), "_seen": F.lit(None).cast(SEEN)})
+    out = pairs.withColumns({"_body": body, "_lower": F.lower(body)})
     parts = parts_of(rules, most_bytes)
     for at, part in enumerate(parts):
         base = pairs.sparkSession.sparkContext.broadcast({r.id: Conditions(r) for r in reversed(part)})
 
-        def seen(batch: pa.RecordBatch, base=base) -> list[dict | None]:
-            cells = (batch.column(c) for c in ("class_id", "_body", "_lower", "_seen"))
-            return [base.value[i].seen(body, low) if i in base.value else before for i, body, low, before in zip(*(c.to_pylist() for c in cells), strict=True)]
+        def seen(ids: list, bodies: list, lows: list, befores: list | None = None, base=base) -> list[dict | None]:
+            cells = zip(ids, bodies, lows, befores or [None] * len(ids), strict=True)
+            return [base.value[i].seen(body, low) if i in base.value else before for i, body, low, before in cells]
 
-        out = _with_column(out, "_seen", SEEN, seen)
+        out = out.withColumn("_seen", _computed(SEEN, seen, "class_id", "_body", "_lower", *(["_seen"] if at else [])))
         if at < len(parts) - 1:
             out = stored(out)
     known = F.col("_seen").isNotNull()
