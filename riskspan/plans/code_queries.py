@@ -10,6 +10,7 @@ from ..functions.draws import bits_sql
 from ..operators import evaluate as E
 from ..operators import rules as R
 from ..operators import slicing, tables
+from ..operators.ordered import stored
 
 #: A small rule base whose terms occur in the documents.
 RULES = [
@@ -29,14 +30,22 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _docs(spark, sf_dir):
-    return _spread(_read(spark, sf_dir, "documents")).select("doc_id", "text", F.col("source").alias("protocol"), F.col("lang").alias("contract"))
+def _docs(spark, sf_dir, spread: bool = True):
+    """The documents as code. Who needs no texts reads them as they lie."""
+    docs = _read(spark, sf_dir, "documents")
+    return (_spread(docs) if spread else docs).select("doc_id", "text", F.col("source").alias("protocol"), F.col("lang").alias("contract"))
+
+
+#: Bytes of files whose rows go to one task: so a task's work and memory are the same for a table of any size.
+SPREAD_BYTES = 8 << 20
 
 
 def _spread(table: DataFrame) -> DataFrame:
-    """A table of fewer files than cores is dealt to all cores before work in Python; a larger one is read as it lies."""
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if len(table.inputFiles()) < cores else table
+    """A table is dealt by its first column, an id, to all cores and to parts of about SPREAD_BYTES before work in Python."""
+    spark = table.sparkSession
+    files = spark.read.format("binaryFile").load(table.inputFiles()).select("length")  # lengths are known without reading the files
+    parts = -(-(files.agg(F.sum("length")).first()[0] or 0) // SPREAD_BYTES)
+    return table.repartition(max(spark.sparkContext.defaultParallelism, parts), table.columns[0])
 
 
 def retrieve_topk(spark, sf_dir):
@@ -99,16 +108,18 @@ def critic_gate(spark, sf_dir):
 
 
 def _findings(spark, sf_dir):
+    """The findings, written once without their texts for all who read them: an evaluation names them several times."""
     out = R.decide(_replied(spark, sf_dir, False))
     doc = F.col("doc_id").cast("string")
-    return out.select(
+    found = out.select(
         "protocol", F.concat_ws("/", "contract", doc, F.lit("text")).alias("file"), "contract", F.concat(F.lit("f"), doc).alias("function"), "class_id", "detected", "score",
         (F.col("doc_id") * 100 + F.col("rank")).alias("ordinal"), (F.col("confidence") < 0.05).alias("parse_failed"), "inconsistent",
     )
+    return stored(found)
 
 
 def _labels(spark, sf_dir):
-    told = _read(spark, sf_dir, "labels").join(_docs(spark, sf_dir).select("doc_id", "protocol"), "doc_id")
+    told = _read(spark, sf_dir, "labels").join(_docs(spark, sf_dir, False).select("doc_id", "protocol"), "doc_id")
     doc = F.col("doc_id").cast("string")
     classes = F.array_compact(F.array(F.when(F.col("toxic") == 1, "R4"), F.when(F.col("quality") == 0, "R3")))
     out = told.select("protocol", F.concat(F.lit("\\"), doc, F.lit("\\")).alias("file_contains"), F.concat(F.lit("f"), doc).alias("function"), F.explode(classes).alias("class_id"), doc.alias("_d"))
@@ -117,7 +128,7 @@ def _labels(spark, sf_dir):
 
 def _protocols(spark, sf_dir):
     number = F.substring("protocol", 4, 10).cast("int")
-    names = _docs(spark, sf_dir).select("protocol").where(F.col("protocol").isNotNull()).distinct()
+    names = _docs(spark, sf_dir, False).select("protocol").where(F.col("protocol").isNotNull()).distinct()
     kind = F.when(number % 5 == 0, F.lit(None)).when(number % 2 == 1, "pure").otherwise("partial")
     return names.select("protocol", F.when(number % 4 == 0, "control").otherwise("study").alias("tier"), kind.alias("algorithmic"), F.element_at(F.array(*map(F.lit, FAMILIES)), number % 4 + 1).alias("family"))
 
@@ -143,13 +154,15 @@ def _runs(spark, sf_dir):
     return found.withColumn("run", F.lit("static")).unionByName(found.withColumns({"run": F.lit("retrieval"), "detected": F.lit(True)}))
 
 
-def run_compare(spark, sf_dir):
-    return E.compare_runs(_runs(spark, sf_dir), _labels(spark, sf_dir), RUNS).select("run", "tp", "fp", "fn", "tn", "precision", "recall", "f1", "effective_f1", "error")
+def run_compare(spark, sf_dir, runs: DataFrame | None = None):
+    runs = _runs(spark, sf_dir) if runs is None else runs
+    return E.compare_runs(runs, _labels(spark, sf_dir), RUNS).select("run", "tp", "fp", "fn", "tn", "precision", "recall", "f1", "effective_f1", "error")
 
 
-def control_fp(spark, sf_dir):
+def control_fp(spark, sf_dir, runs: DataFrame | None = None):
+    runs = _runs(spark, sf_dir) if runs is None else runs
     labels = _labels(spark, sf_dir).withColumn("run", F.explode(F.array(*map(F.lit, RUNS))))
-    return E.control_false_positives(_runs(spark, sf_dir), labels, _protocols(spark, sf_dir), ["run"])
+    return E.control_false_positives(runs, labels, _protocols(spark, sf_dir), ["run"])
 
 
 def run_summary(spark, sf_dir):
@@ -218,7 +231,7 @@ def analyser_map(spark, sf_dir):
     pairs = R.retrieve(_docs(spark, sf_dir), RULES, "text")
     doc = F.col("doc_id").cast("string")
     at = lambda df: df.withColumns({"file": doc, "function": F.concat(F.lit("f"), doc), "id": F.col("doc_id")})
-    told = _read(spark, sf_dir, "labels").join(_docs(spark, sf_dir).select("doc_id", "protocol"), "doc_id")
+    told = _read(spark, sf_dir, "labels").join(_docs(spark, sf_dir, False).select("doc_id", "protocol"), "doc_id")
     checks = F.explode(F.array_compact(F.array(F.when(F.col("toxic") == 1, "abuse"), F.when(F.col("quality") == 0, "low-quality"), F.lit("style"))))
     hits = tables.analyser_hits(at(told).select("protocol", "file", "function", checks.alias("check")), at(_docs(spark, sf_dir)), CHECKS)
     return tables.analyser_baseline(pairs.select(F.col("doc_id").alias("id"), "class_id"), hits)
@@ -228,7 +241,7 @@ def loo_exemplars(spark, sf_dir):
     positive = _labels(spark, sf_dir).select("class_id", "protocol", F.col("function").alias("signature"), F.lit("positive").alias("kind"))
     best = R.confirm(R.retrieve(_docs(spark, sf_dir), RULES, "text", top_k=1), RULES, "text")
     doc = F.concat(F.lit("f"), F.col("doc_id").cast("string"))
-    slices = best.select("protocol", F.col("contract").alias("file"), F.col("doc_id").alias("start_line"), doc.alias("function"), doc.alias("signature"), "class_id", "passed", F.length("text").alias("n_chars"))
+    slices = stored(best.select("protocol", F.col("contract").alias("file"), F.col("doc_id").alias("start_line"), doc.alias("function"), doc.alias("signature"), "class_id", "passed", F.length("text").alias("n_chars")))
     negative = tables.first_negatives(slices, _labels(spark, sf_dir), _protocols(spark, sf_dir).where("tier = 'control'"))
     targets = R.all_pairs(_protocols(spark, sf_dir).select("protocol"), RULES)
     return tables.exemplars(positive.unionByName(negative), targets)
