@@ -1,12 +1,14 @@
 """Early warnings as a stream: late and repeated samples are put in order by the watermark, then judged one by one.
 
-State of a series, each part on its own: samples that wait for the watermark (a map by instant), the samples that can still be the
-least of a window (a list, the deque of a rolling minimum), and a few counters. An event-time timer wakes a series when the
+State of a series, each part on its own: samples that wait for the watermark (a list), the samples that can still be the least of a
+window (a list too, the deque of a rolling minimum), and a few counters. Lists are read and written as a whole, once for each call:
+a call to the state store for each sample would cost more than all else. An event-time timer wakes a series when the
 watermark passes its next waiting sample, and once more when it has been idle for long enough to be forgotten.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,6 +22,15 @@ FIRED = "series_id string, ts bigint, state string, low double"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _write(state, rows) -> None:
+    """Replace a list in the state store; an empty one is none."""
+    rows = [(int(ts), float(value)) for ts, value in rows]
+    if rows:
+        state.put(rows)
+    else:
+        state.clear()
+
+
 class _Warner(StatefulProcessor):
     """One series. The sample before the newest is judged when the newest comes, as a last sample is never judged."""
 
@@ -29,29 +40,28 @@ class _Warner(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "ts bigint", "value double")
+        self.waiting = handle.getListState("waiting", "ts bigint, value double")
         self.window = handle.getListState("window", "ts bigint, value double")
         self.counts = handle.getValueState("counts", "seen bigint, last_ts bigint, low double, before string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            for ts, value in zip(batch["ts"].tolist(), batch["value"].tolist(), strict=True):
-                at = (int(ts),)
-                if not self.waiting.containsKey(at) or value < self.waiting.getValue(at)[0]:
-                    self.waiting.updateValue(at, (float(value),))
-        yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
+        new = [s for batch in rows for s in zip(batch["ts"].tolist(), batch["value"].tolist(), strict=True)]
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs(), new)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
-
-    def _advance(self, key, watermark_ms: int) -> Iterator[pd.DataFrame]:
-        """Judge all waiting samples up to the watermark, in order, and set the next timer."""
-        ready = sorted(k[0] for k in self.waiting.keys() if k[0] * 1_000 <= watermark_ms)
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs(), [])
+
+    def _advance(self, key, watermark_ms: int, new: list[tuple[int, float]]) -> Iterator[pd.DataFrame]:
+        """Judge all waiting samples up to the watermark, in order, and set the next timer. Of several at one instant the least counts."""
+        waiting: dict[int, float] = {}
+        for ts, value in (*(tuple(r) for r in self.waiting.get()), *new):
+            if ts not in waiting or value < waiting[ts]:
+                waiting[ts] = value
+        ready = sorted(ts for ts in waiting if ts * 1_000 <= watermark_ms)
         seen, last_ts, low, before = self.counts.get() if self.counts.exists() else (0, None, None, "normal")
-        window, fired = [tuple(r) for r in self.window.get()] if ready else [], []
+        window, fired = deque(tuple(r) for r in self.window.get()) if ready else deque(), []
         for ts in ready:
-            value = self.waiting.getValue((ts,))[0]
-            self.waiting.removeKey((ts,))
+            value = waiting.pop(ts)
             if last_ts is not None and ts <= last_ts:
                 continue
             if seen >= self.warmup and (seen - self.warmup) % self.stride == 0:
@@ -63,21 +73,22 @@ class _Warner(StatefulProcessor):
                 window.pop()
             window.append((ts, value))
             while window[0][0] < ts - self.width:
-                window.pop(0)
+                window.popleft()
             seen, last_ts, low = seen + 1, ts, window[0][1]
         if ready:
-            self.window.put(window)
+            _write(self.window, window)
             self.counts.update((seen, last_ts, low, before))
-        self._wake(watermark_ms, last_ts)
+        if ready or new:
+            _write(self.waiting, waiting.items())
+        self._wake(watermark_ms, last_ts, min(waiting, default=None))
         if fired:
             yield pd.DataFrame(fired, columns=["series_id", "ts", "state", "low"])
 
-    def _wake(self, watermark_ms: int, last_ts: int | None) -> None:
+    def _wake(self, watermark_ms: int, last_ts: int | None, pending: int | None) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        pending = [k[0] for k in self.waiting.keys()]
-        if pending:
-            self.handle.registerTimer(min(pending) * 1_000)
+        if pending is not None:
+            self.handle.registerTimer(pending * 1_000)
         elif last_ts is not None and watermark_ms >= (last_ts + self.idle) * 1_000:
             self.waiting.clear()
             self.window.clear()
