@@ -40,3 +40,84 @@ def test_a_larger_table_goes_to_more_tasks(spark, monkeypatch):
     assert C._spread(docs).rdd.getNumPartitions() == cores
     monkeypatch.setattr(C, "SPREAD_BYTES", 10_000)
     assert C._spread(docs).rdd.getNumPartitions() > 2 * cores
+
+
+def test_a_tree_of_files_has_more_files_for_more_tasks(spark, monkeypatch):
+    seen, scan = [], Q.files.scan
+    monkeypatch.setattr(Q.files, "scan", lambda s, root, *a, **k: seen.append(root) or scan(s, root, *a, **k))
+    monkeypatch.setattr(C, "SPREAD_BYTES", 10_000)
+    wanted = spark.read.parquet(f"{SMALL}/documents.parquet").where("text is not null and doc_id % 5 < 3").count()
+    assert Q.file_scan(spark, SMALL).count() == wanted
+    assert spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(seen[0]).count() > 100
+
+
+def test_samples_that_wait_are_read_and_written_as_one():
+    """A call of the state store for each sample made the time of a long series."""
+    from riskspan.streaming.warnings import _Warner
+
+    calls = []
+
+    class Listed(list):
+        def get(self):
+            calls.append("get")
+            return iter(tuple(self))
+
+        def put(self, rows):
+            calls.append("put")
+            self[:] = rows
+
+        def clear(self):
+            self[:] = []
+
+    class Counted:
+        row = None
+
+        def exists(self):
+            return self.row is not None
+
+        def get(self):
+            return self.row
+
+        def update(self, row):
+            self.row = row
+
+        def clear(self):
+            self.row = None
+
+    class Handle:
+        timers: list = []
+
+        def getListState(self, *_):
+            return Listed()
+
+        def getMapState(self, *_):
+            raise AssertionError("a map is asked sample by sample")
+
+        def getValueState(self, *_):
+            return Counted()
+
+        def listTimers(self):
+            return tuple(self.timers)
+
+        def deleteTimer(self, t):
+            self.timers.remove(t)
+
+        def registerTimer(self, t):
+            self.timers.append(t)
+
+    class At:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    import pandas as pd
+
+    warner = _Warner({"depeg": 0.99, "severe": 0.95, "failure": 0.8}, 600, 2, 1, 86_400)
+    warner.init(Handle())
+    rows = pd.DataFrame({"ts": [60 * i for i in range(1_000)], "value": [1.0] * 500 + [0.9] * 500})
+    assert list(warner.handleInputRows(("s",), iter([rows, rows.head(10)]), At(0))) == []
+    fired = list(warner.handleExpiredTimer(("s",), At(1_000_000_000), None))
+    assert [tuple(r) for f in fired for r in f.itertuples(index=False)] == [("s", 60 * 500, "active_depeg", 0.9)]
+    assert len(calls) <= 8
