@@ -76,7 +76,7 @@ def critic_prompt(rules: list[Rule], code: str = "code") -> Column:
 def with_exemplars(pairs: DataFrame, chosen: DataFrame, pool: DataFrame) -> DataFrame:
     """Adds to pairs (protocol, class_id) the exemplars chosen for them (tables.exemplars()) with the pool's code and verdict."""
     full = chosen.join(pool.select("kind", "class_id", "protocol", "signature", "code", "verdict").dropDuplicates(["kind", "class_id", "protocol", "signature"]), ["kind", "class_id", "protocol", "signature"])
-    entry = F.struct("kind", "class_id", "signature", "code", "verdict")
+    entry = F.struct("kind", "class_id", "signature", F.substring("code", 1, EXEMPLAR_CHARS).alias("code"), "verdict")
     lists = full.groupBy("target_protocol", "target_class").agg(F.sort_array(F.collect_list(entry), asc=False).alias("exemplars"))  # at most one of each kind
     lists = lists.withColumnsRenamed({"target_protocol": "_p", "target_class": "_c"})
     return pairs.join(lists, (F.col("protocol") == F.col("_p")) & (F.col("class_id") == F.col("_c")), "left").drop("_p", "_c")

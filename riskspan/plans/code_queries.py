@@ -40,12 +40,16 @@ def _docs(spark, sf_dir, spread: bool = True):
 SPREAD_BYTES = 8 << 20
 
 
-def _spread(table: DataFrame) -> DataFrame:
-    """A table is dealt by its first column, an id, to all cores and to parts of about SPREAD_BYTES before work in Python."""
+def _parts(table: DataFrame) -> int:
     spark = table.sparkSession
     files = spark.read.format("binaryFile").load(table.inputFiles()).select("length")  # lengths are known without reading the files
     parts = -(-(files.agg(F.sum("length")).first()[0] or 0) // SPREAD_BYTES)
-    return table.repartition(max(spark.sparkContext.defaultParallelism, parts), table.columns[0])
+    return max(spark.sparkContext.defaultParallelism, parts)
+
+
+def _spread(table: DataFrame) -> DataFrame:
+    """A table is dealt by its first column, an id, to all cores and to parts of about SPREAD_BYTES before work in Python."""
+    return table.repartition(_parts(table), table.columns[0])
 
 
 def retrieve_topk(spark, sf_dir):

@@ -1,13 +1,21 @@
 """Costly steps run once, on parts of one size, and send no more through Python than they must."""
 
+import base64
+import random
+import sys
+
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from oracle import SMALL
+from riskspan.operators import model, ordered
 from riskspan.operators import rules as R
 from riskspan.plans import code_queries as C
 from riskspan.plans import report_queries as Q
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks do not import test modules
 
 @pytest.mark.parametrize("query", [C.evaluation_overall, C.ranked_metrics, C.control_fp, C.run_summary, Q.run_table])
 def test_an_evaluation_reads_written_findings(spark, query):
@@ -121,3 +129,70 @@ def test_samples_that_wait_are_read_and_written_as_one():
     fired = list(warner.handleExpiredTimer(("s",), At(1_000_000_000), None))
     assert [tuple(r) for f in fired for r in f.itertuples(index=False)] == [("s", 60 * 500, "active_depeg", 0.9)]
     assert len(calls) <= 8
+
+
+RULES = [R.Rule("V1", layer="implementation", must_call=("mint(",)), R.Rule("V2", must_call=("rate",)), R.Rule("V3", must_call=("rate",))]
+
+
+def _slices(spark, rows):
+    return spark.createDataFrame([(i, "p", "C", "f()", "", "", c) for i, c in rows], "id string, protocol string, contract string, signature string, solc_version string, context string, code string")
+
+
+def _moved(spark, run):
+    """What run() returns, and the bytes that its stages shuffled, spilled and wrote."""
+    sc = spark.sparkContext
+    store = sc._jsc.sc().statusStore()
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found, out = store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None).iterator(), {}
+        while found.hasNext():
+            s = found.next()
+            out[s.stageId()] = s.shuffleWriteBytes() + s.diskBytesSpilled() + s.outputBytes()
+        return out
+
+    before = stages()
+    got = run()
+    return got, sum(n for k, n in stages().items() if k not in before)
+
+
+def test_an_analysis_moves_each_text_once(spark):
+    """Texts are dealt and written once; prompts, which repeat a text for each class and attempt, are neither shuffled nor written."""
+    draw = random.Random(17)
+    codes = [(str(i), f"mint( rate {base64.b64encode(draw.randbytes(75_000)).decode()}") for i in range(30)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found, moved = _moved(spark, lambda: model.analyse(_slices(spark, codes), RULES, [model.Offline()], model.Settings(parts=4)).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(found) == 90 and all(r["detected"] and r["calls"] == 2 for r in found)
+    assert moved < 3 * sum(len(c) for _, c in codes)
+
+
+def test_slices_of_one_id_are_apart(spark):
+    found = model.analyse(_slices(spark, [("a", "mint( 1"), ("a", "mint( 2"), (None, "mint( 3")]), RULES[:1], [model.Offline()]).collect()
+    assert sorted((r["id"], r["statements"], r["calls"], r["detected"]) for r in found) == [("a", ["mint( 1"], 2, True), ("a", ["mint( 2"], 2, True)]
+
+
+class _Down:
+    name, model, available = "down", "m", True
+
+    def complete(self, system, user, temperature):
+        return model.Reply("", "down", "m", "HTTP 500")
+
+
+def test_a_dead_endpoint_stops_an_analysis_of_many_small_tasks(spark):
+    with pytest.raises(Exception, match="calls failed and none worked"):
+        model.analyse(_slices(spark, [(str(i), f"mint( {i}") for i in range(12)]), RULES[:1], [_Down()], model.Settings(parts=12))
+
+
+def test_a_dealt_table_is_read_by_bucket_and_joined_where_it_lies(spark):
+    rows = spark.range(1_000).withColumn("v", F.col("id") % 7)
+    table = ordered.dealt(rows, 5, "id")
+    assert table.count() == table.select("_row").distinct().count() == 1_000 and not [t for t in spark.catalog.listTables() if t.name.startswith("dealt_")]
+    with ordered.by_bucket(spark):
+        assert table.rdd.getNumPartitions() == 5
+    assert spark.conf.get("spark.sql.sources.bucketing.autoBucketedScan.enabled") == "true"
+    plan = table.join(ordered.stored(rows.select("id", "v")).hint("shuffle_hash"), "id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
