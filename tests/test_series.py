@@ -5,8 +5,12 @@ import io
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from oracle import SMALL, assert_matches
+from riskspan.operators import reports
 from riskspan.operators import series as S
+from riskspan.plans import series_queries as Q
 
 T0 = 1_700_006_400
 
@@ -122,3 +126,14 @@ def test_the_lead_table_needs_no_product_of_tables(spark):
         spark.conf.unset("spark.sql.crossJoin.enabled")
     assert told == {"Alerts raised": "7", "Episodes": "4", "Episodes preceded by an alert": "3", "Episodes warned": "75.0%", "Median lead (minutes)": "20", "Look-back (minutes)": "2880"}
     assert none == told | {"Alerts raised": "0", "Episodes": "0", "Episodes preceded by an alert": "0", "Episodes warned": "—", "Median lead (minutes)": "—"}
+
+
+def test_lead_times_of_the_whole_look_back(spark):
+    sql = f"WITH {Q._S}, {Q._G}, {Q._LT.replace('36000', str(2_880 * 60))} SELECT * FROM lt"
+    assert_matches(spark, lambda s, d: Q.leads_and_alerts(s, d, 2_880)[0], sql)
+    leads, warned = Q.leads_and_alerts(spark, SMALL, 2_880)
+    short, _ = Q.leads_and_alerts(spark, SMALL)
+    counted = [x.agg(F.sum("admissible"), F.count("lead_minutes"), F.count(F.lit(1))).first() for x in (leads, short)]
+    assert [tuple(r) for r in counted] == [(33, 6, 7), (5, 4, 7)]
+    told = {r["metric"]: r["value"] for r in reports.lead(S.lead_summary(leads), warned).collect()}
+    assert (told["Episodes preceded by an alert"], told["Median lead (minutes)"], told["Look-back (minutes)"]) == ("6", "2579", "2880")
