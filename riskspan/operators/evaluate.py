@@ -18,6 +18,7 @@ from .ordered import stored
 from .selection import at_rank
 
 KEY = ["protocol", "file", "function", "class_id"]
+TEXT = ["protocol", "file", "contract", "function"]
 
 
 def match_labels(findings: DataFrame, labels: DataFrame, by: list[str] = []) -> DataFrame:
@@ -193,5 +194,16 @@ def _f1(tp: str, fp: str, fn: str) -> Column:
 
 
 def run_summary(findings: DataFrame, by: list[str] = []) -> DataFrame:
-    """Totals of a run: pairs, detected, parse failures, contradictions and distinct texts."""
-    return findings.groupBy(*by).agg(F.count(F.lit(1)).alias("pairs"), F.count_if("detected").alias("detected"), F.count_if("parse_failed").alias("parse_failures"), F.count_if("inconsistent").alias("contradictions"))
+    """Totals of a run: distinct texts with a pair, pairs, detected, by_class (class and number of its detected, by class), parse failures,
+    provider errors (of findings that have provider_error, empty where there is none) and contradictions.
+
+    Classes are counted first and texts beside them. A union and one aggregate put them together, for null groups too.
+    """
+    failed = F.count_if(F.col("provider_error") != "") if "provider_error" in findings.columns else F.count_if(F.lit(False))
+    counts = {"pairs": F.count(F.lit(1)), "detected": F.count_if("detected"), "parse_failures": F.count_if("parse_failed"), "provider_errors": failed, "contradictions": F.count_if("inconsistent")}
+    classes = findings.groupBy(*by, "class_id").agg(*[x.alias(c) for c, x in counts.items()])
+    texts = findings.select(*by, *TEXT).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("texts"))
+    both = classes.unionByName(texts, allowMissingColumns=True)
+    each = F.sort_array(F.collect_list(F.when(F.col("detected") > 0, F.struct("class_id", "detected")))).alias("by_class")
+    total = {c: F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("texts", *counts)}
+    return both.groupBy(*by).agg(total["texts"], total["pairs"], total["detected"], each, *[total[c] for c in ("parse_failures", "provider_errors", "contradictions")])

@@ -170,7 +170,7 @@ def control_fp(spark, sf_dir, runs: DataFrame | None = None):
 
 
 def run_summary(spark, sf_dir):
-    return E.run_summary(_runs(spark, sf_dir), ["run"])
+    return E.run_summary(_runs(spark, sf_dir), ["run"]).select("run", "pairs", "detected", "parse_failures", "contradictions")
 
 
 def label_path_match(spark, sf_dir):

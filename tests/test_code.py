@@ -168,3 +168,17 @@ def test_slices_by_lateral_join(spark):
     assert spark.sql(cut.replace("@", "20"), files=files).first().code.endswith("\n// ...[truncated]")
     with pytest.raises(Exception, match="constant of at least 0"):
         spark.sql(cut.replace("@", "-1"), files=files)
+
+
+def test_a_run_is_summed_up_with_its_texts_classes_and_provider_errors(spark):
+    columns = "run string, protocol string, file string, contract string, function string, class_id string, detected boolean, parse_failed boolean, inconsistent boolean, provider_error string"
+    rows = [
+        ("a", "p", "x", None, "f", "R1", True, False, False, ""), ("a", "p", "x", None, "f", "R2", True, False, True, ""), ("a", "p", "y", "C", "f", "R1", True, False, False, ""),
+        ("a", "p", "y", "C", "g", "R3", False, True, False, "HTTP 500"), (None, "q", "x", None, "f", "R2", None, None, None, None),
+    ]
+    found = spark.createDataFrame(rows, columns)
+    got = {r["run"]: tuple(r)[1:] for r in E.run_summary(found, ["run"]).collect()}
+    assert got == {"a": (3, 4, 3, [("R1", 2), ("R2", 1)], 1, 1, 1), None: (1, 1, 0, [], 0, 0, 0)}
+    assert [tuple(r) for r in E.run_summary(found).collect()] == [(4, 5, 3, [("R1", 2), ("R2", 1)], 1, 1, 1)]
+    assert [tuple(r) for r in E.run_summary(found.drop("provider_error").limit(0)).collect()] == [(0, 0, 0, [], 0, 0, 0)]
+    assert E.run_summary(found).columns == ["texts", "pairs", "detected", "by_class", "parse_failures", "provider_errors", "contradictions"]
